@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import quality_rules, url_filters
+from tidegraph.llm import language_id, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.query,
         "op3b_rule_ablation": quality_rules.ablation_query,
+        "op6_toxicity": toxicity.query,
         "op8_url_filters": url_filters.query,
+        "op9_language_id": language_id.query,
     }
 
 
