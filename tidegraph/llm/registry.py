@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import language_id, quality_rules, toxicity, url_filters
+from tidegraph.llm import decontamination, language_id, packing, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.query,
         "op3b_rule_ablation": quality_rules.ablation_query,
+        "op4_decontamination": decontamination.query,
+        "op4b_near_phrases": decontamination.near_query,
+        "op5_packing": packing.query,
         "op6_toxicity": toxicity.query,
         "op8_url_filters": url_filters.query,
         "op9_language_id": language_id.query,
@@ -23,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.SQL,
         "op3b_rule_ablation": quality_rules.ABLATION_SQL,
+        "op4_decontamination": decontamination.SQL,
         "op8_url_filters": url_filters.SQL,
     }
