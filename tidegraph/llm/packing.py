@@ -13,6 +13,7 @@ executor is lost.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,46 +31,74 @@ from tidegraph.llm.common import documents, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+CACHE_PARTS = 800_000
+#: Letters between ASCII marks; apostrophes (contractions) and < (special tokens) are left out.
+_MARKED = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([^\x00-\x40\[-`{-\x7f]+)([!-&(-/:;=-@\[-`{-~]*)")
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local_rank bigint"
 
 
 class WordCodes:
-    """Token ids of whole texts, from those of blank-separated words.
+    """Token ids of whole texts, from those of blank-separated words, kept while a worker lives.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn; each
-    distinct word is encoded once while it stays in the cache, which is emptied at ``CACHE_WORDS``.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Nor does it
+    join letters with the ASCII marks around them, so a word of letters between such marks is looked up in three parts,
+    letters in lower case; other words go to the tokenizer as they are. Caches are emptied at their sizes.
     """
 
+    _kept: dict[str, WordCodes] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordCodes:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
+        known = self.words
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
+            if len(known) + len(words) > CACHE_WORDS:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn([w for w in dict.fromkeys(words) if w not in known])
             return b"".join([known[w] for w in words])
 
+    def _learn(self, words: list[str]) -> None:
+        if len(self.parts) + 3 * len(words) > CACHE_PARTS:
+            self.parts.clear()
+        split = {}
+        for w in words:
+            m = _MARKED.fullmatch(w)
+            # Letters whose lower case is one letter each; \u03a3 has two lower cases, of which only one is meant here.
+            if m and (core := m[2]).isalpha() and len(low := core.lower()) == len(core) and "\u03a3" not in core:
+                split[w] = (m[1], low, m[3])
+            else:
+                split[w] = (w,)
+        parts = self.parts
+        new = [p for p in dict.fromkeys(p for ps in split.values() for p in ps) if p not in parts]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            parts[p] = np.array(e.ids, "<u4").tobytes()
+        for w, ps in split.items():
+            self.words[w] = b"".join([parts[p] for p in ps])
+
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces with length and checksum, the task that made each and its rank within its length there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, part, seen = WordCodes(tokenizer), TaskContext.get().partitionId(), {}
+        codes, part, seen = WordCodes.of(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
