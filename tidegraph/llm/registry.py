@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import decontamination, language_id, packing, quality_rules, toxicity, url_filters
+from tidegraph.llm import decontamination, language_id, lm_scoring, packing, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4b_near_phrases": decontamination.near_query,
         "op5_packing": packing.query,
         "op6_toxicity": toxicity.query,
+        "op7_lm_scoring": lm_scoring.query,
         "op8_url_filters": url_filters.query,
         "op9_language_id": language_id.query,
     }
