@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import documents
 
-MAX_ROWS = 12000
+MAX_ROWS = 8000
 MAX_VOCAB = 1 << 14
 MIN_DOCS = 5
 MIN_Z = 2.5
