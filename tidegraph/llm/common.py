@@ -30,7 +30,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, cut from its lineage, and kept if an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffles of this write go with it
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +50,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids up to this many (16 MB of them) are sent to all executors; more are shuffled with the table.
+SENT_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the written table ``ids``."""
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, "left_semi")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

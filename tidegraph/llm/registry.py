@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import decontamination, language_id, lm_scoring, packing, quality_rules, toxicity, url_filters
+from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": jaccard_join.query,
         "op3_quality_rules": quality_rules.query,
         "op3b_rule_ablation": quality_rules.ablation_query,
         "op4_decontamination": decontamination.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.SQL,
         "op3_quality_rules": quality_rules.SQL,
         "op3b_rule_ablation": quality_rules.ABLATION_SQL,
         "op4_decontamination": decontamination.SQL,
