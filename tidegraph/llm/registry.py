@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, toxicity, url_filters
+from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_lm_scoring": lm_scoring.query,
         "op8_url_filters": url_filters.query,
         "op9_language_id": language_id.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 
