@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, toxicity, url_filters
+from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_quality_rules": quality_rules.query,
         "op3b_rule_ablation": quality_rules.ablation_query,
