@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of ``[^\\x20\\x09-\\x0D]+``.
 BLANKS = " \t\n\x0b\f\r"
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def low_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, with A-Z in lower case; ``bytes.split`` cuts at exactly these six blanks."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +65,9 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, "left_semi")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the written table ``ids``."""
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, "left_anti").select(*df.columns)
 
 
 def held_out(doc_id: Column | str, modulus: int, remainder: int = 2) -> Column:

@@ -45,10 +45,11 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n >= 3, windows).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, measurements and ``fail_bits``."""
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, measurements and ``fail_bits``; ``carry`` adds the whole input row as ``row``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("t"))
+    carried = ["row"] if carry else []
+    df = docs.select("doc_id", text.alias("t"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     df = df.withColumn("words", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("s", F.sort_array(_repeat_words(F.col("words"))))
@@ -68,6 +69,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         upper.cast("long").alias("n_upper"),
         letters.cast("long").alias("n_letters"),
+        *carried,
     )
     n = F.col("n_words")
     fails = {

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filters.query,
         "op9_language_id": language_id.query,
         "op10_substring_dedup": substring_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
