@@ -14,9 +14,11 @@ executor is lost.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -38,12 +40,13 @@ _MARKED = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([^\x00-\x40\[-`{-\x7f]+)([!-&(-/:
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local_rank bigint"
 
 
-class WordCodes:
-    """Token ids of whole texts, from those of blank-separated words, kept while a worker lives.
+class WordCodes(dict):
+    """Token ids, as little-endian unsigned 32-bit numbers, of blank-separated words; kept while a worker lives.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Nor does it
     join letters with the ASCII marks around them, so a word of letters between such marks is looked up in three parts,
-    letters in lower case; other words go to the tokenizer as they are. Caches are emptied at their sizes.
+    and letters go, in lower case and as the tokenizer's byte letters, straight to its merges. Other words and marks go
+    through the whole tokenizer. Both tables are emptied when full.
     """
 
     _kept: dict[str, WordCodes] = {}
@@ -51,9 +54,13 @@ class WordCodes:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        # A byte that prints in Latin-1 is its own letter; the others follow from 256 on.
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
 
     @classmethod
     def of(cls, path: str) -> WordCodes:
@@ -62,36 +69,45 @@ class WordCodes:
         return cls._kept[path]
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        if len(self) > CACHE_WORDS:
+            self.clear()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) + len(words) > CACHE_WORDS:
-                known.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            return b"".join([known[w] for w in words])
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.parts) + 3 * len(words) > CACHE_PARTS:
-            self.parts.clear()
-        split = {}
-        for w in words:
-            m = _MARKED.fullmatch(w)
-            # Letters whose lower case is one letter each; \u03a3 has two lower cases, of which only one is meant here.
-            if m and (core := m[2]).isalpha() and len(low := core.lower()) == len(core) and "\u03a3" not in core:
-                split[w] = (m[1], low, m[3])
-            else:
-                split[w] = (w,)
-        parts = self.parts
-        new = [p for p in dict.fromkeys(p for ps in split.values() for p in ps) if p not in parts]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in split.items():
-            self.words[w] = b"".join([parts[p] for p in ps])
+        return b"".join(map(self.__getitem__, words))
+
+    def __missing__(self, word: str) -> bytes:
+        m = _MARKED.fullmatch(word)
+        if m and (core := m[2]).isalpha():
+            low = core.lower()
+            # Letters that keep their number in lower case; \u03a3 has two lower cases, of which only one is meant here.
+            if len(low) == len(core) and (low.isascii() or is_normalized("NFC", core) and is_normalized("NFC", low) and "\u03a3" not in core):
+                self[word] = found = self._part(m[1]) + self._core(low) + self._part(m[3])
+                return found
+        self[word] = found = self._whole(word)
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, marks: str) -> bytes:
+        if not marks:
+            return b""
+        found = self.parts.get(marks)
+        if found is None:
+            self.parts[marks] = found = self._whole(marks)
+        return found
+
+    def _core(self, low: str) -> bytes:
+        found = self.parts.get(low)
+        if found is None:
+            if len(self.parts) > CACHE_PARTS:
+                self.parts.clear()
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            self.parts[low] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
