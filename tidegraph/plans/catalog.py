@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.plans import flows
+from tidegraph.plans import flows, scores
 
-_ALL = {**flows.Q}
+_ALL = {**flows.Q, **scores.Q}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
