@@ -27,22 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents, held_out, written
+from tidegraph.llm.common import documents, held_out, low_words, written
 
 VOCAB = 1022
-HEAVY = 150_000
+HEAVY = 200_000
 DIM = 24
 NOISE = 48
 BATCH = 8192
 RATE = 0.05
 OTHER, END = 0, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOW = str.maketrans(UPPER, LOWER)
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w for w in text.translate(_LOW).translate(_BLANK).split(" ") if w] if text else []
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -79,11 +73,17 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, n_docs: int) -> Lexicon:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAVY).collect()
+    # The least count that at most HEAVY words reach, from how many words have each count.
+    steps = sorted((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect())
+    cut, many = 1 << 62, 0
+    while steps and many + steps[-1][1] <= HEAVY:
+        cut, n = steps.pop()
+        many += n
+    top = sorted(counts.where(F.col("c") >= cut).collect(), key=lambda r: (-r["c"], r["word"]))
     return Lexicon([r["word"] for r in top], np.array([r["c"] for r in top], np.int64), n_docs, total["n"] + n_docs, total["v"] + bool(n_docs))
 
 
-_CODED = "row long, doc_id bigint, held_out boolean, n_tokens long, n_known long, log_all double, log_other double, n_other long, ids binary, rare array<struct<word:string,n:int>>"
+_CODED = "row long, doc_id bigint, held_out boolean, n_tokens long, n_known long, log_all double, log_other double, n_other long, ids binary, rare array<string>, rare_n array<int>"
 
 
 def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -92,23 +92,23 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, row = sent.value, TaskContext.get().partitionId() << 34
-        rank = {w: i for i, w in enumerate(lex.words)}
+        rank = {w.encode(): i for i, w in enumerate(lex.words)}
         logs = np.log10(lex.counts + 1.0)
         end = float(np.log10(lex.n_docs + 1))
         get = rank.get
         for batch in batches:
             out = []
             for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = words_of(text)
-                r = np.array([get(w, -1) for w in words], np.int64)
+                words = low_words(text)
+                r = np.array([get(w, -1) for w in words], np.int32)
                 known = r[r >= 0]
-                rare = Counter([words[i] for i in np.flatnonzero(r < 0)]) if len(known) < len(r) else {}
+                rare = Counter([w for w in words if w not in rank]) if len(known) < len(r) else {}
                 far = known[known >= VOCAB]
                 ids = np.where((r >= 0) & (r < VOCAB), r + 2, OTHER)
                 ids = np.append(ids, END).astype("<u2")
-                out.append((row, None if pd.isna(doc_id) else int(doc_id), bool(held), len(ids), len(known) + bool(lex.n_docs), float(logs[known].sum()) + end, float(logs[far].sum()), int((ids == OTHER).sum()), ids.tobytes(), [{"word": w, "n": n} for w, n in rare.items()]))
+                out.append((row, None if pd.isna(doc_id) else int(doc_id), bool(held), len(ids), len(known) + bool(lex.n_docs), float(logs[known].sum()) + end, float(logs[far].sum()), int((ids == OTHER).sum()), ids.tobytes(), [w.decode("utf-8", "surrogatepass") for w in rare], list(rare.values())))
                 row += 1
-            frame = pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_other", "n_other", "ids", "rare"])
+            frame = pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_other", "n_other", "ids", "rare", "rare_n"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
@@ -264,7 +264,7 @@ def score(docs: DataFrame) -> DataFrame:
     lex = lexicon(counts, train_docs.count())
     coded = written(encode(docs, lex), "coded")
     model = train(coded, lex)
-    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    rare = coded.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("rare_n").alias("n"))).alias("r")).select("row", "r.word", "r.n")
     rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_rare"))
     far_n, far_v = lex.other
     df = token_scores(coded, model).join(rare, "row", "left")
