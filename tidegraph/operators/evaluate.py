@@ -22,7 +22,7 @@ def curve(scores: DataFrame) -> DataFrame:
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    return points.agg(F.when(F.max("pos") > 0, F.sum(F.col("p") / F.col("pos") * F.col("precision"))).alias("pr_auc"))
+    return points.agg(F.when(F.max("pos") > 0, F.sum(F.try_divide("p", "pos") * F.col("precision"))).alias("pr_auc"))
 
 
 def roc_auc(points: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def roc_auc(points: DataFrame) -> DataFrame:
 def fpr_at_recall(points: DataFrame, targets: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
     """False-positive rate at the first threshold that reaches a recall; NULL if a class is absent."""
     ok = (F.max("pos") > 0) & (F.max("neg") > 0)
-    return points.agg(*[F.when(ok, F.coalesce(F.min(F.when(F.col("recall") >= t, F.col("fp") / F.col("neg"))), F.lit(1.0))).alias(f"fpr_at_{round(t * 100)}") for t in targets])
+    return points.agg(*[F.when(ok, F.coalesce(F.min(F.when(F.col("recall") >= t, F.try_divide("fp", "neg"))), F.lit(1.0))).alias(f"fpr_at_{round(t * 100)}") for t in targets])
 
 
 def choose_threshold(scores: DataFrame, mode: str = "f1", target_recall: float = 0.95) -> float:

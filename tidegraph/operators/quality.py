@@ -46,7 +46,7 @@ def cohens_d(df: DataFrame, features: list[str]) -> DataFrame:
     long = unpivot(df, features, ["label"])
     side = lambda f, y, name: f(F.when(F.col("label") == y, F.col("value"))).alias(name)
     g = long.groupBy("feature").agg(side(F.avg, 1, "mean_attack"), side(F.avg, 0, "mean_benign"), side(F.var_samp, 1, "v1"), side(F.var_samp, 0, "v0"), side(F.count, 1, "n1"), side(F.count, 0, "n0"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
     return g.withColumn("p", pooled).where(finite("p") & (F.col("p") > 0)).select("feature", "mean_attack", "mean_benign", ((F.col("mean_attack") - F.col("mean_benign")) / F.col("p")).alias("d"))
 
 

@@ -123,7 +123,7 @@ add(
     lambda s, d: split.pending(table(s, d, "documents").select(F.col("doc_id").alias("detection_id")), table(s, d, "labels").select(F.col("doc_id").alias("detection_id"), (F.col("quality") == 1).alias("ok")), retry_failed=True),
     "SELECT doc_id AS detection_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
 )
-add("w1_fixed_windows", lambda s, d: split.whole_windows(splitted(s, d), SIZE, split.contiguous_bounds(flows_from_events(s, d).count(), 0.7, 0.1, 0.2, GAP)).groupBy("split").agg(F.count_distinct("window_id").alias("n_windows"), F.count("*").alias("n")), f"WITH {SPLIT_SQL}, c AS (SELECT split, count(*) AS n FROM sf WHERE split IS NOT NULL GROUP BY 1) SELECT split, n // {SIZE} AS n_windows, n // {SIZE} * {SIZE} AS n FROM c")
+add("w1_fixed_windows", lambda s, d: split.whole_windows(splitted(s, d), SIZE, split.contiguous_bounds(flows_from_events(s, d).count(), 0.7, 0.1, 0.2, GAP)).groupBy("split").agg(F.count_distinct("window_id").alias("n_windows"), F.count("*").alias("n")), f"WITH {SPLIT_SQL}, c AS (SELECT split, count(*) AS n FROM sf WHERE split IS NOT NULL GROUP BY 1) SELECT split, n // {SIZE} AS n_windows, n // {SIZE} * {SIZE} AS n FROM c WHERE n // {SIZE} > 0")
 add("w2_window_sweep", lambda s, d: rounded(graph.window_sweep(flows_from_events(s, d), [50, 100, 250], 20), "mean_nodes", "mean_pairs", "mean_max_fanout", "share_with_attack"),
     f"""WITH {FLOWS_SQL}, n AS (SELECT count(*) AS n FROM flows), sz AS (SELECT unnest([50, 100, 250]) AS size), k AS (SELECT size, n // size AS w, least(20, n // size) AS m FROM sz, n),
     keep AS (SELECT DISTINCT size, CASE WHEN m >= w THEN i ELSE floor(i * (w - 1)::DOUBLE / (m - 1))::BIGINT END AS window_id FROM k, range(200) t(i) WHERE i < m),

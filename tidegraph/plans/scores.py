@@ -38,7 +38,7 @@ add("e3_roc_auc", lambda s, d: rounded(evaluate.roc_auc(evaluate.curve(scores(s,
 add("e4_fpr_at_recall", lambda s, d: rounded(evaluate.fpr_at_recall(evaluate.curve(scores(s, d))), "fpr_at_95", "fpr_at_99"), f"WITH {CURVE_SQL} SELECT round(min(fp / neg) FILTER (recall >= 0.95), 6) AS fpr_at_95, round(min(fp / neg) FILTER (recall >= 0.99), 6) AS fpr_at_99 FROM pt")
 _METRICS = ["prevalence", "precision", "recall", "f1", "alerts_per_tp"]
 _METRIC_SQL = "m AS (SELECT count(*) AS n, sum(y)::BIGINT AS positives, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp FROM {src})"
-_METRIC_OUT = "n, positives, round(positives / n, 6) AS prevalence, 0.5::DOUBLE AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / positives, 6) AS recall, round(2 * tp / (tp + fp + positives), 6) AS f1, tp, fp, round((tp + fp) / tp, 6) AS alerts_per_tp"
+_METRIC_OUT = "n, positives, round(positives / n, 6) AS prevalence, 0.5::DOUBLE AS threshold, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(positives, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(tp + fp + positives, 0), 0), 6) AS f1, tp, fp, round((tp + fp) / nullif(tp, 0), 6) AS alerts_per_tp"
 add("e5_metric_set", lambda s, d: rounded(evaluate.metric_set(scores(s, d), THRESHOLD), *_METRICS), f"WITH {SCORES_SQL}, {_METRIC_SQL.format(src='sc')} SELECT {_METRIC_OUT} FROM m")
 add("e6_family_recall", lambda s, d: rounded(evaluate.family_recall(scores(s, d), THRESHOLD, BENIGN), "recall", "ci95"), f"WITH {SCORES_SQL}, f AS (SELECT family, count(*) AS n, avg((score >= 0.5)::INT) AS p FROM sc WHERE family <> 'view' GROUP BY 1) SELECT family, n, round(p, 6) AS recall, round(1.96 * sqrt(greatest(p * (1 - p), 1e-12) / n), 6) AS ci95 FROM f")
 _CONF_SQL = "cm AS (SELECT family AS \"true\", pred_family AS pred, count(*) AS n FROM sc GROUP BY 1, 2)"
