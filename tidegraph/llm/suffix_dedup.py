@@ -13,8 +13,9 @@ the rest is decided in three steps:
   byte, and the places give matching statistics. Matches of ``LENGTH`` bytes are marked. Order is settled by halving:
   on level l, segments whose rank in their anchor has bit l clear are indexed, those with the bit set are streamed, and
   the anchor byte carries the higher bits, so that only earlier ones match;
-* an anchor with more than ``MOST_SEGMENTS`` different segments (a frequent phrase) is not gathered: its strings are
-  grouped one by one, with partial aggregation, and all but the first occurrence are marked.
+* an anchor with more than ``MOST_SEGMENTS`` different segments (a frequent phrase) is salted, so that each part is
+  decided like any other anchor. The strings that its parts leave are then grouped one by one, and all but the first
+  occurrence are marked.
 
 Null text is empty. A null doc_id takes no part: nothing goes. Of rows that repeat an id with other text, the one whose
 text hash is least is judged and nothing goes from the others; equal rows give equal results. Extra columns are ignored.
@@ -31,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import documents, mix, written
+from tidegraph.llm.common import discard, documents, mix, written
 
 LENGTH = 100
 GRAM = 24
-MOST_SEGMENTS = 64
-BATCH_BYTES = 1 << 21
+MOST_SEGMENTS = 256
+BATCH_BYTES = 1 << 19
 _CHUNK = 1 << 20  # strings of one text that are looked at together
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -195,39 +196,46 @@ def matched(index: RunLengthIndex, contents: list[np.ndarray], n: np.ndarray, le
     return np.split(ok, np.cumsum(n)[:-1])
 
 
-def repeated_strings(batch: list[tuple[int, bytes, int, int]]) -> list[np.ndarray]:
-    """For different segments (anchor, content, strings, anchor place in content), in order of anchor and occurrence:
-    which strings occur in an earlier segment of the anchor."""
-    rank, group = [], []
+def repeated_strings(batch: list[tuple[object, bytes, int, int]]) -> list[np.ndarray]:
+    """For different segments (group, content, strings, anchor place in content), in order of group and occurrence:
+    which strings occur in an earlier segment of the group.
+
+    The highest level goes first. What it marks is dropped from later levels, from streams and indexes alike: whatever
+    would still meet it there has met the same earlier segments.
+    """
+    rank: list[int] = []
+    most: dict[object, int] = {}
     for i, (a, *_) in enumerate(batch):
         rank.append(rank[-1] + 1 if i and a == batch[i - 1][0] else 0)
-    most: dict[int, int] = {}
-    for (a, *_), r in zip(batch, rank, strict=True):
-        most[a] = r
-    group = [most[a] for a, *_ in batch]
+        most[a] = rank[-1]
     marks = [np.zeros(n, bool) for _, _, n, _ in batch]
-    for level in range(max(group, default=0).bit_length()):
+    live = [(0, n) for _, _, n, _ in batch]
+    for level in range(max(most.values(), default=0).bit_length() - 1, -1, -1):
         indexed, streamed = [], []
-        for i, (_, content, _, place) in enumerate(batch):
-            if group[i] >> level:
+        for i, (a, *_) in enumerate(batch):
+            if live[i][1] and most[a] >> level:
                 (streamed if rank[i] >> level & 1 else indexed).append(i)
-        if not streamed:
+        if not streamed or not indexed:
             continue
 
         def coded(i: int, level: int = level) -> np.ndarray:
-            x = np.frombuffer(batch[i][1], np.uint8).astype(np.int32) + 1
-            x[batch[i][3]] += 256 * (rank[i] >> (level + 1))
+            lo, hi = live[i]
+            x = np.frombuffer(batch[i][1], np.uint8)[lo : hi + LENGTH - 1].astype(np.int32) + 2
+            x[batch[i][3] - lo] += 256 * (rank[i] >> (level + 1))
             return x
 
-        gap = np.zeros(1, np.int32)
+        gap = np.ones(1, np.int32)  # between segments; 0 is the end alone
         text = np.concatenate([x for i in indexed for x in (coded(i), gap)])
-        text[:-1] += 1  # separators become 1, and the end alone is 0
+        text[-1] = 0
         index = RunLengthIndex(text)
         for k in range(0, len(streamed), 20_000):
             own = streamed[k : k + 20_000]
-            found = matched(index, [coded(i) + 1 for i in own], np.array([batch[i][2] for i in own]))
+            found = matched(index, [coded(i) for i in own], np.array([live[i][1] - live[i][0] for i in own]))
             for i, ok in zip(own, found, strict=True):
-                marks[i] |= ok
+                if ok.any():
+                    marks[i][live[i][0] : live[i][1]] |= ok
+                    left = np.flatnonzero(~marks[i])
+                    live[i] = (int(left[0]), int(left[-1]) + 1) if len(left) else (0, 0)
     return marks
 
 
@@ -254,61 +262,63 @@ def segment_table(docs: DataFrame) -> DataFrame:
             anchors, hashes, ids, packs = [], [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = _data(text)
-                a, s, n, _ = segments(data)
+                a, s, n, p = segments(data)
                 anchors.append(a.astype(np.int64))
                 hashes.append(np.array([digest(data[x:y]) for x, y in zip(s.tolist(), (s + n + LENGTH - 1).tolist(), strict=True)], np.uint64).astype(np.int64))
                 ids.append(np.full(len(a), doc_id, np.int64))
-                packs.append(s * 128 + n)
+                packs.append((s << 14) | (n << 7) | (p - s))
             none = np.zeros(0, np.int64)
             yield pd.DataFrame({k: np.concatenate([none, *v]) for k, v in (("a", anchors), ("g", hashes), ("doc_id", ids), ("pack", packs))})
 
     return docs.select("doc_id", "text").mapInPandas(run, "a long, g long, doc_id bigint, pack long")
 
 
-_CONTENTS = "a long, doc_id bigint, s int, n int, place int, content binary, big boolean, w long"
+_CONTENTS = "a long, salt int, split boolean, doc_id bigint, s int, n int, place int, content binary"
 
 
 def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Bytes of the wanted segments; of those of frequent anchors (``big``), one row for each string with its hash."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "pack", "big")).alias("x"))
+    """Bytes of the wanted segments."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "pack", "salt", "split")).alias("x"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh64_intdigest
         names = [x.split(" ")[0] for x in _CONTENTS.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text, x in zip(batch["doc_id"], batch["text"], batch["x"], strict=True):
                 data = _data(text)
-                _, first, _, place = segments(data)
-                where = dict(zip(first.tolist(), place.tolist(), strict=True))
                 for r in x:
-                    s, n = r["pack"] >> 7, r["pack"] & 127
-                    if r["big"]:
-                        rows += [(r["a"], doc_id, s + i, 1, 0, None, True, np.uint64(digest(data[s + i : s + i + LENGTH], 1)).astype(np.int64)) for i in range(n)]
-                    else:
-                        rows.append((r["a"], doc_id, s, n, where[s] - s, data[s : s + n + LENGTH - 1], False, 0))
+                    s, n = r["pack"] >> 14, r["pack"] >> 7 & 127
+                    rows.append((r["a"], r["salt"], r["split"], doc_id, s, n, r["pack"] & 127, data[s : s + n + LENGTH - 1]))
             yield pd.DataFrame(rows, columns=names)
 
     return docs.join(lists, "doc_id").select("doc_id", "text", "x").mapInPandas(run, _CONTENTS)
 
 
-_SPANS = "doc_id bigint, lo long, hi long"
+_SPANS = "doc_id bigint, lo long, hi long, a long, w long"
 
 
 def index_spans(parts: DataFrame) -> DataFrame:
-    """Spans that run-length indexes find, over partitions dealt and sorted by anchor."""
+    """What run-length indexes find, over partitions dealt by anchor and salt and sorted by occurrence: spans that go,
+    and of split anchors each string that is left, with its hash ``w``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def decided(rows: list) -> pd.DataFrame:
-            marks = repeated_strings([(r.a, bytes(r.content), r.n, r.place) for r in rows])
-            out = [(r.doc_id, lo, hi) for r, m in zip(rows, marks, strict=True) for lo, hi in spans_of(m, r.s)]
-            return pd.DataFrame(out, columns=["doc_id", "lo", "hi"])
+            marks = repeated_strings([((r.a, r.salt), r.content, r.n, r.place) for r in rows])
+            out = [(r.doc_id, lo, hi, 0, 0) for r, m in zip(rows, marks, strict=True) for lo, hi in spans_of(m, r.s)]
+            for r, m in zip(rows, marks, strict=True):
+                if r.split:
+                    for i in np.flatnonzero(~m).tolist():
+                        w = xxhash.xxh64_intdigest(r.content[i : i + LENGTH], 1)
+                        out.append((r.doc_id, r.s + i, r.s + i + LENGTH, r.a, w - (1 << 64) if w >> 63 else w))
+            frame = pd.DataFrame(out, columns=["doc_id", "lo", "hi", "a", "w"])
+            frame["split"] = frame["w"] != 0
+            return frame
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if size >= BATCH_BYTES and r.a != held[-1].a:
+                if size >= BATCH_BYTES and (r.a, r.salt) != (held[-1].a, held[-1].salt):
                     yield decided(held)
                     held, size = [], 0
                 held.append(r)
@@ -316,27 +326,31 @@ def index_spans(parts: DataFrame) -> DataFrame:
         if held:
             yield decided(held)
 
-    own = parts.where("not big").select("a", "doc_id", "s", "n", "place", "content")
-    return own.repartition("a").sortWithinPartitions("a", "doc_id", "s").mapInPandas(run, _SPANS)
+    return parts.repartition("a", "salt").sortWithinPartitions("a", "salt", "doc_id", "s").mapInPandas(run, _SPANS + ", split boolean")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): byte spans that go, of documents (doc_id, text) whose ids and texts are distinct."""
-    rows = written(segment_table(docs), "segments")
-    twice = rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    rows = written(rows.join(twice, "a", "left_semi"), "segments")
+    every = written(segment_table(docs), "segments")
+    # Written, so that the join below reads plain shuffles on both sides and a frequent anchor can be split.
+    twice = written(every.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
+    rows = written(every.join(twice, "a", "left_semi"), "segments")
+    discard(every)
     first = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "pack")).alias("f"))
     first = written(first.select("a", "g", "f.*"), "contents")
-    sizes = first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = first.join(sizes, "a").select("a", "doc_id", "pack", (F.col("c") > MOST_SEGMENTS).alias("big"))
-    parts = written(contents(wanted, docs), "contents")
+    sizes = written(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    salts = F.ceil(F.col("c") / MOST_SEGMENTS)
+    wanted = first.join(sizes, "a").select("a", "doc_id", "pack", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), (salts > 1).alias("split"))
+    parts = contents(wanted, docs)
     copies = rows.join(first.select("a", "g", F.struct("doc_id", "pack").alias("f")), ["a", "g"]).where(F.col("f") != F.struct("doc_id", "pack"))
-    s, n = F.shiftright("pack", 7), F.col("pack").bitwiseAND(F.lit(127))
+    s, n = F.shiftright("pack", 14), F.shiftright("pack", 7).bitwiseAND(F.lit(127))
     copied = copies.select("doc_id", s.alias("lo"), (s + n + (LENGTH - 1)).alias("hi"))
-    strings = parts.where("big").select("a", "w", "doc_id", F.col("s").cast("long").alias("s"))
-    earliest = strings.groupBy("a", "w").agg(F.min(F.struct("doc_id", "s")).alias("f"))
-    later = strings.join(earliest, ["a", "w"]).where(F.col("f") != F.struct("doc_id", "s")).select("doc_id", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
-    return copied.union(later).union(index_spans(parts))
+    found = written(index_spans(parts), "found")
+    left = found.where("split")
+    earliest = left.groupBy("a", "w").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
+    later = left.join(earliest, ["a", "w"]).where(F.col("f") != F.struct("doc_id", "lo"))
+    span = ["doc_id", "lo", "hi"]
+    return copied.union(later.select(*span)).union(found.where("not split").select(*span))
 
 
 _RESULT = "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
