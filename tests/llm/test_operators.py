@@ -288,6 +288,50 @@ def test_substring_dedup(docs):
     assert 2 not in left and left[11].text == dict(ROWS)[11] and PASSAGE.split()[3] not in left[12].text.split() and len(left[12].text) == left[12].n_chars and 5 in left
 
 
+@pytest.fixture(scope="module")
+def gap_spans(spark):
+    """Spans of documents that hold two passages of an earlier one, of n words each, with g unlike words between."""
+    cases = [(60, 20), (60, 60), (60, 100), (60, 150), (100, 150), (200, 200)]
+    rows = []
+    for i, (n, g) in enumerate(cases):
+        one, two = prose(500 + i, n), prose(600 + i, n)
+        for j in (0, 1):
+            rows.append((10 * i + j, " ".join([prose(700 + 10 * i + j, 30), one, prose(800 + 10 * i + j, g), two, prose(900 + 10 * i + j, 30)])))
+    found = {r.doc_id: r.spans for r in substring_dedup.merged_spans(substring_dedup.passages(frame(spark, rows))).collect()}
+    return {c: found.get(10 * i + 1) for i, c in enumerate(cases)}, found
+
+
+def test_passages_on_both_sides_of_a_gap(gap_spans):
+    spans, found = gap_spans
+    assert spans.pop((60, 20)) == [(30, 170)] and not any(d % 10 == 0 for d in found)
+    for (n, g), got in spans.items():
+        assert got == [(30, 30 + n), (30 + n + g, 30 + n + g + n)], (n, g)
+
+
+def test_common_words_and_parts():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice([b"u", b"v", b"w"]) for _ in range(r.randint(0, 12))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_lcs_row(row, x, b)]
+        mask = substring_dedup._common(a, b)
+        rest = iter(b)
+        assert sum(mask) == row[-1] and all(x in rest for x, m in zip(a, mask) if m)
+    exact = lambda n: b"\1" * n
+    cut = lambda m: sorted(substring_dedup.parts(bytearray(m), 0, len(m)))
+    assert cut(exact(60) + bytes(40) + exact(49)) == [(0, 60, 60)]
+    assert cut(bytes(9) + exact(50) + bytes(90) + (exact(4) + b"\0") * 12 + bytes(3)) == [(9, 59, 50), (149, 208, 48)]
+    assert cut(exact(49) + bytes(80) + exact(49)) == [] and cut((exact(3) + b"\0") * 40) == []
+
+
+def _lcs_row(old, x, b):
+    new = [0]
+    for j, y in enumerate(b, 1):
+        new.append(old[j - 1] + 1 if x == y else max(old[j], new[-1]))
+    return new[1:]
+
+
 def test_chains_run_forward():
     got = substring_dedup.chains_of([0, 10, 20, 30, 5], [100, 110, 121, 131, 500])
     assert got == [[(0, 100), (10, 110), (20, 121), (30, 131)]]
