@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import ceil, log10
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +86,27 @@ def contamination(docs, items, window=10):
     return out
 
 
+def near(docs, items, window=10, slack=20, share=0.8):
+    """[(doc_id, item, n_terms, place)]: per document row and item the most terms around a term's place, and its first place."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
+    out = []
+    for doc_id, t in docs:
+        words = split(t)
+        for name, u in items:
+            w, best = split(u), None
+            m = min(window, len(w))
+            for s in range(len(w) - m + 1 if m else 0):
+                terms = set(w[s : s + m])
+                for p, x in enumerate(words):
+                    if x in terms:
+                        got = len(terms & set(words[max(0, p - slack) : p + slack + 1]))
+                        if got >= ceil(share * len(terms)):
+                            best = max(best or (0, 0), (got, -p))
+            if best:
+                out.append((doc_id, name, best[0], -best[1]))
+    return out
+
+
 def unigram(rows):
     """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}."""
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2

@@ -162,6 +162,22 @@ def test_near_phrases(spark, docs):
     assert {r.doc_id for r in found.collect()} == {11, 12}
 
 
+@pytest.mark.parametrize("size", [1, 150, 400_000])
+def test_near_phrases_in_shards_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "SHARD_TOKENS", size)
+    r = random.Random(3)
+    common = [f"t{i}" for i in range(30)]
+    items = [(str(i), " ".join(r.choice(common) for _ in range(n))) for i, n in enumerate((14, 10, 4, 1))] + [("rare", "r0 r1 r2 r3 r4 r5 r6 r7 r8 r9")]
+    rows = [(i, " ".join(r.choice(common if r.random() < 0.7 else ["x", "y"]) for _ in range(r.randint(0, 80)))) for i in range(30)]
+    # Nine of ten terms; the tenth, the rarest, is in another document. Then seven, and eight spread over twice the slack.
+    rows += [(50, "r1 r2 r3 z r4 r5 r6 r7 r8 r9"), (51, "r0"), (52, "r1 r2 r3 r4 r5 r6 r7"), (53, " ".join(["r0", *"z" * 18, *[f"r{i}" for i in range(1, 7)], *"z" * 12, "r7 r8"])), (53, None), (None, "r9 r8 r7 r6 r5 r4 r3 r2")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    index = decontamination.build_index(frame(spark, rows).coalesce(1))
+    got = [tuple(x) for x in decontamination.near_phrases(index, bench).collect()]
+    want = brute.near(rows, items)
+    assert (50, "rare", 9, 0) in want and sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing_round_trip(docs, capacity):
     from tokenizers import Tokenizer

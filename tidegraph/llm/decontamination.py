@@ -159,31 +159,87 @@ class TestBlock:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def near(self, row, slack: int, share: float) -> Iterator[tuple[int, int, int, int]]:
-        """(ordinal, item, terms found, place): a window's rarest term with ``share`` of its other terms within ``slack``."""
+        """(ordinal, item, terms found, place): the best place of a window's term with ``share`` of its terms within ``slack``.
+
+        A match lacks at most ``n - need`` of the n terms, so it holds one of any ``n - need + 1``: the rarest ones are
+        looked up. Where ``2 * slack`` around them has enough terms, every place of a term within ``slack`` is counted.
+        """
         lo, df, places = self.postings(row)
         starts = np.concatenate([[0], np.cumsum(np.asarray(row.n_words, np.int64))])
+        span = int(starts[-1]) + 1
+        present = np.flatnonzero(df)
+        rank = np.zeros(len(df) + 1, np.int64)
+        rank[present] = np.arange(len(present))
+        base = np.zeros(len(df) + 1, np.int64)
+        base[present] = np.cumsum(df[present]) - df[present]
+        # All lists one after another, so that a lookup in any of them is one search.
+        keys = np.concatenate([np.zeros(0, np.int64), *(places[lo[c] : lo[c] + df[c]].astype(np.int64) + k * span for k, c in enumerate(present))])
+
+        def has(t: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            at = rank[t] * span
+            return (df[t] > 0) & (np.searchsorted(keys, at + left, "left") < np.searchsorted(keys, at + right, "left"))
+
+        def listed(t: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which of ``t`` each place belongs to, and the places: ``n`` of each list from ``first`` on."""
+            own = np.repeat(np.arange(len(t)), n)
+            at = keys[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            return own, at - rank[t[own]] * span
+
+        def around(at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+            doc = np.searchsorted(starts, at, "right")
+            return np.maximum(at - reach, starts[doc - 1]), np.minimum(at + reach + 1, starts[doc])
+
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for terms, item in self.windows.values():
-            for k in range(len(terms)):
-                own = sorted({int(t) for t in terms[k]}, key=lambda t: (df[t], t))
-                need = int(np.ceil(share * len(own)))
-                own = [t for t in own if df[t]]
-                if len(own) < need or not own:
+            m = terms.shape[1]
+            terms = np.sort(terms, axis=1)
+            new = np.concatenate([np.ones((len(terms), 1), bool), terms[:, 1:] != terms[:, :-1]], axis=1)
+            freq = np.where(new, df[terms], np.iinfo(np.int64).max)
+            order = np.argsort(freq, axis=1, kind="stable")
+            terms, freq = np.take_along_axis(terms, order, axis=1), np.take_along_axis(freq, order, axis=1)
+            n = new.sum(axis=1)
+            need = np.maximum(1, np.ceil(share * n).astype(np.int64))
+            alive = np.flatnonzero((new & (np.take_along_axis(freq, np.argsort(order, axis=1), axis=1) > 0)).sum(axis=1) >= need)
+            terms, freq, n, need, item = terms[alive], freq[alive], n[alive], need[alive], item[alive]
+            start = (np.arange(m) <= (n - need)[:, None]) & (freq > 0) & (np.arange(m) < n[:, None])
+            work = np.cumsum(np.where(start, freq, 0).sum(axis=1)) if len(terms) else np.zeros(0, np.int64)
+            for block in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(work // 1_000_000)) + 1):
+                w, j = np.nonzero(start[block])
+                w = block[w]
+                t = terms[w, j]
+                own, at = listed(t, base[t], df[t])
+                pairs = np.unique(w[own] * span + at)
+                w, at = pairs // span, pairs % span
+                left, right = around(at, 2 * slack)
+                got = np.zeros(len(at), np.int64)
+                for j in range(m):
+                    own = j < n[w]
+                    got[own] += has(terms[w[own], j], left[own], right[own])
+                    keep = got + np.maximum(n[w] - j - 1, 0) >= need[w]
+                    w, at, left, right, got = w[keep], at[keep], left[keep], right[keep], got[keep]
+                if not len(w):
                     continue
-                at = places[lo[own[0]] : lo[own[0]] + df[own[0]]].astype(np.int64)
-                doc = np.searchsorted(starts, at, "right")
-                left, right = np.maximum(at - slack, starts[doc - 1]), np.minimum(at + slack + 1, starts[doc])
-                got = np.ones(len(at), int)
-                for i, t in enumerate(own[1:], 1):
-                    keep = got + len(own) - i >= need
-                    at, doc, left, right, got = at[keep], doc[keep], left[keep], right[keep], got[keep]
-                    if not len(at):
-                        break
-                    lists = places[lo[t] : lo[t] + df[t]]
-                    got = got + (np.searchsorted(lists, left, "left") < np.searchsorted(lists, right, "left"))
-                for d, g, a in zip(doc[got >= need] - 1, got[got >= need], at[got >= need], strict=True):
-                    key = (int(d), int(item[k]))
-                    best[key] = max(best.get(key, (0, 0)), (int(g), -int(a - starts[d])))
+                left, right = around(at, slack)
+                found = [np.zeros(0, np.int64)]
+                for j in range(m):
+                    own = np.flatnonzero(j < n[w])
+                    own = own[df[terms[w[own], j]] > 0]
+                    t = terms[w[own], j]
+                    first = np.searchsorted(keys, rank[t] * span + left[own], "left")
+                    k, centre = listed(t, first, np.searchsorted(keys, rank[t] * span + right[own], "left") - first)
+                    found.append(np.unique(w[own[k]] * span + centre))
+                pairs = np.unique(np.concatenate(found))
+                w, at = pairs // span, pairs % span
+                left, right = around(at, slack)
+                got = np.zeros(len(at), np.int64)
+                for j in range(m):
+                    own = j < n[w]
+                    got[own] += has(terms[w[own], j], left[own], right[own])
+                keep = got >= need[w]
+                w, at, got = w[keep], at[keep], got[keep]
+                doc = np.searchsorted(starts, at, "right") - 1
+                for d, i, g, a in zip(doc.tolist(), item[w].tolist(), got.tolist(), (at - starts[doc]).tolist(), strict=True):
+                    best[d, i] = max(best.get((d, i), (0, 0)), (g, -a))
         for (d, i), (g, a) in sorted(best.items()):
             yield d, i, g, -a
 
