@@ -324,6 +324,17 @@ def test_passages_on_both_sides_of_a_gap(gap_spans):
         assert got == [(30, 30 + n), (30 + n + g, 30 + n + g + n)], (n, g)
 
 
+def test_passage_whose_parts_are_older(spark):
+    """Parts of a passage are first seen in documents of their own, then two documents hold all of it."""
+    cases, rows = [(40, 40), (45, 35), (30, 30), (10,) * 8, (40, 40, 40)], []
+    for i, lengths in enumerate(cases):
+        fragments = [prose(2000 + 20 * i + j, n) for j, n in enumerate(lengths)]
+        rows += [(100 * i + j, " ".join([prose(3000 + 20 * i + j, 30), x, prose(4000 + 20 * i + j, 30)])) for j, x in enumerate(fragments)]
+        rows += [(100 * i + 50 + j, " ".join([prose(5000 + 20 * i + j, 30), *fragments, prose(6000 + 20 * i + j, 30)])) for j in (0, 1)]
+    found = {r.doc_id: r.spans for r in substring_dedup.merged_spans(substring_dedup.passages(frame(spark, rows))).collect()}
+    assert found == {100 * i + 51: [(30, 30 + sum(x))] for i, x in enumerate(cases)}
+
+
 def test_common_words_and_parts():
     r = random.Random(4)
     for _ in range(300):
