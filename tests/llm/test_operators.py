@@ -335,6 +335,21 @@ def test_passage_whose_parts_are_older(spark):
     assert found == {100 * i + 51: [(30, 30 + sum(x))] for i, x in enumerate(cases)}
 
 
+def test_near_passages_are_found(spark):
+    """Passages of 60 words with 5 to 18 % of their words changed at random: nearly all are found."""
+    shares, each, rows = (0.05, 0.1, 0.15, 0.18), 25, []
+    for i in range(len(shares) * each):
+        r, passage = random.Random(i), prose(7000 + i, 60)
+        words = passage.split(" ")
+        for p in r.sample(range(1, 59), int(shares[i // each] * 60)):
+            words[p] = "changed"
+        rows += [(2 * i + j, " ".join([prose(8000 + 2 * i + j, 30), x, prose(9000 + 2 * i + j, 30)])) for j, x in enumerate((passage, " ".join(words)))]
+    found = {r.doc_id: r.spans for r in substring_dedup.merged_spans(substring_dedup.passages(frame(spark, rows))).collect()}
+    assert not any(d % 2 == 0 for d in found)
+    got = [sum(any(s.lo >= 27 and s.hi <= 93 for s in found.get(2 * i + 1, ())) for i in range(k * each, k * each + each)) for k in range(len(shares))]
+    assert all(n >= 0.9 * each for n in got), got
+
+
 def test_common_words_and_parts():
     r = random.Random(4)
     for _ in range(300):
