@@ -63,6 +63,19 @@ def test_suffix_dedup(docs, monkeypatch, most):
             assert r.n_removed == 0
 
 
+@pytest.mark.parametrize(("most", "chunk"), [(1024, 1 << 20), (8, 1 << 20), (1024, 1 << 9)])
+def test_suffix_dedup_of_a_phrase_in_many_contexts(spark, monkeypatch, most, chunk):
+    """Phrases of 30 to 140 bytes, each in hundreds of contexts of which some return; texts longer than a chunk."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+    r = random.Random(11)
+    phrases, around = [prose(40 + i, 60)[:n] for i, n in enumerate((30, 70, 95, 99, 140))], [prose(60 + i, 12)[:40] for i in range(40)]
+    rows = [(i, " ".join(r.choice(around)[r.randint(0, 30) :] + p + r.choice(around) for p in phrases for _ in range(2))) for i in range(260)]
+    want = brute.repeats(rows)
+    for x in suffix_dedup.dedup(frame(spark, rows)).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id], x.doc_id
+
+
 def test_run_length_index_against_sets():
     r = random.Random(5)
     batch = []

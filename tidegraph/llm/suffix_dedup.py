@@ -3,19 +3,22 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (smaller doc_id, or earlier in the same
 document). Strings that are equal have the same least k-gram, their anchor, at the same place, so neighbouring strings
 with one anchor form a segment, and only segments of one anchor can hold equal strings. Anchors seen once are done;
-the rest is decided in three steps:
+the rest is decided in these steps:
 
 * documents that are whole copies, and segments that are whole copies, are collapsed onto their first occurrence before
   anything is shuffled further; the other occurrences go;
-* the different segments of an anchor meet in one task, in batches of ``BATCH_BYTES`` cut between anchors. There a
-  run-compressed Burrows-Wheeler transform with positions sampled at run ends is built of earlier segments, and later
-  ones are streamed over it: backward steps keep a row and a place, a mismatch jumps to the nearer run end of the wanted
-  byte, and the places give matching statistics. Matches of ``LENGTH`` bytes are marked. Order is settled by halving:
-  on level l, segments whose rank in their anchor has bit l clear are indexed, those with the bit set are streamed, and
-  the anchor byte carries the higher bits, so that only earlier ones match;
-* an anchor with more than ``MOST_SEGMENTS`` different segments (a frequent phrase) is salted, so that each part is
-  decided like any other anchor. The strings that its parts leave are then grouped one by one, and all but the first
-  occurrence are marked.
+* an anchor with more than ``MOST_SEGMENTS`` different segments (a frequent phrase) is split by content: its strings are
+  dealt into cells by the place of the anchor in them, and the strings of a cell share the bytes around the anchor that
+  all of them hold, which are its new key. Equal strings meet again, and the parts are segments like any others, so whole
+  copies are collapsed, and a part that is still large is split into narrower cells. In a cell of one place all strings
+  are equal, so the last split leaves nothing large;
+* the different segments of an anchor meet in one task, in batches of ``BATCH_BYTES`` cut between anchors. They are cut
+  into cells once more, and what shares its cell with nothing else is done. Of the rest, a run-compressed
+  Burrows-Wheeler transform with positions sampled at run ends is built of earlier segments, and later ones are streamed
+  over it: backward steps keep a row and a place, a mismatch jumps to the nearer run end of the wanted byte, and the
+  places give matching statistics. Matches of ``LENGTH`` bytes are marked. Order is settled by halving: on level l,
+  segments whose rank in their cell has bit l clear are indexed, those with the bit set are streamed, and the anchor byte
+  carries the higher bits, so that only earlier ones match.
 
 Null text is empty. A null doc_id takes no part: nothing goes. Of rows that repeat an id with other text, the one whose
 text hash is least is judged and nothing goes from the others; equal rows give equal results. Extra columns are ignored.
@@ -32,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import discard, documents, mix, written
+from tidegraph.llm.common import discard, documents, mix, without_ids, written
 
 LENGTH = 100
 GRAM = 24
-MOST_SEGMENTS = 256
-BATCH_BYTES = 1 << 19
+MOST_SEGMENTS = 1024
+#: Places of an anchor that one cell takes in, from split to split.
+SPLITS = (20, 5, 1)
+CELL = 10
+BATCH_BYTES = 1 << 20
 _CHUNK = 1 << 20  # strings of one text that are looked at together
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -95,22 +101,40 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling on ranks."""
-        n, h = len(text), 4  # the first ranks are of four symbols of at most 15 bits each
-        key = np.concatenate([text, np.zeros(h, text.dtype)]).astype(np.int64)
-        key = (key[:n] << 45) | (key[1 : n + 1] << 30) | (key[2 : n + 2] << 15) | key[3 : n + 3]
+        """Suffix array by prefix doubling on ranks.
+
+        Suffixes are compared up to the next separator (symbols 0 and 1) and then by its place, so that no round looks
+        further than a segment is long; steps over a separator are never taken. A rank that is unique is not sorted again.
+        """
+        n, at = len(text), np.arange(len(text))
+        known = np.bincount(text) > 0
+        code = np.cumsum(known)[text]
+        bits = int(known.sum()).bit_length()
+        stops = np.flatnonzero(text <= 1)
+        stop = np.searchsorted(stops, at)
+        left = stops[stop] - at
+        h = 63 // bits
+        key, padded = code, np.concatenate([code, np.zeros(h, code.dtype)])
+        for j in range(1, h):
+            key = (key << bits) | np.where(j <= left, padded[j : j + n], 0)
         order = np.argsort(key)
         key, rank = key[order], np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        while rank.max() + 1 < n:
-            key = rank * (n + 1)
-            key[: n - h] += rank[h:] + 1
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+        live = order[~(new & np.append(new[1:], True))]
+        while len(live):
+            ahead = np.where(left[live] < h, stop[live], rank[np.minimum(live + h, n - 1)])
+            key = rank[live] * (n + 1) + ahead
             order = np.argsort(key)
-            key = key[order]
-            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            live, key = live[order], key[order]
+            old, i = key // (n + 1), at[: len(live)]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            same = np.concatenate([[True], old[1:] != old[:-1]])
+            rank[live] = old + np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(same, i, 0))
+            live = live[~(new & np.append(new[1:], True))]
             h *= 2
         out = np.empty(n, np.int64)
-        out[rank] = np.arange(n)
+        out[rank] = at
         return out
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -239,6 +263,42 @@ def repeated_strings(batch: list[tuple[object, bytes, int, int]]) -> list[np.nda
     return marks
 
 
+def cells(content: bytes, n: int, place: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """A segment's strings by ``width`` places of the anchor in them: cell, first string, end, and the bytes that all
+    strings of the cell hold around the anchor. Equal strings are in cells of equal number and bytes."""
+    last = LENGTH - GRAM
+    for j in range((place - n + 1) // width, place // width + 1):
+        near, far = j * width, min(last, j * width + width - 1)
+        yield j, place - min(place, far), place - max(place - n + 1, near) + 1, content[place - near : place + LENGTH - far]
+
+
+def decide(rows: list) -> list[np.ndarray]:
+    """For different segments (a, content, n, place), in order of anchor and occurrence: which strings an earlier segment
+    of the anchor holds."""
+    marks = [np.zeros(r.n, bool) for r in rows]
+    groups: dict[tuple, list[tuple[int, int, int]]] = {}
+    for k, r in enumerate(rows):
+        for j, lo, hi, shared in cells(r.content, r.n, r.place, CELL):
+            groups.setdefault((r.a, j, shared), []).append((k, lo, hi))
+    batch, at = [], []
+    for key, members in groups.items():
+        if len(members) < 2:
+            continue
+        own: dict[bytes, tuple[int, int, int]] = {}
+        for k, lo, hi in members:
+            content = rows[k].content[lo : hi + LENGTH - 1]
+            if content in own:
+                marks[k][lo:hi] = True
+            else:
+                own[content] = (k, lo, hi)
+        if len(own) > 1:
+            batch += [(key, content, hi - lo, rows[k].place - lo) for content, (k, lo, hi) in own.items()]
+            at += own.values()
+    for (k, lo, hi), found in zip(at, repeated_strings(batch), strict=True):
+        marks[k][lo:hi] |= found
+    return marks
+
+
 def spans_of(marks: np.ndarray, start: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """Byte spans that the marked strings from ``start`` on cover."""
     at = np.flatnonzero(marks)
@@ -273,52 +333,56 @@ def segment_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "a long, g long, doc_id bigint, pack long")
 
 
-_CONTENTS = "a long, salt int, split boolean, doc_id bigint, s int, n int, place int, content binary"
-
-
-def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Bytes of the wanted segments."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "pack", "salt", "split")).alias("x"))
+def _cut(wanted: DataFrame, docs: DataFrame, schema: str, rows_of) -> DataFrame:
+    """Rows that ``rows_of`` makes of each wanted segment (a, s, n, place) and its bytes."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("pack").alias("pack"))
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in _CONTENTS.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, text, x in zip(batch["doc_id"], batch["text"], batch["x"], strict=True):
+            for doc_id, text, anchors, packs in zip(batch["doc_id"], batch["text"], batch["a"], batch["pack"], strict=True):
                 data = _data(text)
-                for r in x:
-                    s, n = r["pack"] >> 14, r["pack"] >> 7 & 127
-                    rows.append((r["a"], r["salt"], r["split"], doc_id, s, n, r["pack"] & 127, data[s : s + n + LENGTH - 1]))
+                for a, pack in zip(anchors.tolist(), packs.tolist(), strict=True):
+                    s, n = pack >> 14, pack >> 7 & 127
+                    rows += rows_of(a, doc_id, s, n, pack & 127, data[s : s + n + LENGTH - 1])
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "x").mapInPandas(run, _CONTENTS)
+    return docs.join(lists, "doc_id").select("doc_id", "text", "a", "pack").mapInPandas(run, schema)
+
+
+def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The wanted segments with their bytes."""
+    return _cut(wanted, docs, "a long, doc_id bigint, s long, n int, place int, content binary", lambda *row: [row])
+
 
+def split_segments(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The wanted segments cut into cells of ``width``, as a segment table of its own."""
+
+    def rows_of(a: int, doc_id: int, s: int, n: int, place: int, content: bytes) -> list[tuple]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        out = []
+        for j, lo, hi, shared in cells(content, n, place, width):
+            key, own = xxhash.xxh64_intdigest(shared, j), xxhash.xxh64_intdigest(content[lo : hi + LENGTH - 1])
+            out.append((signed(key), signed(own), doc_id, (s + lo) << 14 | (hi - lo) << 7 | (place - lo)))
+        return out
 
-_SPANS = "doc_id bigint, lo long, hi long, a long, w long"
+    return _cut(wanted, docs, "a long, g long, doc_id bigint, pack long", rows_of)
 
 
 def index_spans(parts: DataFrame) -> DataFrame:
-    """What run-length indexes find, over partitions dealt by anchor and salt and sorted by occurrence: spans that go,
-    and of split anchors each string that is left, with its hash ``w``."""
+    """What run-length indexes find, over partitions dealt by anchor and sorted by occurrence: the spans that go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def decided(rows: list) -> pd.DataFrame:
-            marks = repeated_strings([((r.a, r.salt), r.content, r.n, r.place) for r in rows])
-            out = [(r.doc_id, lo, hi, 0, 0) for r, m in zip(rows, marks, strict=True) for lo, hi in spans_of(m, r.s)]
-            for r, m in zip(rows, marks, strict=True):
-                if r.split:
-                    for i in np.flatnonzero(~m).tolist():
-                        w = xxhash.xxh64_intdigest(r.content[i : i + LENGTH], 1)
-                        out.append((r.doc_id, r.s + i, r.s + i + LENGTH, r.a, w - (1 << 64) if w >> 63 else w))
-            frame = pd.DataFrame(out, columns=["doc_id", "lo", "hi", "a", "w"])
-            frame["split"] = frame["w"] != 0
-            return frame
+            found = [(r.doc_id, lo, hi) for r, m in zip(rows, decide(rows), strict=True) for lo, hi in spans_of(m, r.s)]
+            return pd.DataFrame(found, columns=["doc_id", "lo", "hi"])
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if size >= BATCH_BYTES and (r.a, r.salt) != (held[-1].a, held[-1].salt):
+                if size >= BATCH_BYTES and r.a != held[-1].a:
                     yield decided(held)
                     held, size = [], 0
                 held.append(r)
@@ -326,31 +390,30 @@ def index_spans(parts: DataFrame) -> DataFrame:
         if held:
             yield decided(held)
 
-    return parts.repartition("a", "salt").sortWithinPartitions("a", "salt", "doc_id", "s").mapInPandas(run, _SPANS + ", split boolean")
+    return parts.repartition("a").sortWithinPartitions("a", "doc_id", "s").mapInPandas(run, "doc_id bigint, lo long, hi long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): byte spans that go, of documents (doc_id, text) whose ids and texts are distinct."""
-    every = written(segment_table(docs), "segments")
-    # Written, so that the join below reads plain shuffles on both sides and a frequent anchor can be split.
-    twice = written(every.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
-    rows = written(every.join(twice, "a", "left_semi"), "segments")
-    discard(every)
-    first = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "pack")).alias("f"))
-    first = written(first.select("a", "g", "f.*"), "contents")
-    sizes = written(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    salts = F.ceil(F.col("c") / MOST_SEGMENTS)
-    wanted = first.join(sizes, "a").select("a", "doc_id", "pack", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), (salts > 1).alias("split"))
-    parts = contents(wanted, docs)
-    copies = rows.join(first.select("a", "g", F.struct("doc_id", "pack").alias("f")), ["a", "g"]).where(F.col("f") != F.struct("doc_id", "pack"))
+    every, spans = written(segment_table(docs), "segments"), None
     s, n = F.shiftright("pack", 14), F.shiftright("pack", 7).bitwiseAND(F.lit(127))
-    copied = copies.select("doc_id", s.alias("lo"), (s + n + (LENGTH - 1)).alias("hi"))
-    found = written(index_spans(parts), "found")
-    left = found.where("split")
-    earliest = left.groupBy("a", "w").agg(F.min(F.struct("doc_id", "lo")).alias("f"))
-    later = left.join(earliest, ["a", "w"]).where(F.col("f") != F.struct("doc_id", "lo"))
-    span = ["doc_id", "lo", "hi"]
-    return copied.union(later.select(*span)).union(found.where("not split").select(*span))
+    for width in (*SPLITS, None):
+        # Written, so that the join below reads plain shuffles on both sides and a frequent anchor can be split.
+        twice = written(every.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
+        rows = written(every.join(twice, "a", "left_semi"), "segments")
+        discard(every)
+        first = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "pack")).alias("f"))
+        first = written(first.select("a", "g", "f.*"), "contents")
+        sizes = written(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        copies = rows.join(first.select("a", "g", F.struct("doc_id", "pack").alias("f")), ["a", "g"]).where(F.col("f") != F.struct("doc_id", "pack"))
+        copied = copies.select("doc_id", s.alias("lo"), (s + n + (LENGTH - 1)).alias("hi"))
+        wanted = first.join(sizes.where(F.col("c") <= MOST_SEGMENTS), "a").select("a", "doc_id", "pack")
+        found = copied.union(written(index_spans(contents(wanted, docs)), "found"))
+        spans = found if spans is None else spans.union(found)
+        large = sizes.where(F.col("c") > MOST_SEGMENTS)
+        if width is None or not large.limit(1).count():
+            return spans
+        every = written(split_segments(first.join(large, "a").select("a", "doc_id", "pack"), docs, width), "segments")
 
 
 _RESULT = "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
@@ -360,20 +423,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` with what goes and the hash of what is left."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("h"), "text")
-    named = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("h").alias("h"))
+    named = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
+    named = written(named.select("doc_id", "h", "rows", F.lit(True).alias("named")), "named")
     firsts = written(named.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    own = keyed.join(firsts, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    spans = written(repeats(own), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))
-    judged = firsts.select("doc_id", "h", F.lit(True).alias("first")).join(spans, "doc_id", "left")
-    rows = keyed.join(named.select("doc_id", "h", F.lit(True).alias("named")), ["doc_id", "h"], "left").join(judged, ["doc_id", "h"], "left")
+    if named.where("rows > 1").limit(1).count():
+        key = ["doc_id", "h"]
+        own = keyed.join(firsts, key, "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    else:  # an id is a row, and its text need not be hashed again
+        key, keyed = ["doc_id"], docs
+        copies = written(named.select("doc_id").join(firsts.select("doc_id"), "doc_id", "left_anti"), "copies")
+        own = without_ids(docs.where(F.col("doc_id").isNotNull()), copies)
+    spans = written(repeats(own), "spans").groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    judged = named.join(firsts.select("doc_id", "h", F.lit(True).alias("first")), ["doc_id", "h"], "left").join(spans, "doc_id", "left")
+    rows = keyed.join(judged.select(*key, "named", "first", "lo", "hi"), key, "left")
+
+    names = ["doc_id", "text", "named", "first", "lo", "hi"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, named, first, x in zip(batch["doc_id"], batch["text"], batch["named"], batch["first"], batch["x"], strict=True):
+            for doc_id, text, named, first, los, his in zip(*(batch[x] for x in names), strict=True):
                 data, gone = _data(text), []
                 if first is True:
-                    for lo, hi in sorted((r["lo"], r["hi"]) for r in (x if x is not None else ())):
+                    for lo, hi in sorted(zip(los.tolist(), his.tolist(), strict=True)) if los is not None else ():
                         if gone and lo <= gone[-1]["hi"]:
                             gone[-1]["hi"] = max(gone[-1]["hi"], hi)
                         else:
@@ -390,7 +462,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return rows.select("doc_id", "text", "named", "first", "x").mapInPandas(run, _RESULT)
+    return rows.select(*names).mapInPandas(run, _RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
