@@ -8,7 +8,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last ke
 * benchmark decontamination: documents with an occurrence of a benchmark window go;
 * best-fit packing: what is left becomes pieces in sequences.
 
-Rows without doc_id pass the two stages that compare documents by id.
+Rows without doc_id pass the two stages that compare documents by id. Of rows that repeat an id, the second stage keeps the
+one whose text hash is least, and of equal texts the least row.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without_ids(kept, again).unionByName(once)
+    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(F.md5("text").alias("_h"), *docs.columns).alias("row"))
+    return without_ids(kept, again).unionByName(rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*").drop("_h"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
