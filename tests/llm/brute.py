@@ -72,7 +72,7 @@ def contamination(docs, items, window=10):
         w = split(t)
         m = min(window, len(w))
         for i in range(len(w) - m + 1 if m else 0):
-            wins.setdefault(tuple(w[i : i + m]), set()).add(str(name))
+            wins.setdefault(tuple(w[i : i + m]), set()).add(name if name is None else str(name))
     out = []
     for doc_id, t in docs:
         w, hit, names = split(t), set(), set()
@@ -82,7 +82,7 @@ def contamination(docs, items, window=10):
                 if own:
                     hit |= set(range(i, i + m))
                     names |= own
-        out.append((doc_id, len(w), len(hit), sorted(names)))
+        out.append((doc_id, len(w), len(hit), sorted(names, key=lambda x: (x is None, x or ""))))
     return out
 
 

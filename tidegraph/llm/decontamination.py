@@ -10,7 +10,8 @@ shuffles postings, and a frequent term or passage only lengthens lists inside it
 The test set is searched in blocks of at most ``BLOCK_BYTES`` of text, each collected and sent alone; a single block
 needs no shuffle at all, several are combined by document.
 
-Null text has no words. An item of fewer than ``window`` words is one window; an item without words none. Repeated
+Null text has no words. Items without item_id are one item: its windows hit and count, but it adds nothing to the joined
+names. An item of fewer than ``window`` words is one window; an item without words none. Repeated
 document rows stay separate rows. Extra columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from tidegraph.llm.common import documents, written
 
 WINDOW = 10
 SHARD_TOKENS = 400_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 #: A-Z become a-z; other ASCII but letters and digits separates words; bytes from 0x80 on are part of words.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -100,16 +101,15 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.code: dict[bytes, int] = {}
-        by_length: dict[int, list[tuple[list[int], int]]] = {}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         self.names = [name for name, _ in items]
         for k, (_, words) in enumerate(items):
-            coded = [self.code.setdefault(w, len(self.code)) for w in words]
-            m = min(window, len(coded))
-            for s in range(len(coded) - m + 1 if m else 0):
-                by_length.setdefault(m, []).append((coded[s : s + m], k))
-        self.windows = {m: (np.array([w for w, _ in x], np.int32), np.array([k for _, k in x], np.int32)) for m, x in by_length.items()}
+            coded = np.array([self.code.setdefault(w, len(self.code)) for w in words], np.int32)
+            if m := min(window, len(coded)):
+                by_length.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(coded, m), k))
+        self.windows = {m: (np.concatenate([w for w, _ in x]), np.repeat(np.array([k for _, k in x], np.int32), [len(w) for w, _ in x])) for m, x in by_length.items()}
 
     def postings(self, row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each test term's list in the shard's places."""
@@ -244,6 +244,10 @@ class TestBlock:
             yield d, i, g, -a
 
 
+def _null_last(name: str | None) -> tuple[bool, str]:
+    return name is None, name or ""
+
+
 def blocks_of(benchmark: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
     """The test items in blocks of about ``BLOCK_BYTES``; a block is collected only when its turn comes."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -251,7 +255,7 @@ def blocks_of(benchmark: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield sorted((r["item_id"], words_of(r["text"])) for r in rows)
+        yield sorted(((r["item_id"], words_of(r["text"])) for r in rows), key=lambda x: (_null_last(x[0]), x[1]))
 
 
 def search_block(index: DataFrame, block: TestBlock) -> DataFrame:
@@ -284,7 +288,7 @@ def search_block(index: DataFrame, block: TestBlock) -> DataFrame:
                         "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"),
                         "n_words": np.asarray(row.n_words, np.int64),
                         "spans": [spans.get(d, []) for d in range(n)],
-                        "items": [sorted(items.get(d, ())) for d in range(n)],
+                        "items": [sorted(items.get(d, ()), key=_null_last) for d in range(n)],
                     }
                 )
 
