@@ -5,9 +5,10 @@ encoded once per language, and the language that makes it smallest wins; ``score
 second best (0 to 1), and ``rejected`` marks margins under ``MIN_MARGIN``. Texts are encoded whole, in blocks, so that
 the dictionary and not the text's own past decides.
 
-Sample bound: for each language the ``SAMPLE_DOCS`` training documents that come first by a hash of doc_id, and
-``DICT_BYTES`` bytes of them; at most ``MAX_LANGS`` languages. So what is sent to executors is at most
-``MAX_LANGS * DICT_BYTES`` bytes. Prediction sees the text only.
+Sample bound: for each language the ``SAMPLE_DOCS`` training documents that come first by a hash of doc_id, each cut to
+``PIECES`` pieces spread evenly over its whole text where it is longer than its share of the dictionary. A dictionary has
+at most ``DICT_BYTES`` bytes, and all together at most ``ALL_BYTES``: with very many languages each gets less. Only beyond
+``MAX_LANGS`` lang values do the rarest have no dictionary. Prediction sees the text only.
 
 Null text, or text without a letter: ``und`` with score 0. Without any training rows every text is ``und``. Rows with
 a null lang train nothing; null doc_ids are never held out. Ties go to the language with more training rows, then to
@@ -19,16 +20,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import documents, held_out
 
 SAMPLE_DOCS = 96
 DICT_BYTES = 32 << 10
-MAX_LANGS = 256
+ALL_BYTES = 8 << 20
+MAX_LANGS = 4096
+PIECES = 4
 BLOCK = 2048
 MIN_MARGIN = 0.02
 _OTHER = re.compile(r"[\W\d_]+")
@@ -39,32 +43,50 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+def spread(text: str, size: int) -> str:
+    """The letters of a text, or ``PIECES`` pieces evenly spread over them if they are more than ``size``."""
+    data = letters(text)
+    if len(data) <= size:
+        return data
+    each = size // PIECES
+    return " ".join(data[i : i + each] for i in np.linspace(0, len(data) - each, PIECES).astype(int))
+
+
+def dict_bytes(langs: int) -> int:
+    return max(SAMPLE_DOCS, min(DICT_BYTES, ALL_BYTES // max(1, langs)))
+
+
 def sample_texts(train: DataFrame, n: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """At most ``n`` training texts per language, commonest language first, picked by a hash of doc_id over narrow columns."""
-    train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Letters of at most ``n`` training texts per language, commonest language first, picked by a hash of doc_id.
+
+    Ranks are taken over narrow columns; Spark keeps only the first ``n`` of a language in every task before it shuffles.
+    """
+    train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = train.groupBy("lang").count()
-    langs = [r[0] for r in counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = [r[0] for r in counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     if not langs:
         return {}
-    picks, order = None, F.xxhash64("doc_id")
-    for lang in langs:
-        one = train.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(order, "doc_id").limit(n)
-        picks = one if picks is None else picks.union(one)
-    ids = [r[0] for r in picks.select("doc_id").distinct().collect()]
-    share = 4 * DICT_BYTES // n
-    rows = train.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, share).alias("text")).orderBy(order, "doc_id").limit(n * len(langs)).collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.col("h"))
+    hashed = train.select("doc_id", "lang", F.xxhash64("text").alias("h"))
+    picks = hashed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    share = 2 * dict_bytes(len(langs)) // n
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["lang", "rank"]].assign(part=[spread(t, share) for t in batch["text"]])
+
+    own = train.withColumn("h", F.xxhash64("text")).join(F.broadcast(picks), ["doc_id", "lang", "h"])
+    rows = own.select("lang", "rank", "text").mapInPandas(cut, "lang string, rank int, part string").dropDuplicates(["lang", "rank"]).collect()
     found: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in rows:
-        found[r["lang"]].append(r["text"])
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        if r["lang"] in found:
+            found[r["lang"]].append(r["part"])
     return found
 
 
-def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Sampled texts end to end; zstandard finds matches nearest the end first, and all within ``size`` bytes."""
-    parts = [letters(t).encode() for t in texts]
-    return b" ".join(dict.fromkeys(p for p in parts if p))[:size]
+def dictionary(parts: list[str], size: int = DICT_BYTES) -> bytes:
+    """Sampled letters end to end; zstandard finds matches nearest the end first, and all within ``size`` bytes."""
+    return b" ".join(dict.fromkeys(p.encode() for p in parts if p))[:size]
 
 
 class Codes:
@@ -103,7 +125,8 @@ class Codes:
 
 
 def train_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    return {lang: d for lang, texts in sample_texts(docs).items() if (d := dictionary(texts))}
+    found = sample_texts(docs)
+    return {lang: d for lang, parts in found.items() if (d := dictionary(parts, dict_bytes(len(found))))}
 
 
 def predict(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
