@@ -129,6 +129,17 @@ def test_jaccard_signatures_meet():
             assert jaccard_join.at_most_shared(jaccard_join.parities(a), jaccard_join.parities(b), len(a), len(b)) >= both
 
 
+def test_jaccard_boundary_follows_the_lists(spark):
+    """Sets whose shingles are rare are best kept in lists; where all lists are long, pairs cost less."""
+    words = [f"w{i}" for i in range(9)]
+    texts = [" ".join(random.Random(i).choices(words, k=40)) for i in range(50)]
+    rare = frame(spark, [(i, prose(i + 10_000, 40)) for i in range(400)])
+    common = frame(spark, [(i, texts[i % 50]) for i in range(400)])
+    found = [jaccard_join.boundary(jaccard_join.costs(x, jaccard_join.frequencies(x))) for x in (rare, common)]
+    assert found[0] < 36 <= found[1]
+    assert jaccard_join.boundary([]) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 75), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -157,14 +168,15 @@ def test_rule_ablation(docs):
 
 
 def test_decontamination(spark, docs, monkeypatch):
-    items = [(1, " ".join(PASSAGE.split()[5:30])), (2, "three four FIVE"), ("3b", None), (4, "nothing here"), (5, "!!"), (10, " ".join(BASE.split()[:10])), (10, "w w w")]
-    bench = spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")
+    items = [(1, " ".join(PASSAGE.split()[5:30])), (2, "three four FIVE"), (None, "one two"), (None, "two three"), ("3b", None), (4, "nothing here"), (5, "!!"), (10, " ".join(BASE.split()[:10])), (10, "w w w")]
+    bench = spark.createDataFrame([(i if i is None else str(i), t) for i, t in items], "item_id string, text string")
     want = sorted(map(str, brute.contamination(REPEATED, items)))
     for size in (1 << 20, 60):  # one block, and several that are put together
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
         found = decontamination.decontaminate(docs, bench)
         assert sorted(str((r.doc_id, r.n_words, sum(s.hi - s.lo for s in r.spans), r["items"])) for r in found.collect()) == want
     out = {r.doc_id: r for r in decontamination.digests(found).collect()}
+    assert out[8].n_items == 1 and out[8].n_hit == 3 and out[8].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert out[5].items_sha256 == hashlib.sha256(b"").hexdigest() and not out[5].contaminated and out[1].contaminated
 
 
@@ -239,6 +251,33 @@ def test_lm_scoring(spark, docs):
     assert len(lm_scoring.score(docs.select("doc_id", lm_scoring.held_out("doc_id", 7).alias("held_out"), "text")).collect()) == len(REPEATED)
 
 
+def test_lm_score_is_a_softmax_and_beats_the_base(spark):
+    """``score`` summed token by token from plain softmax rows; more than the base on held-out text; the same on any partitioning."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", lm_scoring.held_out("doc_id", 7).alias("held_out"), "text")
+    one = {r.doc_id: r for r in lm_scoring.score(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm_scoring.score(docs.repartition(7)).collect()}
+    assert all(abs(r.score - many[d]) < 1e-4 * abs(r.score) for d, r in one.items())
+    train = docs.where("not held_out")
+    counts = lm_scoring.written(lm_scoring.word_counts(train), "counts")
+    lex = lm_scoring.lexicon(counts, train.count())
+    model = lm_scoring.train(lm_scoring.written(lm_scoring.encode(docs, lex), "coded"), lex)
+    count = {r.word: r.c for r in counts.collect()}
+    rank = {w: i + 2 for i, w in enumerate(lex.words[: lm_scoring.VOCAB])}
+    other = sum(c for w, c in count.items() if w not in rank)
+    kinds = sum(w not in rank for w in count)
+    for r in docs.orderBy("doc_id").limit(12).collect():
+        a, b, total = lm_scoring.END, lm_scoring.END, 0.0
+        for w in [*brute.low_words(r.text), None]:
+            i = lm_scoring.END if w is None else rank.get(w, lm_scoring.OTHER)
+            x = (model.R[a] * model.c1 + model.R[b] * model.c2) @ model.Q.T + model.b
+            total += (x[i] - np.log(np.exp(x.astype(float)).sum())) / np.log(10)
+            total += np.log10((count.get(w, 0) + 1) / (other + kinds + 1)) if i == lm_scoring.OTHER else 0
+            a, b = i, a
+        assert abs(total - one[r.doc_id].score) < 1e-3 * abs(total)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_log_bilinear_probabilities_sum_to_one():
     model = lm_scoring.LogBilinear.start(np.full(30, 1 / 30), seed=1)
     a1, a2, z = model.tables()
@@ -277,6 +316,31 @@ def test_language_id_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_id_against_plain_compression(spark, docs):
+    import zstandard
+
+    dicts = {"en": (prose(1, 60) + " the and of").encode(), "de": b"der die und das ist nicht", "x": b"abc " * 20}
+    codes = language_id.Codes(dicts)
+    for r in language_id.predict(docs, dicts).where("doc_id < 14").collect():
+        if r.lang_pred != "und":
+            data, sizes = language_id.letters(r.text).encode(), {}
+            for lang, d in dicts.items():
+                plain = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                c = zstandard.ZstdCompressor(dict_data=plain, compression_params=zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False))
+                sizes[lang] = sum(len(c.compress(data[i : i + language_id.BLOCK])) for i in range(0, len(data), language_id.BLOCK))
+            assert list(sizes.values()) == codes.sizes(r.text) and sizes[r.lang_pred] == min(sizes.values())
+
+
+def test_language_id_samples_whole_texts(spark, monkeypatch):
+    """Pieces reach the end of a long text; any number of languages, and ids that repeat."""
+    long = "start " + "middle " * 3000 + "finish"
+    rows = [(1, long, "aa"), (1, "other words", "aa"), (1, "other words", "aa"), (2, None, "aa"), (3, "x y", None)] + [(10 + i, f"w{i}", f"l{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.sample_texts(df)
+    assert len(found) == 301 and sorted(found["aa"], key=len)[0] == "other words" and any(p.startswith("start") and p.endswith("finish") for p in found["aa"])
+    assert len(language_id.train_dictionaries(df)) == 301 and len(language_id.spread(long, 400)) <= 403
+
+
 def test_language_id_cases(spark, docs, empty):
     out = language_id.predict(docs, {"en": b"the and of", "de": b"der die und"}).collect()
     assert len(out) == len(REPEATED)

@@ -3,8 +3,10 @@
 Counts of every training word come from one grouped aggregate over the whole training part. The neural vocabulary is
 the ``VOCAB`` commonest words with an end id and one id for all other words; an other word's probability is that id's
 times its smoothed share of the other words' counts, with one share for words never seen, so token probabilities sum to
-one. The context is two tokens: predicted vector = c1 * R[w-1] + c2 * R[w-2], score = predicted . Q[w] + b[w]. Every
-task trains on the training tokens it holds, from the same start; parameters are averaged by tokens, in Spark. Scores of
+one. The context is two tokens: predicted vector = c1 * R[w-1] + c2 * R[w-2], score = predicted . Q[w] + b[w]. Training
+documents are dealt by a hash of their ids and texts into shards of about ``SHARD_TOKENS`` tokens. In each of ``PASSES``
+passes every shard is trained on whole, in a fixed order, from the same start; parameters are averaged by tokens, in
+Spark. So neither files nor partitions change the model. Scores of
 all context pairs then come from matrix products: with E1 = exp(c1*R Q' + b) and E2 = exp(c2*R Q'), the normaliser of a
 pair is (E1 E2')[w-1, w-2], so each token log-probability is exact and takes a few look-ups.
 
@@ -35,6 +37,8 @@ DIM = 24
 NOISE = 48
 BATCH = 8192
 RATE = 0.05
+PASSES = 2
+SHARD_TOKENS = 5_000_000
 OTHER, END = 0, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -202,32 +206,53 @@ def joined(ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
 
 
-def train(coded: DataFrame, lex: Lexicon, rounds: int = 1) -> LogBilinear:
-    """Each round, every task trains on all training tokens it reads; parameters are averaged by tokens."""
+def train(coded: DataFrame, lex: Lexicon, passes: int = PASSES) -> LogBilinear:
+    """Each pass, every shard trains on all its tokens, from the average of the pass before."""
     unigram = lex.unigram()
     model = LogBilinear.start(unigram)
     if not lex.n_docs:
         return model
-    for k in range(rounds):
+    shards = -(-lex.tokens // SHARD_TOKENS)
+    dealt = coded.where(~F.col("held_out")).select("ids", F.xxhash64("doc_id", "ids").alias("h"))
+    dealt = dealt.select("ids", "h", F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard")).repartition("shard").sortWithinPartitions("shard", "h", "ids")
+    for k in range(passes):
         sent = coded.sparkSession.sparkContext.broadcast((model.flat(), unigram))
 
         def run(batches: Iterator[pd.DataFrame], k=k, sent=sent) -> Iterator[pd.DataFrame]:
             flat, unigram = sent.value
-            t, seen = Trainer(LogBilinear.of(flat.copy(), len(unigram)), unigram, 1000 * k + TaskContext.get().partitionId()), 0
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids, starts = joined(batch["ids"])
+
+            def result() -> pd.DataFrame:
+                return pd.DataFrame({"n": [seen], "p": [t.m.flat().astype(float)]})
+
+            t, seen, shard, held = None, 0, None, []
+
+            def learn() -> int:
+                """Trains on what is held: batches are cut by documents, the same on any partitioning."""
+                ids, starts = joined(pd.Series(held))
                 one, two = contexts(ids, starts)
                 order = t.rng.permutation(len(ids))
                 for i in range(0, len(ids), BATCH):
                     own = order[i : i + BATCH]
                     t.step(ids[own], one[own], two[own])
-                seen += len(ids)
-            if seen:
-                yield pd.DataFrame({"n": [seen], "p": [t.m.flat().astype(float)]})
+                return len(ids)
 
-        each = coded.where(~F.col("held_out")).select("ids").mapInPandas(run, "n long, p array<double>")
+            for batch in batches:
+                for ids, own in zip(batch["ids"], batch["shard"], strict=True):
+                    if own != shard:
+                        if shard is not None:
+                            seen += learn() if held else 0
+                            yield result()
+                        t, seen, shard, held, size = Trainer(LogBilinear.of(flat.copy(), len(unigram)), unigram, 1_000_003 * k + int(own)), 0, own, [], 0
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= 1 << 21:  # about a million tokens
+                        seen += learn()
+                        held, size = [], 0
+            if shard is not None:
+                seen += learn() if held else 0
+                yield result()
+
+        each = dealt.select("ids", "shard").mapInPandas(run, "n long, p array<double>")
         means = each.select("n", F.posexplode("p").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
         rows = means.collect()  # one row for each parameter
         flat = np.zeros(len(rows))
