@@ -412,6 +412,27 @@ def test_passage_whose_parts_are_older(spark):
     assert found == {100 * i + 51: [(30, 30 + sum(x))] for i, x in enumerate(cases)}
 
 
+def test_exact_passages_against_all_windows(spark):
+    """Fragments of 20 to 70 words, in all kinds of order: every word in a window of 50 that an earlier document holds goes."""
+    r = random.Random(21)
+    pool = [prose(12_000 + i, r.randint(20, 70)) for i in range(14)]
+    rows = [(i, " ".join(r.choice(pool) if r.random() < 0.7 else prose(13_000 + 40 * i + j, 15) for j in range(r.randint(1, 8)))) for i in range(70)]
+    rows += [(0, prose(1, 5)), (None, pool[0]), (200, None), (200, pool[0])]
+    found = {x.doc_id: x.spans for x in substring_dedup.merged_spans(substring_dedup.passages(frame(spark, rows[:70]))).collect()}
+    seen, n = set(), 0
+    for d, text in rows[:70]:
+        w = text.lower().split()
+        windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        covered = {i for s in found.get(d, ()) for i in range(s.lo, s.hi)}
+        for i, x in enumerate(windows):
+            assert x not in seen or covered.issuperset(range(i, i + 50)), (d, i)
+            n += x in seen
+        seen.update(windows)
+    assert n > 500
+    left = substring_dedup.remove(frame(spark, rows), substring_dedup.merged_spans(substring_dedup.passages(frame(spark, rows)))).collect()
+    assert {x.doc_id for x in left} >= {0, None, 200}
+
+
 def test_near_passages_are_found(spark):
     """Passages of 60 words with 5 to 18 % of their words changed at random: nearly all are found."""
     shares, each, rows = (0.05, 0.1, 0.15, 0.18), 25, []
