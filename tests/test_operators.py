@@ -239,3 +239,28 @@ def test_replay_pools_counts(spark):
 def test_baselines_learn(spark):
     df = spark.range(600).select(F.col("id").alias("row_id"), F.lit(1).alias("dst_port"), (F.col("id") % 2).cast("int").alias("proto"), (F.col("id") % 2 * 100 + F.col("id") % 7).cast("double").alias("in_bytes"), (F.col("id") % 2).cast("int").alias("label"), F.lit("f").alias("family"))
     assert models.saturation(df, models.FLOW)["saturated"]
+
+
+def test_baselines_rank_what_can_be_learned(spark):
+    """A label that follows a feature is ranked near perfectly and shows as saturated; a label by chance is neither."""
+    from tidegraph.operators import evaluate, models
+
+    easy = F.when(F.col("in_bytes") > 5000, 1).otherwise(0)
+    hard = (F.xxhash64("row_id", F.lit("coin")) % 2 != 0).cast("int")
+    flows = spark.range(3000).select(F.col("id").alias("row_id"), (F.pmod(F.xxhash64("id"), F.lit(10_000))).alias("in_bytes"), (F.col("id") % 700).alias("dst_port"), F.lit(6).alias("proto"), F.lit("x").alias("family"))
+    for label, low, high in ((easy, 0.99, 1.0), (hard, 0.35, 0.75)):
+        df = flows.withColumn("label", label).cache()
+        for kind in ("logreg", "forest", "gbt"):
+            out = models.scored(models.fit(df.where("row_id < 2000"), kind, models.FLOW), df.where("row_id >= 2000"), models.FLOW)
+            assert low <= evaluate.average_precision(evaluate.curve(out)).first()["pr_auc"] <= high + 1e-9, kind
+        found = models.saturation(df, models.FLOW)
+        assert found["saturated"] == (low > 0.9) and low <= found["best_pr_auc"] <= high + 1e-9
+
+
+def test_clauses_end_at_contrasts_not_at_commas(spark):
+    from tidegraph.functions import text
+
+    rows = [("raised by bytes, lowered flags, and ports",), ("bytes raised; ports lowered",), ("bytes raised, in contrast ports were lowered",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(text.direction_mismatches(F.col("t"), {"ports": "raised"}, ("raised",), ("lowered",))).collect()]
+    assert got == [[], ["ports"], ["ports"]]

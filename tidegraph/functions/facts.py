@@ -13,7 +13,8 @@ PROTOCOLS = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 47: "GRE", 58: "ICMPv6"}
 TCP_FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
 APP_PROTOCOLS = {1: "FTP (control)", 5: "DNS", 7: "HTTP", 91: "TLS", 92: "SSH"}
 DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 255: "ANY"}
-SERVICES = {20: "FTP data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 123: "NTP", 143: "IMAP", 161: "SNMP", 389: "LDAP", 443: "HTTPS", 445: "SMB", 3306: "MySQL", 3389: "Remote Desktop", 5432: "PostgreSQL", 8080: "HTTP (alternate)", 8443: "HTTPS (alternate)"}
+FTP_CODES = {220: "service ready", 221: "closing connection", 226: "transfer complete", 230: "login successful", 331: "user name accepted, password required", 421: "service not available", 425: "cannot open data connection", 500: "command not recognised", 530: "not logged in", 550: "file unavailable"}
+SERVICES = {20: "FTP data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 67: "DHCP", 68: "DHCP", 69: "TFTP", 80: "HTTP", 110: "POP3", 123: "NTP", 135: "Microsoft RPC", 137: "NetBIOS", 138: "NetBIOS", 139: "NetBIOS/SMB", 143: "IMAP", 161: "SNMP", 389: "LDAP", 443: "HTTPS", 445: "SMB", 502: "Modbus", 1433: "Microsoft SQL Server", 1883: "MQTT", 3306: "MySQL", 3389: "Remote Desktop", 5432: "PostgreSQL", 5900: "VNC", 8080: "HTTP (alternate)", 8443: "HTTPS (alternate)", 8883: "MQTT over TLS"}
 
 
 def _named(codes: dict[int, str], code: Column) -> Column:
@@ -83,6 +84,12 @@ def dns_type(code: Column) -> Column:
     return F.coalesce(_named(DNS_TYPES, code), F.concat(F.lit("type "), code.cast("int").cast("string")))
 
 
+def ftp_code(code: Column) -> Column:
+    """A return code with its meaning, or as a number."""
+    name = _named(FTP_CODES, code)
+    return F.when(name.isNotNull(), F.concat(code.cast("int").cast("string"), F.lit(" ("), name, F.lit(")"))).otherwise(num(code))
+
+
 def num(value: Column) -> Column:
     """Whole numbers with separators, others to five decimals without trailing zeros; NULL is 'not recorded'."""
     v = value.cast("double")

@@ -16,7 +16,7 @@ HEDGES = ("uncertain", "unclear", "may ", "might", "possibly", "could be", "not
 BORDERLINE_WORDS = ("borderline", "narrow", "just above", "only just", "barely", "marginal", "close to the threshold", "near the threshold", "slightly above", "uncertain", "low confidence", "not certain", "unclear", "may be", "might be", "possibly", "could be")
 JARGON = ("neural network", "gnn", "graph neural", "embedding", "model was trained", "machine learning model", "logit", "softmax", "activation", "training data", "the algorithm")
 LEAK = r"(?i)<think>|</think>|\bthe user (wants|asks|is asking)\b|\bwe need to (write|produce|output|draft) (an?|the) (incident )?(note|report)\b|\blet me (think|draft|write the)\b|\bmust not calculate\b"
-CONTRASTS = r"(?i)\b(?:but|while|whereas|however|although|though)\b|[;,]"
+CONTRASTS = r"(?i);|\b(?:while|whereas|but|however|in contrast|on the other hand|conversely)\b"
 FREE_NUMBERS = tuple(str(i) for i in range(11))
 
 

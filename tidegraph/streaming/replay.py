@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def replayed(spark: SparkSession, path: str, size: int, threshold: float, checkpoint: str) -> DataFrame:
+def replayed(spark: SparkSession, path: str, size: int, hit: Column, attack: Column, folder: str) -> DataFrame:
     """Windows of an event stream (file source, all that is there, then stop) with alerts, hits and attacks.
 
-    Totals come from this table by ``evaluate.replay_totals``; ratios are never averaged.
+    ``hit`` and ``attack`` say of an event whether it scores as an alert and is one. Windows are written by the stream to
+    ``folder``, beside its checkpoint, and read from there. Totals come from this table by ``evaluate.replay_totals``;
+    ratios are never averaged.
     """
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") and _is_file(spark, path) else path)
-    hit, attack = F.col("value") / 500.0 >= threshold, F.col("event_type") != "view"
+    source, _, name = path.rstrip("/").rpartition("/")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(source if name.endswith(".parquet") and _is_file(spark, path) else path)
     windows = events.groupBy(F.floor(F.col("event_id") / size).alias("window_id")).agg(
         F.count("*").alias("flows"), F.sum(hit.cast("long")).alias("alerts"), F.sum((hit & attack).cast("long")).alias("tp"), F.sum((hit & ~attack).cast("long")).alias("fp"), F.sum(attack.cast("long")).alias("attacks")
     )
-    table = f"replay_{uuid.uuid4().hex}"
-    query = windows.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows")
+
+    query = windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)  # one row a window
+    return spark.read.schema(windows.schema).parquet(f"{folder}/windows")
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
