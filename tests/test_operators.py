@@ -167,7 +167,7 @@ def test_roles():
 def test_family_blocks_cover_rare_families(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") == 777, "rare").otherwise("common").alias("family"))
     kept, chosen = split.family_blocks(df, 100, 300)
-    assert 7 in chosen and kept.where("family = 'rare'").count() == 1 and kept.count() <= 300
+    assert 7 in {r.block_id for r in chosen.collect()} and kept.where("family = 'rare'").count() == 1 and kept.count() <= 300
 
 
 def test_number_text(spark):
@@ -264,3 +264,59 @@ def test_clauses_end_at_contrasts_not_at_commas(spark):
     df = spark.createDataFrame(rows, "t string")
     got = [r[0] for r in df.select(text.direction_mismatches(F.col("t"), {"ports": "raised"}, ("raised",), ("lowered",))).collect()]
     assert got == [[], ["ports"], ["ports"]]
+
+
+def test_percentiles_are_exact(spark):
+    rows = [("a", float(v * 37 % 101)) for v in range(300)] + [("b", 5.0), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"low": 0.0, "some": 0.37, "mid": 0.5, "top": 1.0}
+    want = {r.g: r[1:] for r in df.where("v IS NOT NULL").groupBy("g").agg(*[F.percentile("v", F.lit(q)) for q in qs.values()]).collect()}
+    got = {r.g: tuple(r[k] for k in qs) for r in rank.percentiles(df, "v", qs, "g").collect()}
+    assert got == {k: tuple(v) for k, v in want.items()} and set(got) == {"a", "b"}
+    assert rank.percentiles(df.where("g = 'c'"), "v", qs, "g").count() == 0
+    assert rank.percentiles(df, "v", {"top": 1.0}).first().top == 100.0
+
+
+def test_rank_auc_of_ties_in_buckets(spark):
+    df = spark.range(2000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"), F.col("label").cast("double").alias("y"))
+    got = {r.feature: r.auc for r in quality.rank_auc(df, ["x", "y"]).collect()}
+    rows = [(r.label, r.x) for r in df.collect()]
+    wins = [(a > b) + (a == b) / 2 for y, a in rows[:400] if y for z, b in rows[:400] if not z]
+    assert got["y"] == 1.0 and abs(got["x"] - sum(wins) / len(wins)) < 0.02
+
+
+def test_durations_and_directions(spark):
+    wrap = 2**32 / 1000
+    df = spark.createDataFrame([(100.0, 102.0, 50.0), (wrap - 50.0, 50.0, wrap), (wrap - 100.0, 0.0, 0.0), (100.0, None, 101.0)], "duration double, duration_in double, duration_out double")
+    got = [r[0] for r in df.select(quality.failed_rules(df.columns)).collect()]
+    assert got == [["in_longer_than_flow"], ["duration_wrapped"], ["duration_wrapped"], []]
+    packets = spark.createDataFrame([(5.0, 5.0, 10.0, 7.0, 70000.0), (5.0, 5.0, 5.0, 5.0, 1.0)], "in_pkts double, out_pkts double, bucket_pkts double, retrans_out_pkts double, tcp_win_max_out double")
+    assert [r[0] for r in packets.select(quality.failed_rules(packets.columns)).collect()] == [["out_retransmit_pkts_above_total", "out_window_too_large"], ["size_buckets_miss_packets"]]
+
+
+def test_balanced_order_keeps_null_labels(spark):
+    df = spark.createDataFrame([(1, 1), (2, None), (3, 1), (4, 0)], "k long, label int")
+    assert {r.k: r.position for r in study.balanced_order(df, "label", "k").collect()} == {1: 0.25, 2: 0.5, 3: 0.75, 4: 0.5}
+
+
+def test_families_named_longest_first(spark):
+    aliases = {"dos": ("dos", "denial of service"), "ddos": ("distributed denial of service",)}
+    named = lambda t: col(spark, text.families_named(F.col("t"), aliases), t)
+    assert named("A distributed denial of service.") == ["ddos"] and named("DoS, then distributed denial of service") == ["ddos", "dos"]
+    assert named("dossier") == [] and named(None) == []
+
+
+def test_citations(spark):
+    of = lambda t, shown: col(spark, text.citations(F.col("t"), F.array(*[F.lit(x) for x in shown]).cast("array<string>"), ["IN_BYTES", "L4_DST_PORT"]), t)
+    r = of("Many incoming bytes. The port of the source.", ["IN_BYTES", "L4_DST_PORT"])
+    assert (r.cited, r.missed, r.coverage, r.cites_none) == (["IN_BYTES"], ["L4_DST_PORT"], 0.5, False)
+    assert of("Nothing.", ["IN_BYTES"]).cites_none and of("Nothing.", []) is None
+
+
+def test_metrics_file_is_one_row(spark, tmp_path):
+    from tidegraph.sources import sinks
+
+    sinks.write_metrics(spark.createDataFrame([(1, None)], "a int, b int"), f"{tmp_path}/m")
+    assert "".join(p.read_text() for p in (tmp_path / "m").glob("part-*")) == '{"a":1,"b":null}\n'
+    with pytest.raises(ValueError):
+        sinks.write_metrics(spark.range(2), f"{tmp_path}/n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,40 @@ CONTRASTS = r"(?i);|\b(?:while|whereas|but|however|in contrast|on the other hand
 FREE_NUMBERS = tuple(str(i) for i in range(11))
 
 
+# How the parts of a column name may appear in prose; parts without words are passed over.
+TOKEN_WORDS: dict[str, tuple[str, ...]] = {
+    "l4": (), "num": (), "to": (), "up": (), "ipv4": (),
+    "src": ("source", "src", "originating"),
+    "dst": ("destination", "dst", "dest"),
+    "in": ("in", "inbound", "incoming", "received"),
+    "out": ("out", "outbound", "outgoing", "sent"),
+    "pkts": ("packets", "packet", "pkts"),
+    "pkt": ("packets", "packet", "pkt"),
+    "proto": ("protocol", "proto"),
+    "protocol": ("protocol", "proto"),
+    "l7": ("application", "l7", "layer"),
+    "avg": ("average", "avg", "mean"),
+    "max": ("max", "maximum", "largest"),
+    "min": ("min", "minimum", "smallest"),
+    "win": ("window", "win"),
+    "len": ("length", "len", "size"),
+    "ret": ("return", "ret", "response"),
+    "flags": ("flags", "flag"),
+    "bytes": ("bytes", "byte"),
+    "second": ("second", "sec"),
+    "milliseconds": ("milliseconds", "ms", "millisecond", "duration"),
+}
+
+# Words that say which way a reason moved the score.
+UP = ("raised", "raise", "increased", "increase", "pushed up", "pushed the score up", "contributed", "contributing", "drove", "driving", "supported", "supports", "supporting", "indicative of", "added to", "elevated", "boosted")
+DOWN = ("lowered", "lower the", "lowering", "reduced", "reducing", "decreased", "decreasing", "pushed down", "pushed the score down", "counted against", "weighed against", "worked against", "argued against", "mitigat", "offset")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def found(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
@@ -45,19 +80,21 @@ def entities(text: Column) -> Column:
 
 def evidence_entities(text: Column) -> Column:
     """What evidence supplies: its entities, those with underscores read as spaces, and numbers rounded to 0 to 3 places."""
-    a, b = entities(text), entities(F.regexp_replace(text, "_", " "))
-    numbers_ = F.array_union(a["numbers"], b["numbers"])
-    rounded = F.flatten(F.transform(numbers_, lambda n: F.transform(F.array(*[F.lit(p) for p in range(4)]), lambda p: normal_number(_rounded(n, p)))))
-    return F.struct(F.array_union(a["ips"], b["ips"]).alias("ips"), F.array_union(a["mitre"], b["mitre"]).alias("mitre"), F.array_union(numbers_, rounded).alias("numbers"))
+    rounded = lambda n: let(n.cast("decimal(30,9)"), lambda x: F.array(*[normal_number(F.bround(x, p).cast("string")) for p in range(4)]))
 
+    def both(a: Column, b: Column) -> Column:
+        every = let(F.array_union(a["numbers"], b["numbers"]), lambda n: F.array_union(n, F.flatten(F.transform(n, rounded))))
+        return F.struct(F.array_union(a["ips"], b["ips"]).alias("ips"), F.array_union(a["mitre"], b["mitre"]).alias("mitre"), every.alias("numbers"))
 
-def _rounded(n: Column, places: Column) -> Column:
-    x = n.cast("decimal(30,9)")
-    return F.when(places == 0, F.bround(x, 0).cast("string")).when(places == 1, F.bround(x, 1).cast("string")).when(places == 2, F.bround(x, 2).cast("string")).otherwise(F.bround(x, 3).cast("string"))
+    return let(entities(text), lambda a: let(entities(F.regexp_replace(text, "_", " ")), lambda b: both(a, b)))
 
 
 def groundedness(claimed: Column, supplied: Column) -> Column:
     """Share of claimed entities that evidence supplies, overall and by kind; NULL where nothing is claimed."""
+    return let(F.struct(claimed.alias("claimed"), supplied.alias("supplied")), lambda x: _groundedness(x["claimed"], x["supplied"]))
+
+
+def _groundedness(claimed: Column, supplied: Column) -> Column:
     kinds = ("ips", "mitre", "numbers")
     missing = {k: F.array_except(claimed[k], supplied[k]) for k in kinds}
     n = sum((F.size(claimed[k]) for k in kinds), F.lit(0))
@@ -88,18 +125,16 @@ def leaked(text: Column) -> Column:
 
 def families_named(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
     """Families a report names: aliases from long to short, each blanked out once matched, so that nested ones don't count."""
-    rest, hits = F.lower(text), {}
-    for alias, family in sorted(((a, f) for f, names in aliases.items() for a in names), key=lambda x: (-len(x[0]), x)):
-        pattern = rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])"
-        hits.setdefault(family, []).append(rest.rlike(pattern))
-        rest = F.regexp_replace(rest, pattern, " " * len(alias))
-    named = []
-    for family in sorted(hits):
-        any_hit = hits[family][0]
-        for h in hits[family][1:]:
-            any_hit = any_hit | h
-        named.append(F.when(any_hit, F.lit(family)))
-    return F.array_compact(F.array(*named))
+    pairs = sorted(((a, f) for f, names in aliases.items() for a in names), key=lambda x: (-len(x[0]), x))
+    entries = [F.struct(F.lit(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])").alias("pattern"), F.lit(" " * len(a)).alias("blank"), F.lit(f).alias("family")) for a, f in pairs]
+    start = F.struct(F.lower(text).alias("rest"), F.array().cast("array<string>").alias("named"))
+
+    def blanked(state: Column, x: Column) -> Column:
+        rest = F.regexp_replace(state["rest"], x["pattern"], x["blank"])
+        hit = lambda r: F.when(r != state["rest"], F.array(x["family"])).otherwise(F.array().cast("array<string>"))
+        return let(rest, lambda r: F.struct(r.alias("rest"), F.concat(state["named"], hit(r)).alias("named")))
+
+    return F.array_sort(F.array_distinct(F.aggregate(F.array(*entries), start, blanked, lambda s: s["named"])))
 
 
 def classification_fidelity(named: Column, predicted: Column, distribution: Column, plausible: float = 0.05) -> Column:
@@ -109,10 +144,10 @@ def classification_fidelity(named: Column, predicted: Column, distribution: Colu
 
 
 def cites_feature(text: Column, column: str, options: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Whether a report uses a column's name, or words for all its parts within one sentence."""
+    """Whether a report uses a column's name, or words for all its parts (``TOKEN_WORDS``) within one sentence."""
     low = F.lower(text)
     whole = F.contains(low, F.lit(column.lower())) | F.contains(low, F.lit(column.lower().replace("_", " ")))
-    need = [(options or {}).get(part, (part,)) for part in column.lower().split("_")]
+    need = [(TOKEN_WORDS if options is None else options).get(part, (part,)) for part in column.lower().split("_")]
     need = [w for w in need if w]
     if not need:
         return whole
@@ -128,7 +163,19 @@ def cites_feature(text: Column, column: str, options: dict[str, tuple[str, ...]]
     return whole | F.exists(sentences, every)
 
 
-def direction_mismatches(text: Column, features: dict[str, str], up: tuple[str, ...] = ("raised", "increased", "higher"), down: tuple[str, ...] = ("lowered", "decreased", "lower")) -> Column:
+def citations(text: Column, shown: Column, columns: list[str], options: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Which of the columns ``shown`` (an array of names out of ``columns``) a report cites: coverage, and whether none; NULL
+    where nothing is shown."""
+    shown = F.array_intersect(F.array(*[F.lit(c) for c in columns]), shown)
+    cited = F.array_compact(F.array(*[F.when(cites_feature(text, c, options), F.lit(c)) for c in columns]))
+
+    def of(own: Column, hit: Column) -> Column:
+        return F.struct(F.size(own).alias("n_shown"), hit.alias("cited"), F.array_except(own, hit).alias("missed"), F.round(F.size(hit) / F.size(own), 4).alias("coverage"), (F.size(hit) == 0).alias("cites_none"))
+
+    return let(shown, lambda own: F.when(F.size(own) > 0, let(F.array_intersect(own, cited), lambda hit: of(own, hit))))
+
+
+def direction_mismatches(text: Column, features: dict[str, str], up: tuple[str, ...] = UP, down: tuple[str, ...] = DOWN) -> Column:
     """Features whose direction a report turns round, in clauses that speak of one direction only.
 
     ``features`` is {words: 'raised' or 'lowered'}; clauses are sentences cut at contrast words.

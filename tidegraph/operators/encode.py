@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.operators import quality, rank
+
 CLIP_QUANTILE = 0.99999
 MIN_SHARE = 0.001
 MAX_CODES = 63
@@ -52,13 +54,17 @@ class Pipeline:
         return x if shift is None else F.log1p(F.greatest(x + shift, F.lit(0.0)))
 
     def fit(self, train: DataFrame) -> Pipeline:
-        """Two aggregates for continuous columns and one count for categories; only train rows may be given."""
+        """Exact quantiles, then moments, of continuous columns and one count for categories; only train rows may be given."""
         if "split" in train.columns and train.where("split IS NULL OR split <> 'train'").limit(1).count():
             raise ValueError("rows that are not train rows")
         if self.continuous:
-            keep = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double"))
-            first = train.agg(*[x for c in self.continuous for x in (F.percentile(keep(c), F.lit(CLIP_QUANTILE)).alias(f"hi_{c}"), F.min(keep(c)).alias(f"lo_{c}"))]).first()
-            bounds = {c: (first[f"hi_{c}"] or 0.0, -min(0.0, first[f"lo_{c}"] or 0.0) if c in self.log else None) for c in self.continuous}
+            long = quality.unpivot(train, self.continuous, []).where(quality.finite("value"))
+            ends = rank.percentiles(long, "value", {"lo": 0.0, "hi": CLIP_QUANTILE}, "feature").collect()  # one row a column
+            first = {r["feature"]: (r["lo"], r["hi"]) for r in ends}
+            bounds = {}
+            for c in self.continuous:
+                lo, hi = first.get(c, (0.0, 0.0))
+                bounds[c] = (hi, -min(0.0, lo) if c in self.log else None)
             second = train.agg(*[x for c, (hi, shift) in bounds.items() for x in (F.avg(self._staged(c, hi, shift)).alias(f"m_{c}"), F.stddev_pop(self._staged(c, hi, shift)).alias(f"s_{c}"))]).first()
             for c, (hi, shift) in bounds.items():
                 s = second[f"s_{c}"] or 0.0

@@ -115,4 +115,13 @@ def deletion(df: DataFrame, attribution: str, key: str, k: int = 5, seed: int =
     named = F.slice(F.array_sort(pos), 1, k)
     rest = F.slice(F.array_sort(F.transform(F.slice(F.array_sort(pos), k + 1, 100_000), lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), x["i"].cast("string"))).alias("h"), x["c"].alias("c")))), 1, k)
     add = lambda xs: F.aggregate(xs, F.lit(0.0).cast("double"), lambda a, x: a + x["c"])
-    return df.select(key, add(named).alias("drop_named"), add(rest).alias("drop_random"))
+    return df.select(key, F.aggregate(attribution, F.lit(0.0).cast("double"), lambda a, x: a + x).alias("logit"), add(named).alias("drop_named"), add(rest).alias("drop_random"))
+
+
+def deletion_report(drops: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """One row: median drops, share of packs whose named drop is the larger, and of the flagged, the share that stays flagged."""
+    flagged = F.col("logit") >= threshold
+    still = lambda c: F.avg(F.when(flagged, (F.col("logit") - F.col(c) >= threshold).cast("int"))).alias(f"still_flagged_{c[5:]}")
+    shares = drops.agg(F.count("*").alias("n"), F.avg((F.col("drop_named") > F.col("drop_random")).cast("int")).alias("share_named_larger"), F.count_if(flagged).alias("n_flagged"), still("drop_named"), still("drop_random"))
+    medians = [rank.percentiles(drops, c, {f"median_{c}": 0.5}) for c in ("drop_named", "drop_random")]
+    return shares.crossJoin(medians[0]).crossJoin(medians[1])  # three single rows

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.operators import rank
+
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Per column: type, distinct values, nulls, whether constant. Each distinct count is its own small aggregate."""
@@ -19,7 +21,10 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def graph_shape(flows: DataFrame) -> DataFrame:
-    """Hosts, ordered pairs, density and per-source and per-pair statistics of the whole directed multigraph."""
+    """Hosts, ordered pairs, density and per-source and per-pair statistics of the whole directed multigraph.
+
+    Medians are of counts that sum to at most the rows: n rows give at most sqrt(2 n) different ones.
+    """
     pairs = flows.groupBy("src", "dst").agg(F.count("*").alias("n"))
     senders = pairs.groupBy("src").agg(F.count("*").alias("peers"), F.sum("n").alias("flows"))
     hosts = flows.select(F.col("src").alias("h")).union(flows.select("dst")).distinct().agg(F.count("*").alias("n_hosts"))
@@ -93,10 +98,10 @@ def split_rates(df: DataFrame) -> DataFrame:
     return g.select("split", "n", (F.col("n") / F.sum("n").over(every)).alias("share"), "attack_rate")
 
 
-def five_numbers(value: Column | str) -> list[Column]:
-    """n, mean, population std, min, quartiles, max; all NULL but n for an empty group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.get(q, F.lit(0)).alias("p25"), F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(2)).alias("p75"), F.max(value).alias("max")]
+def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
+    """Per group, of few: n, mean, population std, min, quartiles, max; all NULL but n for an empty group."""
+    g = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return g.join(rank.percentiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, by), by, "left")
 
 
 def spread(value: str) -> list[Column]:

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# 32-bit wrap of a millisecond counter and the tolerances around it.
+from tidegraph.operators import rank
+
+# Where a 32-bit counter wraps, of milliseconds, and of microseconds in milliseconds and in seconds.
 WRAP_32 = 2**32
+WRAP_MS = WRAP_32 / 1000
 WRAP_SECONDS = WRAP_32 / 1000
 MAX_PACKET = 65535
 
@@ -33,7 +36,8 @@ def bias_corrected_skew(value: Column) -> Column:
 def skew_report(df: DataFrame, features: list[str], q: float = 0.99999) -> DataFrame:
     """Skew raw and after clip, shift and log1p; log is advised if it halves a skew over 2. Constant columns are left out."""
     long = unpivot(df, features, [])
-    params = long.groupBy("feature").agg(F.percentile("value", F.lit(q)).alias("hi"), F.min("value").alias("lo"), F.max("value").alias("top")).where("lo < top")
+    ends = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("top")).where("lo < top")
+    params = rank.percentiles(long, "value", {"hi": q}, "feature").join(ends, "feature")  # one row a feature
     logged = F.log1p(F.least("value", "hi") - F.least(F.lit(0.0), F.col("lo")))
     rows = long.join(F.broadcast(params), "feature").withColumn("logged", logged)
     out = rows.groupBy("feature").agg(bias_corrected_skew(F.col("value")).alias("skew_raw"), bias_corrected_skew(F.col("logged")).alias("skew_log"))
@@ -60,7 +64,8 @@ def contingency_mi(counts: DataFrame, x: str, y: str, by: list[str]) -> DataFram
 def binned_mi(df: DataFrame, features: list[str], bins: int = 16) -> DataFrame:
     """Mutual information of each feature, in quantile bins, with the label."""
     long = unpivot(df, features, ["label"])
-    cuts = long.groupBy("feature").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("cuts"))
+    at = {f"c{i}": i / bins for i in range(1, bins)}
+    cuts = rank.percentiles(long, "value", at, "feature").select("feature", F.array_distinct(F.array(*at)).alias("cuts"))
     binned = long.join(F.broadcast(cuts), "feature").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
     return contingency_mi(binned.groupBy("feature", "bin", "label").agg(F.count("*").alias("n")), "bin", "label", ["feature"])
 
@@ -91,15 +96,15 @@ def derived_check(df: DataFrame, total: str, duration: str, rate: str) -> DataFr
 def rank_auc(df: DataFrame, features: list[str]) -> DataFrame:
     """Mann-Whitney AUC of each feature alone, ties averaged; non-finite values count as the median of the finite."""
     long = unpivot(df, features, ["label"])
-    medians = long.where(finite("value")).groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    medians = rank.percentiles(long.where(finite("value")), "value", {"m": 0.5}, "feature")
     clean = long.join(F.broadcast(medians), "feature").withColumn("value", F.when(finite("value"), F.col("value")).otherwise(F.col("m")))
     return _auc_of_counts(clean.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), ["feature"])
 
 
 def _auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
     """AUC by group from (by..., value, n, pos): the mean rank of a value is the rows before it and half its own."""
-    w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("mid", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    upto = rank.running_sums(counts, "value", {"_upto": "n"}, descending=False, by=tuple(by), ranges="feature")
+    ranked = upto.withColumn("mid", F.col("_upto") - (F.col("n") - 1) / 2)
     g = ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     auc = F.when((F.col("p") > 0) & (neg > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg))
@@ -147,14 +152,27 @@ def wrap_signatures(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.where(" + ".join(tests) + " > 0")
 
 
-def wrapped_duration(total: str, out_ms: str, in_ms: str) -> Column:
-    """A 32-bit millisecond counter has wrapped: off by one wrap from either direction, or just below it."""
-    wrap = F.lit(float(WRAP_32))
-    off = lambda c: F.abs(F.col(total) + F.col(c) - wrap) <= 2
-    return off(out_ms) | off(in_ms) | ((F.col(total) >= wrap - 30_000) & (F.col(total) <= wrap + 1))
+def wrapped_duration(total: Column | str, *directions: Column | str) -> Column:
+    """A 32-bit microsecond counter has wrapped: a duration in ms that a direction's completes to the wrap, or in the last
+    30 s before it. A direction that is NULL says nothing; a NULL duration gives NULL."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    total, wrap = of(total), F.lit(WRAP_MS)
+    out = (total > wrap - 30_000) & (total <= wrap + 1)
+    for c in directions:
+        out = out | F.coalesce(F.abs(total + of(c) - wrap) <= 2, F.lit(False))
+    return out
+
+
+def _wrapped(c: Callable[[str], Column]) -> Column:
+    return F.coalesce(wrapped_duration(c("duration"), c("duration_out"), c("duration_in")), F.lit(False))
+
+
+def _no_rate(role: str) -> Callable[[Callable[[str], Column]], Column]:
+    return lambda c: c(role).isNull() | F.isnan(c(role)) | (F.abs(c(role)) == float("inf")) | (c(role) < 0)
 
 
-# Physical-consistency rules over role names; each runs only if all its columns exist.
+# Physical-consistency rules over role names; each runs only if all the columns it names exist. A role beyond these is
+# NULL where its column doesn't exist.
 RULES: dict[str, tuple[tuple[str, ...], Callable[[Callable[[str], Column]], Column]]] = {
     "bytes_without_packets": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") == 0) & (c("in_bytes") > 0)),
     "bytes_below_header": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") > 0) & (c("in_bytes") < 20 * c("in_pkts"))),
@@ -162,21 +180,26 @@ RULES: dict[str, tuple[tuple[str, ...], Callable[[Callable[[str], Column]], Colu
     "out_bytes_below_header": (("out_bytes", "out_pkts"), lambda c: (c("out_pkts") > 0) & (c("out_bytes") < 20 * c("out_pkts"))),
     "retransmit_pkts_above_total": (("retrans_in_pkts", "in_pkts"), lambda c: c("retrans_in_pkts") > c("in_pkts")),
     "retransmit_bytes_above_total": (("retrans_in_bytes", "in_bytes"), lambda c: c("retrans_in_bytes") > c("in_bytes")),
+    "out_retransmit_pkts_above_total": (("retrans_out_pkts", "out_pkts"), lambda c: c("retrans_out_pkts") > c("out_pkts")),
+    "out_retransmit_bytes_above_total": (("retrans_out_bytes", "out_bytes"), lambda c: c("retrans_out_bytes") > c("out_bytes")),
     "longest_below_shortest": (("longest_pkt", "shortest_pkt"), lambda c: c("longest_pkt") < c("shortest_pkt")),
-    "packet_too_long": (("longest_pkt",), lambda c: c("longest_pkt") > MAX_PACKET),
+    "packet_too_long": (("max_pkt",), lambda c: c("max_pkt") > MAX_PACKET),
     "src_port_range": (("src_port",), lambda c: (c("src_port") < 0) | (c("src_port") > 65535)),
     "dst_port_range": (("dst_port",), lambda c: (c("dst_port") < 0) | (c("dst_port") > 65535)),
-    "window_too_large": (("tcp_win_max",), lambda c: c("tcp_win_max") > 65535),
-    "rate_not_a_rate": (("rate",), lambda c: c("rate").isNull() | F.isnan(c("rate")) | (F.abs(c("rate")) == float("inf")) | (c("rate") < 0)),
-    "direction_longer_than_flow": (("duration_out", "duration"), lambda c: c("duration_out") > c("duration") + 1),
-    "size_buckets_miss_packets": (("bucket_pkts", "in_pkts"), lambda c: F.abs(c("bucket_pkts") - c("in_pkts")) > F.greatest(F.lit(1.0), 0.01 * c("in_pkts"))),
+    "in_window_too_large": (("tcp_win_max_in",), lambda c: c("tcp_win_max_in") > 65535),
+    "out_window_too_large": (("tcp_win_max_out",), lambda c: c("tcp_win_max_out") > 65535),
+    **{f"{role}_not_a_rate": ((role,), _no_rate(role)) for role in ("rate", "back_rate", "throughput", "back_throughput")},
+    "duration_wrapped": (("duration",), _wrapped),
+    "in_longer_than_flow": (("duration_in", "duration"), lambda c: (c("duration_in") > c("duration") + 1) & ~_wrapped(c)),
+    "out_longer_than_flow": (("duration_out", "duration"), lambda c: (c("duration_out") > c("duration") + 1) & ~_wrapped(c)),
+    "size_buckets_miss_packets": (("bucket_pkts", "in_pkts", "out_pkts"), lambda c: F.abs(c("bucket_pkts") - c("in_pkts") - c("out_pkts")) > F.greatest(F.lit(1.0), 0.01 * (c("in_pkts") + c("out_pkts")))),
 }
 
 
 def failed_rules(columns: list[str], names: dict[str, str] | None = None) -> Column:
     """Names of the rules that a row fails, in the order of ``RULES``; NULL inputs fail none (but a rate must be there)."""
     names = names or {}
-    of = lambda role: F.col(names.get(role, role))
+    of = lambda role: F.col(names.get(role, role)) if names.get(role, role) in columns else F.lit(None).cast("double")
     found = [F.when(F.coalesce(rule(of), F.lit(False)), F.lit(k)) for k, (need, rule) in RULES.items() if all(names.get(r, r) in columns for r in need)]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 

@@ -7,6 +7,9 @@ same answer.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,19 +23,64 @@ def _starts(totals: DataFrame, by: list[str], bucket: str, cols: list[str], desc
     return totals.select(*by, bucket, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_start_{c}") for c in cols])
 
 
-def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, buckets: int = BUCKETS) -> DataFrame:
-    """``df``, with one row per distinct ``key``, plus running sums {new column: summed column} in key order."""
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = sum([F.when(F.col(key) >= c, 1).otherwise(0) for c in cuts], F.lit(0))
-    placed = df.withColumn("_b", bucket)
-    totals = placed.groupBy("_b").agg(*[F.sum(c).alias(c) for c in set(sums.values())])
-    starts = _starts(totals, [], "_b", list(set(sums.values())), descending)
+def range_bucket(df: DataFrame, key: str, by: str | None = None, buckets: int | None = None) -> Column:
+    """Bucket of a row: how many of some approximate quantiles of the key, of all rows or of its group, are not above it.
+
+    At least as many buckets as shuffle partitions. The quantiles are looked up now and stand in the plan as literals, so
+    that all its branches and recomputed tasks agree; ``by`` is for few groups (columns, families). NULL keys: bucket 0.
+    """
+    n = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)
+    rows = df.groupBy(*([by] if by else [])).agg(quantiles.alias("cuts")).collect()
+
+    def place(cuts: list, lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(F.col(key) >= F.lit(cuts[mid - 1]), place(cuts, mid, hi)).otherwise(place(cuts, lo, mid - 1))
+
+    out = F.lit(0)
+    for r in rows:
+        cuts = sorted(set(r["cuts"] or []))
+        own = place(cuts, 0, len(cuts))
+        out = own if by is None else F.when(F.col(by).eqNullSafe(F.lit(r[by])), own).otherwise(out)
+    return out
+
+
+def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, buckets: int | None = None, by: tuple[str, ...] = (), ranges: str | None = None) -> DataFrame:
+    """``df``, with one row per distinct ``key``, plus running sums {new column: summed column} in key order.
+
+    ``by`` gives few groups, without NULLs, each summed on its own; ``ranges`` is the one of them whose keys differ.
+    """
+    placed = df.withColumn("_b", range_bucket(df, key, ranges, buckets))
+    summed = sorted(set(sums.values()))
+    totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in summed])
+    starts = _starts(totals, [*by], "_b", summed, descending)
     order = F.col(key).desc() if descending else F.col(key)
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(starts), "_b")
+    w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(starts), [*by, "_b"])  # a row for each group and bucket
     for name, c in sums.items():
         out = out.withColumn(name, F.sum(c).over(w) + F.col(f"_start_{c}"))
-    return out.drop("_b", *[f"_start_{c}" for c in set(sums.values())])
+    return out.drop("_b", *[f"_start_{c}" for c in summed])
+
+
+def percentiles(df: DataFrame, key: str, qs: dict[str, float], by: str | None = None) -> DataFrame:
+    """Exact percentiles {column: share}, interpolated, of all keys or of few groups of them; no group is held in one task.
+
+    NULL keys don't count; a group without keys has no row.
+    """
+    group = [by] if by else []
+    counts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count("*").alias("_n"))
+    upto = running_sums(counts, key, {"_upto": "_n"}, descending=False, by=tuple(group), ranges=by)
+    total = F.broadcast(counts.groupBy(*group).agg(F.sum("_n").alias("_total")))  # one row a group
+    rows = upto.join(total, by) if by else upto.crossJoin(total)
+    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i), F.col(key)))
+    out = []
+    for name, q in qs.items():
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        low, part = at(F.floor(place)), F.max(place - F.floor(place))
+        out.append((low + F.when(part > 0, (at(F.ceil(place)) - low) * part).otherwise(0.0)).alias(name))
+    return rows.groupBy(*group).agg(*out)
 
 
 def bucket_rank(df: DataFrame, bucket: Column, order: list[Column], by: list[str], name: str) -> DataFrame:
@@ -41,7 +89,10 @@ def bucket_rank(df: DataFrame, bucket: Column, order: list[Column], by: list[str
     totals = placed.groupBy(*by, "_b").agg(F.count("*").alias("n"))
     starts = _starts(totals, by, "_b", ["n"], False)
     w = Window.partitionBy(*by, "_b").orderBy(*order)
-    return placed.join(starts, [*by, "_b"]).withColumn(name, (F.row_number().over(w) + F.col("_start_n")).cast("long")).drop("_b", "_start_n")
+    keys = [*by, "_b"]
+    starts = starts.select("_start_n", *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]  # a NULL is a group too
+    return placed.join(starts, reduce(and_, same)).drop(*[f"_key_{i}" for i in range(len(keys))]).withColumn(name, (F.row_number().over(w) + F.col("_start_n")).cast("long")).drop("_b", "_start_n")
 
 
 def md5_key(seed: int, *ids: str) -> Column:

@@ -129,31 +129,34 @@ def block_stride(df: DataFrame, block: int, keep: int) -> DataFrame:
     return df.where((b % step == 0) & (b < step * keep))
 
 
-def family_blocks(df: DataFrame, block: int, budget: int) -> tuple[DataFrame, list[int]]:
+def family_blocks(df: DataFrame, block: int, budget: int) -> tuple[DataFrame, DataFrame]:
     """Family-aware capped scan: whole blocks, one at least for every family, rarest first, then evenly up to ``budget`` rows.
 
-    Chooses on the (block, family) counts, which have a row for each block and family.
+    Returns the rows and the blocks, as ``block_id``. Only the fullest block of each family, and what is in these, comes
+    to the driver; the even choice ranks blocks in Spark.
     """
-    b = F.expr(f"row_id div {block}")
-    counts = df.groupBy(b.alias("b"), "family").agg(F.count("*").alias("n")).collect()
-    size: dict[int, int] = {}
-    by_family: dict[str, dict[int, int]] = {}
-    for r in counts:
-        size[r["b"]] = size.get(r["b"], 0) + r["n"]
-        by_family.setdefault(r["family"], {})[r["b"]] = r["n"]
-    chosen: list[int] = []
-    for family in sorted(by_family, key=lambda f: (sum(by_family[f].values()), f)):
-        own = by_family[family]
-        if not any(x in own for x in chosen):
-            chosen.append(max(own, key=lambda x: (own[x], -x)))
-    used = sum(size[x] for x in chosen)
-    rest = [x for x in sorted(size) if x not in chosen]
-    room = max(0, (budget - used) // block)
-    if rest and room:
-        n = min(room, len(rest))
-        chosen += sorted({rest[round(i * (len(rest) - 1) / max(1, n - 1))] for i in range(n)})
-    chosen.sort()
-    return df.where(b.isin(chosen)), chosen
+    b = F.expr(f"row_id div {block}").alias("block_id")
+    counts = df.groupBy(b, "family").agg(F.count("*").alias("n"))
+    fullest = counts.groupBy("family").agg(F.sum("n").alias("total"), F.max_by("block_id", F.struct("n", -F.col("block_id"))).alias("own"))
+    families = [(r["family"], r["own"]) for r in fullest.orderBy("total", "family").collect()]
+    held: dict[int, dict[str, int]] = {}
+    for r in counts.where(F.col("block_id").isin(sorted({own for _, own in families}))).collect():
+        held.setdefault(r["block_id"], {})[r["family"]] = r["n"]
+    first: list[int] = []
+    for family, own in families:
+        if not any(family in held[x] for x in first):
+            first.append(own)
+    room = max(0, (budget - sum(sum(held[x].values()) for x in first)) // block)
+    blocks = counts.select("block_id").distinct()
+    chosen = blocks.where(F.col("block_id").isin(first))
+    n_rest = blocks.count() - len(first) if room else 0
+    if n_rest:
+        n = min(room, n_rest)
+        place = F.bround(F.col("id") * F.lit(n_rest - 1) / F.lit(max(1, n - 1)), 0).cast("long") + 1
+        places = df.sparkSession.range(n).select(place.alias("_r")).distinct()
+        rest = rank.order_rank(blocks.where(~F.col("block_id").isin(first)), "block_id", [], "_r")
+        chosen = chosen.union(rest.join(places, "_r", "left_semi").select("block_id"))
+    return df.select("*", b).join(chosen, "block_id", "left_semi").select(*df.columns), chosen
 
 
 def prevalence_resample(df: DataFrame, n: int, prevalence: float, seed: int = 0) -> DataFrame:

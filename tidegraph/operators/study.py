@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.operators import rank
 
 
 def seed_aggregate(runs: DataFrame) -> DataFrame:
@@ -64,10 +65,13 @@ def common_detections(reports: DataFrame) -> DataFrame:
 
 
 def balanced_order(packs: DataFrame, label: str, key: str) -> DataFrame:
-    """An order whose every prefix is fair to labels: the k-th of n of a label stands at (k - 0.5) / n."""
-    w = Window.partitionBy(label)
-    pos = (F.row_number().over(w.orderBy(key)) - 0.5) / F.count("*").over(w)
-    return packs.withColumn("position", pos).orderBy("position", label, key)
+    """An order whose every prefix is fair to labels: the k-th of n of a label stands at (k - 0.5) / n.
+
+    ``key`` is an integer; ranks are found in blocks of it, so that a label of most rows is spread.
+    """
+    sizes = packs.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    ranked = rank.order_rank(packs, key, [label], "_r").join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return ranked.withColumn("position", (F.col("_r") - 0.5) / F.col("_n")).select(*packs.columns, "position").orderBy("position", label, key)
 
 
 def excerpts(reports: DataFrame) -> DataFrame:
@@ -80,9 +84,18 @@ def excerpts(reports: DataFrame) -> DataFrame:
 
 
 def model_summary(reports: DataFrame) -> DataFrame:
-    """Per model and prompt: counts, means over reports that have a value, latency, and cost (NULL if any is unknown)."""
+    """Per model and prompt: reports, finished, degenerate and failed ones; over the finished, means of what is there, rates,
+    latency and tokens a second; and cost of all (NULL if any is unknown). Columns that ``reports`` lacks count as NULL."""
+    has = lambda c, kind: F.col(c) if c in reports.columns else F.lit(None).cast(kind)
+    ok, bad = F.coalesce("ok", F.lit(False)), F.coalesce(has("degenerate", "boolean"), F.lit(False))
+    done = lambda c, kind="double": F.when(ok, has(c, kind))
+    rate = lambda c: F.avg(done(c, "boolean").cast("int")).alias(f"{c}_rate")
+    timed = ok & F.col("latency").isNotNull() & (has("tokens", "long") > 0)
     return reports.groupBy("model", "prompt").agg(
-        F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.avg("score").alias("mean_score"), F.percentile("latency", F.lit(0.5)).alias("latency_p50"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(~ok & bad).alias("n_degenerate"), F.count_if(~ok & ~bad).alias("n_failed"),
+        F.avg(done("score")).alias("mean_score"), F.avg(done("words")).alias("mean_words"), rate("leaked"), rate("faithful"), rate("substituted"), rate("cites_none"), F.avg(done("coverage")).alias("mean_coverage"),
+        F.avg(done("latency")).alias("latency_mean"), F.percentile(done("latency"), F.lit(0.5)).alias("latency_p50"), F.percentile(done("latency"), F.lit(0.95)).alias("latency_p95"),
+        F.try_divide(F.sum(F.when(timed, has("tokens", "long"))), F.sum(F.when(timed, F.col("latency")))).alias("tokens_per_second"),
         F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost")).alias("cost"),
     )
 

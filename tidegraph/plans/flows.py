@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegraph.operators import encode, graph, profile, quality, rank, split
-from tidegraph.sources import tables
+from tidegraph.sources import sinks, tables
 from tidegraph.sources.tables import BENIGN, FLOWS_SQL, flows_from_events, table
 
 SIZE = 100
+
+
+def scratch(spark, name):
+    """A new path in the folder that the driver and the executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{(base or 'file:///tmp').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 GAP = 20
 R = 6
 
@@ -83,6 +95,18 @@ add(
 )
 add("s3_block_stride", lambda s, d: split.block_stride(flows_from_events(s, d), 100, 7).select("row_id"), "SELECT event_id AS row_id FROM events, (SELECT (count(*) + 99) // 100 AS b FROM events) WHERE (event_id // 100) % greatest(1, b // 7) = 0 AND event_id // 100 < greatest(1, b // 7) * 7")
 add("s6_even_sample", lambda s, d: split.even_sample(flows_from_events(s, d), 777).select("row_id"), "SELECT DISTINCT floor(i * (n - 1)::DOUBLE / 776)::BIGINT AS row_id FROM range(777) t(i), (SELECT count(*) AS n FROM events)")
+
+
+def rewritten(spark, df, write, read):
+    """``df`` as a sink wrote it."""
+    path = scratch(spark, "sink")
+    write(df, path)
+    return read(spark.read.schema(df.schema), path)
+
+
+add("s7_json_lines", lambda s, d: rewritten(s, table(s, d, "documents").select("doc_id", "text", "lang"), sinks.write_json_lines, lambda r, p: r.json(p)), "SELECT doc_id, text, lang FROM documents")
+add("s7b_csv", lambda s, d: rewritten(s, table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), sinks.write_csv, lambda r, p: r.option("header", "true").option("escape", '"').csv(p)), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+add("s7c_metrics", lambda s, d: rewritten(s, rounded(profile.label_balance(flows_from_events(s, d)), "prevalence", "imbalance_ratio"), sinks.write_metrics, lambda r, p: r.json(p)), f"WITH {FLOWS_SQL} SELECT count(*) AS n, count(*) FILTER (label = 1) AS n_attack, count(*) FILTER (label = 0) AS n_benign, round(avg(label), 6) AS prevalence, round(count(*) FILTER (label = 0) / count(*) FILTER (label = 1), 6) AS imbalance_ratio FROM flows")
 add("p3_contiguous_split", lambda s, d: splitted(s, d).groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")), f"WITH {SPLIT_SQL} SELECT split, count(*) AS n, min(row_id) AS lo, max(row_id) AS hi FROM sf GROUP BY 1")
 add(
     "p4_window_split",
@@ -124,8 +148,8 @@ add(
     "SELECT doc_id AS detection_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
 )
 add("w1_fixed_windows", lambda s, d: split.whole_windows(splitted(s, d), SIZE, split.contiguous_bounds(flows_from_events(s, d).count(), 0.7, 0.1, 0.2, GAP)).groupBy("split").agg(F.count_distinct("window_id").alias("n_windows"), F.count("*").alias("n")), f"WITH {SPLIT_SQL}, c AS (SELECT split, count(*) AS n FROM sf WHERE split IS NOT NULL GROUP BY 1) SELECT split, n // {SIZE} AS n_windows, n // {SIZE} * {SIZE} AS n FROM c WHERE n // {SIZE} > 0")
-add("w2_window_sweep", lambda s, d: rounded(graph.window_sweep(flows_from_events(s, d), [50, 100, 250], 20), "mean_nodes", "mean_pairs", "mean_max_fanout", "share_with_attack"),
-    f"""WITH {FLOWS_SQL}, n AS (SELECT count(*) AS n FROM flows), sz AS (SELECT unnest([50, 100, 250]) AS size), k AS (SELECT size, n // size AS w, least(20, n // size) AS m FROM sz, n),
+add("w2_window_sweep", lambda s, d: rounded(graph.window_sweep(flows_from_events(s, d), [50, 100, 250], 200), "mean_nodes", "mean_pairs", "mean_max_fanout", "share_with_attack"),
+    f"""WITH {FLOWS_SQL}, n AS (SELECT count(*) AS n FROM flows), sz AS (SELECT unnest([50, 100, 250]) AS size), k AS (SELECT size, n // size AS w, least(200, n // size) AS m FROM sz, n),
     keep AS (SELECT DISTINCT size, CASE WHEN m >= w THEN i ELSE floor(i * (w - 1)::DOUBLE / (m - 1))::BIGINT END AS window_id FROM k, range(200) t(i) WHERE i < m),
     f AS (SELECT size, row_id // size AS window_id, src, dst, label FROM flows, sz SEMI JOIN keep ON keep.size = sz.size AND keep.window_id = row_id // sz.size),
     p AS (SELECT size, window_id, src, dst, sum(label) AS a FROM f GROUP BY ALL),
@@ -163,7 +187,7 @@ add("a7_split_balance", lambda s, d: profile.split_balance(splitted(s, d)), f"WI
 add("a7b_balance_summary", lambda s, d: rounded(profile.balance_summary(profile.split_balance(splitted(s, d)), BENIGN), "ratio"), f"WITH {SPLIT_SQL}, c AS (SELECT family, count(*) AS n FROM sf WHERE split IS NOT NULL AND family <> 'view' GROUP BY 1) SELECT first(family ORDER BY n DESC, family DESC) AS largest, max(n) AS n_largest, first(family ORDER BY n, family) AS smallest, min(n) AS n_smallest, round(max(n) / min(n), 6) AS ratio FROM c")
 add("a8_split_rates", lambda s, d: rounded(profile.split_rates(splitted(s, d)), "share", "attack_rate"), f"WITH {SPLIT_SQL} SELECT coalesce(split, 'purged') AS split, count(*) AS n, round(count(*) / any_value(nn), 6) AS share, round(avg(label), 6) AS attack_rate FROM sf, cnt GROUP BY 1")
 add("a9_spread", lambda s, d: rounded(flows_from_events(s, d).groupBy("family").agg(*profile.spread("in_bytes")), "mean", "std", "min", "max", "cv"), "SELECT event_type AS family, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(stddev_pop(value) / avg(value), 6) AS cv FROM events GROUP BY 1")
-add("a10_five_numbers", lambda s, d: rounded(table(s, d, "orders").groupBy("o_orderpriority").agg(*profile.five_numbers("o_totalprice")), "mean", "std", "p25", "median", "p75", digits=4), f"SELECT o_orderpriority, n, round(mean, 4) AS mean, round(std, 4) AS std, min, round(p25, 4) AS p25, round(median, 4) AS median, round(p75, 4) AS p75, max FROM (SELECT o_orderpriority, {five_sql('o_totalprice')} FROM orders GROUP BY 1)")
+add("a10_five_numbers", lambda s, d: rounded(profile.five_numbers(table(s, d, "orders"), "o_totalprice", "o_orderpriority"), "mean", "std", "p25", "median", "p75", digits=4), f"SELECT o_orderpriority, n, round(mean, 4) AS mean, round(std, 4) AS std, min, round(p25, 4) AS p25, round(median, 4) AS median, round(p75, 4) AS p75, max FROM (SELECT o_orderpriority, {five_sql('o_totalprice')} FROM orders GROUP BY 1)")
 _SKEW = ["value", "q2"]
 
 
@@ -204,8 +228,8 @@ def big_orders(s, d):
 
 add("q10_wrap_signatures", lambda s, d: quality.wrap_signatures(big_orders(s, d), ["ticks", "delta", "o_totalprice"]),
     "WITH l AS (SELECT 'ticks' AS feature, o_totalprice * 20000 AS value FROM orders UNION ALL SELECT 'delta', o_totalprice - 1000 FROM orders UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders), g AS (SELECT feature, count(*) FILTER (value >= 2147483648) AS ge_2_31, count(*) FILTER (abs(value - 4294967296) <= 1e6) AS near_2_32, count(*) FILTER (abs(value - 4294967.296) <= 30) AS near_wrap_seconds, count(*) FILTER (value < 0) AS negative, count(*) FILTER (NOT isfinite(value)) AS non_finite FROM l GROUP BY 1) SELECT * FROM g WHERE ge_2_31 + near_2_32 + near_wrap_seconds + negative + non_finite > 0")
-add("q11_wrapped_duration", lambda s, d: big_orders(s, d).withColumn("z", F.lit(0.0)).where(quality.wrapped_duration("ticks", "z", "delta")).select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice * 20000 AS t, o_totalprice - 1000 AS i FROM orders) WHERE abs(t - 4294967296) <= 2 OR abs(t + i - 4294967296) <= 2 OR (t >= 4294967296 - 30000 AND t <= 4294967297)")
-_ROLES = {"in_bytes": "l_extendedprice", "in_pkts": "l_quantity", "longest_pkt": "l_partkey", "shortest_pkt": "l_suppkey", "dst_port": "l_orderkey", "rate": "l_discount"}
+add("q11_wrapped_duration", lambda s, d: big_orders(s, d).withColumns({"ms": F.col("o_totalprice") * 10, "rest": 4294966 - F.floor(F.col("o_totalprice") * 10) + F.col("o_orderkey") % 50}).where(quality.wrapped_duration("ms", "delta", "rest")).select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice * 10 AS t, o_totalprice - 1000 AS i, 4294966 - floor(o_totalprice * 10) + o_orderkey % 50 AS r FROM orders) WHERE abs(t + i - 4294967.296) <= 2 OR abs(t + r - 4294967.296) <= 2 OR (t > 4294967.296 - 30000 AND t <= 4294968.296)")
+_ROLES = {"in_bytes": "l_extendedprice", "in_pkts": "l_quantity", "longest_pkt": "l_partkey", "max_pkt": "l_partkey", "shortest_pkt": "l_suppkey", "dst_port": "l_orderkey", "rate": "l_discount"}
 
 
 def failing(s, d):
@@ -261,11 +285,11 @@ def targets(s, d):
 
 _TARGETS_SQL = "tg AS (SELECT * FROM wf WHERE in_bytes / 500.0 >= 0.9), tc AS (SELECT DISTINCT t.row_id AS detection, t.src AS s, t.dst AS d, f.* FROM tg t JOIN wf f ON t.window_id = f.window_id AND t.row_id <> f.row_id AND (f.src IN (t.src, t.dst) OR f.dst IN (t.src, t.dst)))"
 add("j5_touching", lambda s, d: graph.touching(windowed(s, d), targets(s, d)), f"WITH {WINDOWED_SQL}, {_TARGETS_SQL} SELECT detection, window_id, row_id FROM tc")
-add("g9_ego_graph", lambda s, d: graph.ego_graph(windowed(s, d), targets(s, d), 5),
+add("g9_ego_graph", lambda s, d: graph.ego_graph(windowed(s, d), targets(s, d), 28),
     f"""WITH {WINDOWED_SQL}, {_TARGETS_SQL}, n AS (SELECT detection, s, d, src, dst, h FROM (SELECT detection, s, d, row_id, src, dst, src AS h FROM tc UNION SELECT detection, s, d, row_id, src, dst, dst FROM tc) WHERE h <> s AND h <> d),
     a AS (SELECT detection, h AS host, count(*) AS flows, bool_or(s IN (src, dst)) AS x, bool_or(d IN (src, dst)) AS y FROM n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY detection ORDER BY flows DESC, host)::INT AS rank, count(*) OVER (PARTITION BY detection) AS m FROM a)
-    SELECT detection, host, flows, CASE WHEN x AND y THEN 'both' WHEN x THEN 'source' ELSE 'destination' END AS side, rank, greatest(m - 5, 0) AS n_omitted FROM r WHERE rank <= 5""")
-add("g11_neighbour_candidates", lambda s, d: graph.neighbour_candidates(windowed(s, d), targets(s, d), 5, 1), f"WITH {WINDOWED_SQL}, {_TARGETS_SQL}, r AS (SELECT detection, window_id, row_id, row_number() OVER (PARTITION BY detection ORDER BY md5('1:' || detection || ':' || row_id), row_id)::INT AS rank, count(*) OVER (PARTITION BY detection) AS n_neighbours FROM tc) SELECT * FROM r WHERE rank <= 5")
+    SELECT detection, host, flows, CASE WHEN x AND y THEN 'both' WHEN x THEN 'source' ELSE 'destination' END AS side, rank, greatest(m - 28, 0) AS n_omitted FROM r WHERE rank <= 28""")
+add("g11_neighbour_candidates", lambda s, d: graph.neighbour_candidates(windowed(s, d), targets(s, d), 50, 1), f"WITH {WINDOWED_SQL}, {_TARGETS_SQL}, r AS (SELECT detection, window_id, row_id, row_number() OVER (PARTITION BY detection ORDER BY md5('1:' || detection || ':' || row_id), row_id)::INT AS rank, count(*) OVER (PARTITION BY detection) AS n_neighbours FROM tc) SELECT * FROM r WHERE rank <= 50")
 add("g10_neighbourhood_means", lambda s, d: rounded(graph.neighbourhood_means(windowed(s, d), ["in_bytes"]).select("row_id", "src_in_bytes_1", "dst_in_bytes_1"), "src_in_bytes_1", "dst_in_bytes_1", digits=5), f"WITH {WINDOWED_SQL}, m AS (SELECT window_id, host, avg(b) AS m FROM (SELECT window_id, src AS host, in_bytes AS b FROM wf UNION ALL SELECT window_id, dst, in_bytes FROM wf) GROUP BY ALL) SELECT row_id, round(x.m, 5) AS src_in_bytes_1, round(y.m, 5) AS dst_in_bytes_1 FROM wf JOIN m x ON x.window_id = wf.window_id AND x.host = src JOIN m y ON y.window_id = wf.window_id AND y.host = dst")
 add("j4_consecutive_jaccard", lambda s, d: rounded(graph.consecutive_jaccard(split.window_id(flows_from_events(s, d), 1000)), "jaccard"), f"WITH {FLOWS_SQL}, wf AS (SELECT *, row_id // 1000 AS window_id FROM flows), {_TOPO.format(src='src', dst='dst')} SELECT window_id, jaccard FROM topo")
 add("u1_distinct_hosts", lambda s, d: flows_from_events(s, d).select(F.explode(F.array("src", "dst")).alias("host")).distinct(), f"WITH {FLOWS_SQL} SELECT src AS host FROM flows UNION SELECT dst FROM flows")
@@ -320,8 +344,8 @@ def _restored(s, d):
 add("f8_restore", _restored)
 add("f10_standardised", lambda s, d: rounded(encode.standardised(splitted(s, d), ["dst"], F.col("split") == "train").select("row_id", "dst_z"), "dst_z"), f"WITH {SPLIT_SQL}, t AS (SELECT avg(ln(1 + dst)) AS m, stddev_pop(ln(1 + dst)) AS sd FROM sf WHERE split = 'train') SELECT row_id, round((ln(1 + dst) - m) / sd, 6) AS dst_z FROM sf, t")
 add("j2_vocabulary_lookup", lambda s, d: encode.apply_vocabulary(splitted(s, d), encode.vocabulary(splitted(s, d).where("split = 'train'"), ["family"]), "family").select("row_id", "family_code"), f"WITH {SPLIT_SQL}, {_VOCAB_SQL} SELECT row_id, coalesce(code, 0) AS family_code FROM sf LEFT JOIN vc ON value = family")
-add("f12_oov_report", lambda s, d: rounded(encode.oov_report(flows_from_events(s, d), encode.vocabulary(flows_from_events(s, d).where("row_id < 300"), ["src", "dst"]), ["src", "dst"]), "oov_rate"),
-    f"WITH {FLOWS_SQL}, l AS ({long_sql(['src', 'dst'], 'row_id', 'flows')}), v AS (SELECT feature, value, count(*) AS n, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value::BIGINT::VARCHAR) AS r FROM l WHERE row_id < 300 GROUP BY 1, 2), vv AS (SELECT feature, value FROM v WHERE r <= 63), c AS (SELECT feature, value, count(*) AS n FROM l GROUP BY 1, 2) SELECT c.feature AS \"column\", round(sum(CASE WHEN vv.value IS NULL THEN n ELSE 0 END) / sum(n), 6) AS oov_rate, count(*) AS n_distinct, count(vv.value) AS n_shared, (SELECT count(*) FROM vv x WHERE x.feature = c.feature) AS vocab_size FROM c LEFT JOIN vv ON vv.feature = c.feature AND vv.value = c.value GROUP BY c.feature")
+add("f12_oov_report", lambda s, d: rounded(encode.oov_report(flows_from_events(s, d), encode.vocabulary(splitted(s, d).where("split = 'train'"), ["src", "dst"]), ["src", "dst"]), "oov_rate"),
+    f"WITH {SPLIT_SQL}, l AS ({long_sql(['src', 'dst'], 'split', 'sf')}), v AS (SELECT feature, value, count(*) AS n, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value::BIGINT::VARCHAR) AS r FROM l WHERE split = 'train' GROUP BY 1, 2 HAVING count(*) >= 0.001 * (SELECT count(*) FROM sf WHERE split = 'train')), vv AS (SELECT feature, value FROM v WHERE r <= 63), c AS (SELECT feature, value, count(*) AS n FROM l GROUP BY 1, 2) SELECT c.feature AS \"column\", round(sum(CASE WHEN vv.value IS NULL THEN n ELSE 0 END) / sum(n), 6) AS oov_rate, count(*) AS n_distinct, count(vv.value) AS n_shared, (SELECT count(*) FROM vv x WHERE x.feature = c.feature) AS vocab_size FROM c LEFT JOIN vv ON vv.feature = c.feature AND vv.value = c.value GROUP BY c.feature")
 add("f11_frozen_encode", lambda s, d: encode.Pipeline(["v"], ["v"], []).fit(table(s, d, "events").select(F.col("value").alias("v"))).transform(table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("v"))).select("o_orderkey", F.round(F.col("v_z").cast("double"), 4).alias("z")),
     "WITH f AS (SELECT quantile_cont(value, 0.99999) AS hi, -least(0, min(value)) AS sh FROM events), t AS (SELECT hi, sh, avg(ln(1 + least(value, hi) + sh)) AS m, stddev_pop(ln(1 + least(value, hi) + sh)) AS sd FROM events, f GROUP BY 1, 2) SELECT o_orderkey, round(((ln(1 + greatest(least(o_totalprice / 1000, hi) + sh, 0)) - m) / sd)::FLOAT::DOUBLE, 4) AS z FROM orders, t")
 add("w4_global_rank", lambda s, d: rank.hash_rank(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), 5, ["o_orderkey"], ["o_orderstatus"]), "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('5:' || o_orderkey), o_orderkey) AS rank FROM orders")

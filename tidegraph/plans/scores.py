@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidegraph.functions import facts, text
 from tidegraph.operators import evaluate, evidence, graph, models, profile, quality, rank, split, study
-from tidegraph.plans.flows import SIZE, SPLIT_SQL, failing, five_sql, rounded, splitted, windowed
+from tidegraph.plans.flows import _FAILED_SQL, LINES_SQL, SIZE, SPLIT_SQL, failing, five_sql, rounded, scratch, splitted, windowed
 from tidegraph.sources.tables import BENIGN, FLOWS_SQL, flows_from_events, table
 from tidegraph.streaming import replay
 
@@ -80,10 +78,7 @@ add("e17b_running_replay", lambda s, d: rounded(evaluate.running_replay(evaluate
 
 
 def streamed(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return replay.replayed(s, f"{d}/events.parquet", 1000, F.col("value") / 500.0 >= THRESHOLD, F.col("event_type") != "view", f"{(base or 'file:///tmp').rstrip('/')}/replay-{uuid.uuid4().hex}")
+    return replay.replayed(s, f"{d}/events.parquet", 1000, F.col("value") / 500.0 >= THRESHOLD, F.col("event_type") != "view", scratch(s, "replay"))
 
 
 add("st1_streamed_replay", streamed, "SELECT event_id // 1000 AS window_id, count(*) AS flows, count(*) FILTER (value / 500.0 >= 0.5) AS alerts, count(*) FILTER (value / 500.0 >= 0.5 AND event_type <> 'view') AS tp, count(*) FILTER (value / 500.0 >= 0.5 AND event_type = 'view') AS fp, count(*) FILTER (event_type <> 'view') AS attacks FROM events GROUP BY 1")
@@ -134,15 +129,23 @@ add("x6_base_column", lambda s, d: table(s, d, "part").select("p_partkey", facts
 add("x7_times_phrase", lambda s, d: table(s, d, "part").select("p_partkey", facts.times_phrase(F.col("p_size") / 4, "ports").alias("phrase"), facts.plural(F.col("p_size"), "packet").alias("noun")), "SELECT p_partkey, CASE WHEN p_size / 4 BETWEEN 0.9 AND 1.1 THEN 'about as many ports as a typical host here' ELSE rtrim(rtrim((p_size / 4)::DECIMAL(10, 5)::VARCHAR, '0'), '.') || ' times as many ports as a typical host here' || CASE WHEN p_size < 4 THEN ' (fewer than typical)' ELSE '' END END AS phrase, CASE WHEN p_size = 1 THEN 'packet' ELSE 'packets' END AS noun FROM part")
 add("x9_rendered_facts", lambda s, d: packed(s, d).select("detection_id", F.sha2(evidence.pack_sections(packed(s, d)), 256).alias("facts_sha256")))
 add("x10_template_report", lambda s, d: packed(s, d).select("detection_id", F.size(F.split(facts.template_report(evidence.pack_sections(packed(s, d))), "\n")).alias("n_lines")))
+
+
+def sample_sql(least, n, n_benign, seed):
+    """The stratified sample as ``picked`` (row_id, family, taken_by)."""
+    return f"""{SCORES_SQL}, ca AS (SELECT * FROM sc WHERE score >= {least}), fa AS (SELECT family, count(*) AS av FROM ca GROUP BY 1), nf AS (SELECT count(*) FILTER (family <> 'view') AS k FROM fa),
+    ql AS (SELECT family, CASE WHEN family = 'view' THEN {n_benign} ELSE {n - n_benign} // k + CASE WHEN row_number() OVER (PARTITION BY family = 'view' ORDER BY family) <= {n - n_benign} % k THEN 1 ELSE 0 END END AS quota FROM fa, nf),
+    r AS (SELECT row_id, family, quota, row_number() OVER (PARTITION BY family ORDER BY md5('{seed}:' || row_id), row_id) AS r FROM ca JOIN ql USING (family)), l AS (SELECT {n} - count(*) AS rest FROM r WHERE r <= quota),
+    sp AS (SELECT row_id, family, row_number() OVER (ORDER BY md5('{seed}:' || row_id), row_id) AS x FROM r WHERE r > quota),
+    picked AS (SELECT family, row_id, 'quota' AS taken_by FROM r WHERE r <= quota UNION ALL SELECT family, row_id, 'spare' FROM sp, l WHERE x <= rest)"""
+
+
 add("v1_stratified_sample", lambda s, d: evidence.stratified_sample(scores(s, d).where(F.col("score") >= 0.5), 120, 0.25, BENIGN, 3).groupBy("family", "taken_by").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids")),
-    f"""WITH {SCORES_SQL}, ca AS (SELECT * FROM sc WHERE score >= 0.5), fa AS (SELECT family, count(*) AS av FROM ca GROUP BY 1), nf AS (SELECT count(*) FILTER (family <> 'view') AS k FROM fa),
-    ql AS (SELECT family, CASE WHEN family = 'view' THEN 30 ELSE 90 // k + CASE WHEN row_number() OVER (PARTITION BY family = 'view' ORDER BY family) <= 90 % k THEN 1 ELSE 0 END END AS quota FROM fa, nf),
-    r AS (SELECT row_id, family, quota, row_number() OVER (PARTITION BY family ORDER BY md5('3:' || row_id), row_id) AS r FROM ca JOIN ql USING (family)), l AS (SELECT 120 - count(*) AS rest FROM r WHERE r <= quota),
-    sp AS (SELECT row_id, family, row_number() OVER (ORDER BY md5('3:' || row_id), row_id) AS x FROM r WHERE r > quota) SELECT family, taken_by, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT family, row_id, 'quota' AS taken_by FROM r WHERE r <= quota UNION ALL SELECT family, row_id, 'spare' FROM sp, l WHERE x <= rest) GROUP BY 1, 2""")
-add("v2_two_pass", lambda s, d: windowed(s, d).join(evidence.stratified_sample(scores(s, d).where(F.col("score") >= 0.9), 20, 0.2, BENIGN, 1).select("row_id"), "row_id", "left_semi").select("window_id").distinct().join(windowed(s, d), "window_id").groupBy("window_id").agg(F.count("*").alias("n")))
+    f"WITH {sample_sql(0.5, 120, 30, 3)} SELECT family, taken_by, count(*) AS n, sum(row_id)::BIGINT AS ids FROM picked GROUP BY 1, 2")
+add("v2_two_pass", lambda s, d: windowed(s, d).join(evidence.stratified_sample(scores(s, d).where(F.col("score") >= 0.9), 20, 0.2, BENIGN, 1).select("row_id"), "row_id", "left_semi").select("window_id").distinct().join(windowed(s, d), "window_id").groupBy("window_id").agg(F.count("*").alias("n")), f"WITH {sample_sql(0.9, 20, 4, 1)} SELECT window_id, count(*) AS n FROM sc WHERE window_id IN (SELECT row_id // {SIZE} FROM picked) GROUP BY 1")
 add("v3_packs", lambda s, d: packed(s, d).select("detection_id", F.col("detection.predicted_class").alias("predicted_class"), F.col("guidance.description").alias("description"), F.round("detection.class_confidence", 6).alias("confidence"), F.col("detection.flagged").alias("flagged")), f"WITH {DET_SQL} SELECT 'det-' || o_orderkey AS detection_id, predicted AS predicted_class, 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, round(conf, 6) AS confidence, score >= 0.8 AS flagged FROM dt JOIN pd USING (o_orderkey)")
 add("j6_guidance_join", lambda s, d: packed(s, d).groupBy(F.col("guidance.description").alias("description")).agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, count(*) AS n FROM pd GROUP BY 1")
-add("v4_quality_notes", lambda s, d: failing(s, d).select(F.array_join(F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))), "; ").alias("note")).groupBy("note").agg(F.count("*").alias("n")))
+add("v4_quality_notes", lambda s, d: failing(s, d).select(F.array_join(F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))), "; ").alias("note")).groupBy("note").agg(F.count("*").alias("n")), f"WITH {LINES_SQL}, {_FAILED_SQL} SELECT coalesce(array_to_string(['check failed: ' || replace(x, '_', ' ') for x in failed], '; '), '') AS note, count(*) AS n FROM f GROUP BY 1")
 add("v5_validity", lambda s, d: evidence.validity(packed(s, d)).groupBy("valid", "sums_to_one").agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT true AS valid, true AS sums_to_one, count(*) AS n FROM dt")
 add("v6_measured", lambda s, d: table(s, d, "part").select("p_partkey", facts.measured(F.when(F.col("p_size") == 7, float("nan")).otherwise(F.col("p_size") / 8)).alias("m")), "SELECT p_partkey, CASE WHEN p_size <> 7 THEN round(p_size / 8, 4) END AS m FROM part")
 add("v10_evidence_summary", lambda s, d: rounded(evidence.summary(packed(s, d)), "mean_abs", "share"), f"WITH {DET_SQL}, c AS (SELECT unnest(['IN_BYTES', 'PROTOCOL', 'L4_DST_PORT']) AS feature, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt) SELECT feature, count(*) AS packs, round(avg(abs(v)), 6) AS mean_abs, count(*) FILTER (v > 0) AS raises, count(*) FILTER (v <= 0) AS lowers, 1.0::DOUBLE AS share FROM c GROUP BY 1")
@@ -151,7 +154,10 @@ add("v12_fp_margins", lambda s, d: detections(s, d).where("y = 0").agg(F.count_i
 add("t2_top_features", lambda s, d: detections(s, d).select("row_id", F.explode(facts.top_features(F.col("contributions"), 2)).alias("f")).select("row_id", "f.name", "f.direction"), f"WITH {DET_SQL}, c AS (SELECT o_orderkey AS row_id, unnest(['IN_BYTES', 'PROTOCOL=6', 'L4_DST_PORT_bucket=1']) AS name, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, name) AS r FROM c) SELECT row_id, name, CASE WHEN v > 0 THEN 'raised' ELSE 'lowered' END AS direction FROM r WHERE r <= 2")
 _W = [0.1 * ((i * 7) % 11 - 5) for i in range(64)]
 add("v7_linear_attribution", lambda s, d: table(s, d, "embeddings").select("vec_id", evidence.linear_attribution(F.transform("embedding", lambda x: x.cast("double")), _W).alias("a")).select("vec_id", F.round(F.aggregate("a", F.lit(0.0), lambda t, x: t + x), 6).alias("logit")), "SELECT vec_id, round(list_sum([embedding[i + 1]::DOUBLE * 0.1 * ((i * 7) % 11 - 5) for i in range(64)]), 6) AS logit FROM embeddings")
-add("v8_deletion", lambda s, d: evidence.deletion(table(s, d, "embeddings").select("vec_id", evidence.linear_attribution(F.transform("embedding", lambda x: x.cast("double")), _W).alias("a")), "a", "vec_id").agg(F.count_if(F.col("drop_named") >= F.col("drop_random")).alias("n_named_larger"), F.count("*").alias("n")), "SELECT count(*) AS n_named_larger, count(*) AS n FROM embeddings")
+add("v8_deletion", lambda s, d: rounded(evidence.deletion_report(evidence.deletion(table(s, d, "embeddings").select("vec_id", evidence.linear_attribution(F.transform("embedding", lambda x: x.cast("double")), _W).alias("a")), "a", "vec_id")), "share_named_larger", "still_flagged_named", "still_flagged_random", "median_drop_named", "median_drop_random"),
+    """WITH c AS (SELECT vec_id, unnest(range(64)) AS i, unnest([embedding[i + 1]::DOUBLE * (0.1::DOUBLE * ((i * 7) % 11 - 5)) for i in range(64)]) AS c FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, i) AS r FROM c),
+    s AS (SELECT *, row_number() OVER (PARTITION BY vec_id, r <= 5 ORDER BY md5('0:' || vec_id || ':' || i)) AS s FROM r), d AS (SELECT vec_id, sum(c) AS logit, sum(c) FILTER (r <= 5) AS dn, sum(c) FILTER (r > 5 AND s <= 5) AS dr FROM s GROUP BY 1)
+    SELECT count(*) AS n, round(avg((dn > dr)::INT), 6) AS share_named_larger, count(*) FILTER (logit >= 0) AS n_flagged, round(avg((logit - dn >= 0)::INT) FILTER (logit >= 0), 6) AS still_flagged_named, round(avg((logit - dr >= 0)::INT) FILTER (logit >= 0), 6) AS still_flagged_random, round(quantile_cont(dn, 0.5), 6) AS median_drop_named, round(quantile_cont(dr, 0.5), 6) AS median_drop_random FROM d""")
 
 # Reports: documents as report text, the document before as evidence.
 _ALIASES = {"connective": ("and", "und the"), "article": ("the", "la", "der"), "thing": ("be the", "de la")}
@@ -173,7 +179,26 @@ add("r7_leaks_and_jargon", lambda s, d: reports(s, d).select("doc_id", text.leak
 add("r8_families_named", lambda s, d: reports(s, d).select("doc_id", text.families_named(F.col("text"), _ALIASES).alias("named")))
 add("r8b_fidelity", lambda s, d: reports(s, d).select(text.classification_fidelity(text.families_named(F.col("text"), _ALIASES), F.lit("article"), F.create_map(F.lit("article"), F.lit(0.9), F.lit("thing"), F.lit(0.1))).alias("f")).select("f.*").groupBy("names_predicted", "substituted", "faithful").agg(F.count("*").alias("n")))
 add("r9_features_cited", lambda s, d: reports(s, d).select("doc_id", text.cites_feature(F.col("text"), "the_and", {"and": ("and", "und")}).alias("cited")), r"WITH z AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, contains(t, 'the_and') OR contains(t, 'the and') OR len(list_filter([regexp_extract_all(x, '[a-z0-9]+') for x in regexp_split_to_array(t, '[.!?\n]+')], lambda w: list_contains(w, 'the') AND (list_contains(w, 'and') OR list_contains(w, 'und')))) > 0 AS cited FROM z")
-add("r10_direction", lambda s, d: reports(s, d).select("doc_id", text.direction_mismatches(F.col("text"), {"the": "raised", "and": "lowered"}, ("ing ", "er "), ("ed ", "es ")).alias("turned")).select("doc_id", F.size("turned").alias("n")))
+_CITED = ["the_in", "and_out", "la_to", "DST_win"]
+
+
+def cited_sql(column):
+    """Whether sentences ``w`` of text ``t`` cite a column."""
+    need = [text.TOKEN_WORDS.get(p, (p,)) for p in column.lower().split("_")]
+    all_parts = " AND ".join("(" + " OR ".join(f"list_contains(w, '{x}')" for x in words) + ")" for words in need if words)
+    low = column.lower()
+    return f"(contains(t, '{low}') OR contains(t, '{low.replace('_', ' ')}') OR len(list_filter(ws, lambda w: {all_parts})) > 0)"
+
+
+def cited(s, d):
+    shown = F.when(F.col("doc_id") % 3 > 0, F.array(*[F.lit(c) for c in _CITED])).when(F.col("doc_id") % 2 > 0, F.array(F.lit("la_to"))).otherwise(F.array().cast("array<string>"))
+    return reports(s, d).select("doc_id", text.citations(F.col("text"), shown, _CITED).alias("c")).select("doc_id", "c.coverage", "c.cites_none", "c.cited")
+
+
+add("r9b_citations", cited, rf"""WITH z AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT doc_id, t, [regexp_extract_all(x, '[a-z0-9]+') for x in regexp_split_to_array(t, '[.!?\n]+')] AS ws, CASE WHEN doc_id % 3 > 0 THEN {_CITED} WHEN doc_id % 2 > 0 THEN ['la_to'] ELSE [] END AS own FROM z),
+    x AS (SELECT doc_id, own, list_filter([{', '.join(f"CASE WHEN {cited_sql(c)} THEN '{c}' END" for c in _CITED)}], lambda c: c IS NOT NULL AND list_contains(own, c)) AS hit FROM y)
+    SELECT doc_id, CASE WHEN len(own) > 0 THEN round(len(hit) / len(own), 4) END AS coverage, CASE WHEN len(own) > 0 THEN len(hit) = 0 END AS cites_none, CASE WHEN len(own) > 0 THEN hit END AS cited FROM x""")
+add("r10_direction", lambda s, d: reports(s, d).select("doc_id", text.direction_mismatches(F.col("text"), {"the": "raised", "and": "lowered"}, ("ing ", "er "), ("ed ", "es ")).alias("turned")).select("doc_id", F.size("turned").alias("n")), r"WITH z AS (SELECT doc_id, regexp_split_to_array(lower(text), ';|\b(?:while|whereas|but|however|in contrast|on the other hand|conversely)\b|[.!?\n]+') AS c FROM documents), y AS (SELECT doc_id, len(list_filter(c, lambda x: contains(x, 'the') AND (contains(x, 'ed ') OR contains(x, 'es ')) AND NOT (contains(x, 'ing ') OR contains(x, 'er ')))) > 0 AS a, len(list_filter(c, lambda x: contains(x, 'and') AND (contains(x, 'ing ') OR contains(x, 'er ')) AND NOT (contains(x, 'ed ') OR contains(x, 'es ')))) > 0 AS b FROM z) SELECT doc_id, coalesce(a, false)::INT + coalesce(b, false)::INT AS n FROM y")
 add("r11_score_all", lambda s, d: reports(s, d).select("doc_id", F.when(F.col("doc_id") % 10 != 3, F.struct(text.is_degenerate(F.col("text")).alias("degenerate"), F.size(text.words_in(F.col("text"), text.HEDGES)).alias("hedges"))).alias("s")).select("doc_id", "s.degenerate", "s.hedges").agg(F.count("*").alias("n"), F.count_if(F.col("degenerate").isNull()).alias("n_null"), F.sum("hedges").alias("hedges")), "SELECT count(*) AS n, count(*) FILTER (doc_id % 10 = 3) AS n_null, (sum(" + " + ".join(f"contains(lower(text), '{h}')::INT" for h in text.HEDGES) + ") FILTER (doc_id % 10 <> 3))::BIGINT AS hedges FROM documents")
 
 
@@ -184,7 +209,7 @@ def runs(s, d):
 
 
 RUNS_SQL = "rn AS (SELECT role AS model, CASE WHEN turn < 2 THEN 'v1' ELSE 'v2' END AS prompt, conv_id AS detection_id, length(text) / 100 AS score, turn % 3 <> 1 AS ok, length(text)::DOUBLE AS latency, CASE WHEN conv_id % 50 <> 7 THEN length(text) * 2 END AS cost, length(text) AS tokens, len(string_split(text, ' ')) AS words, conv_id % 3 = 0 AS is_fp, conv_id % 5 = 0 AS ambiguous, turn AS seed FROM conversations)"
-add("r12_model_summary", lambda s, d: rounded(study.model_summary(runs(s, d)), "mean_score", "latency_p50", "latency_p95"), f"WITH {RUNS_SQL} SELECT model, prompt, count(*) AS n, count(*) FILTER (ok) AS n_ok, round(avg(score), 6) AS mean_score, round(quantile_cont(latency, 0.5), 6) AS latency_p50, round(quantile_cont(latency, 0.95), 6) AS latency_p95, CASE WHEN count(*) = count(cost) THEN sum(cost)::BIGINT END AS cost FROM rn GROUP BY 1, 2")
+add("r12_model_summary", lambda s, d: rounded(study.model_summary(runs(s, d).withColumn("degenerate", F.col("ambiguous")).withColumn("leaked", F.col("is_fp"))), "mean_score", "mean_words", "leaked_rate", "latency_mean", "latency_p50", "latency_p95", "tokens_per_second").drop("faithful_rate", "substituted_rate", "cites_none_rate", "mean_coverage"), f"WITH {RUNS_SQL} SELECT model, prompt, count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok AND ambiguous) AS n_degenerate, count(*) FILTER (NOT ok AND NOT ambiguous) AS n_failed, round(avg(score) FILTER (ok), 6) AS mean_score, round(avg(words) FILTER (ok), 6) AS mean_words, round(avg(is_fp::INT) FILTER (ok), 6) AS leaked_rate, round(avg(latency) FILTER (ok), 6) AS latency_mean, round(quantile_cont(latency, 0.5) FILTER (ok), 6) AS latency_p50, round(quantile_cont(latency, 0.95) FILTER (ok), 6) AS latency_p95, round(sum(tokens) FILTER (ok AND tokens > 0) / sum(latency) FILTER (ok AND tokens > 0), 6) AS tokens_per_second, CASE WHEN count(*) = count(cost) THEN sum(cost)::BIGINT END AS cost FROM rn GROUP BY 1, 2")
 add("r13_study_on_fp", lambda s, d: rounded(runs(s, d).groupBy("model").agg(F.avg("score").alias("score_all"), F.avg(F.when(F.col("is_fp"), F.col("score"))).alias("score_fp")), "score_all", "score_fp"), f"WITH {RUNS_SQL} SELECT model, round(avg(score), 6) AS score_all, round(avg(score) FILTER (is_fp), 6) AS score_fp FROM rn GROUP BY 1")
 add("r14_end_to_end", lambda s, d: runs(s, d).withColumn("outcome", facts.outcome(F.col("is_fp").cast("int"), F.col("ambiguous"), F.col("ok"))).groupBy("model", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("ok") & (F.col("score") > 2)).alias("passed")), f"WITH {RUNS_SQL} SELECT model, CASE WHEN is_fp AND ambiguous THEN 'attack_right_family' WHEN is_fp THEN 'attack_wrong_family' WHEN ok THEN 'false_positive_borderline' ELSE 'false_positive_clear' END AS outcome, count(*) AS n, count(*) FILTER (ok AND score > 2) AS passed FROM rn GROUP BY 1, 2")
 add("r15_token_medians", lambda s, d: rounded(study.token_medians(runs(s, d)), "tokens", "words", "tokens_per_word"), f"WITH {RUNS_SQL} SELECT model, round(quantile_cont(tokens, 0.5), 6) AS tokens, round(quantile_cont(words, 0.5), 6) AS words, round(quantile_cont(tokens / words, 0.5), 6) AS tokens_per_word FROM rn GROUP BY 1")
@@ -234,4 +259,4 @@ def saturation(s, d):
 
 add("q22_saturation", saturation)
 add("s8_results_scan", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.length("text").alias("value"))).alias("runs")).select(F.explode("runs").alias("r")).select("r.*").groupBy("turn").agg(F.sum("value").alias("total")), "SELECT turn, sum(length(text))::BIGINT AS total FROM conversations GROUP BY 1")
-add("a10b_five_numbers_empty", lambda s, d: rounded(runs(s, d).groupBy("model").agg(*profile.five_numbers(F.when(F.col("model") != "system", F.col("score")))), "mean", "std", "p25", "median", "p75"), f"WITH {RUNS_SQL} SELECT model, n, round(mean, 6) AS mean, round(std, 6) AS std, min, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, max FROM (SELECT model, {five_sql('x')} FROM (SELECT model, CASE WHEN model <> 'system' THEN score END AS x FROM rn) GROUP BY 1)")
+add("a10b_five_numbers_empty", lambda s, d: rounded(profile.five_numbers(runs(s, d).withColumn("score", F.when(F.col("model") != "system", F.col("score"))), "score", "model"), "mean", "std", "p25", "median", "p75"), f"WITH {RUNS_SQL} SELECT model, n, round(mean, 6) AS mean, round(std, 6) AS std, min, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, max FROM (SELECT model, {five_sql('x')} FROM (SELECT model, CASE WHEN model <> 'system' THEN score END AS x FROM rn) GROUP BY 1)")
