@@ -320,3 +320,8 @@ def test_metrics_file_is_one_row(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "m").glob("part-*")) == '{"a":1,"b":null}\n'
     with pytest.raises(ValueError):
         sinks.write_metrics(spark.range(2), f"{tmp_path}/n")
+
+
+def test_rank_auc_puts_the_median_for_what_is_not_finite(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 3.0), (0, None), (1, float("inf"))], "label int, x double")
+    assert abs(quality.rank_auc(df, ["x"]).first().auc - (3 + 0.5 + 1 + 0.5) / 6) < 1e-12

@@ -96,9 +96,10 @@ def derived_check(df: DataFrame, total: str, duration: str, rate: str) -> DataFr
 def rank_auc(df: DataFrame, features: list[str]) -> DataFrame:
     """Mann-Whitney AUC of each feature alone, ties averaged; non-finite values count as the median of the finite."""
     long = unpivot(df, features, ["label"])
-    medians = rank.percentiles(long.where(finite("value")), "value", {"m": 0.5}, "feature")
-    clean = long.join(F.broadcast(medians), "feature").withColumn("value", F.when(finite("value"), F.col("value")).otherwise(F.col("m")))
-    return _auc_of_counts(clean.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), ["feature"])
+    if long.where(~finite("value")).limit(1).count():
+        medians = rank.percentiles(long.where(finite("value")), "value", {"m": 0.5}, "feature")
+        long = long.join(F.broadcast(medians), "feature").withColumn("value", F.when(finite("value"), F.col("value")).otherwise(F.col("m")))
+    return _auc_of_counts(long.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), ["feature"])
 
 
 def _auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:

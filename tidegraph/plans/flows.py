@@ -280,10 +280,10 @@ for _side, _h, _p in (("src", "src", "dst"), ("dst", "dst", "src")):
 
 
 def targets(s, d):
-    return windowed(s, d).where(F.col("in_bytes") / 500.0 >= 0.9)
+    return windowed(s, d).where(F.col("in_bytes") / 500.0 >= 0.2)
 
 
-_TARGETS_SQL = "tg AS (SELECT * FROM wf WHERE in_bytes / 500.0 >= 0.9), tc AS (SELECT DISTINCT t.row_id AS detection, t.src AS s, t.dst AS d, f.* FROM tg t JOIN wf f ON t.window_id = f.window_id AND t.row_id <> f.row_id AND (f.src IN (t.src, t.dst) OR f.dst IN (t.src, t.dst)))"
+_TARGETS_SQL = "tg AS (SELECT * FROM wf WHERE in_bytes / 500.0 >= 0.2), tc AS (SELECT DISTINCT t.row_id AS detection, t.src AS s, t.dst AS d, f.* FROM tg t JOIN wf f ON t.window_id = f.window_id AND t.row_id <> f.row_id AND (f.src IN (t.src, t.dst) OR f.dst IN (t.src, t.dst)))"
 add("j5_touching", lambda s, d: graph.touching(windowed(s, d), targets(s, d)), f"WITH {WINDOWED_SQL}, {_TARGETS_SQL} SELECT detection, window_id, row_id FROM tc")
 add("g9_ego_graph", lambda s, d: graph.ego_graph(windowed(s, d), targets(s, d), 28),
     f"""WITH {WINDOWED_SQL}, {_TARGETS_SQL}, n AS (SELECT detection, s, d, src, dst, h FROM (SELECT detection, s, d, row_id, src, dst, src AS h FROM tc UNION SELECT detection, s, d, row_id, src, dst, dst FROM tc) WHERE h <> s AND h <> d),
