@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import facts, text
 from tidegraph.operators import encode, evaluate, evidence, graph, models, profile, quality, rank, split, study
 from tidegraph.sources import tables
+from tidegraph.streaming import replay
 
 
 def scores(spark, y, s):
@@ -325,3 +326,90 @@ def test_metrics_file_is_one_row(spark, tmp_path):
 def test_rank_auc_puts_the_median_for_what_is_not_finite(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 3.0), (0, None), (1, float("inf"))], "label int, x double")
     assert abs(quality.rank_auc(df, ["x"]).first().auc - (3 + 0.5 + 1 + 0.5) / 6) < 1e-12
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    rows = [(0, 0, 1, 2, 10.0), (1, 0, 1, 3, 4.0), (2, 0, 4, 2, 6.0), (3, 0, 5, 6, 8.0), (4, 0, 2, 2, 1.0), (5, 1, 7, 8, 3.0)]
+    return spark.createDataFrame(rows, "row_id long, window_id long, src long, dst long, x double")
+
+
+def test_pair_counts_pool_touching_flows(spark, near):
+    got = {(r.src, r.dst): r.flows for r in graph.pair_counts(near.union(near.where("row_id = 1").withColumn("row_id", F.lit(9).cast("long"))), near.where("row_id = 0")).collect()}
+    assert got == {(1, 3): 2, (4, 2): 1, (2, 2): 1}
+
+
+def test_influence_equals_rescoring(spark, near):
+    rows = [tuple(r) for r in near.where("window_id = 0").collect()]
+
+    def score(without):
+        mean = lambda h: (lambda v: sum(v) / len(v))([r[4] for r in rows if r[0] != without for e in (r[2], r[3]) if e == h])
+        return (mean(1) + mean(2)) / 2
+
+    got = {r.row_id: r for r in graph.neighbour_influence(near, near.where("row_id = 0"), "x").collect()}
+    assert set(got) == {1, 2, 4}
+    for i, r in got.items():
+        assert abs(r.score - score(None)) < 1e-12 and abs(r.score_without - score(i)) < 1e-12 and abs(r.importance - (score(None) - score(i))) < 1e-12 and r.n_neighbours == 3
+
+
+def test_neighbour_notes_state_their_denominator(spark, near):
+    found = graph.neighbour_influence(near, near, "x")
+    notes = {r.detection: r for r in evidence.neighbour_notes(near, found, 1e9).collect()}
+    assert notes[5].note == "No other flow of this period has a host of this one." and notes[5].n_tested == 0 and notes[5].max_influence is None
+    assert notes[0].note.startswith("All 3 flows") and notes[0].influential == []
+    few = {r.detection: r for r in evidence.neighbour_notes(near, graph.neighbour_influence(near, near, "x", most=2), 1e9).collect()}
+    assert few[0].note.startswith("Of 3 flows with a host of this one, 2 were tested")
+    strong = {r.detection: r for r in evidence.neighbour_notes(near, found, 0.0).collect()}[0]
+    assert strong.note is None and len(strong.influential) == 3 and abs(strong.influential[0].importance) >= abs(strong.influential[1].importance)
+
+
+def pack_rows(spark):
+    det = spark.createDataFrame(
+        [(1, 7, 8, "dos", 0.95, 0.5, {"dos": 0.97, "Benign": 0.03}, {"IN_BYTES": 1.5}, ["rate_not_a_rate"], {"PROTOCOL": 6.0, "L4_DST_PORT": 443.0, "IN_BYTES": 300.0, "IN_PKTS": 2.0, "CLIENT_TCP_FLAGS": 2.0}), (2, 7, 9, "dos", 0.52, 0.5, {"dos": 0.5, "Benign": 0.5}, {}, [], None)],
+        "row_id long, src long, dst long, family string, score double, threshold double, distribution map<string,double>, contributions map<string,double>, failed array<string>, measures map<string,double>",
+    )
+    guide = spark.createDataFrame([("dos", "too many"), ("Benign", "none")], "attack_family string, description string")
+    return evidence.packs(det.withColumn("window_id", F.lit(0)), guide, "Benign"), evidence.packs(evidence.with_context(det.withColumn("window_id", F.lit(0)), spark.createDataFrame([(0, 7, 8, 443, 300.0, 1), (0, 7, 9, 80, 1.0, 0)], "window_id int, src long, dst long, dst_port int, in_bytes double, label int")), guide, "Benign")
+
+
+def test_rendered_sections(spark):
+    plain, full = pack_rows(spark)
+    texts = {r[0]: r[1] for r in plain.select("detection_id", evidence.render(plain)).collect()}
+    assert [x for x in texts["det-1"].split("\n") if not x.startswith("- ") and x] == ["Detection", "Flow", "Reasons", "Data quality", "Guidance"]
+    assert "- To the destination: 300 bytes in 2 packets, 150 bytes a packet on average." in texts["det-1"] and "- TCP flags of the source: SYN." in texts["det-1"] and "443 (HTTPS)" in texts["det-1"]
+    assert "Flow\n" not in texts["det-2"] and "- The detection is borderline." in texts["det-2"] and "- The detection is clear." in texts["det-1"] and "Nothing more is known" in texts["det-2"]
+    texts = {r[0]: r[1] for r in full.select("detection_id", evidence.render(full)).collect()}
+    assert "- The source started 2 flows to 2 hosts on 2 ports: about as many hosts as a typical host here." in texts["det-1"] and "- The period has 2 flows among 3 hosts." in texts["det-1"] and "- The destination received 1 flow from 1 host on 1 port" in texts["det-1"]
+
+
+def test_versions_differ_in_titles_only(spark):
+    _, full = pack_rows(spark)
+    row = full.select(*[evidence.render(full, v).alias(v) for v in evidence.RENDERERS]).collect()[0]
+    assert row.v1 == row.v2 and row.v3 == row.v4 and [x for x in row.v3.split("\n") if x.startswith("- ")] == row.v1.split("\n")
+    with pytest.raises(KeyError):
+        evidence.render(full, "v9")
+
+
+def test_scorers(spark, near):
+    out = replay.with_scores(near, replay.batch_scorer(lambda b: b["x"].to_numpy() * 2))
+    assert {r.row_id: r.score for r in out.collect()} == {r.row_id: r.x * 2 for r in near.collect()}
+    with pytest.raises(ValueError, match="x"):
+        replay.with_scores(near, lambda df: df.drop("x").withColumn("score", F.lit(1.0)))
+
+
+def test_latency_and_matched_difference(spark):
+    w = spark.createDataFrame([(float(i),) for i in range(1, 6)], "seconds double")
+    r = evaluate.replay_latency(w, "seconds").first()
+    assert (r.latency_median, round(r.latency_p95, 6)) == (3.0, 4.8)
+    a, b = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.1)], "seed int, value double"), spark.createDataFrame([(1, 0.7), (2, 0.5)], "seed int, value double")
+    r = study.matched_difference(a, b).first()
+    assert r.n_pairs == 2 and abs(r.mean_with - 0.85) < 1e-12 and abs(r.mean_without - 0.6) < 1e-12 and abs(r.difference - 0.25) < 1e-12
+
+
+def test_encoder_keeps_the_order_of_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, "0", "a", "1")] * 3, "b double, a double, z_bucket string, c string, y_present string")
+    p = encode.Pipeline(["b", "a"], [], ["z_bucket", "c", "y_present"]).fit(df)
+    want = ["b", "a", "z_bucket=OTHER", "z_bucket=well_known", "c=OTHER", "c=a", "y_present=OTHER", "y_present=present"]
+    assert p.feature_names() == want
+    p.save(spark, f"file://{tmp_path}/p")
+    assert encode.Pipeline.load(spark, f"file://{tmp_path}/p").feature_names() == want

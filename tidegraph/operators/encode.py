@@ -14,6 +14,8 @@ CLIP_QUANTILE = 0.99999
 MIN_SHARE = 0.001
 MAX_CODES = 63
 OTHER = 0
+# Names of the slots of port buckets and presence columns.
+LABELS = {"_bucket": {"0": "well_known", "1": "registered", "2": "ephemeral"}, "_present": {"0": "absent", "1": "present"}}
 
 
 def bucket_port(c: str) -> Column:
@@ -70,10 +72,9 @@ class Pipeline:
                 s = second[f"s_{c}"] or 0.0
                 self.params[c] = Continuous(hi, shift, second[f"m_{c}"] or 0.0, s if s > 1e-12 else 1.0)
         if self.categorical:
+            self.vocab |= {c: [] for c in self.categorical}  # in the order of the columns
             for r in vocabulary(train, self.categorical).orderBy("column", "code").collect():  # at most MAX_CODES rows a column
-                self.vocab.setdefault(r["column"], []).append(r["value"])
-            for c in self.categorical:
-                self.vocab.setdefault(c, [])
+                self.vocab[r["column"]].append(r["value"])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -107,20 +108,24 @@ class Pipeline:
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == code, 1.0).otherwise(0.0).cast("float"))
 
     def feature_names(self) -> list[str]:
-        return [*self.params, *[f"{c}={v}" for c, values in self.vocab.items() for v in ["OTHER", *values]]]
+        """Names by position: continuous columns, then ``COLUMN=value``; port buckets and presence columns have fixed labels."""
+        label = lambda c, v: next((named.get(v, v) for end, named in LABELS.items() if c.endswith(end)), v)
+        return [*self.params, *[f"{c}={label(c, v)}" for c, values in self.vocab.items() for v in ["OTHER", *values]]]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(c, p.clip_hi, p.log_shift, p.mean, p.std) for c, p in self.params.items()]
-        spark.createDataFrame(rows, "column string, clip_hi double, log_shift double, mean double, std double").write.parquet(f"{path}/params")
-        rows = [(c, v, i) for c, values in self.vocab.items() for i, v in enumerate(values, 1)]
-        spark.createDataFrame(rows, "column string, value string, code int").write.parquet(f"{path}/vocab")
+        rows = [(c, p.clip_hi, p.log_shift, p.mean, p.std, i) for i, (c, p) in enumerate(self.params.items())]
+        spark.createDataFrame(rows, "column string, clip_hi double, log_shift double, mean double, std double, place int").write.parquet(f"{path}/params")
+        rows = [(c, v, i, place) for place, (c, values) in enumerate(self.vocab.items()) for i, v in enumerate(["OTHER", *values])]
+        spark.createDataFrame(rows, "column string, value string, code int, place int").write.parquet(f"{path}/vocab")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
-        params = {r["column"]: Continuous(r["clip_hi"], r["log_shift"], r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/params").collect()}
+        params = {r["column"]: Continuous(r["clip_hi"], r["log_shift"], r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/params").orderBy("place").collect()}
         vocab: dict[str, list[str]] = {}
-        for r in spark.read.parquet(f"{path}/vocab").orderBy("column", "code").collect():
-            vocab.setdefault(r["column"], []).append(r["value"])
+        for r in spark.read.parquet(f"{path}/vocab").orderBy("place", "code").collect():
+            own = vocab.setdefault(r["column"], [])
+            if r["code"] != OTHER:
+                own.append(r["value"])
         return cls(list(params), [c for c, p in params.items() if p.log_shift is not None], list(vocab), params, vocab)
 
 

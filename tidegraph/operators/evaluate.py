@@ -148,3 +148,8 @@ def running_replay(windows: DataFrame) -> DataFrame:
     sums = {f"{c}_so_far": c for c in ("flows", "alerts", "tp", "attacks")}
     out = rank.running_sums(windows, "window_id", sums, descending=False)
     return out.select("window_id", *sums, F.when(F.col("alerts_so_far") > 0, F.col("tp_so_far") / F.col("alerts_so_far")).alias("precision"), F.when(F.col("attacks_so_far") > 0, F.col("tp_so_far") / F.col("attacks_so_far")).alias("recall"))
+
+
+def replay_latency(windows: DataFrame, seconds: str) -> DataFrame:
+    """One row: exact median and 95th percentile of the seconds that windows took."""
+    return rank.percentiles(windows, seconds, {"latency_median": 0.5, "latency_p95": 0.95})

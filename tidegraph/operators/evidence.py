@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import facts
-from tidegraph.operators import rank
+from tidegraph.operators import graph, rank
 
 BANNED = ("neural network", "gnn", "graph neural", "embedding", "logit", "softmax", "training data")
 VERSION = "2.0"
@@ -45,9 +45,11 @@ def stratified_sample(candidates: DataFrame, n: int, fp_share: float, benign: st
 def packs(detections: DataFrame, guidance: DataFrame, benign: str) -> DataFrame:
     """One nested pack per detection: flow, detection, attribution, data quality and guidance of the predicted family.
 
-    ``detections`` has row_id, src, dst, family, score, threshold, distribution, contributions and failed; ``guidance``
-    (attack_family, description) is a dimension table and falls back to the benign row.
+    ``detections`` has row_id, src, dst, family, score, threshold, distribution, contributions and failed, and may have
+    ``measures`` (a map of measured columns), ``context`` (of ``with_context``) and ``neighbours`` (of
+    ``neighbour_notes``); ``guidance`` (attack_family, description) is a dimension table and falls back to the benign row.
     """
+    more = lambda name: [F.col(name)] if name in detections.columns else []
     own = detections.withColumn("predicted", facts.predicted(F.col("distribution")))
     fallback = guidance.where(F.col("attack_family") == benign).select(F.first("description").alias("_default"))
     joined = own.join(guidance.select(F.col("attack_family").alias("predicted"), "description"), "predicted", "left").crossJoin(F.broadcast(fallback))  # one row
@@ -55,9 +57,10 @@ def packs(detections: DataFrame, guidance: DataFrame, benign: str) -> DataFrame:
     return joined.select(
         F.concat(F.lit("det-"), F.col("row_id").cast("string")).alias("detection_id"),
         F.lit(VERSION).alias("schema_version"),
-        F.struct("src", "dst", F.col("family").alias("true_label")).alias("flow"),
+        F.struct("src", "dst", F.col("family").alias("true_label"), *more("measures")).alias("flow"),
         F.struct("score", "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"), F.col("predicted").alias("predicted_class"), F.try_element_at("distribution", "predicted").alias("class_confidence"), F.col("distribution").alias("class_distribution")).alias("detection"),
-        F.struct(top.alias("top_features")).alias("attribution"),
+        F.struct(top.alias("top_features"), *more("neighbours")).alias("attribution"),
+        *more("context"),
         F.struct(F.col("failed").alias("failed_checks"), F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))).alias("notes")).alias("data_quality"),
         F.struct(F.coalesce("predicted", F.lit(benign)).alias("attack_family"), F.coalesce("description", "_default").alias("description")).alias("guidance"),
         F.lit(None).cast("string").alias("causal_path"),
@@ -74,21 +77,122 @@ def validity(pack_table: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.col("version_ok") & F.col("has_distribution") & F.col("sums_to_one") & F.col("vocabulary_ok"))
 
 
-def pack_sections(p: DataFrame) -> Column:
-    """Rendered facts of a pack table."""
-    d = F.col("detection")
+def with_context(detections: DataFrame, flows: DataFrame) -> DataFrame:
+    """``detections`` (window_id, src, dst, ...) with ``context``: what both hosts did in the window, and its size.
+
+    The source's side counts flows that it started, the destination's those that it received.
+    """
+    out = detections
+    for end, peer in (("src", "dst"), ("dst", "src")):
+        own = graph.host_context(flows, end, peer)
+        host = F.struct(*[F.col(c) for c in ("flow_count", "distinct_peers", "distinct_ports", "times_typical")]).alias(f"_{end}")
+        out = out.join(own.select(graph.WIN, F.col("host").alias(end), host), [graph.WIN, end], "left")
+    sizes = graph.snapshot_stats(flows).select(graph.WIN, F.col("edges").alias("_flows"), F.col("nodes").alias("_hosts"))
+    context = F.struct(F.col("_src").alias("src_host"), F.col("_dst").alias("dst_host"), F.col("_flows").alias("window_flow_count"), F.col("_hosts").alias("window_host_count"))
+    return out.join(sizes, graph.WIN, "left").withColumn("context", context).drop("_src", "_dst", "_flows", "_hosts")
+
+
+def neighbour_notes(detections: DataFrame, influence: DataFrame, least: float, shown: int = 3) -> DataFrame:
+    """Per detection: flows that share a host, how many were tested, the largest influence, those of at least ``least``
+    (up to ``shown``, strongest first), and a note with its denominators where there are none."""
+    strong = F.array_sort(F.collect_list(F.when(F.abs("importance") >= least, F.struct((-F.abs("importance")).alias("_m"), "row_id", "src", "dst", "importance", "score_without"))))
+    g = influence.groupBy("detection").agg(F.max("n_neighbours").alias("n_touching"), F.count("*").alias("n_tested"), F.max(F.abs("importance")).alias("max_influence"), F.count_if(F.abs("importance") >= least).alias("n_influential"), strong.alias("_s"))
+    out = detections.select(F.col("row_id").alias("detection")).join(g, "detection", "left").fillna(0, ["n_touching", "n_tested", "n_influential"])
+    listed = F.transform(F.slice(F.coalesce("_s", F.array().cast(g.schema["_s"].dataType)), 1, shown), lambda x: x.dropFields("_m"))
+    among = F.when(F.col("n_tested") < F.col("n_touching"), F.concat(F.lit("Of "), facts.num(F.col("n_touching")), F.lit(" flows with a host of this one, "), facts.num(F.col("n_tested")), F.lit(" were tested"))).otherwise(F.concat(F.lit("All "), facts.num(F.col("n_tested")), F.lit(" flows with a host of this one were tested")))
+    note = F.when(F.col("n_tested") == 0, "No other flow of this period has a host of this one.").when(F.col("n_influential") == 0, F.concat(among, F.lit(f": without any one of them the score moves by less than {least:g}.")))
+    return out.select("detection", "n_touching", "n_tested", "n_influential", "max_influence", listed.alias("influential"), note.alias("note"))
+
+
+def _has(p: DataFrame, parent: str, name: str) -> bool:
+    return parent in p.columns and name in p.schema[parent].dataType.names
+
+
+def _traffic(m: Column, what: str, size: str, packets: str) -> Column:
+    b, n = F.try_element_at(m, F.lit(size)), F.try_element_at(m, F.lit(packets))
+    mean = F.when(n > 0, F.concat(F.lit(", "), facts.num(F.round(b / n)), F.lit(" bytes a packet on average"))).otherwise("")
+    line = F.concat(F.lit(f"{what}: "), facts.num(b), F.lit(" bytes"), F.when(n.isNotNull(), F.concat(F.lit(" in "), facts.num(n), F.lit(" "), facts.plural(n, "packet"), F.coalesce(mean, F.lit("")))).otherwise(""), F.lit("."))
+    return F.when(b.isNotNull(), line)
+
+
+def measure_lines(m: Column) -> list[Column]:
+    """Sentences on the measured columns of a flow, each NULL where its columns are missing."""
+    at = lambda name: F.try_element_at(m, F.lit(name))
+    said = lambda label, name, decode: F.when(at(name).isNotNull(), F.concat(F.lit(f"{label}: "), decode(at(name)), F.lit(".")))
+    flags = [F.when(at("PROTOCOL") == 6, said(f"TCP flags of the {who}", name, facts.tcp_flags)) for who, name in (("source", "CLIENT_TCP_FLAGS"), ("destination", "SERVER_TCP_FLAGS"))]
+    ends = at("SHORTEST_FLOW_PKT"), at("LONGEST_FLOW_PKT")
+    sizes = F.when(ends[0] == ends[1], F.concat(F.lit("All packets had "), facts.num(ends[0]), F.lit(" bytes."))).when(ends[0].isNotNull() & ends[1].isNotNull(), F.concat(F.lit("Packets had "), facts.num(ends[0]), F.lit(" to "), facts.num(ends[1]), F.lit(" bytes.")))
+    codes = [F.when(at(name) != 0, said(label, name, decode)) for label, name, decode in (("ICMP", "ICMP_TYPE", facts.icmp), ("DNS query", "DNS_QUERY_TYPE", facts.dns_type), ("FTP reply", "FTP_COMMAND_RET_CODE", facts.ftp_code))]
+    return [
+        said("Protocol", "PROTOCOL", facts.protocol), said("Application", "L7_PROTO", facts.app_protocol), said("Source port", "L4_SRC_PORT", facts.port), said("Destination port", "L4_DST_PORT", facts.port),
+        _traffic(m, "To the destination", "IN_BYTES", "IN_PKTS"), _traffic(m, "Back to the source", "OUT_BYTES", "OUT_PKTS"), *flags, sizes, *codes,
+    ]
+
+
+def context_lines(c: Column) -> list[Column]:
+    """Sentences on both hosts and the window, each NULL where it is not known."""
+
+    def host(h: Column, did: str, peers: str, times: str) -> Column:
+        line = F.concat(F.lit(did), facts.num(h["flow_count"]), F.lit(" "), facts.plural(h["flow_count"], "flow"), F.lit(peers), facts.num(h["distinct_peers"]), F.lit(" "), facts.plural(h["distinct_peers"], "host"), F.lit(" on "), facts.num(h["distinct_ports"]), F.lit(" "), facts.plural(h["distinct_ports"], "port"))
+        return F.when(h.isNotNull(), F.concat(line, F.coalesce(F.concat(F.lit(": "), facts.times_phrase(F.round(h["times_typical"], 2), times)), F.lit("")), F.lit(".")))
+
+    size = F.concat(F.lit("The period has "), facts.num(c["window_flow_count"]), F.lit(" flows among "), facts.num(c["window_host_count"]), F.lit(" hosts."))
+    return [host(c["src_host"], "The source started ", " to ", "hosts"), host(c["dst_host"], "The destination received ", " from ", "sources"), F.when(c["window_flow_count"] > 0, size)]
+
+
+def neighbour_lines(n: Column, most: int = 3) -> list[Column]:
+    """Sentences on influential neighbours, or the note where there are none."""
+
+    def one(i: int) -> Column:
+        x = F.get(n["influential"], F.lit(i))
+        return F.when(x.isNotNull(), F.concat(F.lit("A related flow, "), x["src"].cast("string"), F.lit(" to "), x["dst"].cast("string"), F.lit(", matters: without it the score is "), facts.num(F.round(x["score_without"], 3)), F.lit(".")))
+
+    return [*[one(i) for i in range(most)], n["note"]]
+
+
+def _parts(p: DataFrame) -> list[tuple[str, list[Column]]]:
+    """Titles and sentences of a pack table's six sections; parts that the table doesn't have are left out."""
+    d, flow, g = F.col("detection"), F.col("flow"), F.col("guidance")
     m = facts.margin(d["score"], d["threshold"])
     c = facts.confidence(d["class_confidence"], d["class_distribution"])
     others = F.array_join(F.transform(c["alternatives"], lambda a: a["family"]), ", ")
+    uncertain = facts.borderline(d["score"], d["threshold"], d["class_confidence"], d["class_distribution"])
     reason_lines = facts.reasons(F.col("attribution.top_features"))
-    return facts.rendered(
-        [
-            ("Detection", [F.concat(F.lit("Predicted category: "), d["predicted_class"]), F.concat(F.lit("The score cleared the threshold by a "), m["band"], F.lit(" margin."))]),
-            ("Confidence", [F.concat(F.lit("Confidence in the category is "), c["band"], F.lit(".")), F.when(F.size(c["alternatives"]) > 0, F.concat(F.lit("Other plausible categories: "), others))]),
-            ("Reasons", [F.get(reason_lines, F.lit(i)) for i in range(5)]),
-            ("Data quality", [F.when(F.size("data_quality.failed_checks") > 0, F.array_join("data_quality.notes", "; "))]),
-        ]
-    )
+    return [
+        ("Detection", [
+            F.concat(F.lit("Flow from "), flow["src"].cast("string"), F.lit(" to "), flow["dst"].cast("string"), F.lit(".")),
+            F.concat(F.lit("Predicted category: "), d["predicted_class"], F.lit(", with "), c["band"], F.lit(" confidence.")),
+            F.concat(F.lit("The score cleared the threshold by a "), m["band"], F.lit(" margin.")),
+            F.when(F.size(c["alternatives"]) > 0, F.concat(F.lit("Other plausible categories: "), others, F.lit("."))).otherwise("No other category is plausible."),
+            F.when(uncertain, "The detection is borderline.").otherwise("The detection is clear."),
+        ]),
+        ("Flow", measure_lines(flow["measures"]) if _has(p, "flow", "measures") else []),
+        ("Reasons", [*[F.get(reason_lines, F.lit(i)) for i in range(5)], *(neighbour_lines(F.col("attribution.neighbours")) if _has(p, "attribution", "neighbours") else [])]),
+        ("Context", context_lines(F.col("context")) if "context" in p.columns else []),
+        ("Data quality", [F.when(F.size("data_quality.failed_checks") > 0, F.array_join("data_quality.notes", "; ")).otherwise("Nothing more is known about this flow.")]),
+        ("Guidance", [F.concat(g["attack_family"], F.lit(": "), g["description"])]),
+    ]
+
+
+def pack_sections(p: DataFrame) -> Column:
+    """Rendered facts of a pack table: titled sections."""
+    return facts.rendered([(title, lines) for title, lines in _parts(p) if lines])
+
+
+def pack_lines(p: DataFrame) -> Column:
+    """The same facts as one flat list of '- ' lines."""
+    return F.array_join(F.transform(F.array_compact(F.array(*[x for _, lines in _parts(p) for x in lines])), lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+#: Renderer of each version of the evidence text.
+RENDERERS = {"v1": pack_lines, "v2": pack_lines, "v3": pack_sections, "v4": pack_sections}
+
+
+def render(p: DataFrame, version: str = "v3") -> Column:
+    """Text of a pack table in one of the versions."""
+    if version not in RENDERERS:
+        raise KeyError(f"unknown version {version!r}; there are {', '.join(RENDERERS)}")
+    return RENDERERS[version](p)
 
 
 def summary(pack_table: DataFrame, k: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -135,6 +135,12 @@ def ego_graph(flows: DataFrame, targets: DataFrame, max_hosts: int = 28) -> Data
     return ranked.where(F.col("rank") <= max_hosts).select("detection", "host", "flows", side.alias("side"), "rank", F.greatest(F.col("n_hosts") - max_hosts, F.lit(0)).alias("n_omitted"))
 
 
+def pair_counts(flows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Touching flows of each detection pooled by directed host pair."""
+    rows = touching(flows, targets).join(flows.select("row_id", "src", "dst"), "row_id")
+    return rows.groupBy("detection", "src", "dst").agg(F.count("*").alias("flows"))
+
+
 def neighbour_candidates(flows: DataFrame, targets: DataFrame, most: int = 50, seed: int = 0) -> DataFrame:
     """Up to ``most`` touching flows of each detection in md5 order, with how many there are."""
     rows = touching(flows, targets).withColumn("_h", rank.md5_key(seed, "detection", "row_id"))
@@ -143,6 +149,32 @@ def neighbour_candidates(flows: DataFrame, targets: DataFrame, most: int = 50, s
     return ranked.where(F.col("rank") <= most).drop("_h")
 
 
+def neighbour_influence(flows: DataFrame, targets: DataFrame, feature: str, weight: float = 1.0, most: int = 50, seed: int = 0) -> DataFrame:
+    """Candidate neighbours of each detection with what removing one of them does to the detection's score, exactly.
+
+    The score is ``weight`` times the mean of ``feature`` at the detection's two hosts, where a host's mean is over the ends
+    of its flows in the window. A removed flow changes sums and counts only, so one aggregate over (window, host) is enough.
+    """
+    ends = flows.select(WIN, F.explode(F.array("src", "dst")).alias("host"), F.col(feature).cast("double").alias("x"))
+    hosts = ends.groupBy(WIN, "host").agg(F.sum("x").alias("total"), F.count("x").alias("n"))
+    own = targets.select(WIN, F.col("row_id").alias("detection"), F.col("src").alias("s"), F.col("dst").alias("d"))
+    for end in ("s", "d"):
+        own = own.join(hosts.select(WIN, F.col("host").alias(end), F.col("total").alias(f"{end}_total"), F.col("n").alias(f"{end}_n")), [WIN, end])
+    rows = neighbour_candidates(flows, targets, most, seed).join(flows.select("row_id", "src", "dst", F.col(feature).cast("double").alias("x")), "row_id")
+    rows = rows.join(own.drop(WIN), "detection")
+
+    def mean(end: str, without: bool) -> Column:
+        if not without:
+            return F.col(f"{end}_total") / F.col(f"{end}_n")
+        times = ((F.col("src") == F.col(end)).cast("int") + (F.col("dst") == F.col(end)).cast("int")) * F.when(F.col("x").isNotNull(), 1).otherwise(0)
+        left = F.col(f"{end}_n") - times
+        return F.when(left > 0, (F.col(f"{end}_total") - times * F.coalesce("x", F.lit(0.0))) / left)
+
+    score = lambda without: F.lit(weight / 2) * (mean("s", without) + mean("d", without))
+    rows = rows.withColumn("score", score(False)).withColumn("score_without", score(True))
+    return rows.select("detection", "row_id", "src", "dst", "rank", "n_neighbours", "score", "score_without", (F.col("score") - F.col("score_without")).alias("importance"))
+
+
 def neighbourhood_means(flows: DataFrame, features: list[str], rounds: int = 1) -> DataFrame:
     """Unlearned propagation: hosts take the mean of their edges' features in both directions; edges then get both ends.
 

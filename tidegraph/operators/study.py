@@ -52,6 +52,12 @@ def paired_gain(a: DataFrame, b: DataFrame, key: str = "seed") -> DataFrame:
     return j.agg(F.count("*").alias("n_pairs"), F.avg(F.col("x") - F.col("y")).alias("mean_gain"), F.min(F.col("x") - F.col("y")).alias("min_gain"), F.max(F.col("x") - F.col("y")).alias("max_gain"))
 
 
+def matched_difference(with_: DataFrame, without: DataFrame, key: str = "seed") -> DataFrame:
+    """Means of two variants over the runs that both have, and their difference; a run that one lacks counts in neither."""
+    j = with_.select(key, F.col("value").alias("x")).join(without.select(key, F.col("value").alias("y")), key)
+    return j.agg(F.count("*").alias("n_pairs"), F.avg("x").alias("mean_with"), F.avg("y").alias("mean_without"), F.avg(F.col("x") - F.col("y")).alias("difference"))
+
+
 def paired_prompts(reports: DataFrame, one: str, two: str) -> DataFrame:
     """Per model, over detections that both prompts covered: mean scores and difference."""
     a = reports.where(F.col("prompt") == one).select("model", "detection_id", F.col("score").alias("x"))

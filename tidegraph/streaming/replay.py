@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replayed(spark: SparkSession, path: str, size: int, hit: Column, attack: Column, folder: str) -> DataFrame:
@@ -28,6 +33,28 @@ def replayed(spark: SparkSession, path: str, size: int, hit: Column, attack: Col
     return spark.read.schema(windows.schema).parquet(f"{folder}/windows")
 
 
+def with_scores(flows: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``flows`` scored by a user's function, which must keep all columns and add ``score``."""
+    out = scorer(flows)
+    missing = [c for c in [*flows.columns, "score"] if c not in out.columns]
+    if missing:
+        raise ValueError(f"the scorer left out: {', '.join(missing)}")
+    return out
+
+
+def batch_scorer(score: Callable[[pd.DataFrame], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of a model in Python: ``score`` gets Arrow batches as pandas frames and returns one number a row."""
+
+    def apply(flows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(score=score(batch))
+
+        return flows.mapInPandas(run, T.StructType([*flows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+    return apply
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
