@@ -135,11 +135,9 @@ def outcome(y: Column, right_family: Column, is_borderline: Column) -> Column:
 
 def rendered(sections: list[tuple[str, list[Column]]]) -> Column:
     """Titled sections of '- ' lines; lines that are NULL are left out, and so are sections without any."""
-    out = []
-    for title, lines in sections:
-        kept = F.transform(F.array_compact(F.array(*lines)), lambda x: F.concat(F.lit("- "), x))
-        out.append(F.when(F.size(kept) > 0, F.concat(F.lit(title + "\n"), F.array_join(kept, "\n"))))
-    return F.array_join(F.array_compact(F.array(*out)), "\n\n")
+    found = F.array(*[F.struct(F.lit(title).alias("title"), F.array_compact(F.array(*lines)).alias("lines")) for title, lines in sections])
+    kept = F.filter(found, lambda s: F.size(s["lines"]) > 0)
+    return F.array_join(F.transform(kept, lambda s: F.concat(s["title"], F.lit("\n- "), F.array_join(s["lines"], "\n- "))), "\n\n")
 
 
 def template_report(text: Column, most: int = 12) -> Column:
