@@ -92,6 +92,13 @@ add("s0_row_ids", lambda s, d: tables.with_row_id(table(s, d, "orders")).select(
 add(
     "s2_family_blocks",
     lambda s, d: split.family_blocks(flows_from_events(s, d), 500, 3000)[0].groupBy("family").agg(F.count("*").alias("n")),
+    f"""WITH RECURSIVE {FLOWS_SQL}, ct AS (SELECT row_id // 500 AS block_id, family, count(*) AS n FROM flows GROUP BY ALL),
+    fu AS (SELECT family, row_number() OVER (ORDER BY sum(n), family) AS i, arg_max(block_id, (n, -block_id)) AS own FROM ct GROUP BY 1),
+    pk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS f UNION ALL SELECT fu.i, CASE WHEN list_has_any(pk.f, (SELECT list(ct.block_id) FROM ct WHERE ct.family = fu.family)) THEN pk.f ELSE list_append(pk.f, fu.own) END FROM pk JOIN fu ON fu.i = pk.i + 1),
+    fi AS (SELECT unnest(f) AS block_id FROM (SELECT f FROM pk ORDER BY i DESC LIMIT 1)), rs AS (SELECT block_id, row_number() OVER (ORDER BY block_id) AS r FROM (SELECT DISTINCT block_id FROM ct WHERE block_id NOT IN (SELECT block_id FROM fi))),
+    nn AS (SELECT count(*) AS m, least(count(*), greatest(0, (3000 - (SELECT sum(n) FROM ct WHERE block_id IN (SELECT block_id FROM fi)))::BIGINT // 500)) AS k FROM rs),
+    ev AS (SELECT DISTINCT (round_even(id * (m - 1) / greatest(1, k - 1), 0))::BIGINT + 1 AS r FROM nn, range((SELECT count(*) FROM rs)) t(id) WHERE id < k)
+    SELECT family, count(*) AS n FROM flows WHERE row_id // 500 IN (SELECT block_id FROM fi UNION ALL SELECT block_id FROM rs JOIN ev USING (r)) GROUP BY 1""",
 )
 add("s3_block_stride", lambda s, d: split.block_stride(flows_from_events(s, d), 100, 7).select("row_id"), "SELECT event_id AS row_id FROM events, (SELECT (count(*) + 99) // 100 AS b FROM events) WHERE (event_id // 100) % greatest(1, b // 7) = 0 AND event_id // 100 < greatest(1, b // 7) * 7")
 add("s6_even_sample", lambda s, d: split.even_sample(flows_from_events(s, d), 777).select("row_id"), "SELECT DISTINCT floor(i * (n - 1)::DOUBLE / 776)::BIGINT AS row_id FROM range(777) t(i), (SELECT count(*) AS n FROM events)")
@@ -341,7 +348,9 @@ def _restored(s, d):
     return p.restore(p.transform(df)).where(F.abs(F.col("in_bytes_restored") - F.col("in_bytes")) > F.lit(2e-3) * F.greatest(F.lit(1.0), F.col("in_bytes"))).groupBy("in_bytes_exact").agg(F.count("*").alias("n_off"))
 
 
-add("f8_restore", _restored)
+add("f8_restore", _restored, f"""WITH {_FIT_SQL}, z AS (SELECT in_bytes AS x, hi, sh, m, sd, ((ln(1 + greatest(least(in_bytes, hi) + sh, 0)) - m) / sd)::FLOAT::DOUBLE AS z FROM sf, st), b AS (SELECT *, exp(z * sd + m) - 1 - sh AS y FROM z),
+  r AS (SELECT x, least(x, hi) < hi AS in_bytes_exact, CASE WHEN abs(y - round(y)) < 1e-3 * greatest(abs(y), 1) THEN round(y) ELSE y END AS y FROM b)
+  SELECT in_bytes_exact, count(*) AS n_off FROM r WHERE abs(y - x) > 2e-3 * greatest(1, x) GROUP BY 1""")
 add("f10_standardised", lambda s, d: rounded(encode.standardised(splitted(s, d), ["dst"], F.col("split") == "train").select("row_id", "dst_z"), "dst_z"), f"WITH {SPLIT_SQL}, t AS (SELECT avg(ln(1 + dst)) AS m, stddev_pop(ln(1 + dst)) AS sd FROM sf WHERE split = 'train') SELECT row_id, round((ln(1 + dst) - m) / sd, 6) AS dst_z FROM sf, t")
 add("j2_vocabulary_lookup", lambda s, d: encode.apply_vocabulary(splitted(s, d), encode.vocabulary(splitted(s, d).where("split = 'train'"), ["family"]), "family").select("row_id", "family_code"), f"WITH {SPLIT_SQL}, {_VOCAB_SQL} SELECT row_id, coalesce(code, 0) AS family_code FROM sf LEFT JOIN vc ON value = family")
 add("f12_oov_report", lambda s, d: rounded(encode.oov_report(flows_from_events(s, d), encode.vocabulary(splitted(s, d).where("split = 'train'"), ["src", "dst"]), ["src", "dst"]), "oov_rate"),
