@@ -268,7 +268,11 @@ add("g2_snapshot_stats", lambda s, d: rounded(graph.snapshot_stats(windowed(s, d
     k AS (SELECT window_id, host, sum(o) AS o, sum(f) AS f FROM h GROUP BY ALL), b AS (SELECT window_id, count(*) AS nodes, count(*) FILTER (f > 0) AS active_senders, (max(f) FILTER (f > 0))::BIGINT AS max_fanout, avg(f) FILTER (f > 0) AS mean_fanout, stddev_samp(f) FILTER (f > 0) AS std_fanout, quantile_cont(f::BIGINT, 0.9) FILTER (f > 0) AS p90_fanout, stddev_samp(o) AS std_flows_per_node FROM k GROUP BY 1),
     e AS (SELECT window_id, sum(n)::BIGINT AS edges, count(*) AS pairs, sum(a)::BIGINT AS attack_edges FROM p GROUP BY 1)
     SELECT window_id, edges, pairs, attack_edges, nodes, active_senders, max_fanout, round(mean_fanout, 6) AS mean_fanout, round(std_fanout, 6) AS std_fanout, round(p90_fanout, 6) AS p90_fanout, round(std_flows_per_node, 6) AS std_flows_per_node, round(pairs / (nodes * (nodes - 1)), 6) AS density, round(attack_edges / edges, 6) AS attack_rate FROM e JOIN b USING (window_id)""")
-add("g3_integrity", lambda s, d: graph.integrity(windowed(s, d), graph.snapshot_stats(windowed(s, d))), f"WITH {WINDOWED_SQL} SELECT DISTINCT window_id, true AS edges_kept, true AS hosts_kept, true AS attacks_kept, true AS ends_present FROM wf")
+_LOST = "window_id % 2 = 1 AND row_id % 7 = 3"
+add("g3_integrity", lambda s, d: graph.integrity(windowed(s, d), graph.snapshot_stats(windowed(s, d).where(f"NOT ({_LOST})"))),
+    f"""WITH {WINDOWED_SQL}, e AS (SELECT window_id, count(*) AS n, count(*) FILTER (NOT ({_LOST})) AS kn, sum(label) AS a, sum(label) FILTER (NOT ({_LOST})) AS ka FROM wf GROUP BY 1),
+    h AS (SELECT window_id, count(DISTINCT host) AS h, count(DISTINCT host) FILTER (NOT lost) AS kh FROM (SELECT window_id, src AS host, {_LOST} AS lost FROM wf UNION ALL SELECT window_id, dst, {_LOST} FROM wf) GROUP BY 1)
+    SELECT window_id, n = kn AS edges_kept, h = kh AS hosts_kept, a = ka AS attacks_kept, true AS ends_present FROM e JOIN h USING (window_id)""")
 add("g4_node_dictionary", lambda s, d: graph.node_dictionary(flows_from_events(s, d)), f"WITH {FLOWS_SQL} SELECT host, row_number() OVER (ORDER BY host) - 1 AS node_id FROM (SELECT src AS host FROM flows UNION SELECT dst FROM flows)")
 add("g4b_local_ids", lambda s, d: graph.local_ids(windowed(s, d)), f"WITH {WINDOWED_SQL} SELECT window_id, host, row_number() OVER (PARTITION BY window_id ORDER BY host) - 1 AS local_id FROM (SELECT window_id, src AS host FROM wf UNION SELECT window_id, dst FROM wf)")
 _TOPO = """p AS (SELECT window_id, src, {dst} AS dst, count(*) AS n, sum(label) AS a FROM wf GROUP BY ALL), nn AS (SELECT window_id, count(DISTINCT h) AS nodes FROM (SELECT window_id, {src} AS h FROM p UNION ALL SELECT window_id, dst FROM p) GROUP BY 1),

@@ -146,7 +146,17 @@ add("v2_two_pass", lambda s, d: windowed(s, d).join(evidence.stratified_sample(s
 add("v3_packs", lambda s, d: packed(s, d).select("detection_id", F.col("detection.predicted_class").alias("predicted_class"), F.col("guidance.description").alias("description"), F.round("detection.class_confidence", 6).alias("confidence"), F.col("detection.flagged").alias("flagged")), f"WITH {DET_SQL} SELECT 'det-' || o_orderkey AS detection_id, predicted AS predicted_class, 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, round(conf, 6) AS confidence, score >= 0.8 AS flagged FROM dt JOIN pd USING (o_orderkey)")
 add("j6_guidance_join", lambda s, d: packed(s, d).groupBy(F.col("guidance.description").alias("description")).agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, count(*) AS n FROM pd GROUP BY 1")
 add("v4_quality_notes", lambda s, d: failing(s, d).select(F.array_join(F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))), "; ").alias("note")).groupBy("note").agg(F.count("*").alias("n")), f"WITH {LINES_SQL}, {_FAILED_SQL} SELECT coalesce(array_to_string(['check failed: ' || replace(x, '_', ' ') for x in failed], '; '), '') AS note, count(*) AS n FROM f GROUP BY 1")
-add("v5_validity", lambda s, d: evidence.validity(packed(s, d)).groupBy("valid", "sums_to_one").agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT true AS valid, true AS sums_to_one, count(*) AS n FROM dt")
+
+
+def damaged(s, d):
+    """Packs of which some have an old version, a distribution that doesn't sum to one, or a banned word."""
+    k = F.substring("detection_id", 5, 20).cast("long")
+    p = packed(s, d).withColumn("schema_version", F.when(k % 5 == 0, "1.0").otherwise(F.col("schema_version"))).withColumn("causal_path", F.when(k % 7 == 0, "the GNN says so"))
+    halved = F.transform_values(F.col("detection.class_distribution"), lambda _, x: F.when(k % 11 == 0, x / 2).otherwise(x))
+    return p.withColumn("detection", F.col("detection").withField("class_distribution", halved))
+
+
+add("v5_validity", lambda s, d: evidence.validity(damaged(s, d)).groupBy("valid", "version_ok", "sums_to_one", "vocabulary_ok").agg(F.count("*").alias("n")), f"WITH {DET_SQL}, v AS (SELECT o_orderkey % 5 <> 0 AS version_ok, o_orderkey % 11 <> 0 AS sums_to_one, o_orderkey % 7 <> 0 AS vocabulary_ok FROM dt) SELECT version_ok AND sums_to_one AND vocabulary_ok AS valid, version_ok, sums_to_one, vocabulary_ok, count(*) AS n FROM v GROUP BY ALL")
 add("v6_measured", lambda s, d: table(s, d, "part").select("p_partkey", facts.measured(F.when(F.col("p_size") == 7, float("nan")).otherwise(F.col("p_size") / 8)).alias("m")), "SELECT p_partkey, CASE WHEN p_size <> 7 THEN round(p_size / 8, 4) END AS m FROM part")
 add("v10_evidence_summary", lambda s, d: rounded(evidence.summary(packed(s, d)), "mean_abs", "share"), f"WITH {DET_SQL}, c AS (SELECT unnest(['IN_BYTES', 'PROTOCOL', 'L4_DST_PORT']) AS feature, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt) SELECT feature, count(*) AS packs, round(avg(abs(v)), 6) AS mean_abs, count(*) FILTER (v > 0) AS raises, count(*) FILTER (v <= 0) AS lowers, 1.0::DOUBLE AS share FROM c GROUP BY 1")
 add("v11_outcomes", lambda s, d: detections(s, d).select(facts.outcome(F.col("y"), F.col("family") == facts.predicted(F.col("distribution")), facts.margin(F.col("score"), F.col("threshold"))["band"] == "narrow").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT CASE WHEN y = 1 AND predicted = o_orderpriority THEN 'attack_right_family' WHEN y = 1 THEN 'attack_wrong_family' WHEN {_BAND} = 'narrow' THEN 'false_positive_borderline' ELSE 'false_positive_clear' END AS outcome, count(*) AS n FROM dt JOIN pd USING (o_orderkey) GROUP BY 1")
