@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidegraph.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters
+from tidegraph.llm import collocations, decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, simhash, spelling, substring_dedup, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filters.query,
         "op9_language_id": language_id.query,
         "op10_substring_dedup": substring_dedup.query,
+        "op11_simhash": simhash.query,
+        "op12_collocations": collocations.query,
+        "op13_spelling_variants": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op3b_rule_ablation": quality_rules.ABLATION_SQL,
         "op4_decontamination": decontamination.SQL,
         "op8_url_filters": url_filters.SQL,
+        "op12_collocations": collocations.SQL,
     }
