@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 #: Phrases in one container before it bursts; phrases in a trie before it spills half of them.
 BURST, HELD = 4096, 1_000_000
 #: Bytes of text that are counted at once, and word ids (21 bits each) that a task knows at once.
-CHUNK, IDS = 2 << 20, (1 << 21) - 1
+CHUNK, IDS = 4 << 20, (1 << 21) - 1
 _GAP = b"\xff"  # no byte of UTF-8: stands for what parts pieces
 _FIXED = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -66,39 +68,42 @@ def _chunks(texts: list[str]) -> Iterator[list[bytes]]:
         yield words()
 
 
-def _by_lang(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes]]]:
-    for batch in batches:
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    for rows in batches:
+        batch = rows.to_pandas()
         for lang, texts in batch["text"].groupby(batch["lang"].fillna("und")):
             for words in _chunks(texts[texts.notna()].tolist()):
                 yield lang, words
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["lang", "phrase", "f"])
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _batch(lang: pa.Array, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(f, pa.int64())], schema=_SCHEMA)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, phrase, f) of every word, and of phrase null the count of all words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[bytes]] = {}
 
-        def spilled() -> pd.DataFrame:
-            out: list[tuple] = []
+        def spilled() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 counts.pop(_GAP, None)
-                out.append((lang, None, sum(counts.values())))
-                out += [(lang, w.decode("utf-8", "surrogatepass"), n) for w, n in sorted(counts.items())]
+                words = [None, *sorted(counts)]
+                n = np.array([sum(counts.values()), *map(counts.__getitem__, words[1:])], np.int64)
+                yield _batch(pa.repeat(pa.scalar(lang, pa.string()), len(words)), pa.array(words, pa.binary()), n)
             held.clear()
-            return _rows(out)
 
         for lang, words in _by_lang(batches):
             held.setdefault(lang, Counter()).update(words)
             if sum(map(len, held.values())) > HELD // 2:
-                yield spilled()
-        yield spilled()
+                yield from spilled()
+        yield from spilled()
 
-    return _text(docs).mapInPandas(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return _text(docs).mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -163,13 +168,16 @@ class HatTrie:
         self.size = 0
 
     def add(self, first: list[int], rest: list[int], counts: list[int]) -> None:
-        root, split = self.root, self.split
+        root, split, burst = self.root, self.split, self.burst if self.deepest > 2 else None
+        before = None
+        box: dict = {}
         for a, key, n in zip(first, rest, counts, strict=True):
-            box = root.get(a)
-            if box is None:
-                box = root[a] = {}
-            elif a in split:
-                box = box.setdefault(key >> 42, {})
+            if a != before:
+                box, before = root.get(a), a
+                if box is None:
+                    box = root[a] = {}
+            if a in split:
+                box = root[a].setdefault(key >> 42, {})
                 key &= (1 << 42) - 1
             if key in box:
                 box[key] += n
@@ -177,7 +185,7 @@ class HatTrie:
                 box[key] = n
                 self.size += 1
                 # A container whose phrases end with the next word has nothing to part.
-                if self.deepest > 2 and len(box) > self.burst and a not in split:
+                if burst and len(box) > burst and a not in split:
                     self._part(a)
 
     def _part(self, a: int) -> None:
@@ -187,60 +195,75 @@ class HatTrie:
         self.root[a] = parted
         self.split.add(a)
 
-    def subtree(self, a: int) -> Iterator[tuple[int, int]]:
-        if a in self.split:
-            for b, box in self.root[a].items():
-                for key, n in box.items():
-                    yield b << 42 | key, n
-        else:
-            yield from self.root[a].items()
+    def _boxes(self, a: int) -> list[tuple[int, dict[int, int]]]:
+        return [(b << 42, box) for b, box in self.root[a].items()] if a in self.split else [(0, self.root[a])]
 
-    def spill(self, down_to: int) -> Iterator[tuple[int, int, int]]:
-        """Takes out whole subtrees until ``down_to`` phrases are left: those first whose phrases repeat least."""
+    def spill(self, down_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes out whole subtrees until ``down_to`` phrases are left, those first whose phrases repeat least: first ids, the
+        others' ids and counts."""
         sizes = {}
         for a in self.root:
-            counts = [n for _, n in self.subtree(a)]
-            sizes[a] = (sum(counts) / len(counts), len(counts))
+            boxes = self._boxes(a)
+            n = sum(len(box) for _, box in boxes)
+            sizes[a] = (sum(sum(box.values()) for _, box in boxes) / n, n)
+        first: list[int] = []
+        many: list[int] = []
+        rest: list[int] = []
+        counts: list[int] = []
         for a in sorted(sizes, key=lambda a: (sizes[a], a)):
             if self.size <= down_to:
-                return
-            for key, n in self.subtree(a):
-                yield a, key, n
+                break
+            for above, box in self._boxes(a):
+                rest += [above | key for key in box] if above else box
+                counts += box.values()
+            first.append(a)
+            many.append(sizes[a][1])
             self.size -= sizes[a][1]
             del self.root[a]
             self.split.discard(a)
+        return np.repeat(np.array(first, np.int64), many), np.array(rest, np.int64), np.array(counts, np.int64)
 
 
 def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, f): of pairs of frequent words; given the map of frequent ``pairs``, of longer phrases made of them."""
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, chained = sent.value
         trie = HatTrie(2 if chained is None else LONGEST)
         known, hashes, langs = [("", b"")], [0], {}
 
-        def spilled(down_to: int) -> Iterator[pd.DataFrame]:
-            out = []
-            for a, key, n in trie.spill(down_to):
-                lang, word = known[a]
-                ids = (key >> 42, key >> 21 & IDS, key & IDS)
-                out.append((lang, b" ".join([word, *(known[i][1] for i in ids if i)]), n))
-            out.sort()
-            for i in range(0, len(out), 50_000):
-                yield _rows([(lang, p.decode("utf-8", "surrogatepass"), n) for lang, p, n in out[i : i + 50_000]])
+        def spilled(down_to: int) -> Iterator[pa.RecordBatch]:
+            first, rest, f = trie.spill(down_to)
+            if not len(first):
+                return
+            place = np.empty(len(known), np.int64)  # of words in the order of runs
+            place[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+            ids = [first, rest >> 42, rest >> 21 & IDS, rest & IDS]
+            order = np.lexsort([np.where(i, place[i], -1) for i in ids[::-1]])
+            lang, word = pa.array([x for x, _ in known], pa.string()), pa.array([w for _, w in known], pa.binary())
+            size = sum((i > 0).astype(np.int8) for i in ids)
+            for n in np.unique(size):
+                own = order[size[order] == n]
+                for i in range(0, len(own), 100_000):
+                    some = own[i : i + 100_000]
+                    yield _batch(lang.take(pa.array(first[some])), pc.binary_join_element_wise(*[word.take(pa.array(x[some])) for x in ids[:n]], b" "), f[some])
 
         def counted(first: np.ndarray, rest: np.ndarray) -> None:
             if len(first):
-                order = np.lexsort((rest, first))
-                first, rest = first[order], rest[order]
+                if chained is None:  # pairs fit one number
+                    key = np.sort(first << 21 | rest >> 42)
+                    first, rest = key >> 21, (key & IDS) << 42
+                else:
+                    order = np.lexsort((rest, first))
+                    first, rest = first[order], rest[order]
                 new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
                 trie.add(first[new].tolist(), rest[new].tolist(), np.diff(np.r_[new, len(first)]).tolist())
 
         for lang, tokens in _by_lang(batches):
-            step = CHUNK // 2
+            step = min(CHUNK // 2, 1 << 20)
             for start in range(0, len(tokens), step):  # a phrase belongs to the slice in which it begins
-                if len(known) > IDS - step - LONGEST or sum(map(len, langs.values())) > 4 * HELD:
+                if len(known) > IDS - step - LONGEST or sum(map(len, langs.values())) > 2 * HELD:
                     yield from spilled(0)
                     known, hashes, langs = [("", b"")], [0], {}
                 if lang not in langs:
@@ -265,7 +288,7 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None =
                 yield from spilled(HELD // 2)
         yield from spilled(0)
 
-    counts = _text(docs).mapInPandas(run, "lang string, phrase string, f bigint")
+    counts = _text(docs).mapInArrow(run, "lang string, phrase string, f bigint")
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 

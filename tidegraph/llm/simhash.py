@@ -111,7 +111,8 @@ def linked(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     lists = members.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("centre"), F.count("*").alias("size"))
     lists = written(lists.select("key", F.col("centre.fp").alias("centre"), "size"), "lists")
     probes = nodes.select(_keys(F.col("fp"), budget, looked_up=True).alias("key"), "fp")
-    met = probes.join(lists, "key").where("fp <> centre OR size > 1").select("key", "fp", "centre", "size", ((F.col("fp") != F.col("centre")) & near(F.col("fp"), F.col("centre"), start, budget)).alias("linked"))
+    # Sizes of exploded rows are underestimated: without the hint the planner would send all probes to every executor.
+    met = probes.hint("merge").join(lists, "key").where("fp <> centre OR size > 1").select("key", "fp", "centre", "size", ((F.col("fp") != F.col("centre")) & near(F.col("fp"), F.col("centre"), start, budget)).alias("linked"))
     met = written(met.where("linked OR size > 1"), "met")
     links = met.where("linked").select(F.greatest("fp", "centre").alias("a"), F.least("fp", "centre").alias("b")).distinct()
     links = written(links, "links")
