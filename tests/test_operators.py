@@ -202,7 +202,6 @@ def test_reports(spark):
     assert col(spark, text.is_degenerate(F.col("t")), "0.0.0.0 . . . .") and not col(spark, text.is_degenerate(F.col("t")), "A fine report.") and not col(spark, text.is_degenerate(F.col("t")), "")
     assert col(spark, text.leaked(F.col("t")), "We need to produce an incident note.") and not col(spark, text.leaked(F.col("t")), "we need to isolate the host")
     assert col(spark, text.cites_feature(F.col("t"), "IN_BYTES", {"in": ("inbound", "in")}), "Many inbound packets. Few bytes inbound.")
-    assert col(spark, text.direction_mismatches(F.col("t"), {"the source port": "raised"}), "The source port lowered the score, but others raised it.") == ["the source port"]
 
 
 def test_facts(spark):
@@ -227,8 +226,6 @@ def test_study(spark):
     assert r.u == 0 and r.separated and r.difference == -2 and abs(r.least_p - 1 / 3) < 1e-12
     with pytest.raises(ValueError):
         study.rescored(spark.createDataFrame([(1,)], "detection_id int"), spark.createDataFrame([(2,)], "detection_id int"))
-    costs = spark.createDataFrame([("m", "v", True, 1.0, 2.0, 3.0), ("m", "v", True, 1.0, 2.0, None)], "model string, prompt string, ok boolean, score double, latency double, cost double")
-    assert study.model_summary(costs).first().cost is None
 
 
 def test_replay_pools_counts(spark):
@@ -258,15 +255,6 @@ def test_baselines_rank_what_can_be_learned(spark):
         assert found["saturated"] == (low > 0.9) and low <= found["best_pr_auc"] <= high + 1e-9
 
 
-def test_clauses_end_at_contrasts_not_at_commas(spark):
-    from tidegraph.functions import text
-
-    rows = [("raised by bytes, lowered flags, and ports",), ("bytes raised; ports lowered",), ("bytes raised, in contrast ports were lowered",)]
-    df = spark.createDataFrame(rows, "t string")
-    got = [r[0] for r in df.select(text.direction_mismatches(F.col("t"), {"ports": "raised"}, ("raised",), ("lowered",))).collect()]
-    assert got == [[], ["ports"], ["ports"]]
-
-
 def test_percentiles_are_exact(spark):
     rows = [("a", float(v * 37 % 101)) for v in range(300)] + [("b", 5.0), ("b", None), ("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")

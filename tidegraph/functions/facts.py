@@ -16,6 +16,69 @@ DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TX
 FTP_CODES = {220: "service ready", 221: "closing connection", 226: "transfer complete", 230: "login successful", 331: "user name accepted, password required", 421: "service not available", 425: "cannot open data connection", 500: "command not recognised", 530: "not logged in", 550: "file unavailable"}
 SERVICES = {20: "FTP data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 67: "DHCP", 68: "DHCP", 69: "TFTP", 80: "HTTP", 110: "POP3", 123: "NTP", 135: "Microsoft RPC", 137: "NetBIOS", 138: "NetBIOS", 139: "NetBIOS/SMB", 143: "IMAP", 161: "SNMP", 389: "LDAP", 443: "HTTPS", 445: "SMB", 502: "Modbus", 1433: "Microsoft SQL Server", 1883: "MQTT", 3306: "MySQL", 3389: "Remote Desktop", 5432: "PostgreSQL", 5900: "VNC", 8080: "HTTP (alternate)", 8443: "HTTPS (alternate)", 8883: "MQTT over TLS"}
 
+# How features are called in prose, and the words that a report may use for each.
+LABELS = {
+    "L4_SRC_PORT": "the source port",
+    "L4_DST_PORT": "the destination port",
+    "IN_BYTES": "the bytes sent from source to destination",
+    "OUT_BYTES": "the bytes sent from destination back to source",
+    "IN_PKTS": "the packets sent from source to destination",
+    "OUT_PKTS": "the packets sent from destination back to source",
+    "LONGEST_FLOW_PKT": "the longest packet in the flow",
+    "SHORTEST_FLOW_PKT": "the shortest packet in the flow",
+    "MAX_IP_PKT_LEN": "the largest IP packet in the flow",
+    "RETRANSMITTED_IN_BYTES": "the bytes the source retransmitted",
+    "RETRANSMITTED_IN_PKTS": "the packets the source retransmitted",
+    "RETRANSMITTED_OUT_BYTES": "the bytes the destination retransmitted",
+    "RETRANSMITTED_OUT_PKTS": "the packets the destination retransmitted",
+    "NUM_PKTS_UP_TO_128_BYTES": "the number of packets of 128 bytes or fewer",
+    "NUM_PKTS_128_TO_256_BYTES": "the number of packets of 128 to 256 bytes",
+    "NUM_PKTS_256_TO_512_BYTES": "the number of packets of 256 to 512 bytes",
+    "NUM_PKTS_512_TO_1024_BYTES": "the number of packets of 512 to 1,024 bytes",
+    "NUM_PKTS_1024_TO_1514_BYTES": "the number of packets of 1,024 to 1,514 bytes",
+    "TCP_WIN_MAX_IN": "the largest TCP window the source advertised",
+    "TCP_WIN_MAX_OUT": "the largest TCP window the destination advertised",
+    "ICMP_TYPE": "the ICMP message type",
+    "DNS_QUERY_TYPE": "the DNS query type",
+    "DNS_TTL_ANSWER": "the DNS answer's time-to-live",
+    "FTP_COMMAND_RET_CODE": "the FTP server's reply code",
+    "PROTOCOL": "the transport protocol",
+    "L7_PROTO": "the application protocol",
+    "TCP_FLAGS": "the TCP flags seen in the flow",
+    "CLIENT_TCP_FLAGS": "the TCP flags the source sent",
+    "SERVER_TCP_FLAGS": "the TCP flags the destination sent",
+    "L4_SRC_PORT_bucket": "the source port range",
+    "L4_DST_PORT_bucket": "the destination port range",
+}
+OTHER_WORDS = {
+    "L4_DST_PORT": ("destination port",),
+    "L4_SRC_PORT": ("source port",),
+    "L4_DST_PORT_bucket": ("destination port",),
+    "L4_SRC_PORT_bucket": ("source port",),
+    "TCP_WIN_MAX_IN": ("tcp_win_max_in", "inbound tcp window", "incoming tcp window", "source's tcp window", "window the source advertised", "tcp window maximum in", "max inbound tcp window"),
+    "TCP_WIN_MAX_OUT": ("tcp_win_max_out", "outbound tcp window", "outgoing tcp window", "destination's tcp window", "window the destination advertised", "tcp window maximum out", "maximum outgoing tcp window", "maximum outbound tcp window", "max outbound tcp window"),
+    "CLIENT_TCP_FLAGS": ("client tcp flag", "client_tcp_flags", "flags the source sent"),
+    "SERVER_TCP_FLAGS": ("server tcp flag", "server_tcp_flags", "flags the destination sent"),
+    "TCP_FLAGS": ("tcp flag",),
+    "PROTOCOL": ("transport protocol", "tcp protocol", "udp protocol", "icmp protocol", "protocol 6", "protocol 17", "protocol 1", "protocol (tcp)", "protocol (udp)", "protocol=6", "protocol=17"),
+    "L7_PROTO": ("application protocol", "l7 protocol", "l7_proto", "layer-7 protocol", "layer 7 protocol"),
+    "SHORTEST_FLOW_PKT": ("shortest packet",),
+    "LONGEST_FLOW_PKT": ("longest packet",),
+    "IN_BYTES": ("bytes sent from source", "inbound bytes", "bytes in"),
+    "OUT_BYTES": ("bytes sent from destination", "outbound bytes", "bytes out"),
+    "IN_PKTS": ("packets sent from source", "packets in"),
+    "OUT_PKTS": ("packets sent from destination", "packets out"),
+}
+CONTEXT_WORDS = ("distinct destination ports", "distinct ports", "distinct addresses", "distinct destinations", "distinct sources", "connections", "flows in this period", "typical host", "connection count")
+WINDOW_WORDS = ("tcp window", "window size")
+
+#: Lower-case aliases of each column, of the host context and of a TCP window of either side.
+ALIASES: dict[str, tuple[str, ...]] = {
+    **{c: tuple(dict.fromkeys([label.removeprefix("the ").lower(), *OTHER_WORDS.get(c, ())])) for c, label in LABELS.items()},
+    "CONTEXT": CONTEXT_WORDS,
+    "TCP_WINDOW": WINDOW_WORDS,
+}
+
 
 def _named(codes: dict[int, str], code: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.lit(v))]), code.cast("int"))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegraph.functions import facts
+
 # Patterns and word lists of the checks.
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 MITRE = r"\bT\d{4}(?:\.\d{3})?\b"
@@ -17,7 +19,8 @@ HEDGES = ("uncertain", "unclear", "may ", "might", "possibly", "could be", "not
 BORDERLINE_WORDS = ("borderline", "narrow", "just above", "only just", "barely", "marginal", "close to the threshold", "near the threshold", "slightly above", "uncertain", "low confidence", "not certain", "unclear", "may be", "might be", "possibly", "could be")
 JARGON = ("neural network", "gnn", "graph neural", "embedding", "model was trained", "machine learning model", "logit", "softmax", "activation", "training data", "the algorithm")
 LEAK = r"(?i)<think>|</think>|\bthe user (wants|asks|is asking)\b|\bwe need to (write|produce|output|draft) (an?|the) (incident )?(note|report)\b|\blet me (think|draft|write the)\b|\bmust not calculate\b"
-CONTRASTS = r"(?i);|\b(?:while|whereas|but|however|in contrast|on the other hand|conversely)\b"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
+CONTRASTS = r";|\b(?:while|whereas|but|however|in contrast|on the other hand|conversely)\b"
 FREE_NUMBERS = tuple(str(i) for i in range(11))
 
 
@@ -100,7 +103,7 @@ def _groundedness(claimed: Column, supplied: Column) -> Column:
     n = sum((F.size(claimed[k]) for k in kinds), F.lit(0))
     bad = sum((F.size(missing[k]) for k in kinds), F.lit(0))
     each = [F.when(F.size(claimed[k]) > 0, 1 - F.size(missing[k]) / F.size(claimed[k])).alias(f"{k}_grounded") for k in kinds]
-    return F.struct(F.when(n > 0, 1 - bad / n).alias("grounded"), *each, n.alias("n_claims"), F.array_sort(missing["ips"]).alias("fabricated_ips"), F.array_sort(missing["numbers"]).alias("ungrounded_numbers"))
+    return F.struct(F.when(n > 0, 1 - bad / n).alias("grounded"), *each, n.alias("n_claims"), bad.alias("n_ungrounded"), F.array_sort(missing["ips"]).alias("fabricated_ips"), F.array_sort(missing["numbers"]).alias("ungrounded_numbers"))
 
 
 def words_in(text: Column, words: tuple[str, ...]) -> Column:
@@ -112,6 +115,10 @@ def conveyed(text: Column, words: tuple[str, ...], applies: Column) -> Column:
     return F.when(applies, F.size(words_in(text, words)) > 0)
 
 
+def word_count(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+
+
 def is_degenerate(text: Column) -> Column:
     tokens = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
     real = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0)))
@@ -124,17 +131,39 @@ def leaked(text: Column) -> Column:
 
 
 def families_named(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
-    """Families a report names: aliases from long to short, each blanked out once matched, so that nested ones don't count."""
-    pairs = sorted(((a, f) for f, names in aliases.items() for a in names), key=lambda x: (-len(x[0]), x))
-    entries = [F.struct(F.lit(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])").alias("pattern"), F.lit(" " * len(a)).alias("blank"), F.lit(f).alias("family")) for a, f in pairs]
-    start = F.struct(F.lower(text).alias("rest"), F.array().cast("array<string>").alias("named"))
+    """Families a report names by an alias between non-letters, longest aliases first; nested ones don't count."""
+    return F.array_sort(phrases_named(text, [(a, family) for family, names in aliases.items() for a in names]))
+
 
-    def blanked(state: Column, x: Column) -> Column:
-        rest = F.regexp_replace(state["rest"], x["pattern"], x["blank"])
-        hit = lambda r: F.when(r != state["rest"], F.array(x["family"])).otherwise(F.array().cast("array<string>"))
-        return let(rest, lambda r: F.struct(r.alias("rest"), F.concat(state["named"], hit(r)).alias("named")))
+def phrases_named(text: Column, aliases: list[tuple[str, str]]) -> Column:
+    """Labels of the aliases (phrase, label) that stand in a text as whole words; longest first, words that one takes are spent.
 
-    return F.array_sort(F.array_distinct(F.aggregate(F.array(*entries), start, blanked, lambda s: s["named"])))
+    The text is cut into words and what is between them once. Only words that begin an alias are looked at further: the
+    pieces that follow, as many as aliases have, are looked up in one map, and hits are taken from long to short.
+    """
+    first_of = dict(reversed([(a.lower(), label) for a, label in aliases]))  # of equal aliases the first counts
+    pieces_of = {a: re.findall("[a-z0-9]+|[^a-z0-9]+", a) for a in first_of}
+    if any(not p or not p[0].isalnum() or not p[-1].isalnum() for p in pieces_of.values()):
+        raise ValueError("an alias must begin and end with a letter or digit")
+    order = sorted(dict.fromkeys(a.lower() for a, _ in aliases), key=lambda a: -len(a))
+    ranks = F.create_map(*[x for k, a in enumerate(order) for x in (F.lit(a), F.lit(k))])
+    labels = F.array(*[F.lit(first_of[a]) for a in order])
+    begins = F.array(*[F.lit(w) for w in sorted({p[0] for p in pieces_of.values()})])
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for p in pieces_of.values()})])
+
+    def hits(pieces: Column) -> Column:
+        places = F.array_compact(F.transform(pieces, lambda p, i: F.when(F.array_contains(begins, p), i)))
+        looked_up = lambda i, n: F.try_element_at(ranks, F.array_join(F.slice(pieces, i + 1, n), ""))
+        each = F.transform(places, lambda i: F.transform(lengths, lambda n: F.struct(looked_up(i, n).alias("rank"), i.alias("a"), (i + n).alias("b"))))
+        return F.array_sort(F.filter(F.flatten(each), lambda h: h["rank"].isNotNull()))
+
+    def take(state: Column, h: Column) -> Column:
+        free = ~F.exists(state, lambda t: (h["a"] < t["b"]) & (t["a"] < h["b"]))
+        return F.when(free, F.concat(state, F.array(h))).otherwise(state)
+
+    none = F.array().cast("array<struct<rank:int,a:int,b:int>>")
+    found = let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0)), hits)
+    return F.array_distinct(F.transform(F.aggregate(found, none, take), lambda t: F.get(labels, t["rank"])))
 
 
 def classification_fidelity(named: Column, predicted: Column, distribution: Column, plausible: float = 0.05) -> Column:
@@ -175,16 +204,57 @@ def citations(text: Column, shown: Column, columns: list[str], options: dict[str
     return let(shown, lambda own: F.when(F.size(own) > 0, let(F.array_intersect(own, cited), lambda hit: of(own, hit))))
 
 
-def direction_mismatches(text: Column, features: dict[str, str], up: tuple[str, ...] = UP, down: tuple[str, ...] = DOWN) -> Column:
-    """Features whose direction a report turns round, in clauses that speak of one direction only.
+def _marked_aliases(columns: dict[str, tuple[str, ...]]) -> tuple[list[tuple[str, str]], list[str]]:
+    """Aliases from long to short, each with the mark of its column, and the columns in the order of their marks."""
+    names = list(dict.fromkeys(c.removesuffix("_bucket") for c in columns))
+    pairs = [(alias, chr(0xE000 + names.index(column.removesuffix("_bucket")))) for column, aliases in columns.items() for alias in aliases]
+    return sorted(dict(reversed(pairs)).items(), key=lambda p: (-len(p[0]), p[0])), names
+
+
+def mentioned_columns(clause: Column, columns: dict[str, tuple[str, ...]] = facts.ALIASES) -> Column:
+    """Columns whose aliases stand anywhere in a lower-case clause, in order of the table; longest first, what one matches is
+    spent. A bucket column counts as its column."""
+    pairs, names = _marked_aliases(columns)
+    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(m).alias("mark")) for a, m in pairs])
+    marked = F.aggregate(table, clause, lambda rest, x: F.replace(rest, x["alias"], x["mark"]))
+    marks = F.array(*[F.struct(F.lit(chr(0xE000 + i)).alias("mark"), F.lit(c).alias("column")) for i, c in enumerate(names)])
+    return let(marked, lambda m: F.transform(F.filter(marks, lambda x: F.contains(m, x["mark"])), lambda x: x["column"]))
+
 
-    ``features`` is {words: 'raised' or 'lowered'}; clauses are sentences cut at contrast words.
+def clauses(text: Column) -> Column:
+    """Lower-case clauses: sentences, which end at line ends and at blanks after a stop, cut at contrast words."""
+    return F.flatten(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END), lambda s: F.split(F.trim(s), CONTRASTS)))
+
+
+def _said(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda clause: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(clause, w))
+
+
+def direction_fidelity(text: Column, reasons: Column, columns: dict[str, tuple[str, ...]] = facts.ALIASES) -> Column:
+    """Whether a report keeps the direction of each reason it mentions; NULL without reasons.
+
+    ``reasons`` is an array of (column, direction 'raised' or 'lowered'), of which the first of a column counts. In a clause
+    whose direction words are all of one kind, every reason named has that direction. A bare TCP window is read only if one
+    of both windows is a reason.
     """
-    clauses = F.split(F.lower(text), rf"{CONTRASTS}|[.!?\n]+")
-    one = lambda c, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+    base = F.transform(reasons, lambda r: F.regexp_replace(r["column"], "_bucket$", ""))
+    wins = F.array_intersect(F.array(F.lit("TCP_WIN_MAX_IN"), F.lit("TCP_WIN_MAX_OUT")), base)
+
+    def of(clause: Column, known: Column, own: Column) -> Column:
+        def checked(named: Column) -> Column:
+            bare = F.array_contains(named, "TCP_WINDOW") & (F.size(own) == 1)
+            read = F.when(bare, F.array_union(named, own)).otherwise(named)
+            return F.array_sort(F.array_intersect(F.array_except(read, F.array(F.lit("TCP_WINDOW"))), known))
+
+        says = F.when(_said(UP)(clause), "raised").otherwise("lowered")
+        told = lambda c: F.get(reasons, F.array_position(known, c).cast("int") - 1)["direction"]
+        return let(mentioned_columns(clause, columns), lambda named: F.transform(checked(named), lambda c: F.struct(c.alias("feature"), told(c).alias("evidence"), says.alias("report"), F.substring(F.trim(clause), 1, 160).alias("clause"))))
+
+    one_sided = F.filter(clauses(text), lambda c: _said(UP)(c) != _said(DOWN)(c))
+    every = let(base, lambda known: let(wins, lambda own: F.flatten(F.transform(one_sided, lambda c: of(c, known, own)))))
 
-    def turned(words: str, wrong: tuple[str, ...], right: tuple[str, ...]) -> Column:
-        return F.exists(clauses, lambda c: F.contains(c, F.lit(words)) & one(c, wrong) & ~one(c, right))
+    def judged(found: Column) -> Column:
+        errors = F.filter(found, lambda e: e["evidence"] != e["report"])
+        return F.struct(F.size(found).alias("n_checked"), F.size(errors).alias("n_errors"), F.when(F.size(found) > 0, F.size(errors) == 0).alias("direction_faithful"), errors.alias("errors"))
 
-    bad = [F.when(turned(words, *((down, up) if direction == "raised" else (up, down))), F.lit(words)) for words, direction in features.items()]
-    return F.array_compact(F.array(*bad))
+    return F.when(F.coalesce(F.size(reasons), F.lit(0)) > 0, let(every, judged))

@@ -104,8 +104,7 @@ def at_prevalence(scores: DataFrame, target: float, seed: int = 0, keep_positive
     want_p, want_n = p, round(p * (1 - target) / target)
     if want_n > n:
         want_p, want_n = (p if keep_positives else max(1, round(n * target / (1 - target)))), n
-    ranked = rank.hash_rank(scores, seed, ["row_id"], ["y"], "_r")
-    return ranked.where(((F.col("y") == 1) & (F.col("_r") <= want_p)) | ((F.col("y") == 0) & (F.col("_r") <= want_n))).drop("_r")
+    return scores.where(rank.first_in_hash(scores, {1: want_p, 0: want_n}, seed, ["row_id"], "y"))
 
 
 def report_both(scores: DataFrame, threshold: float, target: float, seed: int = 0) -> DataFrame:

@@ -12,11 +12,7 @@ BANNED = ("neural network", "gnn", "graph neural", "embedding", "logit", "softma
 VERSION = "2.0"
 
 
-def sample_plan(candidates: DataFrame, n: int, fp_share: float, benign: str) -> DataFrame:
-    """Quota of each family: false positives get their share, the rest is even; with what is available and missing.
-
-    One row a family.
-    """
+def _plan(candidates: DataFrame, n: int, fp_share: float, benign: str) -> list[tuple]:
     rows = candidates.groupBy("family").agg(F.count("*").alias("available")).orderBy("family").collect()
     n_fp = round(n * fp_share)
     attacks = [r["family"] for r in rows if r["family"] != benign]
@@ -25,20 +21,29 @@ def sample_plan(candidates: DataFrame, n: int, fp_share: float, benign: str) ->
     for r in rows:
         quota = n_fp if r["family"] == benign else each + (1 if attacks.index(r["family"]) < extra else 0)
         plan.append((r["family"], r["available"], quota, min(quota, r["available"]), max(0, quota - r["available"])))
-    return candidates.sparkSession.createDataFrame(plan, "family string, available long, quota long, taken long, shortfall long")
+    return plan
+
+
+def sample_plan(candidates: DataFrame, n: int, fp_share: float, benign: str) -> DataFrame:
+    """Quota of each family: false positives get their share, the rest is even; with what is available and missing.
+
+    One row a family.
+    """
+    return candidates.sparkSession.createDataFrame(_plan(candidates, n, fp_share, benign), "family string, available long, quota long, taken long, shortfall long")
 
 
 def stratified_sample(candidates: DataFrame, n: int, fp_share: float, benign: str, seed: int = 0) -> DataFrame:
-    """``n`` detections: quotas per family in md5 order, then what quotas leave open from all others in md5 order."""
-    plan = F.broadcast(sample_plan(candidates, n, fp_share, benign))
-    ranked = rank.hash_rank(candidates, seed, ["row_id"], ["family"], "_r").join(plan.select("family", "quota"), "family")
-    first = ranked.where(F.col("_r") <= F.col("quota"))
-    left = n - first.count()
-    keep = list(candidates.columns)
-    out = first.select(*keep, F.lit("quota").alias("taken_by"))
+    """``n`` detections: quotas per family in md5 order, then what quotas leave open from all others in md5 order.
+
+    Both are cuts of the hash order, so candidates are filtered where they are and never ranked.
+    """
+    plan = _plan(candidates, n, fp_share, benign)
+    first = rank.first_in_hash(candidates, {family: quota for family, _, quota, _, _ in plan}, seed, ["row_id"], "family")
+    out = candidates.where(first).withColumn("taken_by", F.lit("quota"))
+    left = n - sum(taken for *_, taken, _ in plan)
     if left > 0:
-        spare = rank.hash_rank(ranked.where(F.col("_r") > F.col("quota")), seed, ["row_id"], [], "_s").where(F.col("_s") <= left)
-        out = out.union(spare.select(*keep, F.lit("spare").alias("taken_by")))
+        rest = candidates.where(~first)
+        out = out.union(rest.where(rank.first_in_hash(rest, {None: left}, seed, ["row_id"])).withColumn("taken_by", F.lit("spare")))
     return out
 
 

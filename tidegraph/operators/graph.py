@@ -121,32 +121,102 @@ def touching(flows: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.where("detection <> row_id").select("detection", WIN, "row_id").distinct()
 
 
+def _volumes(flows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(window, host, peer, n) of the hosts that ``targets`` have: flows between a host and each peer, in either direction.
+
+    Pairs are counted before they are laid to both ends, so a hub's flows are reduced first.
+    """
+    pairs = flows.groupBy(WIN, "src", "dst").agg(F.count("*").alias("n"))
+    ends = F.array(F.struct(F.col("src").alias("host"), F.col("dst").alias("peer")), F.struct(F.col("dst").alias("host"), F.col("src").alias("peer")))
+    sides = pairs.select(WIN, "n", F.explode(F.array_distinct(ends)).alias("e")).groupBy(WIN, "e.host", "e.peer").agg(F.sum("n").alias("n"))
+    return sides.join(_hosts_of(targets), [WIN, "host"], "left_semi")
+
+
+def _hosts_of(targets: DataFrame) -> DataFrame:
+    return targets.select(WIN, F.explode(F.array("src", "dst")).alias("host")).distinct()
+
+
 def ego_graph(flows: DataFrame, targets: DataFrame, max_hosts: int = 28) -> DataFrame:
-    """Busiest neighbours of each detection: flows with its two hosts, which side they are on, and how many were left out."""
-    rows = touching(flows, targets).join(flows.select("row_id", "src", "dst"), "row_id")
-    ends = targets.select(F.col("row_id").alias("detection"), F.col("src").alias("s"), F.col("dst").alias("d"))
-    rows = rows.join(ends, "detection")
-    near = rows.select("detection", "s", "d", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("host")).where("host <> s AND host <> d")
-    at = lambda x: F.max(((F.col("src") == F.col(x)) | (F.col("dst") == F.col(x))).cast("int"))
-    hosts = near.groupBy("detection", "host").agg(F.count("*").alias("flows"), at("s").alias("on_s"), at("d").alias("on_d"))
-    w = Window.partitionBy("detection")
-    ranked = hosts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("flows"), "host"))).withColumn("n_hosts", F.count("*").over(w))
-    side = F.when((F.col("on_s") == 1) & (F.col("on_d") == 1), "both").when(F.col("on_s") == 1, "source").otherwise("destination")
-    return ranked.where(F.col("rank") <= max_hosts).select("detection", "host", "flows", side.alias("side"), "rank", F.greatest(F.col("n_hosts") - max_hosts, F.lit(0)).alias("n_omitted"))
+    """Busiest neighbours of each detection: flows with its two hosts, which side they are on, and how many were left out.
+
+    No table holds all pairs of a detection and a neighbour. A neighbour of one host only that is among the busiest of the
+    detection is among the busiest of that host; neighbours of both hosts are found by a join on the peer, from the host with
+    fewer peers (AQE splits what is left of a hub).
+    """
+    volumes = _volumes(flows, targets)
+    w = Window.partitionBy(WIN, "host")
+    # Two more than are shown: the other host of the detection and the host itself don't count.
+    top = volumes.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "peer"))).where(F.col("r") <= max_hosts + 2).drop("r")
+    peers = volumes.groupBy(WIN, "host").agg(F.count("*").alias("peers"), F.count_if(F.col("host") == F.col("peer")).alias("loop"))
+    ends = targets.select(F.col("row_id").alias("detection"), WIN, F.col("src").alias("s"), F.col("dst").alias("d"))
+    sides = ends.select("detection", WIN, "s", "d", F.explode(F.array_distinct(F.array("s", "d"))).alias("host"))
+    listed = sides.join(top, [WIN, "host"]).where("peer <> s AND peer <> d").select("detection", WIN, "s", "d", "peer")
+    pairs = ends.where("s <> d").select(WIN, "s", "d").distinct()
+    of = lambda end: volumes.select(WIN, F.col("host").alias(end), "peer", F.col("n").alias(f"n_{end}"))
+    both = pairs.join(of("s"), [WIN, "s"]).join(of("d"), [WIN, "d", "peer"]).where("peer <> s AND peer <> d").select(WIN, "s", "d", "peer")
+    shared = both.groupBy(WIN, "s", "d").agg(F.count("*").alias("n_shared"))
+    known = listed.union(ends.join(both, [WIN, "s", "d"]).select("detection", WIN, "s", "d", "peer")).distinct()
+    own = known.join(of("s"), [WIN, "s", "peer"], "left").join(of("d"), [WIN, "d", "peer"], "left")
+    on_s, on_d = F.col("n_s").isNotNull(), F.col("n_d").isNotNull()
+    total = F.coalesce("n_s", F.lit(0)) + F.when(F.col("s") != F.col("d"), F.coalesce("n_d", F.lit(0))).otherwise(0)
+    side = F.when(on_s & on_d, "both").when(on_s, "source").otherwise("destination")
+    ranked = own.select("detection", F.col("peer").alias("host"), total.alias("flows"), side.alias("side")).withColumn("rank", F.row_number().over(Window.partitionBy("detection").orderBy(F.desc("flows"), "host"))).where(F.col("rank") <= max_hosts)
+    # Peers of both hosts together, without these two: both are each other's peers, and a host may be its own.
+    n = lambda end: peers.select(WIN, F.col("host").alias(end), F.col("peers").alias(f"p_{end}"), F.col("loop").alias(f"l_{end}"))
+    sizes = ends.join(n("s"), [WIN, "s"]).join(n("d"), [WIN, "d"]).join(shared, [WIN, "s", "d"], "left")
+    apart = F.col("p_s") - F.col("l_s") - 1 + F.col("p_d") - F.col("l_d") - 1 - F.coalesce("n_shared", F.lit(0))
+    sizes = sizes.select("detection", F.when(F.col("s") == F.col("d"), F.col("p_s") - F.col("l_s")).otherwise(apart).alias("n_hosts"))
+    return ranked.join(sizes, "detection").select("detection", "host", "flows", "side", "rank", F.greatest(F.col("n_hosts") - max_hosts, F.lit(0)).alias("n_omitted"))
 
 
 def pair_counts(flows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Touching flows of each detection pooled by directed host pair."""
-    rows = touching(flows, targets).join(flows.select("row_id", "src", "dst"), "row_id")
-    return rows.groupBy("detection", "src", "dst").agg(F.count("*").alias("flows"))
+    """Touching flows of each detection pooled by directed host pair; pairs are counted before they meet the detections."""
+    pairs = flows.groupBy(WIN, "src", "dst").agg(F.count("*").alias("n"))
+    hosts = pairs.select(WIN, F.col("src").alias("a"), F.col("dst").alias("b"), "n", F.explode(F.array_distinct(F.array("src", "dst"))).alias("host"))
+    ends = targets.select(F.col("row_id").alias("detection"), WIN, "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("host"))
+    met = ends.join(hosts, [WIN, "host"])
+    # A pair of both hosts is met from either; the source's side counts, without the detection itself.
+    met = met.where((F.col("host") == F.col("src")) | ((F.col("a") != F.col("src")) & (F.col("b") != F.col("src"))))
+    own = ((F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))).cast("int")
+    return met.select("detection", F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("n") - own).alias("flows")).where("flows > 0")
+
+
+#: Steps of the draws: primes beyond any number of neighbours, so that the places of one detection are all different.
+STEPS = (8589934609, 8589934621, 8589934627, 8589934631)
 
 
 def neighbour_candidates(flows: DataFrame, targets: DataFrame, most: int = 50, seed: int = 0) -> DataFrame:
-    """Up to ``most`` touching flows of each detection in md5 order, with how many there are."""
-    rows = touching(flows, targets).withColumn("_h", rank.md5_key(seed, "detection", "row_id"))
-    w = Window.partitionBy("detection")
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy("_h", "row_id"))).withColumn("n_neighbours", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= most).drop("_h")
+    """Up to ``most`` touching flows of each detection, drawn at random with a seed of its own, with how many there are.
+
+    A host's flows are numbered by (peer, row_id), so the flows that both hosts share are one block of either. Touching flows
+    then are places: those of the source without the detection, then those of the destination without that block. Places are
+    drawn (start and step from a hash of seed and detection, modulo their number: every place is as likely) and joined with
+    the numbers, so only drawn flows meet a detection, however many a hub has.
+    """
+    ends = F.array(F.struct(F.col("src").alias("host"), F.col("dst").alias("peer")), F.struct(F.col("dst").alias("host"), F.col("src").alias("peer")))
+    near = flows.join(_hosts_of(targets).select(WIN).distinct(), WIN, "left_semi")
+    sides = near.select(WIN, "row_id", F.explode(F.array_distinct(ends)).alias("e")).select(WIN, "row_id", "e.host", "e.peer").join(_hosts_of(targets), [WIN, "host"], "left_semi")
+    volumes = sides.groupBy(WIN, "host", "peer").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(WIN, "host").orderBy("peer").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = volumes.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = rank.order_rank(sides, "row_id", [WIN, "host", "peer"], "k").join(blocks.select(WIN, "host", "peer", "begin"), [WIN, "host", "peer"]).select(WIN, "host", "row_id", (F.col("begin") + F.col("k") - 1).alias("number"))
+    degree = volumes.groupBy(WIN, "host").agg(F.sum("n").alias("degree"))
+    own = targets.select(F.col("row_id").alias("detection"), WIN, F.col("src").alias("s"), F.col("dst").alias("d"))
+    own = own.join(numbered.select(WIN, F.col("host").alias("s"), F.col("row_id").alias("detection"), F.col("number").alias("self")), [WIN, "s", "detection"])
+    for end in ("s", "d"):
+        own = own.join(degree.select(WIN, F.col("host").alias(end), F.col("degree").alias(f"n_{end}")), [WIN, end])
+    own = own.join(blocks.select(WIN, F.col("host").alias("d"), F.col("peer").alias("s"), F.col("begin"), F.col("n").alias("block")), [WIN, "d", "s"])
+    total = F.col("n_s") - 1 + F.when(F.col("s") == F.col("d"), 0).otherwise(F.col("n_d") - F.col("block"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("detection").cast("string")))
+    digits = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
+    step = F.get(F.array(*[F.lit(x) for x in STEPS]), (digits(16, 4) % len(STEPS)).cast("int"))
+    drawn = own.withColumns({"n_neighbours": total, "start": digits(1, 12), "step": step}).where("n_neighbours > 0")
+    drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n_neighbours"), F.lit(most)) - 1)))
+    place = F.expr("(start + j * step) % n_neighbours")
+    drawn = drawn.withColumn("place", place).withColumn("at_s", F.col("place") < F.col("n_s") - 1).withColumn("past", F.col("place") - F.col("n_s") + 1)
+    number = F.when(F.col("at_s"), F.col("place") + (F.col("place") >= F.col("self")).cast("int")).otherwise(F.col("past") + F.when(F.col("past") >= F.col("begin"), F.col("block")).otherwise(0))
+    drawn = drawn.select("detection", WIN, F.when(F.col("at_s"), F.col("s")).otherwise(F.col("d")).alias("host"), number.alias("number"), (F.col("j") + 1).cast("int").alias("rank"), "n_neighbours")
+    return drawn.join(numbered, [WIN, "host", "number"]).select("detection", WIN, "row_id", "rank", "n_neighbours")
 
 
 def neighbour_influence(flows: DataFrame, targets: DataFrame, feature: str, weight: float = 1.0, most: int = 50, seed: int = 0) -> DataFrame:

@@ -111,6 +111,94 @@ def order_rank(df: DataFrame, order: str, by: list[str], name: str = "rank", blo
     return bucket_rank(df, F.expr(f"{order} div {block}"), [F.col(order)], by, name)
 
 
+#: Ranges that one pass of a selection tells apart, and keys of the last range that come to the driver.
+BINS, GATHERED = 4096, 4096
+
+
+def kth_keys(df: DataFrame, key: Column, wanted: dict[object, list[int]], by: str | None = None, least: int | None = None, most: int | None = None) -> dict[tuple[object, int], int]:
+    """{(class, k): the k-th smallest integer key of the class}, 1-based; left out where a class has fewer keys.
+
+    Nothing is sorted or shuffled but counts: a pass counts keys in ``BINS`` ranges for each place asked for, and goes on
+    inside the range that holds it, until its keys are few enough to be looked at. Each pass reads ``df`` again. Classes and
+    places are few; NULL keys don't count. ``least`` and ``most`` bound the keys if they are known.
+    """
+    of = (lambda c: F.col(by).eqNullSafe(F.lit(c))) if by else (lambda c: F.lit(True))
+    rows = df.select(key.cast("long").alias("_k"), *([by] if by else [])).where("_k IS NOT NULL")
+    if least is None or most is None:
+        ends = rows.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+        if ends["lo"] is None:
+            return {}
+        least, most = ends["lo"], ends["hi"]
+    open_ = {(c, k): (least, most, k) for c, ks in wanted.items() for k in ks if k > 0}
+    found: dict[tuple[object, int], int] = {}
+    while open_:
+        places = list(open_)
+        at = []
+        for i, (c, k) in enumerate(places):
+            lo, hi, _ = open_[c, k]
+            width = -(-(hi - lo + 1) // BINS)
+            at.append(F.when(of(c) & F.col("_k").between(lo, hi), F.struct(F.lit(i).alias("i"), F.expr(f"CAST((_k - {lo}) div {width} AS INT)").alias("bin"))))
+        counted = rows.select(F.explode(F.array_compact(F.array(*at))).alias("p")).groupBy("p.i", "p.bin").count().collect()
+        bins: dict[int, list[tuple[int, int]]] = {}
+        for r in counted:
+            bins.setdefault(r["i"], []).append((r["bin"], r["count"]))
+        few = []
+        for i, (c, k) in enumerate(places):
+            lo, hi, left = open_.pop((c, k))
+            width = -(-(hi - lo + 1) // BINS)
+            for b, n in sorted(bins.get(i, [])):
+                if left <= n:
+                    a, z = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+                    if a == z:
+                        found[c, k] = a
+                    elif n <= GATHERED:
+                        few.append((c, k, a, z, left))
+                    else:
+                        open_[c, k] = (a, z, left)
+                    break
+                left -= n
+        if few:
+            at = [F.when(of(c) & F.col("_k").between(a, z), F.lit(i)) for i, (c, k, a, z, _) in enumerate(few)]
+            keys: dict[int, list[int]] = {}
+            for r in rows.select(F.explode(F.array_compact(F.array(*at))).alias("i"), "_k").collect():
+                keys.setdefault(r["i"], []).append(r["_k"])
+            for i, (c, k, _, _, left) in enumerate(few):
+                found[c, k] = sorted(keys[i])[left - 1]
+    return found
+
+
+def first_in_hash(df: DataFrame, wanted: dict[object, int], seed: int, ids: list[str], by: str | None = None) -> Column:
+    """Whether a row is among the first ``wanted[class]`` of its class in md5 order; classes that aren't named have none.
+
+    The same rows as ``hash_rank`` up to that rank, without a rank: the cut of each class is selected by ``kth_keys``, so
+    the rows are filtered where they are. Rows of equal ids stand or fall together. ``df`` must be the same when it is read
+    again.
+    """
+    h = md5_key(seed, *ids)
+    number = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")  # 60 bits
+    cuts = kth_keys(df, number, {c: [n] for c, n in wanted.items()}, by, 0, (1 << 60) - 1)
+    of = (lambda c: F.col(by).eqNullSafe(F.lit(c))) if by else (lambda c: F.lit(True))
+    out = F.lit(False)
+    tied = []
+    for c, n in wanted.items():
+        cut = cuts.get((c, n))
+        if n > 0:
+            out = F.when(of(c), F.lit(True) if cut is None else number <= cut).otherwise(out)
+            tied += [] if cut is None else [of(c) & (number == cut)]
+    if not tied:
+        return out
+    # Where hashes of different ids share 60 bits, what lies beyond the rank is taken out again.
+    same = df.where(reduce(lambda a, b: a | b, tied)).select(*([by] if by else []), number.alias("_n"), h.alias("_h"), *ids).distinct().limit(GATHERED).collect()
+    for c, n in wanted.items():
+        rows = sorted((r["_h"], *[r[i] for i in ids]) for r in same if (not by or r[by] == c) and r["_n"] == cuts.get((c, n)))
+        if len(rows) > 1:
+            before = df.where(of(c) & (number < cuts[c, n])).count()
+            late = [r[1:] for r in rows[max(0, n - before) :]]
+            for r in late:
+                out = out & ~(of(c) & reduce(and_, [F.col(i) == F.lit(v) for i, v in zip(ids, r, strict=True)]))
+    return out
+
+
 def even_rows(n_rows: int, n: int) -> Column:
     """Array of ``n`` row ids spread evenly over ``n_rows``, ends included; never a prefix."""
     if n >= n_rows:

@@ -106,13 +106,20 @@ def assert_clean(df: DataFrame, family: str) -> None:
 
 
 def middle_blocks(df: DataFrame, n: int, floor: int = 200) -> DataFrame:
-    """Per family one contiguous middle block, in proportion but at least ``floor`` rows (or all it has)."""
-    counts = df.groupBy("family").agg(F.count("*").alias("cnt"))
-    total = df.count()
-    take = F.greatest(F.least(F.bround(F.lit(n) * F.col("cnt") / total).cast("long"), F.col("cnt")), F.least(F.lit(floor), F.col("cnt")))
-    counts = counts.withColumn("take", take).withColumn("start", F.expr("(cnt - take) div 2"))
-    ranked = rank.order_rank(df, "row_id", ["family"], "_r").join(F.broadcast(counts), "family")
-    return ranked.where((F.col("_r") > F.col("start")) & (F.col("_r") <= F.col("start") + F.col("take"))).select(*df.columns)
+    """Per family one contiguous middle block, in proportion but at least ``floor`` rows (or all it has).
+
+    The row ids at which a block begins and ends are selected by counts of ranges, so rows are filtered and never ranked;
+    ``row_id`` is unique. Families are few: a row each comes to the driver.
+    """
+    counts = {r["family"]: r["cnt"] for r in df.groupBy("family").agg(F.count("*").alias("cnt")).collect()}
+    total = sum(counts.values())
+    take = {f: max(min(round(Fraction(n * c, total)), c), min(floor, c)) for f, c in counts.items()}
+    ends = {f: ((c - take[f]) // 2 + 1, (c - take[f]) // 2 + take[f]) for f, c in counts.items() if take[f]}
+    at = rank.kth_keys(df, F.col("row_id"), {f: sorted(set(e)) for f, e in ends.items()}, "family")
+    keep = F.lit(False)
+    for f, (first, last) in ends.items():
+        keep = F.when(F.col("family").eqNullSafe(F.lit(f)), F.col("row_id").between(at[f, first], at[f, last])).otherwise(keep)
+    return df.where(keep)
 
 
 def even_sample(df: DataFrame, n: int) -> DataFrame:
@@ -161,9 +168,8 @@ def family_blocks(df: DataFrame, block: int, budget: int) -> tuple[DataFrame, Da
 
 def prevalence_resample(df: DataFrame, n: int, prevalence: float, seed: int = 0) -> DataFrame:
     """A sample of ``n`` rows with a forced share of attacks, in md5 order within each class."""
-    ranked = rank.hash_rank(df, seed, ["row_id"], ["label"], "_r")
     pos = round(n * prevalence)
-    return ranked.where(((F.col("label") == 1) & (F.col("_r") <= pos)) | ((F.col("label") == 0) & (F.col("_r") <= n - pos))).drop("_r")
+    return df.where(rank.first_in_hash(df, {1: pos, 0: n - pos}, seed, ["row_id"], "label"))
 
 
 def pending(packs: DataFrame, done: DataFrame, key: str = "detection_id", retry_failed: bool = False) -> DataFrame:

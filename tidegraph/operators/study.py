@@ -58,11 +58,16 @@ def matched_difference(with_: DataFrame, without: DataFrame, key: str = "seed")
     return j.agg(F.count("*").alias("n_pairs"), F.avg("x").alias("mean_with"), F.avg("y").alias("mean_without"), F.avg(F.col("x") - F.col("y")).alias("difference"))
 
 
-def paired_prompts(reports: DataFrame, one: str, two: str) -> DataFrame:
-    """Per model, over detections that both prompts covered: mean scores and difference."""
+def paired_reports(reports: DataFrame, one: str, two: str) -> DataFrame:
+    """(model, detection_id, x, y): scores of one model's two reports on a detection that both prompts covered."""
     a = reports.where(F.col("prompt") == one).select("model", "detection_id", F.col("score").alias("x"))
     b = reports.where(F.col("prompt") == two).select("model", "detection_id", F.col("score").alias("y"))
-    return a.join(b, ["model", "detection_id"]).groupBy("model").agg(F.count("*").alias("n"), F.avg("x").alias("mean_one"), F.avg("y").alias("mean_two"), F.avg(F.col("y") - F.col("x")).alias("gain"))
+    return a.join(b, ["model", "detection_id"])
+
+
+def paired_prompts(reports: DataFrame, one: str, two: str) -> DataFrame:
+    """Per model, over detections that both prompts covered: mean scores and difference."""
+    return paired_reports(reports, one, two).groupBy("model").agg(F.count("*").alias("n"), F.avg("x").alias("mean_one"), F.avg("y").alias("mean_two"), F.avg(F.col("y") - F.col("x")).alias("gain"))
 
 
 def common_detections(reports: DataFrame) -> DataFrame:
@@ -80,32 +85,6 @@ def balanced_order(packs: DataFrame, label: str, key: str) -> DataFrame:
     return ranked.withColumn("position", (F.col("_r") - 0.5) / F.col("_n")).select(*packs.columns, "position").orderBy("position", label, key)
 
 
-def excerpts(reports: DataFrame) -> DataFrame:
-    """The detection with the widest spread of a score over models: overall, among false positives and among ambiguous."""
-    s = reports.groupBy("detection_id").agg((F.max("score") - F.min("score")).alias("spread"), F.max(F.col("is_fp").cast("int")).alias("fp"), F.max(F.col("ambiguous").cast("int")).alias("amb"))
-    pick = lambda c: F.max(F.when(c, F.struct("spread", (-F.col("detection_id")).alias("m"))))
-    rules = {"overall": F.lit(True), "false_positive": F.col("fp") == 1, "ambiguous": F.col("amb") == 1}
-    row = s.agg(*[pick(c).alias(k) for k, c in rules.items()])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), (-F.col(f"{k}.m")).alias("detection_id"), F.col(f"{k}.spread").alias("spread")) for k in rules])).alias("x")).select("x.*")
-
-
-def model_summary(reports: DataFrame) -> DataFrame:
-    """Per model and prompt: reports, finished, degenerate and failed ones; over the finished, means of what is there, rates,
-    latency and tokens a second; and cost of all (NULL if any is unknown). Columns that ``reports`` lacks count as NULL."""
-    has = lambda c, kind: F.col(c) if c in reports.columns else F.lit(None).cast(kind)
-    ok, bad = F.coalesce("ok", F.lit(False)), F.coalesce(has("degenerate", "boolean"), F.lit(False))
-    done = lambda c, kind="double": F.when(ok, has(c, kind))
-    rate = lambda c: F.avg(done(c, "boolean").cast("int")).alias(f"{c}_rate")
-    timed = ok & F.col("latency").isNotNull() & (has("tokens", "long") > 0)
-    return reports.groupBy("model", "prompt").agg(
-        F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(~ok & bad).alias("n_degenerate"), F.count_if(~ok & ~bad).alias("n_failed"),
-        F.avg(done("score")).alias("mean_score"), F.avg(done("words")).alias("mean_words"), rate("leaked"), rate("faithful"), rate("substituted"), rate("cites_none"), F.avg(done("coverage")).alias("mean_coverage"),
-        F.avg(done("latency")).alias("latency_mean"), F.percentile(done("latency"), F.lit(0.5)).alias("latency_p50"), F.percentile(done("latency"), F.lit(0.95)).alias("latency_p95"),
-        F.try_divide(F.sum(F.when(timed, has("tokens", "long"))), F.sum(F.when(timed, F.col("latency")))).alias("tokens_per_second"),
-        F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost")).alias("cost"),
-    )
-
-
 def rescored(reports: DataFrame, packs: DataFrame, key: str = "detection_id") -> DataFrame:
     """Reports with their packs; one missing pack refuses the whole rescoring."""
     if reports.join(packs.select(key), key, "left_anti").limit(1).count():

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.plans import context, flows, scores
+from tidegraph.plans import context, flows, reports, scores
 
-_ALL = {**flows.Q, **scores.Q, **context.Q}
+_ALL = {**flows.Q, **scores.Q, **reports.Q, **context.Q}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import facts
 from tidegraph.operators import encode, evaluate, evidence, graph, study
-from tidegraph.plans.flows import _CTX, _TARGETS_SQL, SIZE, SPLIT_SQL, WINDOWED_SQL, rounded, scratch, splitted, targets, windowed
+from tidegraph.plans.flows import _CTX, _DRAWN_SQL, _TARGETS_SQL, SIZE, SPLIT_SQL, WINDOWED_SQL, rounded, scratch, splitted, targets, windowed
 from tidegraph.plans.scores import DET_SQL, RUNS_SQL, SCORES_SQL, THRESHOLD, detections, runs
 from tidegraph.sources.tables import BENIGN, FLOWS_SQL, csv_to_parquet, flows_from_events, table
 from tidegraph.streaming import replay
@@ -28,7 +28,7 @@ def influence(s, d):
 
 
 _INFLUENCE_SQL = f"""WITH {WINDOWED_SQL}, {_TARGETS_SQL}, en AS (SELECT window_id, src AS host, in_bytes AS x FROM wf UNION ALL SELECT window_id, dst, in_bytes FROM wf), ho AS (SELECT window_id, host, sum(x) AS t, count(*) AS n FROM en GROUP BY ALL),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY detection ORDER BY md5('1:' || detection || ':' || row_id), row_id)::INT AS rank, count(*) OVER (PARTITION BY detection) AS n_neighbours FROM tc),
+  {_DRAWN_SQL},
   jo AS (SELECT rk.*, a.t AS st, a.n AS sn, b.t AS dt, b.n AS dn, (rk.src = s)::INT + (rk.dst = s)::INT AS ks, (rk.src = d)::INT + (rk.dst = d)::INT AS kd FROM rk JOIN ho a ON a.window_id = rk.window_id AND a.host = s JOIN ho b ON b.window_id = rk.window_id AND b.host = d WHERE rank <= 50),
   im AS (SELECT *, (st / sn + dt / dn) / 2 AS score, ((st - ks * in_bytes) / (sn - ks) + (dt - kd * in_bytes) / (dn - kd)) / 2 AS score_without FROM jo)"""
 add("g9b_ego_pairs", lambda s, d: graph.pair_counts(windowed(s, d), targets(s, d)), f"WITH {WINDOWED_SQL}, {_TARGETS_SQL} SELECT detection, src, dst, count(*) AS flows FROM tc GROUP BY ALL")

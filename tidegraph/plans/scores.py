@@ -81,7 +81,10 @@ def streamed(s, d):
     return replay.replayed(s, f"{d}/events.parquet", 1000, F.col("value") / 500.0 >= THRESHOLD, F.col("event_type") != "view", scratch(s, "replay"))
 
 
-add("st1_streamed_replay", streamed, "SELECT event_id // 1000 AS window_id, count(*) AS flows, count(*) FILTER (value / 500.0 >= 0.5) AS alerts, count(*) FILTER (value / 500.0 >= 0.5 AND event_type <> 'view') AS tp, count(*) FILTER (value / 500.0 >= 0.5 AND event_type = 'view') AS fp, count(*) FILTER (event_type <> 'view') AS attacks FROM events GROUP BY 1")
+_SO_FAR = ", ".join(f"(sum({c}) OVER w)::BIGINT AS {c}_so_far" for c in replay.COUNTS)
+add("st1_streamed_replay", lambda s, d: rounded(replay.with_ratios(streamed(s, d)), "precision", "recall"), f"""WITH x AS (SELECT event_id // 1000 AS window_id, count(*) AS flows, count(*) FILTER (value / 500.0 >= 0.5) AS alerts, count(*) FILTER (value / 500.0 >= 0.5 AND event_type <> 'view') AS tp,
+    count(*) FILTER (value / 500.0 >= 0.5 AND event_type = 'view') AS fp, count(*) FILTER (event_type <> 'view') AS attacks FROM events GROUP BY 1), c AS (SELECT *, {_SO_FAR} FROM x WINDOW w AS (ORDER BY window_id))
+  SELECT *, round(tp_so_far / alerts_so_far, 6) AS precision, round(tp_so_far / attacks_so_far, 6) AS recall FROM c""")
 add("st2_time_windows", lambda s, d: rounded(replay.time_windows(table(s, d, "events")), "total", digits=3).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")), "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 add("t3_detections_in_order", lambda s, d: scores(s, d).where(F.col("score") >= 0.9).select("window_id", "score", "row_id").orderBy("window_id", F.desc("score"), "row_id"), f"WITH {SCORES_SQL} SELECT window_id, score, row_id FROM sc WHERE score >= 0.9")
 add("w5_mid_ranks", lambda s, d: scores(s, d).groupBy("score").agg(F.count("*").alias("n")).transform(lambda g: rank.running_sums(g, "score", {"upto": "n"}, descending=False)).select("score", (F.col("upto") - (F.col("n") - 1) / 2).alias("mid_rank")), f"WITH {SCORES_SQL}, r AS (SELECT score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS mid_rank FROM sc) SELECT DISTINCT score, mid_rank FROM r")
@@ -170,7 +173,6 @@ add("v8_deletion", lambda s, d: rounded(evidence.deletion_report(evidence.deleti
     SELECT count(*) AS n, round(avg((dn > dr)::INT), 6) AS share_named_larger, count(*) FILTER (logit >= 0) AS n_flagged, round(avg((logit - dn >= 0)::INT) FILTER (logit >= 0), 6) AS still_flagged_named, round(avg((logit - dr >= 0)::INT) FILTER (logit >= 0), 6) AS still_flagged_random, round(quantile_cont(dn, 0.5), 6) AS median_drop_named, round(quantile_cont(dr, 0.5), 6) AS median_drop_random FROM d""")
 
 # Reports: documents as report text, the document before as evidence.
-_ALIASES = {"connective": ("and", "und the"), "article": ("the", "la", "der"), "thing": ("be the", "de la")}
 
 
 def reports(s, d):
@@ -186,8 +188,6 @@ add("r4_hedges", lambda s, d: reports(s, d).select("doc_id", text.conveyed(F.col
 add("r5_borderline_words", lambda s, d: reports(s, d).select("doc_id", F.size(text.words_in(F.col("text"), text.BORDERLINE_WORDS)).alias("n")), "SELECT doc_id, (" + " + ".join(f"contains(lower(text), '{h}')::INT" for h in text.BORDERLINE_WORDS) + ")::INT AS n FROM documents")
 add("r6_degenerate", lambda s, d: reports(s, d).select("doc_id", text.is_degenerate(F.col("text")).alias("degenerate")), r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) > 0 AND (len(regexp_extract_all(text, '[A-Za-z]{2,}')) / len(regexp_extract_all(text, '\S+')) < 0.4 OR (length(text) - length(replace(text, '.', ''))) / greatest(length(text), 1) > 0.2) AS degenerate FROM documents")
 add("r7_leaks_and_jargon", lambda s, d: reports(s, d).select("doc_id", text.leaked(F.col("text")).alias("leaked"), (F.size(text.words_in(F.col("text"), text.JARGON)) == 0).alias("clean")), r"SELECT doc_id, regexp_matches(lower(text), '<think>|</think>|\bthe user (wants|asks|is asking)\b|\blet me (think|draft|write the)\b|\bmust not calculate\b') AS leaked, NOT (" + " OR ".join(f"contains(lower(text), '{h}')" for h in text.JARGON) + ") AS clean FROM documents")
-add("r8_families_named", lambda s, d: reports(s, d).select("doc_id", text.families_named(F.col("text"), _ALIASES).alias("named")))
-add("r8b_fidelity", lambda s, d: reports(s, d).select(text.classification_fidelity(text.families_named(F.col("text"), _ALIASES), F.lit("article"), F.create_map(F.lit("article"), F.lit(0.9), F.lit("thing"), F.lit(0.1))).alias("f")).select("f.*").groupBy("names_predicted", "substituted", "faithful").agg(F.count("*").alias("n")))
 add("r9_features_cited", lambda s, d: reports(s, d).select("doc_id", text.cites_feature(F.col("text"), "the_and", {"and": ("and", "und")}).alias("cited")), r"WITH z AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, contains(t, 'the_and') OR contains(t, 'the and') OR len(list_filter([regexp_extract_all(x, '[a-z0-9]+') for x in regexp_split_to_array(t, '[.!?\n]+')], lambda w: list_contains(w, 'the') AND (list_contains(w, 'and') OR list_contains(w, 'und')))) > 0 AS cited FROM z")
 _CITED = ["the_in", "and_out", "la_to", "DST_win"]
 
@@ -208,8 +208,6 @@ def cited(s, d):
 add("r9b_citations", cited, rf"""WITH z AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT doc_id, t, [regexp_extract_all(x, '[a-z0-9]+') for x in regexp_split_to_array(t, '[.!?\n]+')] AS ws, CASE WHEN doc_id % 3 > 0 THEN {_CITED} WHEN doc_id % 2 > 0 THEN ['la_to'] ELSE [] END AS own FROM z),
     x AS (SELECT doc_id, own, list_filter([{', '.join(f"CASE WHEN {cited_sql(c)} THEN '{c}' END" for c in _CITED)}], lambda c: c IS NOT NULL AND list_contains(own, c)) AS hit FROM y)
     SELECT doc_id, CASE WHEN len(own) > 0 THEN round(len(hit) / len(own), 4) END AS coverage, CASE WHEN len(own) > 0 THEN len(hit) = 0 END AS cites_none, CASE WHEN len(own) > 0 THEN hit END AS cited FROM x""")
-add("r10_direction", lambda s, d: reports(s, d).select("doc_id", text.direction_mismatches(F.col("text"), {"the": "raised", "and": "lowered"}, ("ing ", "er "), ("ed ", "es ")).alias("turned")).select("doc_id", F.size("turned").alias("n")), r"WITH z AS (SELECT doc_id, regexp_split_to_array(lower(text), ';|\b(?:while|whereas|but|however|in contrast|on the other hand|conversely)\b|[.!?\n]+') AS c FROM documents), y AS (SELECT doc_id, len(list_filter(c, lambda x: contains(x, 'the') AND (contains(x, 'ed ') OR contains(x, 'es ')) AND NOT (contains(x, 'ing ') OR contains(x, 'er ')))) > 0 AS a, len(list_filter(c, lambda x: contains(x, 'and') AND (contains(x, 'ing ') OR contains(x, 'er ')) AND NOT (contains(x, 'ed ') OR contains(x, 'es ')))) > 0 AS b FROM z) SELECT doc_id, coalesce(a, false)::INT + coalesce(b, false)::INT AS n FROM y")
-add("r11_score_all", lambda s, d: reports(s, d).select("doc_id", F.when(F.col("doc_id") % 10 != 3, F.struct(text.is_degenerate(F.col("text")).alias("degenerate"), F.size(text.words_in(F.col("text"), text.HEDGES)).alias("hedges"))).alias("s")).select("doc_id", "s.degenerate", "s.hedges").agg(F.count("*").alias("n"), F.count_if(F.col("degenerate").isNull()).alias("n_null"), F.sum("hedges").alias("hedges")), "SELECT count(*) AS n, count(*) FILTER (doc_id % 10 = 3) AS n_null, (sum(" + " + ".join(f"contains(lower(text), '{h}')::INT" for h in text.HEDGES) + ") FILTER (doc_id % 10 <> 3))::BIGINT AS hedges FROM documents")
 
 
 def runs(s, d):
@@ -219,21 +217,18 @@ def runs(s, d):
 
 
 RUNS_SQL = "rn AS (SELECT role AS model, CASE WHEN turn < 2 THEN 'v1' ELSE 'v2' END AS prompt, conv_id AS detection_id, length(text) / 100 AS score, turn % 3 <> 1 AS ok, length(text)::DOUBLE AS latency, CASE WHEN conv_id % 50 <> 7 THEN length(text) * 2 END AS cost, length(text) AS tokens, len(string_split(text, ' ')) AS words, conv_id % 3 = 0 AS is_fp, conv_id % 5 = 0 AS ambiguous, turn AS seed FROM conversations)"
-add("r12_model_summary", lambda s, d: rounded(study.model_summary(runs(s, d).withColumn("degenerate", F.col("ambiguous")).withColumn("leaked", F.col("is_fp"))), "mean_score", "mean_words", "leaked_rate", "latency_mean", "latency_p50", "latency_p95", "tokens_per_second").drop("faithful_rate", "substituted_rate", "cites_none_rate", "mean_coverage"), f"WITH {RUNS_SQL} SELECT model, prompt, count(*) AS n, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok AND ambiguous) AS n_degenerate, count(*) FILTER (NOT ok AND NOT ambiguous) AS n_failed, round(avg(score) FILTER (ok), 6) AS mean_score, round(avg(words) FILTER (ok), 6) AS mean_words, round(avg(is_fp::INT) FILTER (ok), 6) AS leaked_rate, round(avg(latency) FILTER (ok), 6) AS latency_mean, round(quantile_cont(latency, 0.5) FILTER (ok), 6) AS latency_p50, round(quantile_cont(latency, 0.95) FILTER (ok), 6) AS latency_p95, round(sum(tokens) FILTER (ok AND tokens > 0) / sum(latency) FILTER (ok AND tokens > 0), 6) AS tokens_per_second, CASE WHEN count(*) = count(cost) THEN sum(cost)::BIGINT END AS cost FROM rn GROUP BY 1, 2")
-add("r13_study_on_fp", lambda s, d: rounded(runs(s, d).groupBy("model").agg(F.avg("score").alias("score_all"), F.avg(F.when(F.col("is_fp"), F.col("score"))).alias("score_fp")), "score_all", "score_fp"), f"WITH {RUNS_SQL} SELECT model, round(avg(score), 6) AS score_all, round(avg(score) FILTER (is_fp), 6) AS score_fp FROM rn GROUP BY 1")
-add("r14_end_to_end", lambda s, d: runs(s, d).withColumn("outcome", facts.outcome(F.col("is_fp").cast("int"), F.col("ambiguous"), F.col("ok"))).groupBy("model", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("ok") & (F.col("score") > 2)).alias("passed")), f"WITH {RUNS_SQL} SELECT model, CASE WHEN is_fp AND ambiguous THEN 'attack_right_family' WHEN is_fp THEN 'attack_wrong_family' WHEN ok THEN 'false_positive_borderline' ELSE 'false_positive_clear' END AS outcome, count(*) AS n, count(*) FILTER (ok AND score > 2) AS passed FROM rn GROUP BY 1, 2")
 add("r15_token_medians", lambda s, d: rounded(study.token_medians(runs(s, d)), "tokens", "words", "tokens_per_word"), f"WITH {RUNS_SQL} SELECT model, round(quantile_cont(tokens, 0.5), 6) AS tokens, round(quantile_cont(words, 0.5), 6) AS words, round(quantile_cont(tokens / words, 0.5), 6) AS tokens_per_word FROM rn GROUP BY 1")
 add("r16_paired_prompts", lambda s, d: rounded(study.paired_prompts(runs(s, d).groupBy("model", "prompt", "detection_id").agg(F.max("score").alias("score")), "v1", "v2"), "mean_one", "mean_two", "gain"), f"WITH {RUNS_SQL}, g AS (SELECT model, prompt, detection_id, max(score) AS score FROM rn GROUP BY ALL) SELECT a.model, count(*) AS n, round(avg(a.score), 6) AS mean_one, round(avg(b.score), 6) AS mean_two, round(avg(b.score - a.score), 6) AS gain FROM g a JOIN g b ON a.model = b.model AND a.detection_id = b.detection_id AND a.prompt = 'v1' AND b.prompt = 'v2' GROUP BY 1")
-Q["j8_paired_reports"] = Q["r16_paired_prompts"]
+add("j8_paired_reports", lambda s, d: rounded(study.paired_reports(runs(s, d).groupBy("model", "prompt", "detection_id").agg(F.max("score").alias("score")), "v1", "v2"), "x", "y"),
+    f"WITH {RUNS_SQL}, g AS (SELECT model, prompt, detection_id, max(score) AS score FROM rn GROUP BY ALL) SELECT a.model, a.detection_id, round(a.score, 6) AS x, round(b.score, 6) AS y FROM g a JOIN g b ON a.model = b.model AND a.detection_id = b.detection_id AND a.prompt = 'v1' AND b.prompt = 'v2'")
 add("r17_list_price", lambda s, d: rounded(study.list_price(runs(s, d), runs(s, d).select("model").distinct().where("model <> 'system'").withColumn("price", F.length("model") * 0.001)), "all_reports", "finished", digits=4), f"WITH {RUNS_SQL} SELECT model, CASE WHEN model <> 'system' THEN round(sum(tokens * length(model) * 0.001)::DOUBLE, 4) END AS all_reports, CASE WHEN model <> 'system' THEN round(sum(CASE WHEN ok THEN tokens * length(model) * 0.001 ELSE 0 END)::DOUBLE, 4) END AS finished FROM rn GROUP BY 1")
 add("r17b_estimate", lambda s, d: rounded(study.estimate(table(s, d, "benchmark"), 0.001, 0.002), "cost", digits=4), r"SELECT count(*) AS n, round((sum(len(regexp_extract_all(text, '\S+')) * 1.35 + 400) * 0.001 + count(*) * 0.7)::DOUBLE, 4) AS cost FROM benchmark")
 add("r18_rescored", lambda s, d: study.rescored(table(s, d, "labels").select(F.col("doc_id").alias("detection_id"), "quality"), table(s, d, "documents").select(F.col("doc_id").alias("detection_id"), text.is_degenerate(F.col("text")).alias("degenerate"))).groupBy("quality", "degenerate").agg(F.count("*").alias("n")), r"WITH z AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) > 0 AND (len(regexp_extract_all(text, '[A-Za-z]{2,}')) / len(regexp_extract_all(text, '\S+')) < 0.4 OR (length(text) - length(replace(text, '.', ''))) / greatest(length(text), 1) > 0.2) AS degenerate FROM documents) SELECT quality, degenerate, count(*) AS n FROM labels JOIN z USING (doc_id) GROUP BY 1, 2")
 add("j9_reports_with_packs", lambda s, d: study.rescored(table(s, d, "labels").select(F.col("doc_id").alias("detection_id"), "toxic"), table(s, d, "documents").select(F.col("doc_id").alias("detection_id"), "lang")).groupBy("lang").agg(F.sum("toxic").cast("long").alias("toxic")), "SELECT lang, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 add("u5_common_detections", lambda s, d: study.common_detections(runs(s, d).where("model <> 'system'")), f"WITH {RUNS_SQL} SELECT detection_id FROM rn WHERE model <> 'system' GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM rn WHERE model <> 'system')")
 add("t6_balanced_order", lambda s, d: rounded(study.balanced_order(table(s, d, "labels"), "toxic", "doc_id").select("doc_id", "toxic", "position"), "position"), "SELECT doc_id, toxic, round((row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 0.5) / count(*) OVER (PARTITION BY toxic), 6) AS position FROM labels")
-Q["w6_rank_in_label"] = Q["t6_balanced_order"]
+add("w6_rank_in_label", lambda s, d: rank.order_rank(table(s, d, "labels").select("doc_id", "toxic"), "doc_id", ["toxic"]), "SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS rank FROM labels")
 add("t5_ranked_features", lambda s, d: evidence.summary(packed(s, d), 1).select("feature", "packs"), f"WITH {DET_SQL}, c AS (SELECT o_orderkey, unnest(['IN_BYTES', 'PROTOCOL=6', 'L4_DST_PORT_bucket=1']) AS name, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(v) DESC, name) AS r FROM c) SELECT replace(replace(regexp_extract(name, '^[^=]*'), '_bucket', ''), '_present', '') AS feature, count(*) AS packs FROM r WHERE r = 1 GROUP BY 1")
-add("t7_excerpts", lambda s, d: rounded(study.excerpts(runs(s, d)), "spread"), f"WITH {RUNS_SQL}, g AS (SELECT detection_id, max(score) - min(score) AS spread, bool_or(is_fp) AS fp, bool_or(ambiguous) AS am FROM rn GROUP BY 1) SELECT rule, detection_id, round(spread, 6) AS spread FROM (SELECT 'overall' AS rule, arg_max(detection_id, (spread, -detection_id)) AS detection_id, max(spread) AS spread FROM g UNION ALL SELECT 'false_positive', arg_max(detection_id, (spread, -detection_id)), max(spread) FROM g WHERE fp UNION ALL SELECT 'ambiguous', arg_max(detection_id, (spread, -detection_id)), max(spread) FROM g WHERE am)")
 add("a11_seed_aggregate", lambda s, d: rounded(study.seed_aggregate(runs(s, d).select(F.col("model").alias("metric"), F.when(F.col("ok"), F.col("score")).alias("value"))), "mean", "std"), f"WITH {RUNS_SQL} SELECT model AS metric, round(avg(score) FILTER (ok), 6) AS mean, round(stddev_pop(score) FILTER (ok), 6) AS std, count(*) FILTER (ok) AS n FROM rn GROUP BY 1")
 add("a12_transfer_pool", lambda s, d: rounded(study.transfer_pool(runs(s, d).select("model", F.col("prompt").alias("source"), F.when(F.col("seed") % 2 == 0, "v1").otherwise("v2").alias("target"), F.col("score").alias("pr_auc")), 2.0), "mean", "std"), f"WITH {RUNS_SQL} SELECT model, prompt AS source, CASE WHEN seed % 2 = 0 THEN 'v1' ELSE 'v2' END AS target, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS std, count(*) AS n, prompt = CASE WHEN seed % 2 = 0 THEN 'v1' ELSE 'v2' END AS is_control, avg(score) <= 2 AS at_floor FROM rn GROUP BY 1, 2, 3")
 add("a13_comparators", lambda s, d: study.comparators(table(s, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("pr_auc"), F.avg("p_size").alias("f1"), F.count_distinct("p_type").alias("k")).select(F.col("p_brand").alias("model"), "pr_auc", "f1", F.when(F.col("p_brand") < "Brand#4", "s").otherwise("t").alias("schema"), F.lit(0.04).alias("prevalence"), F.lit("v").alias("version")), "s", 0.04, "v"), "WITH b AS (SELECT p_brand AS model, avg(p_retailprice) AS pr, avg(p_size) AS f1, p_brand < 'Brand#4' AS ok FROM part GROUP BY 1) SELECT arg_max(model, (pr, model)) FILTER (ok) AS best_pr_auc, arg_max(model, (f1, model)) FILTER (ok) AS best_f1, list_sort(coalesce(list(model) FILTER (NOT ok), [])) AS excluded FROM b")
