@@ -37,9 +37,9 @@ SCALE = 2_000_000
 #: Bits of the maps of frequent words and pairs.
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 #: Phrases in one container before it bursts; phrases in a trie before it spills half of them.
-BURST, HELD = 4096, 1_000_000
+BURST, HELD = 4096, 500_000
 #: Bytes of text that are counted at once, and word ids (21 bits each) that a task knows at once.
-CHUNK, IDS = 4 << 20, (1 << 21) - 1
+CHUNK, IDS = 2 << 20, (1 << 21) - 1
 _GAP = b"\xff"  # no byte of UTF-8: stands for what parts pieces
 _FIXED = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -70,10 +70,11 @@ def _chunks(texts: list[str]) -> Iterator[list[bytes]]:
 
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     for rows in batches:
-        batch = rows.to_pandas()
-        for lang, texts in batch["text"].groupby(batch["lang"].fillna("und")):
-            for words in _chunks(texts[texts.notna()].tolist()):
-                yield lang, words
+        for i in range(0, rows.num_rows, 1024):  # few texts at once are turned into Python's
+            batch = rows.slice(i, 1024).to_pandas()
+            for lang, texts in batch["text"].groupby(batch["lang"].fillna("und")):
+                for words in _chunks(texts[texts.notna()].tolist()):
+                    yield lang, words
 
 
 _SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -99,7 +100,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for lang, words in _by_lang(batches):
             held.setdefault(lang, Counter()).update(words)
-            if sum(map(len, held.values())) > HELD // 2:
+            if sum(map(len, held.values())) > HELD:
                 yield from spilled()
         yield from spilled()
 
