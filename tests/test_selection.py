@@ -25,6 +25,17 @@ def test_kth_keys(spark, monkeypatch):
     assert rank.kth_keys(df.where("k IS NULL"), F.col("k"), {None: [1]}) == {}
 
 
+def test_kth_doubles(spark, monkeypatch):
+    monkeypatch.setattr(rank, "BINS", 64)
+    monkeypatch.setattr(rank, "GATHERED", 2)
+    r = random.Random(2)
+    keys = [r.choice([1e308, -1e308, 0.0, 3.5, float("inf"), float("-inf"), r.gauss(0, 1), 2.0**60 + r.randrange(3)]) for _ in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(float("nan"),), (None,)], "k double").repartition(3)
+    got = rank.kth_keys(df, F.col("k"), {None: list(range(1, 303, 30))})
+    assert all(got[None, k] == sorted(keys)[k - 1] for k in range(1, 301, 30))
+    assert rank.kth_keys(df, F.col("k"), {None: [301]})[None, 301] != 0 and (None, 302) not in got
+
+
 @pytest.mark.parametrize("gathered", [2, 4096])
 def test_hash_selection_takes_the_rows_of_the_rank(spark, monkeypatch, gathered):
     monkeypatch.setattr(rank, "GATHERED", gathered)

@@ -7,11 +7,13 @@ same answer.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BUCKETS = 32
@@ -26,25 +28,24 @@ def _starts(totals: DataFrame, by: list[str], bucket: str, cols: list[str], desc
 def range_bucket(df: DataFrame, key: str, by: str | None = None, buckets: int | None = None) -> Column:
     """Bucket of a row: how many of some approximate quantiles of the key, of all rows or of its group, are not above it.
 
-    At least as many buckets as shuffle partitions. The quantiles are looked up now and stand in the plan as literals, so
-    that all its branches and recomputed tasks agree; ``by`` is for few groups (columns, families). NULL keys: bucket 0.
+    At least as many buckets as shuffle partitions. The quantiles are looked up now and stand in the plan as one sorted array
+    a group, searched by halves, so that all its branches and recomputed tasks agree and the plan stays small; ``by`` is for
+    few groups (columns, families). NULL keys: bucket 0.
     """
     n = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     quantiles = F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)
     rows = df.groupBy(*([by] if by else [])).agg(quantiles.alias("cuts")).collect()
-
-    def place(cuts: list, lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(F.col(key) >= F.lit(cuts[mid - 1]), place(cuts, mid, hi)).otherwise(place(cuts, lo, mid - 1))
-
-    out = F.lit(0)
-    for r in rows:
-        cuts = sorted(set(r["cuts"] or []))
-        own = place(cuts, 0, len(cuts))
-        out = own if by is None else F.when(F.col(by).eqNullSafe(F.lit(r[by])), own).otherwise(out)
-    return out
+    kind = f"array<{df.schema[key].dataType.simpleString()}>"
+    cuts_of = {r[by] if by else None: sorted(set(r["cuts"] or [])) for r in rows}
+    longest = max([1, *map(len, cuts_of.values())])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(longest.bit_length()))])
+    array = lambda cuts: F.lit(cuts).cast(kind) if cuts else F.array().cast(kind)
+    cuts = array(cuts_of.get(None))
+    for c, own in cuts_of.items() if by else ():
+        cuts = F.when(F.col(by).eqNullSafe(F.lit(c)), array(own)).otherwise(cuts)
+    held = F.array(F.struct(cuts.alias("cuts"), F.col(key).alias("key")))
+    search = lambda x: F.aggregate(steps, F.lit(0), lambda b, s: F.when(F.get(x["cuts"], b + s - 1) <= x["key"], b + s).otherwise(b))
+    return F.get(F.transform(held, search), F.lit(0))
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, buckets: int | None = None, by: tuple[str, ...] = (), ranges: str | None = None) -> DataFrame:
@@ -65,22 +66,25 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool
 
 
 def percentiles(df: DataFrame, key: str, qs: dict[str, float], by: str | None = None) -> DataFrame:
-    """Exact percentiles {column: share}, interpolated, of all keys or of few groups of them; no group is held in one task.
+    """Exact percentiles {column: share}, interpolated, of all keys or of few groups of them, by selection (``kth_keys``): no
+    key is sorted or shuffled. Looked up when the query is built; the result has a row a group.
 
     NULL keys don't count; a group without keys has no row.
     """
-    group = [by] if by else []
-    counts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count("*").alias("_n"))
-    upto = running_sums(counts, key, {"_upto": "_n"}, descending=False, by=tuple(group), ranges=by)
-    total = F.broadcast(counts.groupBy(*group).agg(F.sum("_n").alias("_total")))  # one row a group
-    rows = upto.join(total, by) if by else upto.crossJoin(total)
-    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i), F.col(key)))
-    out = []
-    for name, q in qs.items():
-        place = (F.col("_total") - 1) * F.lit(float(q))
-        low, part = at(F.floor(place)), F.max(place - F.floor(place))
-        out.append((low + F.when(part > 0, (at(F.ceil(place)) - low) * part).otherwise(0.0)).alias(name))
-    return rows.groupBy(*group).agg(*out)
+    column = F.col(key).cast("double")
+    counts = df.where(F.col(key).isNotNull()).groupBy(*([by] if by else [])).agg(F.count("*").alias("n")).collect()
+    sizes = {r[by] if by else None: r["n"] for r in counts if r["n"]}
+    place = {(c, q): (n - 1) * float(q) for c, n in sizes.items() for q in qs.values()}
+    wanted: dict[object, list[int]] = {}
+    for (c, _), p in place.items():
+        wanted.setdefault(c, []).extend((math.floor(p) + 1, math.ceil(p) + 1))
+    found = kth_keys(df, column, wanted, by)
+    rows = []
+    for c in sizes:
+        low = [(found[c, math.floor(place[c, q]) + 1], found[c, math.ceil(place[c, q]) + 1], place[c, q] % 1) for q in qs.values()]
+        rows.append((*([c] if by else []), *[a + (z - a) * part if part else a for a, z, part in low]))
+    fields = [T.StructField(by, df.schema[by].dataType)] if by else []
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields + [T.StructField(name, T.DoubleType()) for name in qs]))
 
 
 def bucket_rank(df: DataFrame, bucket: Column, order: list[Column], by: list[str], name: str) -> DataFrame:
@@ -111,59 +115,74 @@ def order_rank(df: DataFrame, order: str, by: list[str], name: str = "rank", blo
     return bucket_rank(df, F.expr(f"{order} div {block}"), [F.col(order)], by, name)
 
 
-#: Ranges that one pass of a selection tells apart, and keys of the last range that come to the driver.
+#: Ranges that one pass of a selection tells apart, and keys of a range that come to the driver.
 BINS, GATHERED = 4096, 4096
 
 
-def kth_keys(df: DataFrame, key: Column, wanted: dict[object, list[int]], by: str | None = None, least: int | None = None, most: int | None = None) -> dict[tuple[object, int], int]:
-    """{(class, k): the k-th smallest integer key of the class}, 1-based; left out where a class has fewer keys.
+def _same(a: float, b: float) -> bool:
+    return a == b or (a != a and b != b)
+
 
-    Nothing is sorted or shuffled but counts: a pass counts keys in ``BINS`` ranges for each place asked for, and goes on
-    inside the range that holds it, until its keys are few enough to be looked at. Each pass reads ``df`` again. Classes and
-    places are few; NULL keys don't count. ``least`` and ``most`` bound the keys if they are known.
+def kth_keys(df: DataFrame, key: Column, wanted: dict[object, list[int]], by: str | None = None) -> dict[tuple[object, int], float]:
+    """{(class, k): the k-th smallest number of the class}, 1-based; left out where a class has fewer.
+
+    Nothing is sorted or shuffled but counts: a pass counts the keys in ``BINS`` bins of each range that holds a place asked
+    for, first of all keys of a class, and goes on inside the bin that holds the place, until that is one value or few enough
+    to be looked at. Each pass reads ``df`` again. Classes and places are few; NULL keys don't count, NaN is the largest.
     """
-    of = (lambda c: F.col(by).eqNullSafe(F.lit(c))) if by else (lambda c: F.lit(True))
-    rows = df.select(key.cast("long").alias("_k"), *([by] if by else [])).where("_k IS NOT NULL")
-    if least is None or most is None:
-        ends = rows.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
-        if ends["lo"] is None:
-            return {}
-        least, most = ends["lo"], ends["hi"]
-    open_ = {(c, k): (least, most, k) for c, ks in wanted.items() for k in ks if k > 0}
-    found: dict[tuple[object, int], int] = {}
+    spark = df.sparkSession
+    kind = df.select(key.alias("_k")).schema["_k"].dataType
+    real = kind.typeName() in ("double", "float")
+    of = df.schema[by].dataType if by else T.IntegerType()
+    rows = df.select(key.alias("_k"), (F.col(by) if by else F.lit(0)).alias("_c")).where("_k IS NOT NULL")
+    fields = [("c", of), ("i", T.IntegerType()), ("lo", kind), ("hi", kind), ("all", T.BooleanType())]
+    schema = T.StructType([T.StructField(f"_{n}", t) for n, t in fields])
+
+    def inside(ranges: list[tuple]) -> DataFrame:
+        """Rows with each range of their class that holds them; ranges are few."""
+        met = rows.withColumnRenamed("_c", "_class").join(F.broadcast(spark.createDataFrame(ranges, schema)), F.col("_class").eqNullSafe(F.col("_c")))
+        return met.where("_all OR _k BETWEEN _lo AND _hi")
+
+    # Bins of doubles follow their magnitude, so that one outlier doesn't put all others into one bin.
+    scale = (lambda c: F.signum(c) * F.log1p(F.abs(c))) if real else (lambda c: F.col(c).cast("double"))
+    finite = ~F.isnan("_k") & (F.abs("_k") != float("inf")) if real else F.lit(True)
+    ends = rows.where(finite).groupBy("_c").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).collect()
+    of_class = {r["_c"]: (r["lo"], r["hi"]) for r in ends}
+    zero = 0.0 if real else 0
+    class_of = lambda c: c if by else 0
+    open_ = {(c, k): (*of_class.get(class_of(c), (zero, zero)), True, k) for c, ks in wanted.items() for k in sorted(set(ks)) if k > 0}
+    found: dict[tuple[object, int], float] = {}
     while open_:
-        places = list(open_)
-        at = []
-        for i, (c, k) in enumerate(places):
-            lo, hi, _ = open_[c, k]
-            width = -(-(hi - lo + 1) // BINS)
-            at.append(F.when(of(c) & F.col("_k").between(lo, hi), F.struct(F.lit(i).alias("i"), F.expr(f"CAST((_k - {lo}) div {width} AS INT)").alias("bin"))))
-        counted = rows.select(F.explode(F.array_compact(F.array(*at))).alias("p")).groupBy("p.i", "p.bin").count().collect()
-        bins: dict[int, list[tuple[int, int]]] = {}
-        for r in counted:
-            bins.setdefault(r["i"], []).append((r["bin"], r["count"]))
+        ranges = list(dict.fromkeys((c, *open_[c, k][:3]) for c, k in open_))
+        at = {r: i for i, r in enumerate(ranges)}
+        share = F.try_divide(scale("_k") - scale("_lo"), scale("_hi") - scale("_lo"))
+        place = F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"), F.when(F.col("_k") == F.col("_lo"), 0).otherwise(BINS - 1))
+        if real:
+            place = F.when(F.isnan("_k"), BINS + 1).when(F.col("_k") == float("inf"), BINS).when(F.col("_k") == float("-inf"), -1).otherwise(place)
+        met = inside([(class_of(c), i, lo, hi, every) for (c, lo, hi, every), i in at.items()])
+        bins: dict[int, list] = {}
+        for r in met.groupBy("_i", place.alias("bin")).agg(F.count("*").alias("n"), F.min("_k").alias("a"), F.max("_k").alias("z")).collect():
+            bins.setdefault(r["_i"], []).append((r["bin"], r["n"], r["a"], r["z"]))
         few = []
-        for i, (c, k) in enumerate(places):
-            lo, hi, left = open_.pop((c, k))
-            width = -(-(hi - lo + 1) // BINS)
-            for b, n in sorted(bins.get(i, [])):
+        for c, k in list(open_):
+            lo, hi, every, left = open_.pop((c, k))
+            for _, n, a, z in sorted(bins.get(at[c, lo, hi, every], []), key=lambda b: b[0]):
                 if left <= n:
-                    a, z = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-                    if a == z:
+                    if _same(a, z):
                         found[c, k] = a
                     elif n <= GATHERED:
                         few.append((c, k, a, z, left))
                     else:
-                        open_[c, k] = (a, z, left)
+                        open_[c, k] = (a, z, False, left)
                     break
                 left -= n
         if few:
-            at = [F.when(of(c) & F.col("_k").between(a, z), F.lit(i)) for i, (c, k, a, z, _) in enumerate(few)]
-            keys: dict[int, list[int]] = {}
-            for r in rows.select(F.explode(F.array_compact(F.array(*at))).alias("i"), "_k").collect():
-                keys.setdefault(r["i"], []).append(r["_k"])
-            for i, (c, k, _, _, left) in enumerate(few):
-                found[c, k] = sorted(keys[i])[left - 1]
+            ranges = list(dict.fromkeys((c, a, z) for c, _, a, z, _ in few))
+            keys: dict[int, list] = {}
+            for r in inside([(class_of(c), i, a, z, False) for i, (c, a, z) in enumerate(ranges)]).select("_i", "_k").collect():
+                keys.setdefault(r["_i"], []).append(r["_k"])
+            for c, k, a, z, left in few:
+                found[c, k] = sorted(keys[ranges.index((c, a, z))])[left - 1]
     return found
 
 
@@ -176,7 +195,7 @@ def first_in_hash(df: DataFrame, wanted: dict[object, int], seed: int, ids: list
     """
     h = md5_key(seed, *ids)
     number = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")  # 60 bits
-    cuts = kth_keys(df, number, {c: [n] for c, n in wanted.items()}, by, 0, (1 << 60) - 1)
+    cuts = kth_keys(df, number, {c: [n] for c, n in wanted.items()}, by)
     of = (lambda c: F.col(by).eqNullSafe(F.lit(c))) if by else (lambda c: F.lit(True))
     out = F.lit(False)
     tied = []
