@@ -2,7 +2,7 @@
 
 Phrases are counted in a HAT-trie in each task: under a shallow trie over word ids lie hash containers of what is left of a
 phrase; a container that grows past ``BURST`` bursts into one container for each next word. When the trie holds ``HELD``
-phrases, whole subtrees, those whose phrases repeat least first, are spilled as runs sorted by phrase and handed to the
+phrases, whole subtrees, those whose phrases repeat least first, are spilled as runs sorted by word ids and handed to the
 shuffle, which deals them by hash of the whole phrase and merges equal phrases. (Dealt by a prefix, a phrase that begins
 like many others would put them all into one task.)
 
@@ -111,8 +111,12 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string").alias("lang"), "text")
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
 def _hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    return xxhash.xxh64_intdigest(word, _seed(lang))
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -146,12 +150,13 @@ class Words(dict):
 
     def __init__(self, lang: str, frequent: np.ndarray, known: list[tuple[str, bytes]], hashes: list[int]):
         super().__init__({_GAP: 0})
-        self.lang, self.frequent, self.known, self.hashes = lang, frequent, known, hashes
+        self.lang, self.seed, self.known, self.hashes = lang, _seed(lang), known, hashes
+        self.frequent, self.last = memoryview(frequent.view(np.uint8)), 64 * len(frequent) - 1
 
     def __missing__(self, word: bytes) -> int:
-        h = _hash(self.lang, word)
-        at, found = h & (64 * len(self.frequent) - 1), 0
-        if int(self.frequent[at >> 6]) >> (at & 63) & 1:
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        at, found = h & self.last, 0
+        if self.frequent[at >> 3] >> (at & 7) & 1:  # little-endian words: byte by byte
             self.known.append((self.lang, word))
             self.hashes.append(h)
             found = len(self.known) - 1
@@ -196,32 +201,38 @@ class HatTrie:
         self.root[a] = parted
         self.split.add(a)
 
-    def _boxes(self, a: int) -> list[tuple[int, dict[int, int]]]:
-        return [(b << 42, box) for b, box in self.root[a].items()] if a in self.split else [(0, self.root[a])]
-
     def spill(self, down_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes out whole subtrees until ``down_to`` phrases are left, those first whose phrases repeat least: first ids, the
         others' ids and counts."""
-        sizes = {}
-        for a in self.root:
-            boxes = self._boxes(a)
-            n = sum(len(box) for _, box in boxes)
-            sizes[a] = (sum(sum(box.values()) for _, box in boxes) / n, n)
+        order: list[int] = list(self.root)
+        if down_to:
+            split, worth = self.split, {}
+            for a, box in self.root.items():
+                if a in split:
+                    worth[a] = sum(sum(x.values()) for x in box.values()) / sum(map(len, box.values()))
+                else:
+                    worth[a] = sum(box.values()) / len(box)
+            order.sort(key=worth.__getitem__)
         first: list[int] = []
         many: list[int] = []
         rest: list[int] = []
         counts: list[int] = []
-        for a in sorted(sizes, key=lambda a: (sizes[a], a)):
+        for a in order:
             if self.size <= down_to:
                 break
-            for above, box in self._boxes(a):
-                rest += [above | key for key in box] if above else box
+            before = len(rest)
+            box = self.root.pop(a)
+            if a in self.split:
+                self.split.discard(a)
+                for b, own in box.items():
+                    rest += [b << 42 | key for key in own]
+                    counts += own.values()
+            else:
+                rest += box
                 counts += box.values()
             first.append(a)
-            many.append(sizes[a][1])
-            self.size -= sizes[a][1]
-            del self.root[a]
-            self.split.discard(a)
+            many.append(len(rest) - before)
+            self.size -= len(rest) - before
         return np.repeat(np.array(first, np.int64), many), np.array(rest, np.int64), np.array(counts, np.int64)
 
 
@@ -238,10 +249,8 @@ def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None =
             first, rest, f = trie.spill(down_to)
             if not len(first):
                 return
-            place = np.empty(len(known), np.int64)  # of words in the order of runs
-            place[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+            order = np.lexsort((rest, first))  # a run is in the order of word ids
             ids = [first, rest >> 42, rest >> 21 & IDS, rest & IDS]
-            order = np.lexsort([np.where(i, place[i], -1) for i in ids[::-1]])
             lang, word = pa.array([x for x, _ in known], pa.string()), pa.array([w for _, w in known], pa.binary())
             size = sum((i > 0).astype(np.int8) for i in ids)
             for n in np.unique(size):
