@@ -37,7 +37,7 @@ SCALE = 2_000_000
 #: Bits of the maps of frequent words and pairs.
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 #: Phrases in one container before it bursts; phrases in a trie before it spills half of them.
-BURST, HELD = 4096, 500_000
+BURST, HELD = 4096, 250_000
 #: Bytes of text that are counted at once, and word ids (21 bits each) that a task knows at once.
 CHUNK, IDS = 2 << 20, (1 << 21) - 1
 _GAP = b"\xff"  # no byte of UTF-8: stands for what parts pieces
@@ -100,7 +100,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for lang, words in _by_lang(batches):
             held.setdefault(lang, Counter()).update(words)
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > 2 * HELD:
                 yield from spilled()
         yield from spilled()
 
