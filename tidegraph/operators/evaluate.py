@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,19 +92,48 @@ def detection_families(scores: DataFrame, threshold: float, benign: str) -> Data
     )
 
 
-def at_prevalence(scores: DataFrame, target: float, seed: int = 0, keep_positives: bool = False) -> DataFrame:
-    """Rows subsampled after scoring to a prevalence, in md5 order within each class; one class alone is kept as it is.
+def prevalence_cut(scores: DataFrame, target: float, seed: int = 0, keep_positives: bool = False) -> Column:
+    """Whether a row stays when ``scores`` (row_id, y) are brought to a prevalence, in md5 order within each class; one class
+    alone is kept as it is.
 
     Negatives are cut if attacks are too rare for them, else (unless all positives must stay) positives are cut.
     """
     r = scores.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     p, n = r["p"], r["n"]
     if not p or not n:
-        return scores
+        return F.lit(True)
     want_p, want_n = p, round(p * (1 - target) / target)
     if want_n > n:
         want_p, want_n = (p if keep_positives else max(1, round(n * target / (1 - target)))), n
-    return scores.where(rank.first_in_hash(scores, {1: want_p, 0: want_n}, seed, ["row_id"], "y"))
+    return rank.first_in_hash(scores, {1: want_p, 0: want_n}, seed, ["row_id"], "y")
+
+
+def at_prevalence(scores: DataFrame, target: float, seed: int = 0, keep_positives: bool = False) -> DataFrame:
+    """Rows subsampled after scoring to a prevalence; see ``prevalence_cut``."""
+    return scores.where(prevalence_cut(scores, target, seed, keep_positives))
+
+
+def curves(scores: DataFrame, by: str) -> DataFrame:
+    """``curve`` of each of few groups."""
+    groups = scores.groupBy(by, "score").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("n"))
+    out = rank.running_sums(groups, "score", {"tp": "p", "fp": "n"}, by=(by,), ranges=by)
+    totals = groups.groupBy(by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    return out.join(F.broadcast(totals), by)  # a row a group
+
+
+def judged_groups(scores: DataFrame, by: str) -> DataFrame:
+    """Metrics of each of few groups of ``scores`` (y, score, threshold): counts and rates at its threshold, PR-AUC, ROC-AUC and
+    false-positive rate at 95 % recall; NULL where a class is absent."""
+    hit, attack = F.col("score") >= F.col("threshold"), F.col("y") == 1
+    at = scores.groupBy(by).agg(F.count("*").alias("n"), F.first("threshold").alias("threshold"), F.avg("y").alias("prevalence"), F.sum("y").alias("_p"), F.count_if(hit & attack).alias("tp"), F.count_if(hit & ~attack).alias("fp"))
+    points = curves(scores, by).withColumns({"_precision": F.col("tp") / (F.col("tp") + F.col("fp")), "_recall": F.try_divide("tp", "pos")})
+    both = (F.max("pos") > 0) & (F.max("neg") > 0)
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
+    fpr = F.min(F.when(F.col("_recall") >= 0.95, F.try_divide("fp", "neg")))
+    whole = points.groupBy(by).agg(F.when(F.max("pos") > 0, F.sum(F.try_divide("p", "pos") * F.col("_precision"))).alias("pr_auc"), F.when(both, area / (F.max("pos") * F.max("neg"))).alias("roc_auc"), F.when(both, fpr).alias("fpr_at_95"))
+    zero = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = zero(F.col("tp"), F.col("tp") + F.col("fp")), zero(F.col("tp"), F.col("_p"))
+    return at.join(whole, by).select(by, "n", "threshold", "prevalence", "pr_auc", "roc_auc", zero(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_p")).alias("f1"), precision.alias("precision"), recall.alias("recall"), "fpr_at_95")
 
 
 def report_both(scores: DataFrame, threshold: float, target: float, seed: int = 0) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators import evaluate, rank
+
 FLOW = ["in_bytes_l", "dst_port_d", "proto_d"]
 HOST = ["src_fanout", "src_distinct_ports", "src_flow_count", "dst_fanin", "dst_flow_count"]
 
@@ -35,14 +41,94 @@ def scored(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("row_id", F.col("label").alias("y"), vector_to_array("probability")[1].alias("score"), "family")
 
 
-def saturation(df: DataFrame, columns: list[str], cut: float = 0.7, limit: float = 0.98) -> dict[str, float | bool]:
-    """Order-preserving cut, two simple models, and whether the best PR-AUC shows a saturated task."""
-    from tidegraph.operators import evaluate
+#: Rounds of boosting that may pass without a better validation loss than before by this share.
+TOLERANCE = 0.001
+KINDS = ("logreg", "forest", "gbt")
+SETS = {"flow": FLOW, "flow+host": FLOW + HOST}
+
+
+def fit_early(df: DataFrame, kind: str, features_column: str, seed: int, share: float):
+    """A classifier fitted on ``df`` (train rows and, where ``held``, validation rows), classes weighed evenly by ``w``.
+
+    Boosting stops when the validation rows don't get better; the others are fitted on the train rows alone. ``share`` is
+    the share of attacks among train rows.
+    """
+    train = df.where("NOT held")
+    common = {"labelCol": "label", "featuresCol": features_column, "weightCol": "w"}
+    if kind == "logreg":
+        return LogisticRegression(maxIter=30, regParam=1e-3, **common).fit(train)
+    if kind == "forest":
+        return RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **common).fit(train)
+    return GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, validationIndicatorCol="held", validationTol=TOLERANCE, seed=seed, **common).fit(df)
+
+
+def compare(df: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0.04, prevalence_seed: int = 0, kinds: tuple[str, ...] = KINDS, at_once: int = 4) -> DataFrame:
+    """Every kind of model on every feature set with every seed, by one protocol; a row for each (model, features, seed, rows_at,
+    novel_only) with metrics.
+
+    ``df`` has row_id, split (train, val, test), label, family, duplicate_of_train and the feature columns. Both feature
+    vectors are made once, in one cached table, and fits share it, ``at_once`` of them at a time. Thresholds are those of the
+    best F1 on validation rows brought to the target prevalence; test rows are judged as they are and at that prevalence, all
+    of them and those without a twin in train. Which rows those are depends on no score, so they are chosen once; the scores
+    of all fits are one table, and each figure is one aggregate over its groups.
+    """
+    table = df.where("split IS NOT NULL")
+    for name, columns in SETS.items():
+        table = features(table, columns).withColumnRenamed("features", f"x_{name}")
+    share = df.where("split = 'train'").agg(F.avg("label")).first()[0] or 0.5
+    weight = F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))
+    table = table.select("row_id", "split", "label", "duplicate_of_train", *[f"x_{n}" for n in SETS], weight.alias("w"), (F.col("split") == "val").alias("held")).withColumn("y", F.col("label")).persist()
+    chosen = {name: evaluate.prevalence_cut(table.where(rows), target, prevalence_seed) for name, rows in (("val", "split = 'val'"), ("test", "split = 'test'"), ("novel", "split = 'test' AND NOT duplicate_of_train"))}
+
+    def fitted(job: tuple[str, str, int]) -> DataFrame:
+        kind, name, seed = job
+        model = fit_early(table.where("split <> 'test'"), kind, f"x_{name}", seed, share)
+        rows = table.where("split <> 'train'").select("row_id", "split", "y", "duplicate_of_train", F.col(f"x_{name}").alias("features"))
+        return model.setFeaturesCol("features").transform(rows).select(F.lit(f"{kind}|{name}|{seed}").alias("fit"), "row_id", "split", "y", "duplicate_of_train", vector_to_array("probability")[1].alias("score"))
+
+    jobs = [(kind, name, seed) for kind in kinds for name in SETS for seed in seeds]
+    with ThreadPoolExecutor(at_once) as pool:
+        scores = reduce(DataFrame.union, pool.map(inheritable_thread_target(table.sparkSession)(fitted), jobs)).persist()
+    val = scores.where(F.col("split") == "val").where(chosen["val"])
+    f1 = 2 * F.col("tp") / (F.col("pos") + F.col("tp") + F.col("fp"))
+    limits = evaluate.curves(val, "fit").groupBy("fit").agg(F.max(F.struct(f1.alias("f"), "score"))["score"].alias("threshold"))
+    test, novel = scores.where("split = 'test'"), ~F.col("duplicate_of_train")
+    groups = [(test, "native", False), (test.where(chosen["test"]), "target", False), (test.where(novel), "native", True), (test.where(novel).where(chosen["novel"]), "target", True)]
+    judged = reduce(DataFrame.union, [rows.select(F.concat_ws("|", "fit", F.lit(at), F.lit(str(only).lower())).alias("key"), "y", "score", "fit") for rows, at, only in groups])
+    found = evaluate.judged_groups(judged.join(F.broadcast(limits), "fit"), "key")  # a threshold a fit
+    part = lambda i: F.element_at(F.split("key", r"\|"), i)
+    out = found.select(part(1).alias("model"), part(2).alias("features"), part(3).cast("int").alias("seed"), part(4).alias("rows_at"), part(5).cast("boolean").alias("novel_only"), *[c for c in found.columns if c != "key"])
+    rows = out.collect()  # a row for each fit and kind of rows
+    scores.unpersist()
+    table.unpersist()
+    return df.sparkSession.createDataFrame(rows, out.schema)
+
+
+def seed_means(runs: DataFrame) -> DataFrame:
+    """Mean and population deviation over seeds of each metric of ``compare``."""
+    by = ["model", "features", "rows_at", "novel_only"]
+    metrics = [c for c in ("pr_auc", "roc_auc", "f1", "precision", "recall", "fpr_at_95")]
+    return runs.groupBy(*by).agg(F.count("*").alias("n_seeds"), *[x for m in metrics for x in (F.avg(m).alias(m), F.stddev_pop(m).alias(f"{m}_std"))])
+
+
+def saturation(df: DataFrame, columns: list[str], n: int = 600_000, target: float = 0.04, seed: int = 0, cut: float = 0.7, limit: float = 0.98) -> DataFrame:
+    """Whether two simple models solve a task: one row a model with PR-AUC, ROC-AUC, the prevalence of the rows they are
+    judged on, and whether the better one shows a saturated task.
 
-    at = int(df.count() * cut)
-    train, test = df.where(F.col("row_id") < at), df.where(F.col("row_id") >= at)
-    best = 0.0
+    Rows are first resampled to ``target`` attacks, ``n`` at most, and keep their order; the first ``cut`` of them are
+    learned from. Where that falls is selected by counts of row ids, not by a rank.
+    """
+    counts = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+    size = min(n, counts["p"] + counts["n"])
+    n_pos = min(counts["p"], max(1, int(size * target)))
+    n_neg = min(counts["n"], int(n_pos * (1 - target) / target))
+    sample = df.where(rank.first_in_hash(df, {1: n_pos, 0: n_neg}, seed, ["row_id"], "label"))
+    last = rank.kth_keys(sample, F.col("row_id"), {None: [max(1, int(cut * (n_pos + n_neg)))]})[None, max(1, int(cut * (n_pos + n_neg)))]
+    train, test = sample.where(F.col("row_id") <= last), sample.where(F.col("row_id") > last)
+    rows = []
     for kind in ("logreg", "gbt"):
-        r = evaluate.average_precision(evaluate.curve(scored(fit(train, kind, columns), test, columns))).first()
-        best = max(best, r["pr_auc"] or 0.0)
-    return {"best_pr_auc": best, "saturated": best > limit}
+        points = evaluate.curve(scored(fit(train, kind, columns, seed), test, columns))
+        r = evaluate.average_precision(points).crossJoin(evaluate.roc_auc(points)).crossJoin(test.agg(F.avg("label").alias("prevalence"))).first()  # single rows
+        rows.append((kind, n_pos + n_neg, r["prevalence"], r["pr_auc"], r["roc_auc"]))
+    best = max(r[3] or 0.0 for r in rows)
+    return df.sparkSession.createDataFrame([(*r, best > limit) for r in rows], "model string, n long, prevalence double, pr_auc double, roc_auc double, saturated boolean")

@@ -20,6 +20,25 @@ def column_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("is_constant", F.col("n_unique") <= 1)
 
 
+#: Bits of the sketches: 2^14 cells, an error of some 0.8%.
+SKETCH_BITS = 14
+
+
+def sketched_profile(df: DataFrame, part: Column | None = None) -> DataFrame:
+    """Profiles that can be merged: for each column (and ``part``, such as a file) rows, NULLs, a sketch of the distinct values
+    and the least and largest as text. One pass over ``df``, one aggregate; no cell becomes a row."""
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    one = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.count("*").alias("n"), F.count_if(text[c].isNull()).alias("n_null"), F.hll_sketch_agg(text[c], SKETCH_BITS).alias("sketch"), F.min(text[c]).alias("least"), F.max(text[c]).alias("largest")) for c, t in df.dtypes]
+    key = [] if part is None else [part.alias("part")]
+    return df.groupBy(*key).agg(F.array(*one).alias("x")).select(*(["part"] if key else []), F.explode("x").alias("x")).select(*(["part"] if key else []), "x.*")
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """Per column of stored sketches: type, rows, NULLs, distinct values (estimated) and whether constant (exact)."""
+    g = sketches.groupBy("column", "dtype").agg(F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_unique"), F.min("least").alias("least"), F.max("largest").alias("largest"))
+    return g.withColumn("is_constant", F.col("least").isNull() | (F.col("least") == F.col("largest"))).drop("least", "largest")
+
+
 def graph_shape(flows: DataFrame) -> DataFrame:
     """Hosts, ordered pairs, density and per-source and per-pair statistics of the whole directed multigraph.
 

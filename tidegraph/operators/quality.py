@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +248,50 @@ def duplicate_of_train(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_hit", *[f"_{k}" for k in keys])
 
 
+#: Bits of a Bloom filter for each key, hash functions, and the most bits that are sent (16 MB).
+KEY_BITS, HASHES, MOST_BITS = 12, 6, 1 << 27
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int] | None:
+    """A Bloom filter of the rows of ``keys``: one row with an array of 64-bit words, and its size in bits; None if the count
+    of rows asks for more than ``MOST_BITS``. Words are merged by a bitwise or, so parts of the keys can come in any order."""
+    n = keys.count()
+    size = 1 << max(10, (n * KEY_BITS - 1).bit_length() if n else 10)
+    if size > MOST_BITS:
+        return None
+    at = keys.select(F.explode(_places([F.col(c) for c in keys.columns], size)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("word"))
+    found = {r["slot"]: r["word"] for r in words.collect()}
+    return keys.sparkSession.createDataFrame([([found.get(i, 0) for i in range(size // 64)],)], "words array<bigint>"), size
+
+
+def _places(columns: list[Column], size: int) -> Column:
+    one, two = F.shiftrightunsigned(F.xxhash64(*columns), 2), F.shiftrightunsigned(F.xxhash64(F.lit(1), *columns), 34)
+    return F.array(*[F.pmod(one + F.lit(k) * two, F.lit(size)) for k in range(HASHES)])
+
+
+def filtered_twins(df: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``duplicate_of_train``, but only val and test rows that a Bloom filter of the train keys lets pass are shuffled and
+    compared; what it rules out is no twin, and what passes is judged exactly, NULL equal to NULL."""
+    train = df.where(F.col("split") == "train").select(*keys)
+    made = key_filter(train)
+    if made is None:
+        return duplicate_of_train(df, keys)
+    words, size = made
+    pass_ = F.col("split") != F.lit("train")
+    word = lambda p: F.get(F.col("words"), F.shiftright(p, 6).cast("int"))
+    for k in range(HASHES):
+        p = _places([F.col(c) for c in keys], size)[k]
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
+        pass_ = pass_ & (word(p).bitwiseAND(bit) != 0)
+    words = F.broadcast(words)  # one row of at most 16 MB
+    passed, ruled_out = df.join(words, pass_, "left_semi"), df.join(words, pass_, "left_anti")
+    seen = train.distinct().select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    judged = passed.join(seen.withColumn("_hit", F.lit(True)), same, "left").withColumn("duplicate_of_train", F.col("_hit").isNotNull()).drop("_hit", *[f"_{k}" for k in keys])
+    return judged.unionByName(ruled_out.withColumn("duplicate_of_train", F.lit(False)))
+
+
 def contradictory_twins(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per family: rows whose keys also occur with another family."""
     mixed = df.groupBy(*keys).agg((F.min("family") != F.max("family")).alias("mixed")).where("mixed").drop("mixed")

@@ -8,7 +8,7 @@ from tidegraph.functions import facts
 from tidegraph.operators import encode, evaluate, evidence, graph, study
 from tidegraph.plans.flows import _CTX, _DRAWN_SQL, _TARGETS_SQL, SIZE, SPLIT_SQL, WINDOWED_SQL, rounded, scratch, splitted, targets, windowed
 from tidegraph.plans.scores import DET_SQL, RUNS_SQL, SCORES_SQL, THRESHOLD, detections, runs
-from tidegraph.sources.tables import BENIGN, FLOWS_SQL, csv_to_parquet, flows_from_events, table
+from tidegraph.sources.tables import BENIGN, FLOWS_SQL, csv_to_parquet, csv_types, flows_from_events, table
 from tidegraph.streaming import replay
 
 Q: dict = {}
@@ -121,6 +121,21 @@ def converted(s, d):
 add("s4_csv_to_parquet", converted, f"WITH {FLOWS_SQL} SELECT * FROM flows")
 
 
+def odd_csv(s, d):
+    """Events as CSV whose columns only show late what they are: a fraction, a word, a missing cell in few rows."""
+    f = flows_from_events(s, d)
+    late = F.col("row_id") % 997 == 996
+    folder = scratch(s, "odd-csv")
+    f.select("row_id", F.when(late, (F.col("in_bytes") + 0.25).cast("string")).otherwise(F.floor("in_bytes").cast("string")).alias("size"), F.when(late, "n/a").otherwise(F.col("dst").cast("string")).alias("host"), F.when(F.col("row_id") % 991 == 990, "many").otherwise(F.col("proto").cast("string")).alias("code"), (F.col("label") == 1).alias("attack"), F.lit("").alias("nothing"), F.lit("2024-01-02 03:04:05").alias("at")).coalesce(1).write.option("header", True).csv(folder)
+    return csv_types(s, folder)
+
+
+add("s4b_inferred_types", odd_csv, f"""WITH {FLOWS_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (row_id % 997 = 996) AS late, count(*) FILTER (row_id % 991 = 990) AS words, min(CASE WHEN row_id % 997 = 996 THEN row_id END) AS first_late FROM flows)
+  SELECT * FROM (VALUES ('row_id', 0, 'bigint'), ('attack', 4, 'boolean'), ('at', 6, 'timestamp')) AS v("column", position, type), (SELECT 0::BIGINT AS n_null, NULL::VARCHAR AS widened_by)
+  UNION ALL SELECT 'size', 1, CASE WHEN late > 0 THEN 'double' ELSE 'bigint' END, 0, (SELECT (in_bytes + 0.25)::VARCHAR FROM flows WHERE row_id = first_late) FROM c UNION ALL SELECT 'host', 2, 'bigint', late, NULL FROM c
+  UNION ALL SELECT 'code', 3, CASE WHEN words > 0 THEN 'string' ELSE 'bigint' END, 0, CASE WHEN words > 0 THEN 'many' END FROM c UNION ALL SELECT 'nothing', 5, 'void', n, NULL FROM c""")
+
+
 def named(s, d):
     df = splitted(s, d).where("split = 'train'").withColumn("port", F.col("dst_port") * 150)
     df = df.withColumn("port_bucket", encode.bucket_port("port").cast("string"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidegraph.operators import encode, graph, profile, quality, rank, split
+from tidegraph.operators import encode, graph, profile, quality, rank, split, version
 from tidegraph.sources import sinks, tables
 from tidegraph.sources.tables import BENIGN, FLOWS_SQL, flows_from_events, table
 
@@ -260,7 +260,37 @@ add("q19_contradictory_twins", lambda s, d: quality.contradictory_twins(flows_fr
 add("q20_duplicate_of_train", lambda s, d: quality.duplicate_of_train(splitted(s, d).where("split IS NOT NULL"), _DUP).select("row_id", "split", "duplicate_of_train"), f"WITH {SPLIT_SQL}, t AS (SELECT DISTINCT src, dst, proto FROM sf WHERE split = 'train') SELECT row_id, split, split <> 'train' AND t.src IS NOT NULL AS duplicate_of_train FROM sf LEFT JOIN t USING (src, dst, proto) WHERE split IS NOT NULL")
 add("q21_alignment", lambda s, d: quality.aligned(flows_from_events(s, d), flows_from_events(s, d).where("row_id % 10 <> 3").withColumn("dst", F.when(F.col("row_id") % 7 == 0, -1).otherwise(F.col("dst"))), ["src", "dst"]), "SELECT count(*) FILTER (event_id % 10 = 3) AS only_a, 0::BIGINT AS only_b, 0::BIGINT AS diff_src, count(*) FILTER (event_id % 10 <> 3 AND event_id % 7 = 0) AS diff_dst FROM events")
 add("q23_prevalence_resample", lambda s, d: split.prevalence_resample(flows_from_events(s, d), 600, 0.2, 3).select("row_id"), f"WITH {FLOWS_SQL}, r AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || row_id), row_id) AS r FROM flows) SELECT row_id FROM r WHERE (label = 1 AND r <= 120) OR (label = 0 AND r <= 480)")
-add("q24_fingerprint", lambda s, d: quality.fingerprint(table(s, d, "lineitem")))
+_VERSIONED = ["src", "dst", "dst_port", "family"]
+
+
+def hash_tree(s, d, changed=False):
+    """The tree of the flows in blocks of 100 rows, four children a node; ``changed`` flows differ in a few rows."""
+    f = flows_from_events(s, d)
+    f = f.withColumn("dst", F.when(F.col("row_id") % 3777 == 5, -1).otherwise(F.col("dst"))).where("row_id <> 901") if changed else f
+    return version.tree(version.block_hashes(f, _VERSIONED, 100), 4)
+
+
+def data_version(s, d):
+    return table(s, d, "events").groupBy().agg(F.lit(version.version(hash_tree(s, d), {"clip": 0.99999}, {"train": [0, 7]})).alias("version"))
+
+
+_LEAVES_SQL = f"""{FLOWS_SQL}, lf AS (SELECT row_id // 100 AS node, count(*) AS n, md5(count(*) || ':' || bit_xor(('0x' || md5('=' || dst || '|=' || dst_port || '|=' || family || '|=' || row_id || '|=' || src)[1:15])::BIGINT)) AS hash FROM flows GROUP BY 1),
+  top AS (SELECT max(node) AS last FROM lf)"""
+
+
+def tree_sql(levels=12):
+    """As many levels as the largest tables need; a level is there if the one below has more than one node."""
+    out = [f"t0 AS (SELECT 0 AS level, node, n, hash FROM lf)"]
+    for k in range(1, levels):
+        out.append(f"t{k} AS (SELECT {k} AS level, node // 4 AS node, sum(n)::BIGINT AS n, md5(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM t{k - 1} WHERE {k} = 1 OR (SELECT count(*) FROM t{k - 1}) > 1 GROUP BY 2)")
+    return ", ".join(out) + ", tr AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(levels)) + ")"
+
+
+add("q24_fingerprint", hash_tree, f"WITH {_LEAVES_SQL}, {tree_sql()} SELECT level, node, n, hash FROM tr")
+add("q24b_data_version", data_version, f"""WITH {_LEAVES_SQL}, {tree_sql()} SELECT sha256('{{"params": {{"clip": 0.99999}}, "splits": {{"train": [0, 7]}}, "table": "' || (SELECT arg_max(hash, level) FROM tr) || '"}}')[1:16] AS version""")
+add("q24c_differing_blocks", lambda s, d: version.differing_blocks(hash_tree(s, d), hash_tree(s, d, True), 4), "SELECT DISTINCT event_id // 100 AS node FROM events WHERE event_id % 3777 = 5 OR event_id = 901")
+add("a1b_sketched_profile", lambda s, d: profile.merged_profile(profile.sketched_profile(table(s, d, "orders"), F.col("o_orderstatus"))).select("column", "n", "n_null", "is_constant"),
+    "SELECT \"column\", n, n_null, n_unique <= 1 AS is_constant FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_unique FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ")")
 add("j3_seen_in_train", lambda s, d: splitted(s, d).where("split = 'test'").join(splitted(s, d).where("split = 'train'").select(*_DUP).distinct(), _DUP, "left_semi").select("row_id"), f"WITH {SPLIT_SQL} SELECT row_id FROM sf WHERE split = 'test' AND (src, dst, proto) IN (SELECT (src, dst, proto) FROM sf WHERE split = 'train')")
 _SNAP = ["mean_fanout", "std_fanout", "p90_fanout", "std_flows_per_node", "density", "attack_rate"]
 add("g2_snapshot_stats", lambda s, d: rounded(graph.snapshot_stats(windowed(s, d)), *_SNAP),
@@ -367,3 +397,5 @@ add("f12_oov_report", lambda s, d: rounded(encode.oov_report(flows_from_events(s
 add("f11_frozen_encode", lambda s, d: encode.Pipeline(["v"], ["v"], []).fit(table(s, d, "events").select(F.col("value").alias("v"))).transform(table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("v"))).select("o_orderkey", F.round(F.col("v_z").cast("double"), 4).alias("z")),
     "WITH f AS (SELECT quantile_cont(value, 0.99999) AS hi, -least(0, min(value)) AS sh FROM events), t AS (SELECT hi, sh, avg(ln(1 + least(value, hi) + sh)) AS m, stddev_pop(ln(1 + least(value, hi) + sh)) AS sd FROM events, f GROUP BY 1, 2) SELECT o_orderkey, round(((ln(1 + greatest(least(o_totalprice / 1000, hi) + sh, 0)) - m) / sd)::FLOAT::DOUBLE, 4) AS z FROM orders, t")
 add("w4_global_rank", lambda s, d: rank.hash_rank(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), 5, ["o_orderkey"], ["o_orderstatus"]), "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('5:' || o_orderkey), o_orderkey) AS rank FROM orders")
+add("q20b_encoded_twins", lambda s, d: quality.filtered_twins(_transformed(s, d).withColumn("z", F.round(F.col("in_bytes_z").cast("double"), 2)).where("split IS NOT NULL"), ["z", "family_code"]).select("row_id", "split", "duplicate_of_train"),
+    f"WITH {_FIT_SQL}, {_VOCAB_SQL}, e AS (SELECT row_id, split, round(((ln(1 + greatest(least(in_bytes, hi) + sh, 0)) - m) / sd)::FLOAT::DOUBLE, 2) AS z, coalesce(code, 0) AS c FROM sf CROSS JOIN st LEFT JOIN vc ON value = family WHERE split IS NOT NULL) SELECT row_id, split, split <> 'train' AND (z, c) IN (SELECT (z, c) FROM e WHERE split = 'train') AS duplicate_of_train FROM e")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import facts, text
 from tidegraph.operators import evaluate, evidence, graph, models, profile, quality, rank, split, study
 from tidegraph.plans.flows import _FAILED_SQL, LINES_SQL, SIZE, SPLIT_SQL, failing, five_sql, rounded, scratch, splitted, windowed
-from tidegraph.sources.tables import BENIGN, FLOWS_SQL, flows_from_events, table
+from tidegraph.sources.tables import BENIGN, FLOWS_SQL, entries, flows_from_events, read_shapes, table
 from tidegraph.streaming import replay
 
 Q: dict = {}
@@ -257,11 +257,38 @@ add("e15_forest_host", baseline("forest", models.FLOW + models.HOST, True))
 add("e15_boosted_host", baseline("gbt", models.FLOW + models.HOST, True))
 
 
-def saturation(s, d):
-    r = models.saturation(flows_from_events(s, d), models.FLOW)
-    return table(s, d, "events").groupBy().agg(F.lit(r["best_pr_auc"]).alias("best_pr_auc"), F.lit(r["saturated"]).alias("saturated"))
+def compared(s, d):
+    """Seed means of six model and feature pairs on contiguous splits; twins are rows that train has too."""
+    df = graph.host_features(windowed(s, d))
+    df = split.contiguous_split(df)
+    df = quality.filtered_twins(df.where("split IS NOT NULL"), ["src", "dst", "dst_port", "proto"])
+    return models.seed_means(models.compare(df)).select("model", "features", "rows_at", "novel_only", "n_seeds", *[F.round(c, 4).alias(c) for c in ("pr_auc", "pr_auc_std", "roc_auc", "f1", "recall", "fpr_at_95")])
 
 
-add("q22_saturation", saturation)
-add("s8_results_scan", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.length("text").alias("value"))).alias("runs")).select(F.explode("runs").alias("r")).select("r.*").groupBy("turn").agg(F.sum("value").alias("total")), "SELECT turn, sum(length(text))::BIGINT AS total FROM conversations GROUP BY 1")
+add("e15b_baselines", compared)
+add("q22_saturation", lambda s, d: models.saturation(flows_from_events(s, d), models.FLOW))
+
+
+def shapes(s, d):
+    """Result documents of unlike shapes, written one a file: some lack ``cost``, some have it NULL or as text, some have a
+    ``note``; a few have no entries."""
+    c = table(s, d, "conversations").withColumn("doc", F.expr("conv_id div 25"))
+    entry = F.struct("conv_id", "turn", F.length("text").alias("value"), F.when(F.col("turn") % 2 == 0, F.struct(F.lit("x").alias("kind"))).alias("more"))
+    docs = c.groupBy("doc", "role").agg(F.collect_list(entry).alias("runs")).withColumn("model", F.concat_ws("-", "role", "doc"))
+    cost = F.col("doc") * 0.5
+    of = {0: F.struct("model", "runs", cost.alias("cost")), 1: F.struct("model", "runs", F.lit(None).cast("double").alias("cost")), 2: F.struct("model", "runs", F.lit("unknown").alias("cost"), F.lit("late").alias("note")), 3: F.struct("model", "runs"), 4: F.struct("model", cost.alias("cost"))}
+    text = F.lit(None).cast("string")
+    for k, doc in of.items():
+        text = F.when(F.col("doc") % 5 == k, F.to_json(doc, {"pretty": "true", "ignoreNullFields": "false"})).otherwise(text)
+    folder = scratch(s, "shapes")
+    docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return read_shapes(s, folder)
+
+
+def shaped(s, d):
+    rows = entries(shapes(s, d), "runs", {"turn": "int", "value": "long", "more.kind": "string", "missing": "string"}, {"model": "string", "cost": "double", "note": "string"})
+    return rows.groupBy("model", "cost", "note").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count("`more.kind`").alias("kinds"), F.count("missing").alias("missing"))
+
+
+add("s8_results_scan", shaped, "WITH c AS (SELECT conv_id // 25 AS doc, role, turn, length(text) AS value FROM conversations) SELECT role || '-' || doc AS model, CASE WHEN doc % 5 = 0 THEN doc * 0.5::DOUBLE END AS cost, CASE WHEN doc % 5 = 2 THEN 'late' END AS note, count(*) AS n, sum(value)::BIGINT AS total, count(*) FILTER (turn % 2 = 0) AS kinds, 0::BIGINT AS missing FROM c WHERE doc % 5 <> 4 GROUP BY ALL")
 add("a10b_five_numbers_empty", lambda s, d: rounded(profile.five_numbers(runs(s, d).withColumn("score", F.when(F.col("model") != "system", F.col("score"))), "score", "model"), "mean", "std", "p25", "median", "p75"), f"WITH {RUNS_SQL} SELECT model, n, round(mean, 6) AS mean, round(std, 6) AS std, min, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, max FROM (SELECT model, {five_sql('x')} FROM (SELECT model, CASE WHEN model <> 'system' THEN score END AS x FROM rn) GROUP BY 1)")
