@@ -75,7 +75,10 @@ def sample_texts(train: DataFrame, n: int = SAMPLE_DOCS) -> dict[str, list[str]]
         for batch in batches:
             yield batch[["lang", "rank"]].assign(part=[spread(t, share) for t in batch["text"]])
 
-    own = train.withColumn("h", F.xxhash64("text")).join(F.broadcast(picks), ["doc_id", "lang", "h"])
+    # Rows without doc_id train like others: NULL meets NULL.
+    picked = picks.select(F.col("doc_id").alias("p_id"), F.col("lang").alias("p_lang"), F.col("h").alias("p_h"), "rank")
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("lang") == F.col("p_lang")) & (F.col("h") == F.col("p_h"))
+    own = train.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), same)
     rows = own.select("lang", "rank", "text").mapInPandas(cut, "lang string, rank int, part string").dropDuplicates(["lang", "rank"]).collect()
     found: dict[str, list[str]] = {lang: [] for lang in langs}
     for r in sorted(rows, key=lambda r: r["rank"]):
