@@ -94,6 +94,8 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None) -> DataFrame:
             yield flush()
 
     return docs.select("doc_id", "text").mapInPandas(build, INDEX_SCHEMA)
+#: Places of rarest terms that a shard looks at together.
+AT_ONCE = 1_000_000
 
 
 class TestBlock:
@@ -141,11 +143,26 @@ class TestBlock:
                 continue
             terms, item, freq = terms[alive], item[alive], freq[alive]
             by_rarity = np.argsort(freq, axis=1, kind="stable")
-            first = by_rarity[:, 0]
-            rare = terms[np.arange(len(terms)), first]
-            n = df[rare]
-            w = np.repeat(np.arange(len(terms)), n)
-            at = places[np.repeat(lo[rare], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64) - first[w]
+            rare = terms[np.arange(len(terms)), by_rarity[:, 0]]
+            # Windows in parts whose rarest terms have AT_ONCE places together, and each window's places in parts of that size.
+            ends = np.cumsum(df[rare])
+            cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]), AT_ONCE), "right")
+            for a, b in zip(cuts, np.r_[cuts[1:], len(rare)], strict=True):
+                for part in self._places(np.arange(a, b), terms, by_rarity, rare, lo, df, places, token, m, total):
+                    w, at = part
+                    ok = np.searchsorted(starts, at, "right") == np.searchsorted(starts, at + m - 1, "right")
+                    out.append((at[ok], np.full(ok.sum(), m), item[w[ok]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    @staticmethod
+    def _places(own, terms, by_rarity, rare, lo, df, places, token, m, total) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows ``own`` and first places where all their terms follow each other; at most ``AT_ONCE`` places at once."""
+        n = df[rare[own]]
+        most = int(n.max(initial=0))
+        for k in range(0, most, AT_ONCE):  # one pass, but for terms of more places than that
+            some = np.clip(n - k, 0, AT_ONCE)
+            w = np.repeat(own, some)
+            at = places[np.repeat(lo[rare[own]] + k, some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)].astype(np.int64) - by_rarity[w, 0]
             ok = (at >= 0) & (at + m <= total)
             w, at = w[ok], at[ok]
             for j in range(1, m):
@@ -154,9 +171,7 @@ class TestBlock:
                 off = by_rarity[w, j]
                 ok = token[at + off] == terms[w, off]
                 w, at = w[ok], at[ok]
-            ok = np.searchsorted(starts, at, "right") == np.searchsorted(starts, at + m - 1, "right")
-            out.append((at[ok], np.full(ok.sum(), m), item[w[ok]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            yield w, at
 
     def near(self, row, slack: int, share: float) -> Iterator[tuple[int, int, int, int]]:
         """(ordinal, item, terms found, place): the best place of a window's term with ``share`` of its terms within ``slack``.
