@@ -519,3 +519,37 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert any(k.startswith(f"op{n}_") for k in names)
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are called as the stages' own are kept, with ids that repeat or lack."""
+    extra = ["_spans", "_ref", "_h", "_top", "_text", "row", "key", "_Spans_"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").select("text").first().text
+    texts = [(1, BASE), (2, changed(BASE, 40)), (2, BASE + " again"), (None, prose(71, 80)), (None, item), (3, prose(72, 70) + " " + PASSAGE), (4, PASSAGE + " " + prose(73, 70)), (5, item)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), *[f"{c}{k}" for c in extra], {"m": k}) for k, (d, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra) + ", m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes), name
+        rows = out.collect()
+        assert all(r[c] == f"{c}{r.m['m']}" for r in rows for c in extra), name
+        if name == "decontamination":
+            assert sorted(r.m["m"] for r in rows) == [0, 1, 2, 3, 5, 6]
+        if name == "substring_dedup":
+            assert len(next(r.text for r in rows if r.doc_id == 4)) < len(texts[6][1])
+
+
+def test_language_learns_from_rows_without_id(spark):
+    rows = [(None, "the and of to in is that it was for on are with " * 3, "en") for _ in range(30)] + [(None, "le la les des est une dans pour que qui sur pas " * 3, "fr") for _ in range(30)]
+    docs = spark.createDataFrame([*rows, (2, "that it was for the", None), (7, "dans pour que les", None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train_dictionaries(docs)).collect() if r.doc_id}
+    assert found == {2: "en", 7: "fr"}
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 10**6])
+def test_windows_are_found_in_parts(spark, monkeypatch, at_once):
+    monkeypatch.setattr(decontamination, "AT_ONCE", at_once)
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("ab") for _ in range(60))) for i in range(6)]
+    items = [(str(i), " ".join(r.choice("ab") for _ in range(n))) for i, n in enumerate([3, 4, 5, 6, 12, 11])]
+    found = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted(str((x.doc_id, x.n_words, sum(s.hi - s.lo for s in x.spans), x["items"])) for x in found.collect()) == sorted(map(str, brute.contamination(docs, items)))
