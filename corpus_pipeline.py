@@ -36,8 +36,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():
         return kept
-    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(F.md5("text").alias("_h"), *docs.columns).alias("row"))
-    return without_ids(kept, again).unionByName(rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*").drop("_h"))
+    # A row's columns stay together in one struct, whatever their names and types.
+    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5("text").alias("h"))
+    first = rows.groupBy("doc_id").agg(F.min_by("row", F.struct("h", F.to_json("row"))).alias("row"))
+    return without_ids(kept, again).unionByName(first.select("row.*"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return kept
     unnamed = docs.where("doc_id IS NULL").withColumn("doc_id", F.xxhash64("text"))
     found = decontamination.decontaminate(unnamed, benchmark)
-    hit = written(found.where("size(spans) > 0").select(F.col("doc_id").alias("_text")).distinct(), "hit")
-    return kept.withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).join(hit, "_text", "left_anti").select(*docs.columns)
+    key = substring_dedup.free(docs, "_text")
+    hit = written(found.where("size(spans) > 0").select(F.col("doc_id").alias(key)).distinct(), "hit")
+    return kept.withColumn(key, F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).join(hit, key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
