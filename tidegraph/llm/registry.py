@@ -39,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontamination.SQL,
         "op8_url_filters": url_filters.SQL,
         "op12_collocations": collocations.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }

@@ -222,3 +222,21 @@ def variants(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
+
+
+#: Near words meet on patterns with one code point blanked, or where the longer one lacks one; the checksum is made by its rule.
+SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS x(i))),
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents WHERE text IS NOT NULL),
+counted AS MATERIALIZED (SELECT d, w, count(*) AS c, hex(d || ':' || w) AS x FROM run WHERE length(w) >= 5 GROUP BY ALL),
+sums AS MATERIALIZED (SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x[2 * i + 1:2 * i + 2])::BIGINT for i in range(length(x) // 2)]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM counted, tab),
+voc AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM sums) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+cut AS MATERIALIZED (SELECT word, w[1:i] || '_' || w[i + 2:] AS blanked, w[1:i] || w[i + 2:] AS shorter FROM (SELECT word, word AS w, unnest(range(length(word))) AS i FROM voc)),
+less AS (SELECT DISTINCT cut.word AS a, voc.word AS b FROM cut JOIN voc ON voc.word = cut.shorter),
+pair AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.blanked = y.blanked AND x.word <> y.word UNION ALL SELECT a, b FROM less UNION ALL SELECT b, a FROM less),
+ranked AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pair JOIN voc ON voc.word = b),
+form AS MATERIALIZED (SELECT word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 2 * voc.n THEN b END AS form, CASE WHEN ranked.n >= 2 * voc.n THEN ranked.n END AS form_n FROM voc LEFT JOIN ranked ON a = word AND r = 1),
+up AS (SELECT word, form AS root FROM form WHERE form IS NOT NULL UNION ALL SELECT up.word, form.form FROM up JOIN form ON form.word = up.root WHERE form.form IS NOT NULL)
+SELECT form.word, form.n, form.n_near, form.form, form.form_n, coalesce(last.root, form.word) AS root
+FROM form LEFT JOIN (SELECT up.word, up.root FROM up JOIN form ON form.word = up.root WHERE form.form IS NULL) last ON last.word = form.word
+"""
