@@ -125,7 +125,7 @@ def test_quality_counts(spark):
 def test_rules_need_their_columns(spark):
     df = spark.createDataFrame([(10.0, 0.0), (10.0, 1.0), (None, 1.0), (50.0, 1.0)], "in_bytes double, in_pkts double")
     got = [r[0] for r in df.select(quality.failed_rules(df.columns)).collect()]
-    assert got == [["bytes_without_packets"], ["bytes_below_header"], [], []]
+    assert got == [["in_bytes_without_packets"], ["in_bytes_below_20_per_packet"], [], []]
 
 
 def test_time_verdict_over_blocks(spark):
@@ -278,9 +278,9 @@ def test_durations_and_directions(spark):
     wrap = 2**32 / 1000
     df = spark.createDataFrame([(100.0, 102.0, 50.0), (wrap - 50.0, 50.0, wrap), (wrap - 100.0, 0.0, 0.0), (100.0, None, 101.0)], "duration double, duration_in double, duration_out double")
     got = [r[0] for r in df.select(quality.failed_rules(df.columns)).collect()]
-    assert got == [["in_longer_than_flow"], ["duration_wrapped"], ["duration_wrapped"], []]
+    assert got == [["duration_in_exceeds_flow"], ["duration_wrapped"], ["duration_wrapped"], []]
     packets = spark.createDataFrame([(5.0, 5.0, 10.0, 7.0, 70000.0), (5.0, 5.0, 5.0, 5.0, 1.0)], "in_pkts double, out_pkts double, bucket_pkts double, retrans_out_pkts double, tcp_win_max_out double")
-    assert [r[0] for r in packets.select(quality.failed_rules(packets.columns)).collect()] == [["out_retransmit_pkts_above_total", "out_window_too_large"], ["size_buckets_miss_packets"]]
+    assert [r[0] for r in packets.select(quality.failed_rules(packets.columns)).collect()] == [["out_retransmitted_exceeds_total", "tcp_win_max_out_over_65535"], ["size_buckets_not_packet_total"]]
 
 
 def test_balanced_order_keeps_null_labels(spark):
@@ -353,7 +353,7 @@ def test_neighbour_notes_state_their_denominator(spark, near):
 
 def pack_rows(spark):
     det = spark.createDataFrame(
-        [(1, 7, 8, "dos", 0.95, 0.5, {"dos": 0.97, "Benign": 0.03}, {"IN_BYTES": 1.5}, ["rate_not_a_rate"], {"PROTOCOL": 6.0, "L4_DST_PORT": 443.0, "IN_BYTES": 300.0, "IN_PKTS": 2.0, "CLIENT_TCP_FLAGS": 2.0}), (2, 7, 9, "dos", 0.52, 0.5, {"dos": 0.5, "Benign": 0.5}, {}, [], None)],
+        [(1, 7, 8, "dos", 0.95, 0.5, {"dos": 0.97, "Benign": 0.03}, {"IN_BYTES": 1.5}, ["src_to_dst_second_bytes_non_finite_or_negative"], {"PROTOCOL": 6.0, "L4_DST_PORT": 443.0, "IN_BYTES": 300.0, "IN_PKTS": 2.0, "CLIENT_TCP_FLAGS": 2.0}), (2, 7, 9, "dos", 0.52, 0.5, {"dos": 0.5, "Benign": 0.5}, {}, [], None)],
         "row_id long, src long, dst long, family string, score double, threshold double, distribution map<string,double>, contributions map<string,double>, failed array<string>, measures map<string,double>",
     )
     guide = spark.createDataFrame([("dos", "too many"), ("Benign", "none")], "attack_family string, description string")

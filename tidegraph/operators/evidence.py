@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tidegraph.functions import facts
 from tidegraph.operators import graph, rank
 
+# What a reader is told of a check that a flow fails, and of times that are withheld.
+NOTES = {
+    "size_buckets_not_packet_total": "The counts of packets by size do not add up to the flow's packet total, so the size breakdown for this flow is unreliable.",
+    "in_bytes_below_20_per_packet": "The bytes recorded from source to destination are fewer than an IP header needs for that many packets, so that byte count is unreliable.",
+    "out_bytes_below_20_per_packet": "The bytes recorded from destination to source are fewer than an IP header needs for that many packets, so that byte count is unreliable.",
+    "in_bytes_without_packets": "Bytes were recorded from source to destination with no packets, so that direction's counts are unreliable.",
+    "out_bytes_without_packets": "Bytes were recorded from destination to source with no packets, so that direction's counts are unreliable.",
+    "longest_below_shortest": "The recorded longest packet is shorter than the shortest, so the packet-size figures are unreliable.",
+}
+TIMING_NOTE = "How long the flow lasted, and its transfer rates, are not known: in this dataset the recorded duration is either zero or a counter overflow, so it is not a measurement, and the detector does not use it."
 BANNED = ("neural network", "gnn", "graph neural", "embedding", "logit", "softmax", "training data")
 VERSION = "2.0"
 
@@ -47,11 +57,21 @@ def stratified_sample(candidates: DataFrame, n: int, fp_share: float, benign: st
     return out
 
 
-def packs(detections: DataFrame, guidance: DataFrame, benign: str) -> DataFrame:
+def quality_notes(failed: Column, withheld: tuple[str, ...] = ()) -> Column:
+    """What is not known of a flow: columns withheld, checks failed in name order, and a sentence for times (if columns of
+    durations are withheld) and for each check that has one."""
+    said = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])
+    timing = [F.lit(TIMING_NOTE)] if any(c.startswith(("FLOW_DURATION", "DURATION_")) for c in withheld) else []
+    own = F.array_sort(failed)
+    notes = F.concat(F.array(*timing).cast("array<string>"), F.array_compact(F.transform(own, lambda x: F.try_element_at(said, x))))
+    return F.struct(F.array(*[F.lit(c) for c in withheld]).cast("array<string>").alias("withheld_columns"), own.alias("failed_checks"), notes.alias("notes"))
+
+
+def packs(detections: DataFrame, guidance: DataFrame, benign: str, withheld: tuple[str, ...] = ()) -> DataFrame:
     """One nested pack per detection: flow, detection, attribution, data quality and guidance of the predicted family.
 
     ``detections`` has row_id, src, dst, family, score, threshold, distribution, contributions and failed, and may have
-    ``measures`` (a map of measured columns), ``context`` (of ``with_context``) and ``neighbours`` (of
+    ``weight`` (the share of the topological channel), ``measures`` (a map of measured columns), ``context`` (of ``with_context``) and ``neighbours`` (of
     ``neighbour_notes``); ``guidance`` (attack_family, description) is a dimension table and falls back to the benign row.
     """
     more = lambda name: [F.col(name)] if name in detections.columns else []
@@ -64,9 +84,9 @@ def packs(detections: DataFrame, guidance: DataFrame, benign: str) -> DataFrame:
         F.lit(VERSION).alias("schema_version"),
         F.struct("src", "dst", F.col("family").alias("true_label"), *more("measures")).alias("flow"),
         F.struct("score", "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"), F.col("predicted").alias("predicted_class"), F.try_element_at("distribution", "predicted").alias("class_confidence"), F.col("distribution").alias("class_distribution")).alias("detection"),
-        F.struct(top.alias("top_features"), *more("neighbours")).alias("attribution"),
+        F.struct(top.alias("top_features"), *more("neighbours"), *more("weight")).alias("attribution"),
         *more("context"),
-        F.struct(F.col("failed").alias("failed_checks"), F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))).alias("notes")).alias("data_quality"),
+        quality_notes(F.col("failed"), withheld).alias("data_quality"),
         F.struct(F.coalesce("predicted", F.lit(benign)).alias("attack_family"), F.coalesce("description", "_default").alias("description")).alias("guidance"),
         F.lit(None).cast("string").alias("causal_path"),
     )
@@ -174,7 +194,7 @@ def _parts(p: DataFrame) -> list[tuple[str, list[Column]]]:
         ("Flow", measure_lines(flow["measures"]) if _has(p, "flow", "measures") else []),
         ("Reasons", [*[F.get(reason_lines, F.lit(i)) for i in range(5)], *(neighbour_lines(F.col("attribution.neighbours")) if _has(p, "attribution", "neighbours") else [])]),
         ("Context", context_lines(F.col("context")) if "context" in p.columns else []),
-        ("Data quality", [F.when(F.size("data_quality.failed_checks") > 0, F.array_join("data_quality.notes", "; ")).otherwise("Nothing more is known about this flow.")]),
+        ("Data quality", [F.when(F.size("data_quality.notes") > 0, F.array_join("data_quality.notes", " ")).otherwise("Nothing more is known about this flow.")]),
         ("Guidance", [F.concat(g["attack_family"], F.lit(": "), g["description"])]),
     ]
 
@@ -208,6 +228,38 @@ def summary(pack_table: DataFrame, k: int = 5) -> DataFrame:
     return g.withColumn("share", F.col("packs") / n).orderBy(F.desc("packs"), "feature")
 
 
+#: Confidence under which a pack's family is ambiguous.
+AMBIGUOUS = 0.9
+
+
+def weight_summary(pack_table: DataFrame, benign: str) -> DataFrame:
+    """Per group of packs (all, attacks, false positives, and each true family): packs, and mean, population deviation, least,
+    quartiles and largest of the topological weight, with the share above half; NULL where a group records none."""
+    truth, w = F.col("flow.true_label"), F.col("attribution.weight")
+    groups = F.array(F.lit("all"), F.when(truth == benign, "false positives").otherwise("true attacks"), F.concat(F.lit("family "), truth))
+    rows = pack_table.select(F.explode(groups).alias("group"), w.alias("w"))
+    g = rows.groupBy("group").agg(F.count("*").alias("packs"), F.count("w").alias("n"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.min("w").alias("min"), F.max("w").alias("max"), F.avg((F.col("w") > 0.5).cast("int")).alias("share_above_half"))
+    return g.join(rank.percentiles(rows, "w", {"p25": 0.25, "median": 0.5, "p75": 0.75}, "group"), "group", "left")
+
+
+def named_summary(pack_table: DataFrame, benign: str) -> DataFrame:
+    """Per true family, and over all attacks: packs, those whose family was named correctly and their share, packs whose
+    confidence is ambiguous, and what was named, commonest first."""
+    truth, said = F.col("flow.true_label"), F.col("detection.predicted_class")
+    rows = pack_table.select(F.explode(F.array_compact(F.array(truth, F.when(truth != benign, "all attacks")))).alias("family"), said.alias("said"), (truth == said).alias("right"), (F.col("detection.class_confidence") < AMBIGUOUS).alias("unsure"))
+    counts = rows.groupBy("family", "said").agg(F.count("*").alias("n"), F.count_if("right").alias("right"), F.count_if("unsure").alias("unsure"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "said"))), lambda x: F.concat_ws(":", x["said"], (-x["m"]).cast("string")))  # a row a family named
+    return counts.groupBy("family").agg(F.sum("n").alias("n"), F.sum("right").alias("correct"), (F.sum("right") / F.sum("n")).alias("share_correct"), F.sum("unsure").alias("ambiguous"), order.alias("named_as"))
+
+
+def features_by_family(pack_table: DataFrame, most: int = 3, k: int = 5) -> DataFrame:
+    """Per true family the ``most`` columns that most packs show among their first ``k``; a pack counts once a column."""
+    shown = F.array_distinct(F.transform(F.slice("attribution.top_features", 1, k), lambda f: facts.base_column(f["name"])))
+    counts = pack_table.select(F.col("flow.true_label").alias("family"), F.explode(shown).alias("feature")).groupBy("family", "feature").agg(F.count("*").alias("packs"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("packs")).alias("m"), "feature"))), 1, most)  # a row a column
+    return counts.groupBy("family").agg(F.transform(listed, lambda x: x["feature"]).alias("features"))
+
+
 def linear_attribution(features: Column, weights: list[float], baseline: list[float] | None = None) -> Column:
     """Exact attribution of a linear score: (x - x0) * w by position."""
     w = F.array(*[F.lit(float(x)) for x in weights])

@@ -63,8 +63,13 @@ def contingency_mi(counts: DataFrame, x: str, y: str, by: list[str]) -> DataFram
     return terms.groupBy(*by).agg(F.greatest(F.sum("t"), F.lit(0.0)).alias("mi"))
 
 
-def binned_mi(df: DataFrame, features: list[str], bins: int = 16) -> DataFrame:
-    """Mutual information of each feature, in quantile bins, with the label."""
+def binned_mi(df: DataFrame, features: list[str], bins: int = 16, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Mutual information of each feature, in quantile bins, with the label; of all rows, or of ``n`` rows (row_id) in which
+    each class has its share of all."""
+    if n is not None:
+        c = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
+        attacks = min(c["p"], n * c["p"] // max(1, c["p"] + c["q"]))
+        df = df.where(rank.first_in_hash(df, {1: attacks, 0: min(c["q"], n - attacks)}, seed, ["row_id"], "label"))
     long = unpivot(df, features, ["label"])
     at = {f"c{i}": i / bins for i in range(1, bins)}
     cuts = rank.percentiles(long, "value", at, "feature").select("feature", F.array_distinct(F.array(*at)).alias("cuts"))
@@ -177,25 +182,28 @@ def _no_rate(role: str) -> Callable[[Callable[[str], Column]], Column]:
 # Physical-consistency rules over role names; each runs only if all the columns it names exist. A role beyond these is
 # NULL where its column doesn't exist.
 RULES: dict[str, tuple[tuple[str, ...], Callable[[Callable[[str], Column]], Column]]] = {
-    "bytes_without_packets": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") == 0) & (c("in_bytes") > 0)),
-    "bytes_below_header": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") > 0) & (c("in_bytes") < 20 * c("in_pkts"))),
+    "in_bytes_without_packets": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") == 0) & (c("in_bytes") > 0)),
+    "in_bytes_below_20_per_packet": (("in_bytes", "in_pkts"), lambda c: (c("in_pkts") > 0) & (c("in_bytes") < 20 * c("in_pkts"))),
     "out_bytes_without_packets": (("out_bytes", "out_pkts"), lambda c: (c("out_pkts") == 0) & (c("out_bytes") > 0)),
-    "out_bytes_below_header": (("out_bytes", "out_pkts"), lambda c: (c("out_pkts") > 0) & (c("out_bytes") < 20 * c("out_pkts"))),
-    "retransmit_pkts_above_total": (("retrans_in_pkts", "in_pkts"), lambda c: c("retrans_in_pkts") > c("in_pkts")),
-    "retransmit_bytes_above_total": (("retrans_in_bytes", "in_bytes"), lambda c: c("retrans_in_bytes") > c("in_bytes")),
-    "out_retransmit_pkts_above_total": (("retrans_out_pkts", "out_pkts"), lambda c: c("retrans_out_pkts") > c("out_pkts")),
-    "out_retransmit_bytes_above_total": (("retrans_out_bytes", "out_bytes"), lambda c: c("retrans_out_bytes") > c("out_bytes")),
+    "out_bytes_below_20_per_packet": (("out_bytes", "out_pkts"), lambda c: (c("out_pkts") > 0) & (c("out_bytes") < 20 * c("out_pkts"))),
+    "in_retransmitted_exceeds_total": (("retrans_in_pkts", "in_pkts"), lambda c: c("retrans_in_pkts") > c("in_pkts")),
+    "in_retransmitted_bytes_exceed_total": (("retrans_in_bytes", "in_bytes"), lambda c: c("retrans_in_bytes") > c("in_bytes")),
+    "out_retransmitted_exceeds_total": (("retrans_out_pkts", "out_pkts"), lambda c: c("retrans_out_pkts") > c("out_pkts")),
+    "out_retransmitted_bytes_exceed_total": (("retrans_out_bytes", "out_bytes"), lambda c: c("retrans_out_bytes") > c("out_bytes")),
     "longest_below_shortest": (("longest_pkt", "shortest_pkt"), lambda c: c("longest_pkt") < c("shortest_pkt")),
-    "packet_too_long": (("max_pkt",), lambda c: c("max_pkt") > MAX_PACKET),
-    "src_port_range": (("src_port",), lambda c: (c("src_port") < 0) | (c("src_port") > 65535)),
-    "dst_port_range": (("dst_port",), lambda c: (c("dst_port") < 0) | (c("dst_port") > 65535)),
-    "in_window_too_large": (("tcp_win_max_in",), lambda c: c("tcp_win_max_in") > 65535),
-    "out_window_too_large": (("tcp_win_max_out",), lambda c: c("tcp_win_max_out") > 65535),
-    **{f"{role}_not_a_rate": ((role,), _no_rate(role)) for role in ("rate", "back_rate", "throughput", "back_throughput")},
+    "ip_packet_over_65535": (("max_pkt",), lambda c: c("max_pkt") > MAX_PACKET),
+    "l4_src_port_out_of_range": (("src_port",), lambda c: (c("src_port") < 0) | (c("src_port") > 65535)),
+    "l4_dst_port_out_of_range": (("dst_port",), lambda c: (c("dst_port") < 0) | (c("dst_port") > 65535)),
+    "tcp_win_max_in_over_65535": (("tcp_win_max_in",), lambda c: c("tcp_win_max_in") > 65535),
+    "tcp_win_max_out_over_65535": (("tcp_win_max_out",), lambda c: c("tcp_win_max_out") > 65535),
+    "src_to_dst_second_bytes_non_finite_or_negative": (("rate",), _no_rate("rate")),
+    "dst_to_src_second_bytes_non_finite_or_negative": (("back_rate",), _no_rate("back_rate")),
+    "src_to_dst_avg_throughput_non_finite_or_negative": (("throughput",), _no_rate("throughput")),
+    "dst_to_src_avg_throughput_non_finite_or_negative": (("back_throughput",), _no_rate("back_throughput")),
     "duration_wrapped": (("duration",), _wrapped),
-    "in_longer_than_flow": (("duration_in", "duration"), lambda c: (c("duration_in") > c("duration") + 1) & ~_wrapped(c)),
-    "out_longer_than_flow": (("duration_out", "duration"), lambda c: (c("duration_out") > c("duration") + 1) & ~_wrapped(c)),
-    "size_buckets_miss_packets": (("bucket_pkts", "in_pkts", "out_pkts"), lambda c: F.abs(c("bucket_pkts") - c("in_pkts") - c("out_pkts")) > F.greatest(F.lit(1.0), 0.01 * (c("in_pkts") + c("out_pkts")))),
+    "duration_in_exceeds_flow": (("duration_in", "duration"), lambda c: (c("duration_in") > c("duration") + 1) & ~_wrapped(c)),
+    "duration_out_exceeds_flow": (("duration_out", "duration"), lambda c: (c("duration_out") > c("duration") + 1) & ~_wrapped(c)),
+    "size_buckets_not_packet_total": (("bucket_pkts", "in_pkts", "out_pkts"), lambda c: F.abs(c("bucket_pkts") - c("in_pkts") - c("out_pkts")) > F.greatest(F.lit(1.0), 0.01 * (c("in_pkts") + c("out_pkts")))),
 }
 
 

@@ -22,11 +22,13 @@ def transfer_pool(runs: DataFrame, floor: float) -> DataFrame:
     return g.withColumn("is_control", F.col("source") == F.col("target")).withColumn("at_floor", F.col("mean") <= floor)
 
 
-def comparators(results: DataFrame, schema: str, prevalence: float, version: str) -> DataFrame:
-    """The strongest admissible result by PR-AUC and by F1, and those left out."""
+def comparators(results: DataFrame, schema: str, prevalence: float, version: str, own: tuple[float, float] | None = None) -> DataFrame:
+    """The strongest admissible result by PR-AUC and, on its own, by F1, and those left out; with what ``own`` (PR-AUC, F1) has
+    more than each, NULL where nothing is admitted."""
     ok = (F.col("schema") == schema) & (F.col("prevalence") == prevalence) & (F.col("version") == version)
     best = lambda m: F.max(F.when(ok, F.struct(F.col(m).alias("v"), F.col("model"))))
-    return results.agg(best("pr_auc")["model"].alias("best_pr_auc"), best("f1")["model"].alias("best_f1"), F.array_sort(F.collect_list(F.when(~ok, F.col("model")))).alias("excluded"))
+    deltas = [(F.lit(float(x)) - best(m)["v"]).alias(f"delta_{m}") for m, x in zip(("pr_auc", "f1"), own or (), strict=bool(own))]
+    return results.agg(best("pr_auc")["model"].alias("best_pr_auc"), best("f1")["model"].alias("best_f1"), *deltas, F.array_sort(F.collect_list(F.when(~ok, F.col("model")))).alias("excluded"))
 
 
 def rank_sum(runs: DataFrame, n1: int, n2: int) -> DataFrame:
@@ -46,8 +48,11 @@ def reconcile(counts: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full").where(~F.col("n_now").eqNullSafe(F.col("n_recorded")))
 
 
-def paired_gain(a: DataFrame, b: DataFrame, key: str = "seed") -> DataFrame:
-    """Differences of the same seed in two variants, and their mean."""
+def paired_gain(a: DataFrame, b: DataFrame, key: str = "seed", position: str | None = None) -> DataFrame:
+    """Differences of the same seed in two variants, and their mean; where a run of either records no seed, all are paired by
+    their place in the order of the integer ``position``."""
+    if position and any(x.where(F.col(key).isNull()).limit(1).count() for x in (a, b)):
+        a, b = (rank.order_rank(x.select(position, "value"), position, [], key) for x in (a, b))
     j = a.select(key, F.col("value").alias("x")).join(b.select(key, F.col("value").alias("y")), key)
     return j.agg(F.count("*").alias("n_pairs"), F.avg(F.col("x") - F.col("y")).alias("mean_gain"), F.min(F.col("x") - F.col("y")).alias("min_gain"), F.max(F.col("x") - F.col("y")).alias("max_gain"))
 

@@ -209,7 +209,7 @@ add("q1_skew", lambda s, d: rounded(quality.skew_report(events_num(s, d), _SKEW)
 add("q2_cohens_d", lambda s, d: rounded(quality.cohens_d(lines(s, d), LINE_FEATURES), "mean_attack", "mean_benign", "d", digits=5),
     f"""WITH {LINES_SQL}, l AS ({long_sql(LINE_FEATURES, 'label', 'li')}), g AS (SELECT feature, avg(value) FILTER (label = 1) AS m1, avg(value) FILTER (label = 0) AS m0, var_samp(value) FILTER (label = 1) AS v1, var_samp(value) FILTER (label = 0) AS v0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM l GROUP BY 1)
     SELECT feature, round(m1, 5) AS mean_attack, round(m0, 5) AS mean_benign, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 5) AS d FROM g""")
-add("q3_binned_mi", lambda s, d: rounded(quality.binned_mi(flows_from_events(s, d), ["in_bytes", "dst"], 8), "mi"),
+add("q3_binned_mi", lambda s, d: rounded(quality.binned_mi(flows_from_events(s, d), ["in_bytes", "dst"], 8, 200_000), "mi"),
     f"""WITH {FLOWS_SQL}, l AS ({long_sql(['in_bytes', 'dst'], 'label', 'flows')}), q AS (SELECT feature, list_distinct(quantile_cont(value, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS cuts FROM l GROUP BY 1),
     b AS (SELECT feature, label, len(list_filter(cuts, lambda c: c < value)) AS bin, count(*) AS n FROM l JOIN q USING (feature) GROUP BY ALL),
     m AS (SELECT feature, n / sum(n) OVER f * ln(n * sum(n) OVER f / (sum(n) OVER fb * sum(n) OVER fl)) AS t FROM b WINDOW f AS (PARTITION BY feature), fb AS (PARTITION BY feature, bin), fl AS (PARTITION BY feature, label))
@@ -244,9 +244,9 @@ def failing(s, d):
     return df.withColumn("failed", quality.failed_rules(df.columns, _ROLES))
 
 
-_FAILED_SQL = """f AS (SELECT *, list_filter([CASE WHEN l_quantity = 0 AND l_extendedprice > 0 THEN 'bytes_without_packets' END, CASE WHEN l_quantity > 0 AND l_extendedprice < 20 * l_quantity THEN 'bytes_below_header' END,
-  CASE WHEN l_partkey < l_suppkey THEN 'longest_below_shortest' END, CASE WHEN l_partkey > 65535 THEN 'packet_too_long' END, CASE WHEN l_orderkey < 0 OR l_orderkey > 65535 THEN 'dst_port_range' END,
-  CASE WHEN l_discount IS NULL OR NOT isfinite(l_discount) OR l_discount < 0 THEN 'rate_not_a_rate' END], lambda x: x IS NOT NULL) AS failed FROM li)"""
+_FAILED_SQL = """f AS (SELECT *, list_filter([CASE WHEN l_quantity = 0 AND l_extendedprice > 0 THEN 'in_bytes_without_packets' END, CASE WHEN l_quantity > 0 AND l_extendedprice < 20 * l_quantity THEN 'in_bytes_below_20_per_packet' END,
+  CASE WHEN l_partkey < l_suppkey THEN 'longest_below_shortest' END, CASE WHEN l_partkey > 65535 THEN 'ip_packet_over_65535' END, CASE WHEN l_orderkey < 0 OR l_orderkey > 65535 THEN 'l4_dst_port_out_of_range' END,
+  CASE WHEN l_discount IS NULL OR NOT isfinite(l_discount) OR l_discount < 0 THEN 'src_to_dst_second_bytes_non_finite_or_negative' END], lambda x: x IS NOT NULL) AS failed FROM li)"""
 add("q12_validity_flags", lambda s, d: failing(s, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "failed"), f"WITH {LINES_SQL}, {_FAILED_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, failed FROM f")
 add("q13_flag_incidence", lambda s, d: rounded(quality.flag_incidence(failing(s, d), "family"), "share"), f"WITH {LINES_SQL}, {_FAILED_SQL}, s AS (SELECT family, count(*) AS t FROM f GROUP BY 1) SELECT flag, family, count(*) AS n, round(count(*) / any_value(t), 6) AS share FROM (SELECT family, unnest(failed) AS flag FROM f) JOIN s USING (family) GROUP BY 1, 2")
 add("q14_family_auc", lambda s, d: rounded(quality.family_auc(lines(s, d), LINE_FEATURES, ["A", "N", "R"], 3), "auc", "abs_auc"),

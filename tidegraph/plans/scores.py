@@ -99,7 +99,7 @@ def detections(s, d):
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     o = o.withColumn("w", weights).withColumn("distribution", F.map_from_arrays(F.array(*[F.lit(x) for x in _FAMS]), F.transform("w", lambda x: x / total)))
     contrib = F.map_from_arrays(F.array(F.lit("IN_BYTES"), F.lit("PROTOCOL=6"), F.lit("L4_DST_PORT_bucket=1")), F.array(F.col("o_totalprice") / 1e5 - 4.2, (F.col("o_custkey") % 7 - 3).cast("double"), (F.col("o_orderkey") % 5 - 2).cast("double") / 2))
-    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("dst"), F.col("o_orderpriority").alias("family"), (F.col("o_totalprice") / 500000).alias("score"), F.lit(0.8).alias("threshold"), "distribution", contrib.alias("contributions"), F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("rate_not_a_rate"))).otherwise(F.array().cast("array<string>")).alias("failed"), (F.col("o_orderpriority") != "5-LOW").cast("int").alias("y"))
+    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("dst"), F.col("o_orderpriority").alias("family"), (F.col("o_totalprice") / 500000).alias("score"), F.lit(0.8).alias("threshold"), "distribution", contrib.alias("contributions"), F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("src_to_dst_second_bytes_non_finite_or_negative"))).otherwise(F.array().cast("array<string>")).alias("failed"), (F.col("o_orderpriority") != "5-LOW").cast("int").alias("y"), (F.col("o_custkey") % 100 / 100).alias("weight"))
 
 
 DET_SQL = """dw AS (SELECT *, [(o_orderkey * i) % 11 + 1 for i in [1, 2, 3, 4, 5]] AS w FROM orders WHERE o_totalprice > 400000),
@@ -148,7 +148,10 @@ add("v1_stratified_sample", lambda s, d: evidence.stratified_sample(scores(s, d)
 add("v2_two_pass", lambda s, d: windowed(s, d).join(evidence.stratified_sample(scores(s, d).where(F.col("score") >= 0.9), 20, 0.2, BENIGN, 1).select("row_id"), "row_id", "left_semi").select("window_id").distinct().join(windowed(s, d), "window_id").groupBy("window_id").agg(F.count("*").alias("n")), f"WITH {sample_sql(0.9, 20, 4, 1)} SELECT window_id, count(*) AS n FROM sc WHERE window_id IN (SELECT row_id // {SIZE} FROM picked) GROUP BY 1")
 add("v3_packs", lambda s, d: packed(s, d).select("detection_id", F.col("detection.predicted_class").alias("predicted_class"), F.col("guidance.description").alias("description"), F.round("detection.class_confidence", 6).alias("confidence"), F.col("detection.flagged").alias("flagged")), f"WITH {DET_SQL} SELECT 'det-' || o_orderkey AS detection_id, predicted AS predicted_class, 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, round(conf, 6) AS confidence, score >= 0.8 AS flagged FROM dt JOIN pd USING (o_orderkey)")
 add("j6_guidance_join", lambda s, d: packed(s, d).groupBy(F.col("guidance.description").alias("description")).agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT 'guidance for ' || lower(CASE WHEN predicted = '2-HIGH' THEN '5-LOW' ELSE predicted END) AS description, count(*) AS n FROM pd GROUP BY 1")
-add("v4_quality_notes", lambda s, d: failing(s, d).select(F.array_join(F.transform("failed", lambda x: F.concat(F.lit("check failed: "), F.regexp_replace(x, "_", " "))), "; ").alias("note")).groupBy("note").agg(F.count("*").alias("n")), f"WITH {LINES_SQL}, {_FAILED_SQL} SELECT coalesce(array_to_string(['check failed: ' || replace(x, '_', ' ') for x in failed], '; '), '') AS note, count(*) AS n FROM f GROUP BY 1")
+_WITHHELD = ("FLOW_DURATION_MILLISECONDS", "DURATION_IN")
+_NOTES_SQL = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in evidence.NOTES.items()) + " END"
+add("v4_quality_notes", lambda s, d: failing(s, d).select(evidence.quality_notes(F.col("failed"), _WITHHELD).alias("q")).select("q.*").groupBy("withheld_columns", "failed_checks", "notes").agg(F.count("*").alias("n")),
+    f"WITH {LINES_SQL}, {_FAILED_SQL}, s AS (SELECT list_sort(failed) AS failed_checks FROM f) SELECT {list(_WITHHELD)} AS withheld_columns, failed_checks, list_concat(['{evidence.TIMING_NOTE}'], list_filter([{_NOTES_SQL} for x in failed_checks], lambda x: x IS NOT NULL)) AS notes, count(*) AS n FROM s GROUP BY ALL")
 
 
 def damaged(s, d):
@@ -162,6 +165,13 @@ def damaged(s, d):
 add("v5_validity", lambda s, d: evidence.validity(damaged(s, d)).groupBy("valid", "version_ok", "sums_to_one", "vocabulary_ok").agg(F.count("*").alias("n")), f"WITH {DET_SQL}, v AS (SELECT o_orderkey % 5 <> 0 AS version_ok, o_orderkey % 11 <> 0 AS sums_to_one, o_orderkey % 7 <> 0 AS vocabulary_ok FROM dt) SELECT version_ok AND sums_to_one AND vocabulary_ok AS valid, version_ok, sums_to_one, vocabulary_ok, count(*) AS n FROM v GROUP BY ALL")
 add("v6_measured", lambda s, d: table(s, d, "part").select("p_partkey", facts.measured(F.when(F.col("p_size") == 7, float("nan")).otherwise(F.col("p_size") / 8)).alias("m")), "SELECT p_partkey, CASE WHEN p_size <> 7 THEN round(p_size / 8, 4) END AS m FROM part")
 add("v10_evidence_summary", lambda s, d: rounded(evidence.summary(packed(s, d)), "mean_abs", "share"), f"WITH {DET_SQL}, c AS (SELECT unnest(['IN_BYTES', 'PROTOCOL', 'L4_DST_PORT']) AS feature, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt) SELECT feature, count(*) AS packs, round(avg(abs(v)), 6) AS mean_abs, count(*) FILTER (v > 0) AS raises, count(*) FILTER (v <= 0) AS lowers, 1.0::DOUBLE AS share FROM c GROUP BY 1")
+_FAMILY_SQL = "g AS (SELECT unnest(['all', CASE WHEN o_orderpriority = '5-LOW' THEN 'false positives' ELSE 'true attacks' END, 'family ' || o_orderpriority]) AS \"group\", o_custkey % 100 / 100 AS w FROM dt)"
+add("v10b_weights", lambda s, d: rounded(evidence.weight_summary(packed(s, d), "5-LOW"), "mean", "std", "min", "max", "share_above_half", "p25", "median", "p75"),
+    f"WITH {DET_SQL}, {_FAMILY_SQL} SELECT \"group\", count(*) AS packs, count(w) AS n, round(avg(w), 6) AS mean, round(stddev_pop(w), 6) AS std, min(w) AS min, max(w) AS max, round(avg((w > 0.5)::INT), 6) AS share_above_half, round(quantile_cont(w, 0.25), 6) AS p25, round(quantile_cont(w, 0.5), 6) AS median, round(quantile_cont(w, 0.75), 6) AS p75 FROM g GROUP BY 1")
+add("v10c_named", lambda s, d: rounded(evidence.named_summary(packed(s, d), "5-LOW"), "share_correct"),
+    f"WITH {DET_SQL}, m AS (SELECT unnest(CASE WHEN o_orderpriority = '5-LOW' THEN ['5-LOW'] ELSE [o_orderpriority, 'all attacks'] END) AS family, o_orderpriority AS t, predicted, conf FROM dt JOIN pd USING (o_orderkey)), c AS (SELECT family, predicted, count(*) AS n, count(*) FILTER (t = predicted) AS hit, count(*) FILTER (conf < 0.9) AS u FROM m GROUP BY ALL) SELECT family, sum(n)::BIGINT AS n, sum(hit)::BIGINT AS correct, round(sum(hit) / sum(n), 6) AS share_correct, sum(u)::BIGINT AS ambiguous, list(predicted || ':' || n ORDER BY n DESC, predicted) AS named_as FROM c GROUP BY 1")
+add("v10d_features_by_family", lambda s, d: evidence.features_by_family(packed(s, d), 2, 2),
+    f"WITH {DET_SQL}, c AS (SELECT o_orderkey, o_orderpriority AS family, unnest(['IN_BYTES', 'PROTOCOL', 'L4_DST_PORT']) AS feature, unnest(['IN_BYTES', 'PROTOCOL=6', 'L4_DST_PORT_bucket=1']) AS name, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(v) DESC, name) AS r FROM c), n AS (SELECT family, feature, count(*) AS n FROM r WHERE r <= 2 GROUP BY ALL) SELECT family, list(feature ORDER BY n DESC, feature)[1:2] AS features FROM n GROUP BY 1")
 add("v11_outcomes", lambda s, d: detections(s, d).select(facts.outcome(F.col("y"), F.col("family") == facts.predicted(F.col("distribution")), facts.margin(F.col("score"), F.col("threshold"))["band"] == "narrow").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n")), f"WITH {DET_SQL} SELECT CASE WHEN y = 1 AND predicted = o_orderpriority THEN 'attack_right_family' WHEN y = 1 THEN 'attack_wrong_family' WHEN {_BAND} = 'narrow' THEN 'false_positive_borderline' ELSE 'false_positive_clear' END AS outcome, count(*) AS n FROM dt JOIN pd USING (o_orderkey) GROUP BY 1")
 add("v12_fp_margins", lambda s, d: detections(s, d).where("y = 0").agg(F.count_if(facts.margin(F.col("score"), F.col("threshold"))["band"] == "narrow").alias("borderline"), F.count("*").alias("n")), f"WITH {DET_SQL} SELECT count(*) FILTER ({_BAND} = 'narrow') AS borderline, count(*) AS n FROM dt WHERE y = 0")
 add("t2_top_features", lambda s, d: detections(s, d).select("row_id", F.explode(facts.top_features(F.col("contributions"), 2)).alias("f")).select("row_id", "f.name", "f.direction"), f"WITH {DET_SQL}, c AS (SELECT o_orderkey AS row_id, unnest(['IN_BYTES', 'PROTOCOL=6', 'L4_DST_PORT_bucket=1']) AS name, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, name) AS r FROM c) SELECT row_id, name, CASE WHEN v > 0 THEN 'raised' ELSE 'lowered' END AS direction FROM r WHERE r <= 2")
@@ -231,12 +241,21 @@ add("w6_rank_in_label", lambda s, d: rank.order_rank(table(s, d, "labels").selec
 add("t5_ranked_features", lambda s, d: evidence.summary(packed(s, d), 1).select("feature", "packs"), f"WITH {DET_SQL}, c AS (SELECT o_orderkey, unnest(['IN_BYTES', 'PROTOCOL=6', 'L4_DST_PORT_bucket=1']) AS name, unnest([o_totalprice / 1e5 - 4.2, o_custkey % 7 - 3, (o_orderkey % 5 - 2) / 2]) AS v FROM dt), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(v) DESC, name) AS r FROM c) SELECT replace(replace(regexp_extract(name, '^[^=]*'), '_bucket', ''), '_present', '') AS feature, count(*) AS packs FROM r WHERE r = 1 GROUP BY 1")
 add("a11_seed_aggregate", lambda s, d: rounded(study.seed_aggregate(runs(s, d).select(F.col("model").alias("metric"), F.when(F.col("ok"), F.col("score")).alias("value"))), "mean", "std"), f"WITH {RUNS_SQL} SELECT model AS metric, round(avg(score) FILTER (ok), 6) AS mean, round(stddev_pop(score) FILTER (ok), 6) AS std, count(*) FILTER (ok) AS n FROM rn GROUP BY 1")
 add("a12_transfer_pool", lambda s, d: rounded(study.transfer_pool(runs(s, d).select("model", F.col("prompt").alias("source"), F.when(F.col("seed") % 2 == 0, "v1").otherwise("v2").alias("target"), F.col("score").alias("pr_auc")), 2.0), "mean", "std"), f"WITH {RUNS_SQL} SELECT model, prompt AS source, CASE WHEN seed % 2 = 0 THEN 'v1' ELSE 'v2' END AS target, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS std, count(*) AS n, prompt = CASE WHEN seed % 2 = 0 THEN 'v1' ELSE 'v2' END AS is_control, avg(score) <= 2 AS at_floor FROM rn GROUP BY 1, 2, 3")
-add("a13_comparators", lambda s, d: study.comparators(table(s, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("pr_auc"), F.avg("p_size").alias("f1"), F.count_distinct("p_type").alias("k")).select(F.col("p_brand").alias("model"), "pr_auc", "f1", F.when(F.col("p_brand") < "Brand#4", "s").otherwise("t").alias("schema"), F.lit(0.04).alias("prevalence"), F.lit("v").alias("version")), "s", 0.04, "v"), "WITH b AS (SELECT p_brand AS model, avg(p_retailprice) AS pr, avg(p_size) AS f1, p_brand < 'Brand#4' AS ok FROM part GROUP BY 1) SELECT arg_max(model, (pr, model)) FILTER (ok) AS best_pr_auc, arg_max(model, (f1, model)) FILTER (ok) AS best_f1, list_sort(coalesce(list(model) FILTER (NOT ok), [])) AS excluded FROM b")
+add("a13_comparators", lambda s, d: study.comparators(table(s, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("pr_auc"), F.avg("p_size").alias("f1"), F.count_distinct("p_type").alias("k")).select(F.col("p_brand").alias("model"), "pr_auc", "f1", F.when(F.col("p_brand") < "Brand#4", "s").otherwise("t").alias("schema"), F.lit(0.04).alias("prevalence"), F.lit("v").alias("version")), "s", 0.04, "v", (1500.0, 25.0)).withColumns({c: F.round(c, 6) for c in ("delta_pr_auc", "delta_f1")}), "WITH b AS (SELECT p_brand AS model, avg(p_retailprice) AS pr, avg(p_size) AS f1, p_brand < 'Brand#4' AS ok FROM part GROUP BY 1) SELECT arg_max(model, (pr, model)) FILTER (ok) AS best_pr_auc, arg_max(model, (f1, model)) FILTER (ok) AS best_f1, round(1500 - max(pr) FILTER (ok), 6) AS delta_pr_auc, round(25 - max(f1) FILTER (ok), 6) AS delta_f1, list_sort(coalesce(list(model) FILTER (NOT ok), [])) AS excluded FROM b")
 add("a14_rank_sum", lambda s, d: rounded(study.rank_sum(runs(s, d).select(F.col("model").alias("comparison"), F.when(F.col("prompt") == "v1", "a").otherwise("b").alias("side"), F.col("score").alias("value")), 3, 3), "u", "difference", "least_p"), f"WITH {RUNS_SQL}, r AS (SELECT model, prompt, score, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS r FROM rn) SELECT model AS comparison, round(sum(r) FILTER (prompt = 'v1') - count(*) FILTER (prompt = 'v1') * (count(*) FILTER (prompt = 'v1') + 1) / 2, 6) AS u, min(score) FILTER (prompt = 'v1') > max(score) FILTER (prompt = 'v2') OR max(score) FILTER (prompt = 'v1') < min(score) FILTER (prompt = 'v2') AS separated, round(avg(score) FILTER (prompt = 'v1') - avg(score) FILTER (prompt = 'v2'), 6) AS difference, 0.1::DOUBLE AS least_p FROM r GROUP BY 1")
 add("a15_reconcile", lambda s, d: study.reconcile(flows_from_events(s, d).groupBy("family").agg(F.count("*").alias("n")), flows_from_events(s, d).where("row_id <> 17").groupBy("family").agg(F.count("*").alias("n")), ["family"]), "SELECT event_type AS family, count(*) AS n_now, count(*) - 1 AS n_recorded FROM events WHERE event_type = (SELECT event_type FROM events WHERE event_id = 17) GROUP BY 1")
 add("j7_paired_gain", lambda s, d: rounded(study.paired_gain(runs(s, d).where("model = 'user'").groupBy("seed").agg(F.avg("score").alias("value")), runs(s, d).where("ok").groupBy("seed").agg(F.avg("score").alias("value"))), "mean_gain", "min_gain", "max_gain"), f"WITH {RUNS_SQL}, a AS (SELECT seed, avg(score) AS x FROM rn WHERE model = 'user' GROUP BY 1), b AS (SELECT seed, avg(score) AS y FROM rn WHERE ok GROUP BY 1) SELECT count(*) AS n_pairs, round(avg(x - y), 6) AS mean_gain, round(min(x - y), 6) AS min_gain, round(max(x - y), 6) AS max_gain FROM a JOIN b USING (seed)")
 
 
+def unseeded(s, d):
+    """Two variants of which one records no seeds: paired by place."""
+    g = lambda rows: rows.groupBy("seed").agg(F.avg("score").alias("value")).withColumn("place", F.col("seed").cast("long"))
+    return study.paired_gain(g(runs(s, d).where("model = 'user'")), g(runs(s, d).where("ok")).withColumn("seed", F.lit(None).cast("int")), "seed", "place")
+
+
+add("j7b_paired_by_place", lambda s, d: rounded(unseeded(s, d), "mean_gain", "min_gain", "max_gain"), f"WITH {RUNS_SQL}, a AS (SELECT row_number() OVER (ORDER BY seed) AS p, avg(score) AS x FROM rn WHERE model = 'user' GROUP BY seed), b AS (SELECT row_number() OVER (ORDER BY seed) AS p, avg(score) AS y FROM rn WHERE ok GROUP BY seed) SELECT count(*) AS n_pairs, round(avg(x - y), 6) AS mean_gain, round(min(x - y), 6) AS min_gain, round(max(x - y), 6) AS max_gain FROM a JOIN b USING (p)")
+
+
 def baseline(kind, columns, host):
     def run(s, d):
         df = graph.host_features(windowed(s, d)) if host else flows_from_events(s, d)
