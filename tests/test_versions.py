@@ -92,14 +92,14 @@ def test_comparison_by_the_protocol(spark):
         rows.append((i, "train" if i < 1800 else "val" if i < 2300 else "test", y, "a" if y else "view", i % 10 == 0 and i >= 1800, r.gauss(2.0 * y, 1), r.random(), r.random(), *[r.gauss(0.5 * y, 1) for _ in models.HOST]))
     names = ["in_bytes", "dst_port", "proto", *models.HOST]
     df = spark.createDataFrame(rows, "row_id long, split string, label int, family string, duplicate_of_train boolean, " + ", ".join(f"{c} double" for c in names)).withColumn("in_bytes", F.exp("in_bytes"))
-    runs = models.compare(df, (0,), 0.04, 0, ("logreg",), 2).collect()
+    runs = models.compare(df, (0,), 0.04, 0, ("logreg",), 2, 8).collect()
     assert len(runs) == 2 * 2 * 2
     of = {(x.features, x.rows_at, x.novel_only): x for x in runs}
     assert of["flow", "native", False].n == 700 and of["flow", "native", True].n == 630 and abs(of["flow", "target", False].prevalence - 0.04) < 0.003
     assert of["flow+host", "native", False].pr_auc > of["flow", "native", False].pr_auc > 0.5
     share = df.where("split = 'train'").agg(F.avg("label")).first()[0]
     table = models.features(df, models.FLOW).withColumns({"w": F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)), "held": F.col("split") == "val"})
-    model = models.fit_early(table.where("split <> 'test'"), "logreg", "features", 0, share)
+    model = models.fit_early(table.where("split <> 'test'"), "logreg", "features", 0, share, 8)
     scores = sorted(((x.probability[1], x.label) for x in model.transform(table.where("split = 'test'")).select("probability", "label").collect()), reverse=True)
     hits, total, area = 0, sum(y for _, y in scores), 0.0
     for k, (_, y) in enumerate(scores, 1):
