@@ -236,7 +236,9 @@ def test_replay_pools_counts(spark):
 
 def test_baselines_learn(spark):
     df = spark.range(600).select(F.col("id").alias("row_id"), F.lit(1).alias("dst_port"), (F.col("id") % 2).cast("int").alias("proto"), (F.col("id") % 2 * 100 + F.col("id") % 7).cast("double").alias("in_bytes"), (F.col("id") % 2).cast("int").alias("label"), F.lit("f").alias("family"))
-    assert models.saturation(df, models.FLOW)["saturated"]
+    found = models.saturation(df, models.FLOW, target=0.5).collect()
+    assert [r.model for r in found] == ["logreg", "gbt"] and all(r.saturated and r.n == 600 and 0.4 < r.prevalence < 0.6 for r in found)
+    assert models.saturation(df, models.FLOW, target=0.1).first().n == 600 * 0.1 + 300
 
 
 def test_baselines_rank_what_can_be_learned(spark):
@@ -251,8 +253,8 @@ def test_baselines_rank_what_can_be_learned(spark):
         for kind in ("logreg", "forest", "gbt"):
             out = models.scored(models.fit(df.where("row_id < 2000"), kind, models.FLOW), df.where("row_id >= 2000"), models.FLOW)
             assert low <= evaluate.average_precision(evaluate.curve(out)).first()["pr_auc"] <= high + 1e-9, kind
-        found = models.saturation(df, models.FLOW)
-        assert found["saturated"] == (low > 0.9) and low <= found["best_pr_auc"] <= high + 1e-9
+        found = models.saturation(df, models.FLOW, target=0.5).collect()
+        assert all(r.saturated == (low > 0.9) for r in found) and low - 0.05 <= max(r.pr_auc for r in found) <= high + 1e-9
 
 
 def test_percentiles_are_exact(spark):

@@ -83,7 +83,7 @@ def test_filtered_twins(spark, monkeypatch):
     assert quality.filtered_twins(df.where("split <> 'train'"), ["a"]).where("duplicate_of_train").count() == 0
 
 
-def test_comparison_by_the_protocol(spark):
+def test_comparison_by_the_protocol(spark, tmp_path):
     """One kind of model; PR-AUC, threshold and F1 equal plain Python on the same scores."""
     r = random.Random(5)
     rows = []
@@ -92,7 +92,7 @@ def test_comparison_by_the_protocol(spark):
         rows.append((i, "train" if i < 1800 else "val" if i < 2300 else "test", y, "a" if y else "view", i % 10 == 0 and i >= 1800, r.gauss(2.0 * y, 1), r.random(), r.random(), *[r.gauss(0.5 * y, 1) for _ in models.HOST]))
     names = ["in_bytes", "dst_port", "proto", *models.HOST]
     df = spark.createDataFrame(rows, "row_id long, split string, label int, family string, duplicate_of_train boolean, " + ", ".join(f"{c} double" for c in names)).withColumn("in_bytes", F.exp("in_bytes"))
-    runs = models.compare(df, (0,), 0.04, 0, ("logreg",), 2, 8).collect()
+    runs = models.compare(df, f"file://{tmp_path}/fits", (0,), 0.04, 0, ("logreg",), 2, 8).collect()
     assert len(runs) == 2 * 2 * 2
     of = {(x.features, x.rows_at, x.novel_only): x for x in runs}
     assert of["flow", "native", False].n == 700 and of["flow", "native", True].n == 630 and abs(of["flow", "target", False].prevalence - 0.04) < 0.003

@@ -62,7 +62,7 @@ def fit_early(df: DataFrame, kind: str, features_column: str, seed: int, share:
     return GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, validationIndicatorCol="held", validationTol=TOLERANCE, seed=seed, **common).fit(df)
 
 
-def compare(df: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0.04, prevalence_seed: int = 0, kinds: tuple[str, ...] = KINDS, at_once: int = 6, rounds: int = 10) -> DataFrame:
+def compare(df: DataFrame, folder: str, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0.04, prevalence_seed: int = 0, kinds: tuple[str, ...] = KINDS, at_once: int = 6, rounds: int = 10) -> DataFrame:
     """Every kind of model on every feature set with every seed, by one protocol; a row for each (model, features, seed, rows_at,
     novel_only) with metrics.
 
@@ -70,7 +70,7 @@ def compare(df: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0
     vectors are made once, in one cached table, and fits share it, ``at_once`` of them at a time. Thresholds are those of the
     best F1 on validation rows brought to the target prevalence; test rows are judged as they are and at that prevalence, all
     of them and those without a twin in train. Which rows those are depends on no score, so they are chosen once; the scores
-    of all fits are one table, and each figure is one aggregate over its groups.
+    of all fits are written to ``folder``, one table, and each figure is one aggregate over its groups.
     """
     table = df.where("split IS NOT NULL")
     for name, columns in SETS.items():
@@ -80,17 +80,19 @@ def compare(df: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0
     table = table.select("row_id", "split", "label", "duplicate_of_train", *[f"x_{n}" for n in SETS], weight.alias("w"), (F.col("split") == "val").alias("held")).withColumn("y", F.col("label")).persist()
     chosen = {name: evaluate.prevalence_cut(table.where(rows), target, prevalence_seed) for name, rows in (("val", "split = 'val'"), ("test", "split = 'test'"), ("novel", "split = 'test' AND NOT duplicate_of_train"))}
 
-    def fitted(job: tuple[str, str, int]) -> DataFrame:
+    def fitted(job: tuple[str, str, int]) -> None:
         kind, name, seed = job
         model = fit_early(table.where("split <> 'test'"), kind, f"x_{name}", seed, share, rounds)
         judged = table.where("split <> 'train'").select("row_id", "split", "y", "duplicate_of_train", F.col(f"x_{name}").alias("features"))
         # Logistic regression has no randomness: one fit stands for all seeds.
         fits = F.explode(F.array(*[F.lit(f"{kind}|{name}|{x}") for x in (seeds if kind == "logreg" else (seed,))]))
-        return model.setFeaturesCol("features").transform(judged).select(fits.alias("fit"), "row_id", "split", "y", "duplicate_of_train", vector_to_array("probability")[1].alias("score"))
+        scored_rows = model.setFeaturesCol("features").transform(judged).select(fits.alias("fit"), "row_id", "split", "y", "duplicate_of_train", vector_to_array("probability")[1].alias("score"))
+        scored_rows.write.mode("append").parquet(f"{folder}/{kind}-{name}-{seed}")
 
     jobs = [(kind, name, seed) for kind in kinds for name in SETS for seed in (seeds[:1] if kind == "logreg" else seeds)]
     with ThreadPoolExecutor(at_once) as pool:
-        scores = reduce(DataFrame.union, pool.map(inheritable_thread_target(table.sparkSession)(fitted), jobs)).persist()
+        list(pool.map(inheritable_thread_target(table.sparkSession)(fitted), jobs))
+    scores = table.sparkSession.read.parquet(*[f"{folder}/{kind}-{name}-{seed}" for kind, name, seed in jobs])
     val = scores.where(F.col("split") == "val").where(chosen["val"])
     f1 = 2 * F.col("tp") / (F.col("pos") + F.col("tp") + F.col("fp"))
     limits = evaluate.curves(val, "fit").groupBy("fit").agg(F.max(F.struct(f1.alias("f"), "score"))["score"].alias("threshold"))
@@ -101,7 +103,6 @@ def compare(df: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), target: float = 0
     part = lambda i: F.element_at(F.split("key", r"\|"), i)
     out = found.select(part(1).alias("model"), part(2).alias("features"), part(3).cast("int").alias("seed"), part(4).alias("rows_at"), part(5).cast("boolean").alias("novel_only"), *[c for c in found.columns if c != "key"])
     rows = out.collect()  # a row for each fit and kind of rows
-    scores.unpersist()
     table.unpersist()
     return df.sparkSession.createDataFrame(rows, out.schema)
 

@@ -40,9 +40,13 @@ def range_bucket(df: DataFrame, key: str, by: str | None = None, buckets: int |
     longest = max([1, *map(len, cuts_of.values())])
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(longest.bit_length()))])
     array = lambda cuts: F.lit(cuts).cast(kind) if cuts else F.array().cast(kind)
-    cuts = array(cuts_of.get(None))
-    for c, own in cuts_of.items() if by else ():
-        cuts = F.when(F.col(by).eqNullSafe(F.lit(c)), array(own)).otherwise(cuts)
+    if by:  # one map, so that the plan doesn't nest however many groups there are
+        name = lambda c: "-" if c is None else f"={c}"
+        names = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-"))
+        pairs = [x for c, own in cuts_of.items() for x in (F.lit(name(c)), array(own))]
+        cuts = F.coalesce(F.try_element_at(F.create_map(*pairs), names), array([])) if pairs else array([])
+    else:
+        cuts = array(cuts_of.get(None))
     held = F.array(F.struct(cuts.alias("cuts"), F.col(key).alias("key")))
     search = lambda x: F.aggregate(steps, F.lit(0), lambda b, s: F.when(F.get(x["cuts"], b + s - 1) <= x["key"], b + s).otherwise(b))
     return F.get(F.transform(held, search), F.lit(0))
