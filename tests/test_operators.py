@@ -290,6 +290,12 @@ def test_balanced_order_keeps_null_labels(spark):
     assert {r.k: r.position for r in study.balanced_order(df, "label", "k").collect()} == {1: 0.25, 2: 0.5, 3: 0.75, 4: 0.5}
 
 
+def test_even_rows_of_many(spark):
+    """Places times rows pass 32 bits."""
+    n = 6_000_000
+    assert list(spark.range(1).select(rank.even_rows(n, 777)).first()[0]) == [i * (n - 1) // 776 for i in range(777)]
+
+
 def test_families_named_longest_first(spark):
     aliases = {"dos": ("dos", "denial of service"), "ddos": ("distributed denial of service",)}
     named = lambda t: col(spark, text.families_named(F.col("t"), aliases), t)
