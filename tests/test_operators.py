@@ -290,6 +290,11 @@ def test_balanced_order_keeps_null_labels(spark):
     assert {r.k: r.position for r in study.balanced_order(df, "label", "k").collect()} == {1: 0.25, 2: 0.5, 3: 0.75, 4: 0.5}
 
 
+def test_rank_in_label_has_sizes(spark):
+    df = spark.createDataFrame([(1, 1), (2, None), (3, 1), (4, 0)], "k long, label int")
+    assert {r.k: (r["rank"], r.n_label, r.position) for r in study.rank_in_label(df, "label", "k").collect()} == {1: (1, 2, 0.25), 2: (1, 1, 0.5), 3: (2, 2, 0.75), 4: (1, 1, 0.5)}
+
+
 def test_even_rows_of_many(spark):
     """Places times rows pass 32 bits."""
     n = 6_000_000
