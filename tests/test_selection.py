@@ -1,5 +1,6 @@
 """Selections without a sort, draws of neighbours, and the replay's running totals."""
 
+import hashlib
 import random
 
 import pytest
@@ -77,6 +78,15 @@ def test_draws_are_of_touching_flows(spark):
             assert all(x.n_neighbours == len(near) for x in rows) and sorted(x.rank for x in rows) == list(range(1, len(rows) + 1))
 
 
+def test_every_touching_flow_has_a_rank(spark):
+    flows = spark.createDataFrame([(0, i, 1, 10 + i) for i in range(120)], "window_id long, row_id long, src long, dst long")
+    rows = graph.ranked_neighbours(flows, flows.where("row_id < 2"), 1).collect()
+    for t in (0, 1):
+        own = [x for x in rows if x.detection == t]
+        order = sorted((i for i in range(120) if i != t), key=lambda i: hashlib.md5(f"1:{t}:{i}".encode()).hexdigest())
+        assert [x.row_id for x in sorted(own, key=lambda x: x["rank"])] == order and {x.n_neighbours for x in own} == {119}
+
+
 def test_draws_are_even(spark):
     """Over many seeds every neighbour is drawn about as often."""
     flows = [(0, 0, 1, 2)] + [(0, i, 1, 100 + i) for i in range(1, 40)] + [(0, 100 + i, 2, 1) for i in range(10)] + [(0, 200 + i, 2, 300 + i) for i in range(30)]
