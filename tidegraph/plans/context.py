@@ -8,7 +8,7 @@ from tidegraph.functions import facts
 from tidegraph.operators import encode, evaluate, evidence, graph, study
 from tidegraph.plans.flows import _CTX, _DRAWN_SQL, _TARGETS_SQL, SIZE, SPLIT_SQL, WINDOWED_SQL, rounded, scratch, splitted, targets, windowed
 from tidegraph.plans.scores import DET_SQL, RUNS_SQL, SCORES_SQL, THRESHOLD, detections, runs
-from tidegraph.sources.tables import BENIGN, FLOWS_SQL, csv_to_parquet, csv_types, flows_from_events, table
+from tidegraph.sources.tables import BENIGN, FLOWS_SQL, csv_to_parquet, csv_types, dealt, flows_from_events, table
 from tidegraph.streaming import replay
 
 Q: dict = {}
@@ -74,7 +74,7 @@ add("x9c_flow_lines", lambda s, d: event_packs(s, d).select("detection_id", F.ar
 
 def versions(s, d):
     """Each version's text of every pack: its lines and titles, and a digest of the lines."""
-    p = event_packs(s, d)
+    p = dealt(event_packs(s, d), "detection_id")  # rendering costs more than a pack's bytes tell
     once = p.select("detection_id", *[render(p).alias(render.__name__) for render in dict.fromkeys(evidence.RENDERERS.values())])
     texts = once.select("detection_id", F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(render.__name__).alias("text")) for v, render in evidence.RENDERERS.items()])).alias("x")).select("detection_id", "x.*")
     own = texts.withColumn("rows", F.filter(F.split("text", "\n"), lambda x: x != "")).withColumn("lines", F.filter("rows", lambda x: x.startswith("- ")))
