@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ GRAM = 24
 MOST_SEGMENTS = 1024
 #: Places of an anchor that one cell takes in, from split to split.
 SPLITS = (20, 5, 1)
+#: Parts of the anchors that are shuffled one after the other.
+PARTS = 3
 CELL = 10
 BATCH_BYTES = 1 << 20
 _CHUNK = 1 << 20  # strings of one text that are looked at together
@@ -393,27 +396,43 @@ def index_spans(parts: DataFrame) -> DataFrame:
     return parts.repartition("a").sortWithinPartitions("a", "doc_id", "s").mapInPandas(run, "doc_id bigint, lo long, hi long")
 
 
+def recurring(every: DataFrame, parts: int) -> list[DataFrame]:
+    """The segments whose anchor occurs more than once, as a written table for each part of the anchors. Parts are shuffled
+    one after the other, so that the disk holds the shuffle of one of them beside the segments."""
+    out = []
+    for k in range(parts):
+        own = every.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k) if parts > 1 else every
+        # Written, so that the join below reads plain shuffles on both sides and a frequent anchor can be split.
+        twice = written(own.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
+        out.append(written(own.join(twice, "a", "left_semi"), "segments"))
+        discard(twice)
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): byte spans that go, of documents (doc_id, text) whose ids and texts are distinct."""
-    every, spans = written(segment_table(docs), "segments"), None
+    every, spans, parts = written(segment_table(docs), "segments"), None, PARTS
     s, n = F.shiftright("pack", 14), F.shiftright("pack", 7).bitwiseAND(F.lit(127))
     for width in (*SPLITS, None):
-        # Written, so that the join below reads plain shuffles on both sides and a frequent anchor can be split.
-        twice = written(every.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
-        rows = written(every.join(twice, "a", "left_semi"), "segments")
+        tables = recurring(every, parts)
+        rows, parts = reduce(DataFrame.union, tables), 1  # what is split is the smaller part
         discard(every)
         first = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "pack")).alias("f"))
         first = written(first.select("a", "g", "f.*"), "contents")
-        sizes = written(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
         copies = rows.join(first.select("a", "g", F.struct("doc_id", "pack").alias("f")), ["a", "g"]).where(F.col("f") != F.struct("doc_id", "pack"))
-        copied = copies.select("doc_id", s.alias("lo"), (s + n + (LENGTH - 1)).alias("hi"))
+        copied = written(copies.select("doc_id", s.alias("lo"), (s + n + (LENGTH - 1)).alias("hi")), "copied")
+        for table in tables:
+            discard(table)
+        sizes = written(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
         wanted = first.join(sizes.where(F.col("c") <= MOST_SEGMENTS), "a").select("a", "doc_id", "pack")
         found = copied.union(written(index_spans(contents(wanted, docs)), "found"))
         spans = found if spans is None else spans.union(found)
         large = sizes.where(F.col("c") > MOST_SEGMENTS)
         if width is None or not large.limit(1).count():
+            discard(first)
             return spans
         every = written(split_segments(first.join(large, "a").select("a", "doc_id", "pack"), docs, width), "segments")
+        discard(first)
 
 
 _RESULT = "doc_id bigint, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
