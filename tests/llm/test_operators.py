@@ -470,6 +470,37 @@ def test_near_passages_whose_fragments_are_older(spark, size, copies):
     assert sum(whole) >= 0.9 * n, sum(whole)
 
 
+def test_near_passages_whose_pairs_of_seeds_are_in_many_older_documents(spark):
+    """Near passages of 60 words; parts of 45 words that hold nearly all their pairs of seeds stand in more older documents
+    than are met first, so that only words beside the pairs tell the whole one."""
+    n, copies, around = 20, substring_dedup.LIST + 8, lambda k, x: " ".join([prose(k, 20), *x, prose(k + 1, 20)])
+    older, firsts, later = [], [], []
+    for i in range(n):
+        r, passage = random.Random(300 + i), prose(70_000 + i, 60).split(" ")
+        gone = set(r.sample(range(60), 5))
+        older += [around(3 * 10**6 + 1000 * i + 4 * c + 2 * (lo > 0), passage[lo : lo + 45]) for lo in (0, 15) for c in range(copies)]
+        firsts.append(around(80_000 + 4 * i, passage))
+        later.append(around(90_000 + 4 * i, ["changed" if p in gone else x for p, x in enumerate(passage)]))
+    texts = older + firsts + later
+    found = marked(spark, list(enumerate(texts)))
+    assert not any(d < len(older) + n for d in found)
+    whole = [sum(min(s.hi, 80) - max(s.lo, 20) for s in found.get(len(texts) - n + i, ())) >= 48 for i in range(n)]
+    assert sum(whole) >= 0.9 * n, sum(whole)
+
+
+def test_words_that_may_be_the_rarest_aligned_one():
+    """Against all stretches: the words with no more rarer ones than a fifth of the longest part of the class."""
+    r = random.Random(8)
+    for m in (0, 39, 40, 90, 430):
+        keys = np.array([r.randrange(max(5, m // 2)) for _ in range(m)], np.uint64)
+        counts = (keys % np.uint64(7)).astype(np.int64)
+        order, due = list(zip(counts.tolist(), keys.tolist())), set()
+        for size, most in ((40, 10), (55, 13), (70, 16), (85, 19)):
+            for s in range(m - size + 1):
+                due |= {x[1] for x in order[s : s + size] if sum(y < x for y in order[s : s + size]) <= most}
+        assert set(substring_dedup.rare_keys(keys, counts).tolist()) == due, m
+
+
 def test_near_passages_against_all_pairs_of_windows(spark):
     """Texts of boilerplate sentences, of which some are in most documents, and parts of earlier texts with words changed:
     of the words in windows of 50 that match 43 words or more of an earlier document's, place by place, nine in ten go."""
