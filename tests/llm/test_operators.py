@@ -488,6 +488,15 @@ def test_near_passages_whose_pairs_of_seeds_are_in_many_older_documents(spark):
     assert sum(whole) >= 0.9 * n, sum(whole)
 
 
+def test_documents_that_share_a_sentence_only_are_not_chained(spark):
+    """Of pairs of seeds in two documents those go that can't have the words of a passage; one place of 50 words stays."""
+    near = lambda n, k: bytes([1] * n + [2 + k] * (substring_dedup.MARGIN - n))
+    rows = [(2, 1, 20, 35, 60, 75, near(5, 0) + near(5, 0), near(5, 1) + near(5, 1)), (3, 1, 20, 35, 60, 75, near(15, 0) + near(15, 0), near(15, 1) + near(15, 1))]
+    rows += [(4, 1, a, a + 9, a, a + 9, near(0, 0) * 2, near(0, 1) * 2) for a in (10, 30)]
+    both = spark.createDataFrame(rows, "doc_id long, ref_id long, a int, b int, ra int, rb int, near binary, other binary")
+    assert sorted((r.doc_id, r.a) for r in substring_dedup.alignable(both).collect()) == [(3, 20), (4, 10), (4, 30)]
+
+
 def test_words_that_may_be_the_rarest_aligned_one():
     """Against all stretches: the words with no more rarer ones than a fifth of the longest part of the class."""
     r = random.Random(8)
