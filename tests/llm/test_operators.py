@@ -510,6 +510,34 @@ def test_words_that_may_be_the_rarest_aligned_one():
         assert set(substring_dedup.rare_keys(keys, counts).tolist()) == due, m
 
 
+def test_near_passages_share_a_block_key():
+    """Two places with a passage around them have a key of every size in common that their pair's width allows, whatever the
+    others of the pair share; places of a common sentence in unlike texts have none of three words."""
+    r, around = random.Random(31), substring_dedup.MARGIN
+    for m in range(150):
+        width = r.choice([6, 9, 13, 20, 27, 35, 45, 49])
+        before = r.randint(0, around)
+        behind = min(around, max(0, r.randint(50, 60) - width - before))
+        words = np.array([[r.randrange(1, 1 << 16) for _ in range(2 * around)] for _ in range(2)], np.uint16)
+        ends = [*range(before), *range(around, around + behind)]
+        changed = set(r.sample(ends, min((width + len(ends)) // 5, max(0, (min(before, behind) or len(ends)) // 2 - 1)))) - {before - 1, around + behind - 1}
+        for i in ends:
+            if i not in changed:
+                words[1, i] = words[0, i]
+        aligned = lambda lo, n: all(2 * sum(i in changed for i in range(k, lo + n)) <= lo + n - k for k in range(lo, lo + n))
+        if width + len(ends) < 50 or not aligned(0, before) or not aligned(around, behind):
+            continue
+        for size, most in substring_dedup.BLOCKS.items():
+            if width <= most:
+                core = np.full((2, 2), r.choice([0, 5, 30, around]))
+                row, key = substring_dedup.block_keys(words, size, np.full(2, width), core)
+                assert set(key[row == 0]) & set(key[row == 1]), (m, size)
+    words = np.array([[r.randrange(1, 1 << 16) for _ in range(2 * around)] for _ in range(40)], np.uint16)
+    words[:, around : around + 6] = words[0, around : around + 6]
+    row, key = substring_dedup.block_keys(words, 3, np.full(40, 8), np.tile([0, 6], (40, 1)))
+    assert len(set(key)) == len(key) > 40
+
+
 def test_near_passages_against_all_pairs_of_windows(spark):
     """Texts of boilerplate sentences, of which some are in most documents, and parts of earlier texts with words changed:
     of the words in windows of 50 that match 43 words or more of an earlier document's, place by place, nine in ten go."""
