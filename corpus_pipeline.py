@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
-from tidegraph.llm.common import documents, without_ids, written
+from tidegraph.llm.common import distilled, documents, without_ids, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.linked_classes(docs)
-    gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    gone = distilled(spark, lambda: jaccard_join.linked_classes(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     kept = without_ids(docs, gone)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():
@@ -43,7 +42,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = written(substring_dedup.merged_spans(substring_dedup.passages(docs)), "spans")
+    spans = distilled(spark, lambda: substring_dedup.merged_spans(substring_dedup.passages(docs)), "spans")
     return substring_dedup.remove(docs, spans)
 
 

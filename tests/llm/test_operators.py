@@ -622,6 +622,19 @@ def test_empty_tables(spark, empty):
     assert lm_scoring.score(empty.select("doc_id", F.lit(False).alias("held_out"), "text")).count() == 0
 
 
+def test_stages_leave_only_the_tables_that_their_result_reads(spark, docs, tmp_path):
+    import os
+
+    from tidegraph.llm.common import shared_dir
+
+    there = shared_dir(spark).removeprefix("file://")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, kept in (("jaccard_join", {"gone", "again"}), ("substring_dedup", {"spans", "several"})):
+        before = set(os.listdir(there))
+        out = stages[name](spark, docs, str(tmp_path))
+        assert {x.split("-")[0] for x in set(os.listdir(there)) - before} <= kept and out.count() > 0
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     """Every stage on its own input: what it keeps, its columns, and the pieces at the end."""
     bench = [("b1", " ".join(dict(ROWS)[14].split()[100:130]))]
